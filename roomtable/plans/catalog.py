@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomtable.plans import registry
 
-_MODULES = ("governance",)
+_MODULES = ("governance", "evaluation")
 
 
 def _load() -> None:
