@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomtable.functions.numbers import fixed
+
 _STEPS = 1024
 
 
@@ -34,8 +36,8 @@ def quantiles(
 
     A number p asks for the linear quantile at p (numpy's default); the string
     "upper" asks for the element at index n // 2 of the sorted values. Also
-    gives `counted`, the number of non-null values. Groups without any value
-    have no row. Keys must not be null.
+    gives counted, total, lowest and highest of the non-null values, which cost
+    nothing extra. Groups without any value have no row. Keys must not be null.
     """
     keys = list(keys)
     tallies = (
@@ -45,6 +47,7 @@ def quantiles(
         .withColumn("_b", value_range(F.col("_v")))
     )
     along = Window.partitionBy(*keys).orderBy("_b")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranks = []
     for name, p in wanted.items():
         if p == "upper":
@@ -58,9 +61,20 @@ def quantiles(
         ]
     histogram = (
         tallies.groupBy(*keys, "_b")
-        .agg(F.sum("_n").alias("_bn"))
-        .withColumn("_to", F.sum("_bn").over(along))
-        .withColumn("_total", F.sum("_bn").over(Window.partitionBy(*keys)))
+        .agg(
+            F.sum("_n").alias("_bn"),
+            F.sum(F.col("_v") * F.col("_n")).alias("_bs"),
+            F.min("_v").alias("_bl"),
+            F.max("_v").alias("_bh"),
+        )
+        .select(
+            "*",
+            F.sum("_bn").over(along).alias("_to"),
+            F.sum("_bn").over(whole).alias("_total"),
+            F.sum("_bs").over(whole).alias("_sum"),
+            F.min("_bl").over(whole).alias("_low"),
+            F.max("_bh").over(whole).alias("_high"),
+        )
     )
     start = F.col("_to") - F.col("_bn")
     hits = (
@@ -72,7 +86,7 @@ def quantiles(
             ),
         )
         .where(F.size("_asked") > 0)
-        .select(*keys, "_b", "_total", start.alias("_from"), "_asked")
+        .select(*keys, "_b", "_total", "_sum", "_low", "_high", start.alias("_from"), "_asked")
     )
     inside = Window.partitionBy(*keys, "_b").orderBy("_v")
     found = (
@@ -91,7 +105,13 @@ def quantiles(
     picks = []
     for name in wanted:
         picks += [at(f"{name}:lo").alias(f"_{name}_lo"), at(f"{name}:hi").alias(f"_{name}_hi")]
-    out = found.groupBy(*keys).agg(F.max("_total").alias("counted"), *picks)
+    out = found.groupBy(*keys).agg(
+        F.max("_total").alias("counted"),
+        F.max("_sum").alias("total"),
+        F.max("_low").alias("lowest"),
+        F.max("_high").alias("highest"),
+        *picks,
+    )
     finals = []
     for name, p in wanted.items():
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
@@ -100,7 +120,25 @@ def quantiles(
         else:
             position = F.lit(float(p)) * (F.col("counted") - 1)
             finals.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
-    return out.select(*keys, "counted", *finals)
+    return out.select(*keys, "counted", "total", "lowest", "highest", *finals)
+
+
+def describe(df: DataFrame, keys: Sequence[str], value: str, digits: int) -> DataFrame:
+    """counted, mean, median, min and max per group, nulls skipped.
+
+    A group without values keeps its row, with counted 0 and null statistics.
+    """
+    keys = list(keys)
+    found = quantiles(df, keys, value, {"median": 0.5})
+    groups = df.select(*keys).distinct()
+    return groups.join(found, keys, "left").select(
+        *keys,
+        F.coalesce("counted", F.lit(0)).alias("counted"),
+        fixed(F.col("total") / F.col("counted"), digits).alias("mean"),
+        fixed(F.col("median"), digits).alias("median"),
+        fixed(F.col("lowest"), digits).alias("min"),
+        fixed(F.col("highest"), digits).alias("max"),
+    )
 
 
 def previous_in_group(

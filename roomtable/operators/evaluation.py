@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roomtable.functions import vocabulary as V
 from roomtable.functions.numbers import count_where, fixed, ratio
-from roomtable.functions.ranks import quantiles
+from roomtable.functions.ranks import describe
 from roomtable.operators import masks as M
 from roomtable.operators import regions as R
 from roomtable.session import cut_lineage
@@ -37,11 +37,12 @@ def with_tolerances(frames: DataFrame, fractions: Sequence[float] = TOLERANCES)
 # --- area ------------------------------------------------------------------
 
 
-def overlap_counts(
-    prediction: DataFrame, truth: DataFrame, ignore: DataFrame, frames: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """tp, fp, fn, tn and ignored pixels per mask pair; every frame has a row."""
-    swept = M.stretches({"p": prediction, "t": truth, "i": ignore}, keys)
+def overlap_counts(tagged: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """tp, fp, fn, tn and ignored pixels per frame.
+
+    `tagged` holds runs whose `side` is p (prediction), t (truth) or i (ignored).
+    """
+    swept = M.stretches(tagged, keys, ["p", "t", "i"])
     size = F.col("x1") - F.col("x0") + 1
     p, t, i = F.col("p") > 0, F.col("t") > 0, F.col("i") > 0
     count = lambda test: F.sum(F.when(test, size).otherwise(0))
@@ -53,13 +54,11 @@ def overlap_counts(
     )
     filled = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "ignored")]
     others = [c for c in frames.columns if c not in keys]
+    rest = F.col("ignored") + F.col("tp") + F.col("fp") + F.col("fn")
     return (
         frames.join(sums, list(keys), "left")
         .select(*keys, *others, *filled)
-        .withColumn(
-            "tn",
-            F.col("width") * F.col("height") - F.col("ignored") - F.col("tp") - F.col("fp") - F.col("fn"),
-        )
+        .select("*", (F.col("width") * F.col("height") - rest).alias("tn"))
     )
 
 
@@ -77,46 +76,38 @@ def area_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def mask_metrics(
-    prediction: DataFrame, truth: DataFrame, ignore: DataFrame, frames: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    return area_metrics(overlap_counts(prediction, truth, ignore, frames, keys))
+def mask_metrics(tagged: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return area_metrics(overlap_counts(tagged, frames, keys))
 
 
 # --- boundary --------------------------------------------------------------
 
 
 def boundary_metrics(
-    prediction: DataFrame,
-    truth: DataFrame,
-    ignore: DataFrame,
+    tagged: DataFrame,
     frames: DataFrame,
     keys: Sequence[str],
     fractions: Sequence[float] = TOLERANCES,
 ) -> DataFrame:
-    """Boundary precision, recall and F1 per mask pair and tolerance.
+    """Boundary precision, recall and F1 per frame and tolerance.
 
     Evaluated boundary pixels leave out the ignored ones and the frame band; the
     boundary they are matched against stays whole. Tolerances that come out at
-    the same number of pixels share the work.
+    the same number of pixels share the work. Two sweeps: one finds the boundary
+    of every side, one matches them.
     """
     keys = list(keys)
-    asked = with_tolerances(frames.select(*keys), fractions)
     sized = [*keys, "tolerance_px"]
     radii = F.array_distinct(F.array(*[tolerance_px(F.lit(float(f))) for f in fractions]))
-    each = lambda runs: runs.withColumn("tolerance_px", F.explode(radii))
-    shown = each(M.inner_boundary(prediction, keys))
-    real = each(M.inner_boundary(truth, keys))
-    swept = M.stretches(
-        {
-            "p": shown,
-            "t": real,
-            "near_p": M.spread(shown, sized, M._discs(F.col("tolerance_px"))),
-            "near_t": M.spread(real, sized, M._discs(F.col("tolerance_px"))),
-            "i": each(ignore),
-        },
+    outline = M.edged(tagged, [*keys, "side"]).where(F.col("edge") | (F.col("side") == "i"))
+    spans = M.with_surroundings(
+        outline.withColumn("tolerance_px", F.explode(radii)),
         sized,
+        F.col("tolerance_px"),
+        F.col("side") != "i",
+        F.concat(F.lit("near_"), "side"),
     )
+    swept = M.stretches(spans, sized, ["p", "t", "near_p", "near_t", "i"])
     m, w, h = F.col("tolerance_px"), F.col("width"), F.col("height")
     inside = (m * 2 < F.least(w, h)) & (F.col("y") >= m) & (F.col("y") < h - m) & (F.col("i") <= 0)
     size = F.greatest(
@@ -125,28 +116,27 @@ def boundary_metrics(
     count = lambda test: F.sum(F.when(inside & test, size).otherwise(0))
     p, t = F.col("p") > 0, F.col("t") > 0
     sums = swept.groupBy(*sized).agg(
-        count(p).alias("predicted_pixels"),
-        count(t).alias("truth_pixels"),
+        count(p).alias("_p"),
+        count(t).alias("_t"),
         count(p & (F.col("near_t") > 0)).alias("_hit_p"),
         count(t & (F.col("near_p") > 0)).alias("_hit_t"),
     )
+    asked = with_tolerances(frames.select(*keys), fractions)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     rated = asked.join(sums, sized, "left").select(
         *keys,
         "tolerance",
         "tolerance_px",
-        zero("predicted_pixels").alias("predicted_pixels"),
-        zero("truth_pixels").alias("truth_pixels"),
-        fixed(ratio(F.col("_hit_p"), F.col("predicted_pixels")), 6).alias("precision"),
-        fixed(ratio(F.col("_hit_t"), F.col("truth_pixels")), 6).alias("recall"),
+        zero("_p").alias("predicted_pixels"),
+        zero("_t").alias("truth_pixels"),
+        fixed(ratio(F.col("_hit_p"), F.col("_p")), 6).alias("precision"),
+        fixed(ratio(F.col("_hit_t"), F.col("_t")), 6).alias("recall"),
     )
     both = F.col("precision") + F.col("recall")
-    return rated.withColumn(
-        "f1",
-        F.when(both == 0, F.lit(0.0)).otherwise(
-            fixed(F.lit(2.0) * F.col("precision") * F.col("recall") / both, 6)
-        ),
+    f1 = F.when(both == 0, F.lit(0.0)).otherwise(
+        fixed(F.lit(2.0) * F.col("precision") * F.col("recall") / both, 6)
     )
+    return rated.select("*", f1.alias("f1"))
 
 
 # --- agreement -------------------------------------------------------------
@@ -166,15 +156,12 @@ def pair_facts() -> list[Column]:
     ]
 
 
-def ignored_shares(
-    first: DataFrame, second: DataFrame, frames: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """Uncertain share of each side and their absolute difference."""
-    marked = first.withColumn("_s", F.lit(1)).unionByName(second.withColumn("_s", F.lit(2)))
+def ignored_shares(tagged: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Uncertain share of each side (ua, ub) and their absolute difference."""
     size = F.col("x1") - F.col("x0") + 1
-    sums = marked.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_s") == 1, size).otherwise(0)).alias("_a"),
-        F.sum(F.when(F.col("_s") == 2, size).otherwise(0)).alias("_b"),
+    sums = tagged.groupBy(*keys).agg(
+        F.sum(F.when(F.col("side") == "ua", size).otherwise(0)).alias("_a"),
+        F.sum(F.when(F.col("side") == "ub", size).otherwise(0)).alias("_b"),
     )
     total = F.col("width") * F.col("height")
     a, b = F.coalesce("_a", F.lit(0)) / total, F.coalesce("_b", F.lit(0)) / total
@@ -186,37 +173,45 @@ def ignored_shares(
     )
 
 
-def disagreement_runs(
-    first: DataFrame, second: DataFrame, ignore: DataFrame, frames: DataFrame, keys: Sequence[str], margin: Column
-) -> DataFrame:
-    """Stretches where two masks differ, each with its zone.
+def disagreement_runs(tagged: DataFrame, keys: Sequence[str], margin: Column) -> DataFrame:
+    """Stretches where masks a and b differ outside i, each with its zone.
 
-    at_frame wins over along_junction, which wins over interior_region.
+    at_frame wins over along_junction, which wins over interior_region. margin is
+    the tolerance in pixels.
     """
     keys = list(keys)
-    edge = M.union_of(M.inner_boundary(first, keys).unionByName(M.inner_boundary(second, keys)), keys)
-    reach = M.spread(
-        edge.withColumn("_r", margin * JUNCTION_REACH), [*keys, "_r"], M._discs(F.col("_r"))
-    ).drop("_r")
-    swept = M.stretches(
-        {
-            "a": first,
-            "b": second,
-            "i": ignore,
-            "edge": reach,
-            "band": M.frame_band(frames.select(*keys), keys, margin),
-        },
-        keys,
-    )
-    return swept.where(((F.col("a") > 0) != (F.col("b") > 0)) & (F.col("i") <= 0)).select(
-        *keys,
-        "y",
-        "x0",
-        "x1",
-        F.when(F.col("band") > 0, "at_frame")
-        .when(F.col("edge") > 0, "along_junction")
-        .otherwise("interior_region")
-        .alias("zone"),
+    outline = M.edged(tagged, [*keys, "side"])
+    spans = M.with_surroundings(
+        outline, keys, margin * JUNCTION_REACH, F.col("edge") & (F.col("side") != "i"), F.lit("edge")
+    )
+    swept = M.stretches(spans, keys, ["a", "b", "i", "edge"]).where(
+        ((F.col("a") > 0) != (F.col("b") > 0)) & (F.col("i") <= 0)
+    )
+    m, w, h = margin, F.col("width"), F.col("height")
+    whole = (m * 2 >= F.least(w, h)) | (F.col("y") < m) | (F.col("y") >= h - m)
+    part = lambda band, a, b: F.struct(band.alias("band"), a.alias("x0"), b.alias("x1"))
+    yes, no = F.lit(True), F.lit(False)
+    x0, x1 = F.col("x0"), F.col("x1")
+    parts = F.when(whole, F.array(part(yes, x0, x1))).otherwise(
+        F.array(
+            part(yes, x0, F.least(x1, m - 1)),
+            part(no, F.greatest(x0, m), F.least(x1, w - m - 1)),
+            part(yes, F.greatest(x0, w - m), x1),
+        )
+    )
+    return (
+        swept.select(*keys, "y", "edge", F.explode(parts).alias("p"))
+        .where(F.col("p.x0") <= F.col("p.x1"))
+        .select(
+            *keys,
+            "y",
+            "p.x0",
+            "p.x1",
+            F.when(F.col("p.band"), "at_frame")
+            .when(F.col("edge") > 0, "along_junction")
+            .otherwise("interior_region")
+            .alias("zone"),
+        )
     )
 
 
@@ -240,12 +235,10 @@ def disagreement_by_kind(
 ) -> DataFrame:
     """Differing pixels within reach of each kind of boundary line (keys, kind, runs)."""
     by_kind = [*keys, "kind"]
-    reach = M.dilate_by(
-        lines.withColumn("_r", margin * JUNCTION_REACH), [*by_kind, "_r"], F.col("_r")
-    ).drop("_r")
+    reach = M.spread(lines, by_kind, M.disc_rows(margin * JUNCTION_REACH))
     kinds = lines.select(*by_kind).distinct()
-    spread = differing.join(kinds, list(keys)).select(*by_kind, "y", "x0", "x1")
-    swept = M.stretches({"d": spread, "k": reach}, by_kind)
+    repeated = differing.join(kinds, list(keys)).select(*by_kind, "y", "x0", "x1")
+    swept = M.stretches(M.gather({"d": repeated, "k": reach}, by_kind), by_kind, ["d", "k"])
     hit = swept.where((F.col("d") > 0) & (F.col("k") > 0))
     return hit.groupBy(*by_kind).agg(M.area().alias("pixels"))
 
@@ -292,8 +285,6 @@ def hotspots(differing: DataFrame, keys: Sequence[str], top: int = MAX_HOTSPOTS)
 
 def summarise_agreement(pairs: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """counted, mean, median, min, max per metric over all pairs, long form."""
-    from roomtable.operators.governance import describe
-
     long = pairs.select(
         F.explode(
             F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])
@@ -380,39 +371,32 @@ def per_candidate(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def score_candidates(rows: DataFrame, traits: DataFrame, key: str) -> DataFrame:
-    """IoU and boundary F1 of each candidate: overall, by difficulty, by trait.
+    """IoU and boundary F1 of each candidate: overall, by difficulty, by trait; long form.
 
     rows: candidate, key, difficulty, iou, f1. Rejected scenes stay out. A scene
     counts in the group of each of its traits.
     """
     scored = rows.where(F.col("difficulty") != "rejected")
-    groups = scored.select(
-        "candidate",
-        key,
-        "iou",
-        "f1",
-        F.explode(
-            F.array(
-                F.struct(F.lit("overall").alias("axis"), F.lit("all").alias("group")),
-                F.struct(F.lit("difficulty").alias("axis"), F.col("difficulty").alias("group")),
-            )
-        ).alias("g"),
-    ).select("candidate", "iou", "f1", "g.axis", "g.group")
-    by_trait = scored.join(traits, key).select(
-        "candidate", "iou", "f1", F.lit("trait").alias("axis"), F.col("trait").alias("group")
-    )
-    long = groups.unionByName(by_trait)
-    keys = ["candidate", "axis", "group"]
-    plain = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("scenes"),
-        F.count("iou").alias("iou_counted"),
-        fixed(F.avg("iou"), 6).alias("iou_mean"),
-        F.count("f1").alias("f1_counted"),
-        fixed(F.avg("f1"), 6).alias("f1_mean"),
+    groups = F.array(
+        F.struct(F.lit("overall").alias("axis"), F.lit("all").alias("group")),
+        F.struct(F.lit("difficulty").alias("axis"), F.col("difficulty").alias("group")),
+    )
+    own = traits.groupBy(key).agg(
+        F.collect_set(F.struct(F.lit("trait").alias("axis"), F.col("trait").alias("group"))).alias("_traits")
+    )
+    metric = lambda name: F.struct(F.lit(name).alias("metric"), F.col(name).alias("value"))
+    long = (
+        scored.join(own, key, "left")
+        .select(
+            "candidate",
+            "iou",
+            "f1",
+            F.explode(F.concat(groups, F.coalesce("_traits", F.array()))).alias("g"),
+        )
+        .select("candidate", "g.axis", "g.group", F.explode(F.array(metric("iou"), metric("f1"))).alias("m"))
+        .select("candidate", "axis", "group", "m.metric", "m.value")
     )
-    iou = quantiles(long, keys, "iou", {"m": 0.5}).select(*keys, fixed(F.col("m"), 6).alias("iou_median"))
-    f1 = quantiles(long, keys, "f1", {"m": 0.5}).select(*keys, fixed(F.col("m"), 6).alias("f1_median"))
-    return plain.join(iou, keys, "left").join(f1, keys, "left")
+    return describe(cut_lineage(long), ["candidate", "axis", "group", "metric"], "value", 6)
 
 
 def bleed_by_role(shapes: DataFrame, prediction: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -424,7 +408,7 @@ def bleed_by_role(shapes: DataFrame, prediction: DataFrame, keys: Sequence[str])
     keyed = [*keys, "shape_id", "role", "thin"]
     owners = shapes.select(*keyed).distinct()
     painted = prediction.join(owners, list(keys)).select(*keyed, "y", "x0", "x1")
-    swept = M.stretches({"s": shapes, "p": painted}, keyed)
+    swept = M.stretches(M.gather({"s": shapes, "p": painted}, keyed), keyed, ["s", "p"])
     size = F.col("x1") - F.col("x0") + 1
     each = swept.where(F.col("s") > 0).groupBy(*keyed).agg(
         F.sum(size).alias("_area"),
@@ -533,14 +517,12 @@ def check_mask_grid(cells: DataFrame, frames: DataFrame, key: str) -> DataFrame:
     )
 
 
-def check_mask_content(
-    floor: DataFrame, uncertain: DataFrame, scenes: DataFrame, keys: Sequence[str]
-) -> DataFrame:
-    """Content issues per scene.
+def check_mask_content(tagged: DataFrame, scenes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Content issues per scene, from runs whose side is f (floor) or u (uncertain).
 
     scenes: keys, difficulty, has_uncertain, zones (number of described zones).
     """
-    swept = M.stretches({"f": floor, "u": uncertain}, keys)
+    swept = M.stretches(tagged, keys, ["f", "u"])
     size = F.col("x1") - F.col("x0") + 1
     f, u = F.col("f") > 0, F.col("u") > 0
     count = lambda test: F.sum(F.when(test, size).otherwise(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roomtable.functions import vocabulary as V
 from roomtable.functions.numbers import clip, codes, count_where, fixed, one_of
-from roomtable.functions.ranks import previous_in_group, quantiles
+from roomtable.functions.ranks import describe, previous_in_group
 
 # --- photos ---------------------------------------------------------------
 
@@ -395,21 +395,6 @@ def _named(name: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value"))
 
 
-def describe(df: DataFrame, keys: list[str], value: str, digits: int) -> DataFrame:
-    """counted, mean, median, min and max per group, nulls skipped.
-
-    A group without values keeps its row, with counted 0 and null statistics.
-    """
-    plain = df.groupBy(*keys).agg(
-        F.count(value).alias("counted"),
-        fixed(F.avg(value), digits).alias("mean"),
-        fixed(F.min(value), digits).alias("min"),
-        fixed(F.max(value), digits).alias("max"),
-    )
-    middle = quantiles(df, keys, value, {"median": 0.5}).drop("counted")
-    return plain.join(middle, keys, "left").withColumn("median", fixed(F.col("median"), digits))
-
-
 # --- crops over described geometry -----------------------------------------
 
 

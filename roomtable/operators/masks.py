@@ -31,6 +31,37 @@ def cells_to_runs(cells: DataFrame, keys: Sequence[str], where: Column | None =
     )
 
 
+def lines_to_runs(
+    lines: DataFrame, keys: Sequence[str], values: str, sides: Mapping[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """Scanlines (keys, y, array) to runs with a `side` column, without a shuffle.
+
+    Each side is a test on one value of the line; a run starts where the test
+    turns true and ends where it turns false.
+    """
+    names = list(sides)
+    tested = lines.select(
+        *keys, "y", *[F.transform(values, sides[n]).alias(f"hit_{n}") for n in names]
+    )
+    return tested.select(
+        *keys, "y", F.explode(F.concat(*[_line_runs(f"hit_{n}", n) for n in names])).alias("r")
+    ).select(*keys, "r.side", "y", "r.x0", "r.x1")
+
+
+def _line_runs(hits: str, side: str) -> Column:
+    at = lambda i: F.coalesce(F.get(hits, i), F.lit(False))
+    positions = F.sequence(F.lit(0), F.size(hits) - 1)
+    starts = F.filter(positions, lambda i: at(i) & ~at(i - 1))
+    ends = F.filter(positions, lambda i: at(i) & ~at(i + 1))
+    return F.zip_with(
+        starts,
+        ends,
+        lambda a, b: F.struct(
+            F.lit(side).alias("side"), a.cast("bigint").alias("x0"), b.cast("bigint").alias("x1")
+        ),
+    )
+
+
 def runs_to_cells(runs: DataFrame) -> DataFrame:
     rest = [c for c in runs.columns if c not in ("x0", "x1")]
     return runs.select(*rest, F.explode(F.sequence("x0", "x1")).alias("x"))
@@ -46,41 +77,37 @@ def frame_runs(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def stretches(sides: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Sweep several masks: stretches (keys, y, x0, x1) with one depth per side."""
-    names = list(sides)
-    steps = None
-    for name in names:
-        side = sides[name].select(
-            *keys,
-            "y",
-            F.explode(
-                F.array(
-                    F.struct(F.col("x0").cast("bigint").alias("x"), F.lit(1).alias("d")),
-                    F.struct((F.col("x1") + 1).cast("bigint").alias("x"), F.lit(-1).alias("d")),
-                )
-            ).alias("s"),
-        )
-        marked = side.select(
-            *keys,
-            "y",
-            "s.x",
-            *[(F.col("s.d") if n == name else F.lit(0)).alias(f"d_{n}") for n in names],
-        )
-        steps = marked if steps is None else steps.unionByName(marked)
-    summed = steps.groupBy(*keys, "y", "x").agg(*[F.sum(f"d_{n}").alias(f"d_{n}") for n in names])
-    along = Window.partitionBy(*keys, "y").orderBy("x")
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        summed.select(
-            *keys,
-            "y",
-            F.col("x").alias("x0"),
-            (F.lead("x").over(along) - 1).alias("x1"),
-            *[F.sum(f"d_{n}").over(upto).alias(n) for n in names],
-        )
-        .where(F.col("x1").isNotNull())
+def gather(sides: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Several masks in one table, told apart by `side`."""
+    out = None
+    for name, runs in sides.items():
+        marked = runs.select(*keys, F.lit(name).alias("side"), "y", "x0", "x1")
+        out = marked if out is None else out.unionByName(marked)
+    return out
+
+
+def stretches(
+    tagged: DataFrame, keys: Sequence[str], names: Sequence[str], by: str = "side"
+) -> DataFrame:
+    """Sweep runs with a `side`: stretches (keys, y, x0, x1), one depth per side.
+
+    Ties at one x share the running sum of all of them; only the last of a tie is
+    followed by a larger x, so only it becomes a stretch. One shuffle in all.
+    """
+    step = lambda x, d: F.struct(x.cast("bigint").alias("x"), F.lit(d).alias("d"))
+    steps = tagged.select(
+        *keys, "y", by, F.explode(F.array(step(F.col("x0"), 1), step(F.col("x1") + 1, -1))).alias("s")
     )
+    along = Window.partitionBy(*keys, "y").orderBy("s.x")
+    upto = along.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    depth = lambda n: F.sum(F.when(F.col(by) == n, F.col("s.d")).otherwise(0)).over(upto)
+    return steps.select(
+        *keys,
+        "y",
+        F.col("s.x").alias("x0"),
+        (F.lead("s.x").over(along) - 1).alias("x1"),
+        *[depth(n).alias(n) for n in names],
+    ).where(F.col("x0") <= F.col("x1"))
 
 
 def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -99,7 +126,7 @@ def merged(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def combine(sides: Mapping[str, DataFrame], keys: Sequence[str], keep: Keep) -> DataFrame:
     """Runs where keep(depths) holds; keep sees one depth column per side."""
-    swept = stretches(sides, keys)
+    swept = stretches(gather(sides, keys), keys, list(sides))
     depths = {name: F.col(name) for name in sides}
     return merged(swept.where(keep(depths)).select(*keys, "y", "x0", "x1"), keys)
 
@@ -141,55 +168,84 @@ def square(radius: int) -> list[tuple[int, int]]:
     return [(dy, radius) for dy in range(-radius, radius + 1)]
 
 
-def _offsets(kernel: Sequence[tuple[int, int]]) -> Column:
-    return F.array(
-        *[F.struct(F.lit(dy).alias("dy"), F.lit(hw).alias("hw")) for dy, hw in kernel]
-    )
+def half_width(radius: Column, dy: Column) -> Column:
+    """disc() as a column, for sweeps over several tolerances."""
+    r = radius.cast("double")
+    return F.when(r > 0, F.rint(r * F.sqrt((r * r - dy * dy) / (r * r)))).otherwise(0).cast("bigint")
+
+
+def kernel_rows(kernel: Sequence[tuple[int, int]]) -> tuple[Column, Callable[[Column], Column]]:
+    """A fixed kernel as (rows to explode, half width of a row)."""
+    rows = F.array(*[F.lit(dy).cast("bigint") for dy, _ in kernel])
 
+    def width_at(dy: Column) -> Column:
+        widths = {hw for _, hw in kernel}
+        if len(widths) == 1:
+            return F.lit(widths.pop()).cast("bigint")
+        chosen = F.lit(kernel[0][1]).cast("bigint")
+        for row, hw in kernel:
+            chosen = F.when(dy == row, F.lit(hw).cast("bigint")).otherwise(chosen)
+        return chosen
 
-def _discs(radius: Column) -> Column:
-    """disc() for a radius column, for sweeps over several tolerances."""
+    return rows, width_at
+
+
+def disc_rows(radius: Column) -> tuple[Column, Callable[[Column], Column]]:
     r = radius.cast("bigint")
-    return F.transform(
-        F.sequence(-r, r),
-        lambda dy: F.struct(
-            dy.alias("dy"),
-            F.when(
-                r > 0,
-                F.rint(r * F.sqrt((r * r - dy * dy).cast("double") / F.nullif(r * r, F.lit(0)))).cast("bigint"),
-            )
-            .otherwise(F.lit(0).cast("bigint"))
-            .alias("hw"),
-        ),
-    )
+    return F.sequence(-r, r), lambda dy: half_width(radius, dy)
 
 
-def spread(runs: DataFrame, keys: Sequence[str], kernel: Column) -> DataFrame:
-    """Every run shifted by the kernel and cut to its frame; runs may overlap."""
-    moved = runs.withColumn("_k", F.explode(kernel)).select(
-        *keys,
-        (F.col("y") + F.col("_k.dy")).alias("y"),
-        (F.col("x0") - F.col("_k.hw")).alias("x0"),
-        (F.col("x1") + F.col("_k.hw")).alias("x1"),
+def spread(runs: DataFrame, keys: Sequence[str], kernel) -> DataFrame:
+    """Every run shifted by the kernel and cut to its frame; runs may overlap.
+
+    kernel is what kernel_rows() or disc_rows() give.
+    """
+    rows, width_at = kernel
+    dy = F.col("_dy")
+    return (
+        runs.withColumn("_dy", F.explode(rows))
+        .select(
+            *keys,
+            (F.col("y") + dy).alias("y"),
+            F.greatest(F.col("x0") - width_at(dy), F.lit(0)).alias("x0"),
+            F.least(F.col("x1") + width_at(dy), F.col("width") - 1).alias("x1"),
+        )
+        .where((F.col("y") >= 0) & (F.col("y") < F.col("height")))
     )
+
+
+def with_surroundings(
+    runs: DataFrame, keys: Sequence[str], radius: Column, wanted: Column, name: Column
+) -> DataFrame:
+    """Each run under its side and, where wanted, its disc of that radius under name.
+
+    One pass: the explode over kernel rows has one more entry for the run itself.
+    """
+    r = radius.cast("bigint")
+    dy = F.col("_dy")
+    moved = dy.isNotNull()
+    self_ = F.array(F.lit(None).cast("bigint"))
+    hw = half_width(radius, dy)
     return (
-        moved.where((F.col("y") >= 0) & (F.col("y") < F.col("height")))
+        runs.withColumn("_dy", F.explode(F.when(wanted, F.concat(F.sequence(-r, r), self_)).otherwise(self_)))
         .select(
             *keys,
-            "y",
-            F.greatest(F.col("x0"), F.lit(0)).alias("x0"),
-            F.least(F.col("x1"), F.col("width") - 1).alias("x1"),
+            F.when(moved, name).otherwise(F.col("side")).alias("side"),
+            (F.col("y") + F.coalesce(dy, F.lit(0))).alias("y"),
+            F.when(moved, F.greatest(F.col("x0") - hw, F.lit(0))).otherwise(F.col("x0")).alias("x0"),
+            F.when(moved, F.least(F.col("x1") + hw, F.col("width") - 1)).otherwise(F.col("x1")).alias("x1"),
         )
+        .where((F.col("y") >= 0) & (F.col("y") < F.col("height")))
     )
 
 
 def dilate(runs: DataFrame, keys: Sequence[str], kernel) -> DataFrame:
-    return union_of(spread(runs, keys, _offsets(kernel)), keys)
+    return union_of(spread(runs, keys, kernel_rows(kernel)), keys)
 
 
 def dilate_by(runs: DataFrame, keys: Sequence[str], radius: Column) -> DataFrame:
     """Dilation by a disc whose radius is a column of `runs` (one of its keys)."""
-    return union_of(spread(runs, keys, _discs(radius)), keys)
+    return union_of(spread(runs, keys, disc_rows(radius)), keys)
 
 
 def erode(runs: DataFrame, keys: Sequence[str], kernel, outside: bool = False) -> DataFrame:
@@ -199,18 +255,20 @@ def erode(runs: DataFrame, keys: Sequence[str], kernel, outside: bool = False) -
     number of covering kernel rows equals the number of rows that count.
     """
     kernel = list(kernel)
-    moved = runs.withColumn("_k", F.explode(_offsets(kernel)))
-    left, right = F.col("x0") + F.col("_k.hw"), F.col("x1") - F.col("_k.hw")
+    rows, width_at = kernel_rows(kernel)
+    moved = runs.withColumn("_dy", F.explode(rows))
+    hw = width_at(F.col("_dy"))
+    left, right = F.col("x0") + hw, F.col("x1") - hw
     if outside:
         left = F.when(F.col("x0") <= 0, F.lit(0).cast("bigint")).otherwise(left)
         right = F.when(F.col("x1") >= F.col("width") - 1, F.col("width") - 1).otherwise(right)
     shrunk = moved.select(
         *keys,
-        (F.col("y") - F.col("_k.dy")).alias("y"),
+        (F.col("y") - F.col("_dy")).alias("y"),
         left.alias("x0"),
         right.alias("x1"),
     ).where((F.col("x0") <= F.col("x1")) & (F.col("y") >= 0) & (F.col("y") < F.col("height")))
-    swept = stretches({"a": shrunk}, keys)
+    swept = stretches(shrunk.withColumn("side", F.lit("a")), keys, ["a"])
     if outside:
         needed = F.aggregate(
             F.array(*[F.lit(dy) for dy, _ in kernel]),
@@ -223,9 +281,34 @@ def erode(runs: DataFrame, keys: Sequence[str], kernel, outside: bool = False) -
     return merged(swept.where(F.col("a") == needed).select(*keys, "y", "x0", "x1"), keys)
 
 
+def edged(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs cut into stretches with `edge`: the pixel touches the outside.
+
+    The frame edge counts as outside. One sweep holds the run itself and its three
+    shrunk copies of the rows around: three copies deep means not on the edge.
+    """
+    shift = F.explode(F.array(*[F.lit(dy).cast("bigint") for dy in (-1, 0, 1, None)]))
+    inner = F.col("_dy").isNotNull()
+    pieces = (
+        runs.withColumn("_dy", shift)
+        .select(
+            *keys,
+            F.when(inner, "in").otherwise("run").alias("piece"),
+            (F.col("y") + F.coalesce("_dy", F.lit(0))).alias("y"),
+            (F.col("x0") + inner.cast("int")).alias("x0"),
+            (F.col("x1") - inner.cast("int")).alias("x1"),
+        )
+        .where(F.col("x0") <= F.col("x1"))
+    )
+    swept = stretches(pieces, keys, ["run", "in"], by="piece")
+    return swept.where(F.col("run") > 0).select(
+        *keys, "y", "x0", "x1", (F.col("in") < 3).alias("edge")
+    )
+
+
 def inner_boundary(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pixels of the mask that touch its outside; the frame edge counts as outside."""
-    return set_op(runs, erode(runs, keys, square(1)), keys, "minus")
+    """Pixels of the mask that touch its outside, as runs."""
+    return merged(edged(runs, keys).where("edge").drop("edge"), keys)
 
 
 def frame_band(frames: DataFrame, keys: Sequence[str], margin: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from roomtable.session import cut_lineage
 
 _SHIFT = 1 << 32
 _MAX_ROUNDS = 60
+_STARS_PER_ROUND = 2
 
 
 def run_id() -> Column:
@@ -46,17 +47,17 @@ def components(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> D
     """
     keys = list(keys)
     nodes = cut_lineage(runs.withColumn("_id", run_id()))
-    edges = cut_lineage(_touching(nodes, keys, connectivity))
+    edges = _touching(nodes, keys, connectivity)
     before = None
     for _ in range(_MAX_ROUNDS):
-        edges = cut_lineage(_small_star(_large_star(edges, keys), keys))
-        # one number per round reaches the driver: the fingerprint of the edges
-        state = edges.agg(
-            F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "hi", "lo"))
-        ).first()
-        if tuple(state) == before:
+        for _ in range(_STARS_PER_ROUND):
+            edges = _small_star(_large_star(edges, keys), keys)
+        edges = cut_lineage(edges)
+        # one row per round reaches the driver: the fingerprint of the edges
+        state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "hi", "lo"))).first())
+        if state == before or state[0] == 0:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(*keys, F.col("hi").alias("_id"), F.col("lo").alias("_root"))
@@ -68,25 +69,28 @@ def components(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> D
 
 
 def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
-    both = edges.select(*keys, F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-        edges.select(*keys, F.col("lo").alias("u"), F.col("hi").alias("v"))
-    )
-    least = both.groupBy(*keys, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    """Point every larger neighbour of a node at the smallest node it knows."""
+    end = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    both = edges.select(*keys, F.explode(F.array(end("hi", "lo"), end("lo", "hi"))).alias("e"))
+    least = F.least(F.min("e.v").over(Window.partitionBy(*keys, "e.u")), F.col("e.u"))
     return (
-        both.where(F.col("v") > F.col("u"))
-        .join(least, [*keys, "u"])
+        both.select(*keys, "e.u", "e.v", least.alias("m"))
+        .where(F.col("v") > F.col("u"))
         .select(*keys, F.col("v").alias("hi"), F.col("m").alias("lo"))
-        .distinct()
     )
 
 
 def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
-    least = edges.groupBy(*keys, "hi").agg(F.min("lo").alias("m"))
-    joined = edges.join(least, [*keys, "hi"])
-    moved = joined.where(F.col("lo") != F.col("m")).select(
-        *keys, F.col("lo").alias("hi"), F.col("m").alias("lo")
+    """Point the node and its smaller neighbours at the smallest of them."""
+    least = F.min("lo").over(Window.partitionBy(*keys, "hi"))
+    to = lambda u: F.struct(u.alias("hi"), F.col("m").alias("lo"))
+    return (
+        edges.select(*keys, "hi", "lo", least.alias("m"))
+        .select(*keys, F.explode(F.array(to(F.col("hi")), to(F.col("lo")))).alias("e"))
+        .where(F.col("e.hi") != F.col("e.lo"))
+        .select(*keys, "e.hi", "e.lo")
+        .distinct()
     )
-    return moved.unionByName(least.select(*keys, "hi", F.col("m").alias("lo"))).distinct()
 
 
 def part_facts(parts: DataFrame, keys: Sequence[str]) -> DataFrame:

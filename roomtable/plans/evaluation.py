@@ -12,13 +12,14 @@ from roomtable.operators import masks as M
 from roomtable.plans.frames import (
     KEYS,
     TILE,
-    UNCERTAIN,
+    SHEET_MASK,
+    TILE_MASK,
+    UNSURE,
     reach,
     runs_of,
     sheet_frames,
     sheet_runs,
     sized,
-    tile_frames,
     tile_runs,
 )
 from roomtable.plans.registry import query, r
@@ -153,17 +154,42 @@ def _ratios(total: str) -> str:
 
 
 class PassPairs:
-    """First and second pass of each photo, with their masks as runs."""
+    """First and second pass of each photo, with their masks as tagged runs."""
 
     def __init__(self, fx):
         self.pairs = G.pass_pairs(fx.view("pass"), _PAIR_COLUMNS)
         self.frames = sized(self.pairs.select("photo_id"), TILE)
-        runs, unsure = tile_runs(fx), tile_runs(fx, UNCERTAIN)
-        self.first = runs_of(runs, self.pairs, "first_vec_id")
-        self.second = runs_of(runs, self.pairs, "second_vec_id")
-        self.first_unsure = runs_of(unsure, self.pairs, "first_vec_id")
-        self.second_unsure = runs_of(unsure, self.pairs, "second_vec_id")
-        self.ignore = self.first_unsure.unionByName(self.second_unsure)
+        which = lambda n, vec: F.struct(F.lit(n).alias("which"), F.col(vec).alias("vec"))
+        links = self.pairs.select(
+            F.col("photo_id").alias("_p"),
+            F.explode(F.array(which("a", "first_vec_id"), which("b", "second_vec_id"))).alias("l"),
+        ).select("_p", "l.which", F.col("l.vec").alias("photo_id"))
+        linked = tile_runs(fx, m=TILE_MASK, u=UNSURE).join(links, "photo_id")
+        self.runs = linked.select(
+            F.col("_p").alias("photo_id"), "width", "height", "side", "which", "y", "x0", "x1"
+        )
+
+    def tagged(self, first: str, second: str, ignored: str = "i"):
+        """Runs of both masks and their uncertain zones under the given sides."""
+        mask = F.when(F.col("which") == "a", first).otherwise(second)
+        return self.runs.select(
+            *KEYS, F.when(F.col("side") == "m", mask).otherwise(ignored).alias("side"), "y", "x0", "x1"
+        )
+
+    def unsure(self):
+        return self.runs.where(F.col("side") == "u").select(
+            *KEYS, F.concat(F.lit("u"), "which").alias("side"), "y", "x0", "x1"
+        )
+
+    def masks(self):
+        return self.tagged("a", "b")
+
+    def prediction(self):
+        """The first pass is the reference, the second the prediction."""
+        return self.tagged("t", "p")
+
+    def differing(self):
+        return E.disagreement_runs(self.masks(), KEYS, reach(0.005))
 
 
 @query(
@@ -173,7 +199,8 @@ class PassPairs:
 )
 def mask_overlap_rows(fx):
     p = PassPairs(fx)
-    both = M.set_op(p.first, p.second, KEYS, "and")
+    swept = M.stretches(p.masks(), KEYS, ["a", "b"])
+    both = swept.where((F.col("a") > 0) & (F.col("b") > 0))
     return both.groupBy("photo_id", "y").agg(M.area().alias("shared"))
 
 
@@ -184,7 +211,7 @@ def mask_overlap_rows(fx):
 )
 def mask_metrics(fx):
     p = PassPairs(fx)
-    return E.mask_metrics(p.second, p.first, p.ignore, p.frames, KEYS).drop("width", "height")
+    return E.mask_metrics(p.prediction(), p.frames, KEYS).drop("width", "height")
 
 
 def _disc_near(a: str, b: str, radius: str) -> str:
@@ -238,7 +265,7 @@ _TILE_TOLERANCES = (0.0025, 0.05, 0.2)
 )
 def pair_boundary(fx):
     p = PassPairs(fx)
-    return E.boundary_metrics(p.second, p.first, p.ignore, p.frames, KEYS, _TILE_TOLERANCES).drop(
+    return E.boundary_metrics(p.prediction(), p.frames, KEYS, _TILE_TOLERANCES).drop(
         "width", "height"
     )
 
@@ -249,20 +276,19 @@ _SHEET_MASKS = """pm AS (SELECT photo_id, y, x FROM sheet WHERE luma > 0.53e0),
   ks AS (SELECT DISTINCT photo_id FROM sheet)"""
 
 
+def _sheet_masks(fx):
+    return sheet_runs(fx, p="luma > 0.53", t=SHEET_MASK, i=UNSURE)
+
+
 @query(
     "boundary_metrics",
     "A9",
     f"WITH {_SHEET_MASKS}, {_boundary(SHEET_TOLERANCES, 64, 50)} SELECT * FROM bm",
 )
 def boundary_metrics(fx):
-    return E.boundary_metrics(
-        sheet_runs(fx, "luma > 0.53e0"),
-        sheet_runs(fx),
-        sheet_runs(fx, UNCERTAIN),
-        sheet_frames(fx),
-        KEYS,
-        SHEET_TOLERANCES,
-    ).drop("width", "height")
+    return E.boundary_metrics(_sheet_masks(fx), sheet_frames(fx), KEYS, SHEET_TOLERANCES).drop(
+        "width", "height"
+    )
 
 
 @query(
@@ -298,7 +324,7 @@ def tolerance_sweep(fx):
 def exploratory_metrics(fx):
     from roomtable.functions.numbers import fixed, ratio
 
-    masks = (sheet_runs(fx, "luma > 0.53e0"), sheet_runs(fx), sheet_runs(fx, UNCERTAIN), sheet_frames(fx))
+    masks = (_sheet_masks(fx), sheet_frames(fx))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     counts = E.overlap_counts(*masks, KEYS).select(
         "photo_id",
@@ -322,9 +348,9 @@ def pair_table(fx):
     """One row per pair: facts, area metrics, ignored shares, disagreement."""
     p = PassPairs(fx)
     facts = p.pairs.select("photo_id", *E.pair_facts())
-    area = E.mask_metrics(p.second, p.first, p.ignore, p.frames, KEYS).drop("width", "height")
-    shares = E.ignored_shares(p.first_unsure, p.second_unsure, p.frames, KEYS).drop("width", "height")
-    differing = E.disagreement_runs(p.first, p.second, p.ignore, p.frames, KEYS, reach(0.005))
+    area = E.mask_metrics(p.prediction(), p.frames, KEYS).drop("width", "height")
+    shares = E.ignored_shares(p.unsure(), p.frames, KEYS).drop("width", "height")
+    differing = p.differing()
     profile = E.disagreement_profile(differing, p.frames, KEYS).drop("width", "height")
     return facts.join(area, "photo_id").join(shares, "photo_id").join(profile, "photo_id")
 
@@ -358,7 +384,7 @@ def pair_agreement(fx):
 )
 def disagreement_profile(fx):
     p = PassPairs(fx)
-    differing = E.disagreement_runs(p.first, p.second, p.ignore, p.frames, KEYS, reach(0.005))
+    differing = p.differing()
     return E.disagreement_profile(differing, p.frames, KEYS).drop("width", "height")
 
 
@@ -389,7 +415,7 @@ def boundary_lines(fx, links, shape):
 )
 def disagreement_by_boundary_kind(fx):
     p = PassPairs(fx)
-    differing = E.disagreement_runs(p.first, p.second, p.ignore, p.frames, KEYS, reach(0.005))
+    differing = p.differing()
     lines = boundary_lines(fx, p.pairs, TILE)
     return E.disagreement_by_kind(differing, lines, KEYS, reach(0.005)).drop("width", "height")
 
@@ -423,7 +449,7 @@ FOUR = "abs(a.y - b.y) + abs(a.x - b.x) <= 1"
 )
 def disagreement_hotspots(fx):
     p = PassPairs(fx)
-    differing = E.disagreement_runs(p.first, p.second, p.ignore, p.frames, KEYS, reach(0.005))
+    differing = p.differing()
     return E.hotspots(differing, KEYS).drop("width", "height")
 
 
@@ -446,8 +472,8 @@ def _describe_sql(source: str, metrics, digits: int) -> str:
 )
 def agreement_summary(fx):
     p = PassPairs(fx)
-    area = E.mask_metrics(p.second, p.first, p.ignore, p.frames, KEYS)
-    shares = E.ignored_shares(p.first_unsure, p.second_unsure, p.frames, KEYS)
+    area = E.mask_metrics(p.prediction(), p.frames, KEYS)
+    shares = E.ignored_shares(p.unsure(), p.frames, KEYS)
     return E.summarise_agreement(area.join(shares, KEYS), _SUMMARY)
 
 
@@ -460,7 +486,7 @@ def agreement_summary(fx):
 )
 def agreement_boundary_summary(fx):
     p = PassPairs(fx)
-    edges = E.boundary_metrics(p.second, p.first, p.ignore, p.frames, KEYS, _TILE_TOLERANCES)
+    edges = E.boundary_metrics(p.prediction(), p.frames, KEYS, _TILE_TOLERANCES)
     return G.describe(edges, ["tolerance"], "f1", 4)
 
 
@@ -492,7 +518,7 @@ def agreement_overview(fx):
 )
 def agreement_by_difficulty(fx):
     p = PassPairs(fx)
-    area = E.mask_metrics(p.second, p.first, p.ignore, p.frames, KEYS)
+    area = E.mask_metrics(p.prediction(), p.frames, KEYS)
     return E.agreement_by_difficulty(area.join(fx.photo.select("photo_id", "difficulty"), "photo_id"))
 
 
@@ -528,12 +554,12 @@ def candidate_rows(fx):
     names = CANDIDATES.names()
     scenes = bench_scenes(fx).select("photo_id", "vec_id", "difficulty")
     frames = sized(scenes.select("photo_id"), TILE)
-    truth = E.per_candidate(runs_of(tile_runs(fx), scenes, "vec_id"), names)
-    unsure = E.per_candidate(runs_of(tile_runs(fx, UNCERTAIN), scenes, "vec_id"), names)
+    known = E.per_candidate(runs_of(tile_runs(fx, t=TILE_MASK, i=UNSURE), scenes, "vec_id"), names)
     keys = [*KEYS, "candidate"]
-    masks = (CANDIDATES.runs(frames), truth, unsure, E.per_candidate(frames, names))
-    area = E.mask_metrics(*masks, keys)
-    edges = E.boundary_metrics(*masks, keys, (0.005,)).select(*keys, "f1")
+    tagged = known.unionByName(CANDIDATES.runs(frames).withColumn("side", F.lit("p")))
+    repeated = E.per_candidate(frames, names)
+    area = E.mask_metrics(tagged, repeated, keys)
+    edges = E.boundary_metrics(tagged, repeated, keys, (0.005,)).select(*keys, "f1")
     rows = area.join(edges, keys)
     return rows.join(scenes.select("photo_id", "difficulty"), "photo_id")
 
@@ -568,10 +594,9 @@ def candidate_scores(fx):
       WHERE difficulty <> 'rejected' UNION ALL SELECT candidate, 'difficulty', difficulty, iou, f1 FROM rw
       WHERE difficulty <> 'rejected' UNION ALL SELECT candidate, 'trait', trait, iou, f1 FROM rw
       JOIN photo_trait USING (photo_id) WHERE difficulty <> 'rejected')
-    SELECT candidate, axis, "group", count(*) AS scenes, count(iou) AS iou_counted,
-      {r('avg(iou)', 6)} AS iou_mean, {r('quantile_cont(iou, 0.5)', 6)} AS iou_median,
-      count(f1) AS f1_counted, {r('avg(f1)', 6)} AS f1_mean, {r('quantile_cont(f1, 0.5)', 6)} AS f1_median
-    FROM lg GROUP BY ALL""",
+    {" UNION ALL ".join(f'''SELECT candidate, axis, "group", '{m}' AS metric, count({m}) AS counted,
+      {r(f'avg({m})', 6)} AS mean, {r(f'quantile_cont({m}, 0.5)', 6)} AS median, {r(f'min({m})', 6)} AS min,
+      {r(f'max({m})', 6)} AS max FROM lg GROUP BY candidate, axis, "group"''' for m in ("iou", "f1"))}""",
 )
 def candidate_summary(fx):
     return E.score_candidates(candidate_rows(fx), fx.photo_trait, "photo_id")
@@ -631,14 +656,12 @@ def mask_content_issues(fx):
         F.lit(1).alias("zones"),
     )
     links = scenes.select(F.col("photo_id").alias("_p"), "turn", F.col("vec_id").alias("photo_id"), "has_uncertain")
-
-    def linked(where):
-        return (
-            tile_runs(fx, where).join(links, "photo_id").withColumn("photo_id", F.col("_p")).drop("_p")
-        )
-
-    floor = linked("luma > 0.7e0").drop("has_uncertain")
-    unsure = linked("abs(luma - 0.5e0) < 0.06e0").where("has_uncertain").drop("has_uncertain")
-    return E.check_mask_content(floor, unsure, scenes.drop("vec_id"), keys).select(
+    tagged = (
+        tile_runs(fx, f="luma > 0.7", u="unsure < 0.06")
+        .join(links, "photo_id")
+        .where((F.col("side") == "f") | F.col("has_uncertain"))
+        .select(F.col("_p").alias("photo_id"), "width", "height", "turn", "side", "y", "x0", "x1")
+    )
+    return E.check_mask_content(tagged, scenes.drop("vec_id"), keys).select(
         "photo_id", "turn", "level", "code"
     )

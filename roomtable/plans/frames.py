@@ -11,26 +11,73 @@ KEYS = ["photo_id", "width", "height"]
 TILE = (8, 8)
 SHEET = (64, 50)
 
-#: a pixel is uncertain when its luma is within this distance of mid grey
-UNCERTAIN = "abs(luma - 0.5e0) < 0.02e0"
-
-
 def sized(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
     return df.withColumn("width", F.lit(shape[0]).cast("bigint")).withColumn(
         "height", F.lit(shape[1]).cast("bigint")
     )
 
 
-def tile_runs(fx, where: str = "m") -> DataFrame:
-    return M.cells_to_runs(sized(fx.cell, TILE), KEYS, F.expr(where))
+def _masked(lines: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """Runs with a side, from scanlines; each side is SQL over `luma`."""
+    return M.lines_to_runs(lines, KEYS, "line", {name: _test(text) for name, text in sides.items()})
 
 
-def tile_frames(fx) -> DataFrame:
-    return sized(fx.embeddings.select(F.col("vec_id").alias("photo_id")), TILE)
+def _test(text: str):
+    return lambda value: _over(text, value)
+
+
+def _over(text: str, value: Column) -> Column:
+    luma = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(0.5) + value.cast("double")))
+    limit = float(text.split()[-1])
+    if text.startswith("unsure"):
+        return F.abs(luma - 0.5) < limit
+    if text.startswith("raw"):
+        return value > limit
+    return luma > limit
 
 
-def sheet_runs(fx, where: str = "m") -> DataFrame:
-    return M.cells_to_runs(sized(fx.sheet, SHEET), KEYS, F.expr(where))
+def tile_lines(fx) -> DataFrame:
+    """8 scanlines of 8 values per embedding."""
+    return sized(
+        fx.embeddings.select(
+            F.col("vec_id").alias("photo_id"),
+            F.posexplode(
+                F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+            ).alias("y", "line"),
+        ),
+        TILE,
+    )
+
+
+def sheet_lines(fx) -> DataFrame:
+    """One scanline of 64 values per embedding, 50 to a sheet."""
+    return sized(
+        fx.embeddings.select(
+            F.floor(F.col("vec_id") / 50).cast("bigint").alias("photo_id"),
+            (F.col("vec_id") % 50).alias("y"),
+            F.col("embedding").alias("line"),
+        ),
+        SHEET,
+    )
+
+
+#: masks of the views: tests on the raw value or on its luma
+TILE_MASK = "raw > 0"
+SHEET_MASK = "raw > 0.05"
+UNSURE = "unsure < 0.02"
+
+
+def tile_runs(fx, **sides: str) -> DataFrame:
+    """Runs of the tiles, one `side` per keyword; the mask of the view by default."""
+    return _masked(tile_lines(fx).withColumn("y", F.col("y").cast("bigint")), sides or {"m": TILE_MASK})
+
+
+def sheet_runs(fx, **sides: str) -> DataFrame:
+    return _masked(sheet_lines(fx), sides or {"m": SHEET_MASK})
+
+
+def tile_frames(fx) -> DataFrame:
+    return sized(fx.embeddings.select(F.col("vec_id").alias("photo_id")), TILE)
 
 
 def sheet_frames(fx) -> DataFrame:
