@@ -508,3 +508,35 @@ def assemble_annotation(
         )
     )
     return done, joined.where(F.col("refusal").isNotNull())
+
+
+def review_readiness(
+    passes: DataFrame, overlaps: DataFrame, painted: DataFrame, digests: DataFrame, annotator: str, label: str
+) -> DataFrame:
+    """Eight booleans per pass that have to hold before a person looks at it.
+
+    passes: photo_id, turn, width, height, frame_width, frame_height, status,
+    annotator, pass_label, unknown_roles, mask, mask_digest. overlaps: photo_id,
+    turn, shared (floor and uncertain pixels). painted: photo_id, turn of passes
+    whose floor reaches the core of an exclusion.
+    """
+    hit = painted.select("photo_id", "turn").distinct().withColumn("_hit", F.lit(True))
+    joined = (
+        passes.join(overlaps, ["photo_id", "turn"], "left")
+        .join(hit, ["photo_id", "turn"], "left")
+        .join(digests, "mask", "left")
+    )
+    return joined.select(
+        "photo_id",
+        "turn",
+        (
+            (F.col("width") == F.col("frame_width")) & (F.col("height") == F.col("frame_height"))
+        ).alias("sizes_match"),
+        (F.coalesce("shared", F.lit(0)) == 0).alias("floor_and_uncertain_disjoint"),
+        F.col("_hit").isNull().alias("exclusions_clear"),
+        (F.col("unknown_roles") == 0).alias("roles_kept"),
+        F.col("digest").eqNullSafe(F.col("mask_digest")).alias("mask_unchanged"),
+        (F.col("status") == "draft").alias("is_draft"),
+        (F.col("annotator") == annotator).alias("expected_annotator"),
+        F.col("pass_label").eqNullSafe(F.lit(label)).alias("label_kept"),
+    )

@@ -356,103 +356,78 @@ def baseline_masks(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.select(*keys, "y", "x0", "x1", F.explode(names).alias("candidate"))
 
 
+def _snapped() -> Column:
+    """`points` (0..1) clamped to the frame and snapped to pixels."""
+    return F.expr(
+        """transform(points, p -> struct(
+             rint(least(greatest(p.x, 0D), 1D) * (width - 1)) AS x,
+             rint(least(greatest(p.y, 0D), 1D) * (height - 1)) AS y))"""
+    )
+
+
 def rasterise(shapes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Polygons and holes to runs: union of polygons minus union of holes.
 
     shapes: keys, shape_id, hole (boolean), points array<struct<x,y>> in 0..1.
-    Vertices are clamped to the frame and snapped to pixels; a pixel is inside
-    by the even-odd rule at its centre, or when a crossing hits it exactly.
+    A pixel is inside when its centre is inside or on the outline: each row takes
+    the even-odd spans of both half-open rules for vertices, and level edges.
     """
-    w, h = F.col("width"), F.col("height")
-    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    snapped = F.transform(
-        "points",
-        lambda p: F.struct(
-            F.rint(clamp(p["x"]) * (w - 1)).alias("x"), F.rint(clamp(p["y"]) * (h - 1)).alias("y")
-        ),
-    )
-    closed = F.transform(
-        F.sequence(F.lit(0), F.size("px") - 1),
-        lambda i: F.struct(
-            F.get("px", i).alias("a"), F.get("px", (i + 1) % F.size("px")).alias("b")
-        ),
-    )
+    keys = list(keys)
     edges = (
-        shapes.withColumn("px", snapped)
-        .where(F.size("px") >= 3)
-        .select(*keys, "shape_id", "hole", F.explode(closed).alias("e"))
-        .select(
+        shapes.withColumn("px", _snapped())
+        .where("size(px) >= 3")
+        .selectExpr(
             *keys,
             "shape_id",
             "hole",
-            F.col("e.a.x").alias("ax"),
-            F.col("e.a.y").alias("ay"),
-            F.col("e.b.x").alias("bx"),
-            F.col("e.b.y").alias("by"),
+            """explode(transform(sequence(0, size(px) - 1), i -> struct(
+                 px[i] AS a, px[(i + 1) % size(px)] AS b))) AS e""",
         )
-        .where(F.col("ay") != F.col("by"))
-    )
-    top, bottom = F.least("ay", "by"), F.greatest("ay", "by")
-    crossing = F.col("ax") + (F.col("y") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (
-        F.col("by") - F.col("ay")
-    )
-    # half-open in y, so a vertex shared by two edges counts once
-    crossings = (
-        edges.withColumn(
-            "y", F.explode(F.sequence(top.cast("bigint"), (bottom - 1).cast("bigint")))
+        .selectExpr(
+            *keys, "shape_id", "hole", "e.a.x AS ax", "e.a.y AS ay", "e.b.x AS bx", "e.b.y AS by",
+            "cast(least(e.a.y, e.b.y) AS bigint) AS top", "cast(greatest(e.a.y, e.b.y) AS bigint) AS bottom",
         )
-        .select(*keys, "shape_id", "hole", "y", crossing.alias("cx"))
-        .groupBy(*keys, "shape_id", "hole", "y")
-        .agg(F.array_sort(F.collect_list("cx")).alias("cx"))
     )
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size("cx") / 2).cast("int") - 1),
-        lambda i: F.struct(
-            F.ceil(F.get("cx", i * 2)).alias("x0"), F.floor(F.get("cx", i * 2 + 1)).alias("x1")
-        ),
+    crossings = (
+        edges.where("top < bottom")
+        .selectExpr("*", "explode(sequence(top, bottom)) AS y")
+        .selectExpr("*", "explode(array(0, 1)) AS rule")
+        .where("(rule = 0 AND y < bottom) OR (rule = 1 AND y > top)")
+        .groupBy(*keys, "shape_id", "hole", "rule", "y")
+        .agg(F.expr("array_sort(collect_list(ax + (y - ay) * (bx - ax) / (by - ay))) AS cx"))
     )
-    filled = (
-        crossings.where(F.size("cx") >= 2)
-        .select(*keys, "hole", "y", F.explode(pairs).alias("r"))
-        .select(*keys, "hole", "y", "r.x0", "r.x1")
-        .where(F.col("x0") <= F.col("x1"))
+    spans = crossings.selectExpr(
+        *keys,
+        "hole",
+        "y",
+        """explode(transform(sequence(0, size(cx) div 2 - 1), i -> struct(
+             cast(ceil(cx[i * 2]) AS bigint) AS x0, cast(floor(cx[i * 2 + 1]) AS bigint) AS x1))) AS r""",
+    ).selectExpr(*keys, "hole", "y", "r.x0", "r.x1")
+    level = edges.where("top = bottom").selectExpr(
+        *keys, "hole", "top AS y", "cast(least(ax, bx) AS bigint) AS x0", "cast(greatest(ax, bx) AS bigint) AS x1"
     )
-    return combine(
-        {"poly": filled.where(~F.col("hole")), "hole": filled.where("hole")},
-        keys,
-        lambda d: (d["poly"] > 0) & (d["hole"] <= 0),
+    filled = spans.unionByName(level).where("x0 <= x1").selectExpr(
+        *keys, "if(hole, 'hole', 'poly') AS side", "y", "x0", "x1"
     )
+    swept = stretches(filled, keys, ["poly", "hole"])
+    return merged(swept.where("poly > 0 AND hole <= 0").select(*keys, "y", "x0", "x1"), keys)
 
 
 def rasterise_polyline(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Polylines (keys, points) one pixel wide: cells at integer steps, then runs."""
-    w, h = F.col("width"), F.col("height")
-    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0))
-    snapped = F.transform(
-        "points",
-        lambda p: F.struct(
-            F.rint(clamp(p["x"]) * (w - 1)).alias("x"), F.rint(clamp(p["y"]) * (h - 1)).alias("y")
-        ),
-    )
-    legs = F.transform(
-        F.sequence(F.lit(0), F.size("px") - 2),
-        lambda i: F.struct(F.get("px", i).alias("a"), F.get("px", i + 1).alias("b")),
-    )
+    keys = list(keys)
     stepped = (
-        lines.withColumn("px", snapped)
-        .where(F.size("px") >= 2)
-        .select(*keys, F.explode(legs).alias("e"))
-        .withColumn(
-            "n",
-            F.greatest(
-                F.abs(F.col("e.b.x") - F.col("e.a.x")), F.abs(F.col("e.b.y") - F.col("e.a.y"))
-            ).cast("bigint"),
+        lines.withColumn("px", _snapped())
+        .where("size(px) >= 2")
+        .selectExpr(
+            *keys,
+            "explode(transform(sequence(0, size(px) - 2), i -> struct(px[i] AS a, px[i + 1] AS b))) AS e",
         )
-        .withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n"))))
-    )
-    part = F.col("t") / F.greatest(F.col("n"), F.lit(1))
-    at = lambda axis: F.floor(
-        F.col(f"e.a.{axis}") + (F.col(f"e.b.{axis}") - F.col(f"e.a.{axis}")) * part + 0.5
+        .selectExpr(
+            *keys, "e", "cast(greatest(abs(e.b.x - e.a.x), abs(e.b.y - e.a.y)) AS bigint) AS n"
+        )
+        .selectExpr(*keys, "e", "n", "explode(sequence(0L, n)) AS t")
     )
-    cells = stepped.select(*keys, at("y").alias("y"), at("x").alias("x")).distinct()
+    at = "cast(floor(e.a.{0} + (e.b.{0} - e.a.{0}) * (t / greatest(n, 1)) + 0.5D) AS bigint) AS {0}"
+    cells = stepped.selectExpr(*keys, at.format("y"), at.format("x")).distinct()
     return cells_to_runs(cells, keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomtable.functions import vocabulary as V
 from roomtable.functions.numbers import piped
 
 
@@ -28,3 +29,9 @@ def flatten_results(scored: DataFrame, refused: DataFrame) -> DataFrame:
         piped(F.when(out, F.col("expected")).otherwise(F.col("false_negatives"))).alias("false_negatives"),
         text("informational"),
     )
+
+
+def floor_from_classes(labels: DataFrame) -> DataFrame:
+    """Cells of the floor class that no covering class claims."""
+    covered = F.col("class_id").isin(list(V.COVERING_CLASSES))
+    return labels.where((F.col("class_id") == V.FLOOR_CLASS) & ~covered).select("photo_id", "y", "x")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomtable.plans import registry
 
-_MODULES = ("governance", "evaluation")
+_MODULES = ("governance", "evaluation", "regions")
 
 
 def _load() -> None:
