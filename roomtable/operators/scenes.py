@@ -35,3 +35,15 @@ def floor_from_classes(labels: DataFrame) -> DataFrame:
     """Cells of the floor class that no covering class claims."""
     covered = F.col("class_id").isin(list(V.COVERING_CLASSES))
     return labels.where((F.col("class_id") == V.FLOOR_CLASS) & ~covered).select("photo_id", "y", "x")
+
+
+def decide_status(photos: DataFrame) -> DataFrame:
+    """Adds `status` from codes and scene_present."""
+    blocking = F.arrays_overlap("codes", F.array(*[F.lit(c) for c in V.BLOCKING_CODES]))
+    return photos.withColumn(
+        "status",
+        F.when(blocking, "rejected")
+        .when(~F.col("scene_present"), "analysis_incomplete")
+        .when(F.size("codes") > 0, "needs_manual_adjustment")
+        .otherwise("success"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomtable.plans import registry
 
-_MODULES = ("governance", "evaluation", "regions")
+_MODULES = ("governance", "evaluation", "regions", "image")
 
 
 def _load() -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SPARK_ONLY: dict[str, str] = {
     "cell": """
-        select vec_id as photo_id, pos div 8 as y, pos % 8 as x, least(1D, greatest(0D, 0.5D + cast(v as
+        select vec_id as photo_id, pos div 8 as y, cast(pos % 8 as bigint) as x, least(1D, greatest(0D, 0.5D + cast(v as
         double))) as luma, v > 0 as m from embeddings lateral view posexplode(embedding) e as pos, v
     """,
     "sheet": """
