@@ -163,3 +163,29 @@ def previous_in_group(
         .withColumn(alias, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_local")))
         .drop("_range", "_local", "_first", "_before")
     )
+
+
+def dense_index(
+    df: DataFrame, group: str, order: str, alias: str, total: str, buckets: int = 64
+) -> DataFrame:
+    """0-based dense numbers within a group, and the group size.
+
+    The order is by hash bucket, then by `order`; each window sees one bucket of a
+    group, and bucket offsets come from a table of at most `buckets` rows a group.
+    """
+    hashed = df.withColumn("_h", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    inside = Window.partitionBy(group, "_h").orderBy(order)
+    along = Window.partitionBy(group).orderBy("_h")
+    sizes = hashed.groupBy(group, "_h").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = sizes.select(
+        group,
+        "_h",
+        (F.sum("_c").over(along) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(Window.partitionBy(group)).alias(total),
+    )
+    return (
+        hashed.withColumn("_i", F.row_number().over(inside) - 1)
+        .join(offsets, [group, "_h"])
+        .withColumn(alias, (F.col("_i") + F.col("_before")).cast("bigint"))
+        .drop("_h", "_i", "_before")
+    )

@@ -31,11 +31,12 @@ def validate_photo(photos: DataFrame) -> DataFrame:
 
 
 def provenance_issues() -> Column:
+    """Codes of the licence rules; two rules share a code, so it can come twice."""
     license_ = F.lower(F.trim("license"))
     shared = F.col("redistributable")
     return codes(
-        (one_of(license_, V.UNSET_LICENSES), "license_not_set"),
-        (shared & (F.col("usage") != "redistributable"), "usage_disagrees"),
+        (one_of(license_, V.UNSET_LICENSES), "provenance_incomplete"),
+        (shared & (F.col("usage") != "redistributable"), "provenance_incomplete"),
         (license_.startswith("inconnu") & shared, "license_unverified"),
     )
 

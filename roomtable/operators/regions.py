@@ -167,14 +167,16 @@ def floor_zones(
     max_zones: int = 3,
     min_zone_ratio: float = 0.01,
     min_hole_ratio: float = 0.0005,
+    parts: DataFrame | None = None,
 ) -> DataFrame:
     """Largest parts per mask with rank, box, area, and the holes inside them.
 
     A hole is a 4-connected background part off the frame edge; it belongs to the
-    part that holds the pixel left of its first run.
+    part that holds the pixel left of its first run. parts are the 8-connected
+    components of runs, when the caller has them already.
     """
     keys = list(keys)
-    parts = cut_lineage(components(runs, keys, 8))
+    parts = cut_lineage(components(runs, keys, 8)) if parts is None else parts
     sized = part_facts(parts, keys)
     order = Window.partitionBy(*keys).orderBy(F.desc("pixels"), "part")
     total = F.col("width") * F.col("height")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from roomtable.plans import registry
 
-_MODULES = ("governance", "evaluation", "regions", "image")
+_MODULES = ("governance", "evaluation", "regions", "image", "geometry", "catalogue", "streams")
 
 
 def _load() -> None:

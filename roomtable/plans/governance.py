@@ -218,9 +218,9 @@ def annotation_rules(fx):
     "provenance_issues",
     "P3",
     """SELECT photo_id, concat_ws('|',
-    CASE WHEN lower(trim(license)) IN ('', '?', 'tbd', 'à vérifier') THEN 'license_not_set' END,
     CASE WHEN redistributable AND starts_with(lower(trim(license)), 'inconnu') THEN 'license_unverified' END,
-    CASE WHEN redistributable AND usage <> 'redistributable' THEN 'usage_disagrees' END) AS issues
+    CASE WHEN lower(trim(license)) IN ('', '?', 'tbd', 'à vérifier') THEN 'provenance_incomplete' END,
+    CASE WHEN redistributable AND usage <> 'redistributable' THEN 'provenance_incomplete' END) AS issues
     FROM photo""",
 )
 def provenance_issues(fx):
@@ -481,9 +481,9 @@ def corpus_vocabulary_counts(fx):
     """SELECT photo_id, turn, 'warning' AS level, CASE WHEN status <> 'approved' THEN 'not_approved'
       ELSE 'self_approved' END AS code FROM pass JOIN photo USING (photo_id)
       WHERE status <> 'approved' OR reviewer = annotator
-    UNION ALL SELECT photo_id, turn, 'error', 'license_not_set' FROM pass JOIN photo USING (photo_id)
+    UNION ALL SELECT photo_id, turn, 'error', 'provenance_incomplete' FROM pass JOIN photo USING (photo_id)
       WHERE lower(trim(license)) IN ('', '?', 'tbd', 'à vérifier')
-    UNION ALL SELECT photo_id, turn, 'error', 'usage_disagrees' FROM pass JOIN photo USING (photo_id)
+    UNION ALL SELECT photo_id, turn, 'error', 'provenance_incomplete' FROM pass JOIN photo USING (photo_id)
       WHERE redistributable AND usage <> 'redistributable'
     UNION ALL SELECT photo_id, turn, 'error', 'license_unverified' FROM pass JOIN photo USING (photo_id)
       WHERE redistributable AND starts_with(lower(trim(license)), 'inconnu')""",

@@ -43,3 +43,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors see, for tables a job writes and reads back."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
