@@ -7,7 +7,17 @@ from pyspark.sql import functions as F
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Round half up by plain IEEE steps, so that any engine gives the same bits."""
+    """Round half up by plain IEEE steps, so that any engine gives the same bits.
+
+    Short roundings go through nine digits first: a sum that should be an exact tie
+    is then one, whatever order its terms were added in.
+    """
+    if digits < 7:
+        value = _half_up(value, 9)
+    return _half_up(value, digits)
+
+
+def _half_up(value: Column, digits: int) -> Column:
     scale = float(10**digits)
     return F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
 

@@ -57,5 +57,11 @@ def with_views(sql: str) -> str:
 
 def r(expression: str, digits: int) -> str:
     """SQL twin of functions.numbers.fixed."""
+    if digits < 7:
+        expression = _half_up(expression, 9)
+    return _half_up(expression, digits)
+
+
+def _half_up(expression: str, digits: int) -> str:
     scale = f"1e{digits}"
     return f"floor(({expression}) * {scale} + 0.5e0) / {scale}"
