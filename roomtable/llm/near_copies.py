@@ -84,7 +84,7 @@ def near_links(distinct: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     the radius is compared in some task, and a task returns a spanning set of its links.
     """
     count = distinct.count()
-    levels = min(vantage.LEVELS, max(1, math.ceil(math.log(max(count, 1) / shard_size, 4) + 1)))
+    levels = min(vantage.LEVELS, max(2, math.ceil(math.log(max(count, 1) / shard_size, 4))))
     visits = distinct.mapInPandas(_visits(levels), "half int, lo long, hi long, side int, fp long")
     home = F.when(F.col("side") == 0, F.col("lo")).otherwise(F.col("hi"))
     parts = (
