@@ -42,3 +42,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomtable.llm.near_copies import near_copies
 
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_benchmark_leaks")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.leaks import benchmark_leaks
+
+    return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
