@@ -56,3 +56,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomtable.llm.leaks import benchmark_leaks
 
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_personal_data")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.personal import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
