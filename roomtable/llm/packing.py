@@ -38,7 +38,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     runs, sequences = [], 0
 
     def put(room: int, first: int, count: int) -> None:
-        if room > 0:
+        if room > 0 and count > 0:
             if not open_[room]:
                 insort(rooms, room)
             open_[room].append((first, count))
