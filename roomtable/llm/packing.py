@@ -19,7 +19,7 @@ from roomtable.llm.subwords import vocabulary_path, word_encoder
 CAPACITY = 2048
 END_ID = 0
 #: Rows of one length that one task ranks; a commoner length is dealt to several.
-RANKED_AT_ONCE = 20_000
+RANKED_AT_ONCE = 4_000
 #: Broadcast the plan up to so many runs; a larger one is joined by shuffle.
 BROADCAST_RUNS = 100_000
 
