@@ -8,17 +8,26 @@ tokenizers library encodes each word once per worker and remembers it.
 from __future__ import annotations
 
 import functools
+import os
+import re
 from collections.abc import Callable
+from struct import pack
 
 import numpy as np
 
-from roomtable.llm.shared import words_of
-
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Longer words are encoded without being remembered.
 _LONGEST = 64
+#: Letters that are composed, each with one lower-case form: such a word is one piece for the merges.
+_LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+#: Letters and then marks, without the apostrophe and the '<' that the pattern joins otherwise.
+_MARKED = re.compile("([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\\[-`{-~]+)")
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_MOVED = [b for b in range(256) if b not in _PLAIN]
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256.
+_ALPHABET = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(_MOVED)}
 
 
 def vocabulary_path() -> str:
@@ -27,31 +36,48 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+class _Memory(dict):
+    """word -> its ids as little-endian unsigned 32-bit numbers."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "surrogatepass")
+        if len(word) > _LONGEST:
+            return self.whole(text)
+        if _LETTERS.fullmatch(text):
+            piece = text if text.isascii() else text.lower().encode().decode("latin-1").translate(_ALPHABET)
+            found = self.merges(piece)
+            ids = pack(f"<{len(found)}I", *[x.id for x in found])
+        elif marked := _MARKED.fullmatch(text):
+            ids = self[marked[1].encode()] + self[marked[2].encode()]
+        else:
+            ids = self.whole(text)
+        self[word] = ids
+        return ids
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+
 @functools.cache
 def word_encoder(path: str) -> Callable[[str], np.ndarray]:
     """text -> ids as unsigned 32-bit numbers, by the tokenizer file at `path`."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    memory = _Memory(path)
 
     def encode(text: str) -> np.ndarray:
-        words = words_of(text)
-        fresh = list({w for w in words if w not in known})
-        if fresh:
-            if len(known) > REMEMBERED:
-                known.clear()
-                fresh = list(set(words))
-            coded = tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in fresh], add_special_tokens=False)
-            for word, x in zip(fresh, coded, strict=True):
-                known[word] = np.array(x.ids, "<u4").tobytes()
-        ids = np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        for word in fresh:
-            if len(word) > _LONGEST:
-                del known[word]
-        return ids
+        if len(memory) > REMEMBERED:
+            memory.clear()
+        data = text.encode("utf-8", "surrogatepass")
+        # The vocabulary is lower case; only the names of its special tokens tell cases apart.
+        words = data.split() if b"<|" in data else data.lower().split()
+        return np.frombuffer(b"".join(map(memory.__getitem__, words)), "<u4")
 
     return encode
