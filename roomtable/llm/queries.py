@@ -70,3 +70,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomtable.llm.packing import packed
 
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.idfiles import written_and_read
+
+    return written_and_read(table(spark, sf_dir, "documents"))
+
+
+@query("op3_backoff_scores")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.backoff import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
