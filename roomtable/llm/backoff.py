@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,20 +11,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roomtable.llm.shared import cut_lineage, whole_text, words_of
+from roomtable.llm.shared import ensure_checkpoint_dir, whole_text, words_of
 
 #: Characters of text whose automaton one task builds; more for one text that is longer.
-BUCKET_CHARS = 4_000_000
+BUCKET_CHARS = 16_000_000
 FOLDS = 5
 HELD_FOLD = 1
 #: Keys of the two marks that are no word: the end of a text, and the place before it.
 END, START = 1, 2
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 _REMEMBERED = 400_000
+_FLUSH = 6_000_000
 _memory: dict[bytes, int] = {}
 
 
@@ -54,79 +56,95 @@ def previous(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([START], np.uint64), keys[:-1]])
 
 
-def _tally(keys: np.ndarray, known: np.ndarray, extra: np.ndarray | None = None):
-    """Distinct keys, the count of each among the known (training) rows, and a value of extra."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(known[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    return ordered[first], counts, None if extra is None else extra[order][first]
+def _tally(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs among the known (training) rows."""
+    distinct, place = np.unique(keys, return_inverse=True)
+    return distinct, np.bincount(place, known, len(distinct)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (order, key, context, bucket, n): n-grams of a batch's texts, by bucket.
+    """Rows (key, kind, bucket, own): words (kind 1) and word pairs (kind 2) of a task's texts, by bucket.
 
-    n is the count in training texts; n-grams of held-out texts come with n = 0, so their
-    bucket learns the counts that others have.
+    own is the count in training texts; n-grams of held-out texts come with 0, so their
+    bucket learns the counts that others have. Counts go out after _FLUSH tokens.
     """
+    held: dict[int, list] = {}
+
+    def flush():
+        for bucket, texts in held.items():
+            key = np.concatenate([k for k, _ in texts])
+            before = np.concatenate([previous(k) for k, _ in texts])
+            train = np.repeat([t for _, t in texts], [len(k) for k, _ in texts])
+            for kind, (keys, own) in ((1, _tally(key, train)), (2, _tally(pair_keys(before, key), train))):
+                yield pa.RecordBatch.from_pydict(
+                    {"key": keys.view(np.int64), "kind": np.full(len(keys), kind, np.int32), "bucket": np.full(len(keys), bucket, np.int32), "own": own.astype(np.int32)}
+                )
+        held.clear()
+
+    waiting = 0
     for batch in batches:
-        bucket, held = batch.column("bucket").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False)
-        texts = batch.column("text")
-        for b in np.unique(bucket):
-            rows = np.flatnonzero(bucket == b)
-            keys = [word_keys(texts[int(i)].as_py()) for i in rows]
-            before = np.concatenate([previous(k) for k in keys])
-            train = np.repeat(~held[rows], [len(k) for k in keys])
-            key = np.concatenate(keys)
-            one, n_one, _ = _tally(key, train)
-            two, n_two, context = _tally(pair_keys(before, key), train, before)
-            starts = np.array([START], np.uint64)  # a context, not a token
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "kind": np.concatenate([np.full(len(one), 1, np.int8), np.full(len(two), 2, np.int8), np.full(1, 0, np.int8)]),
-                    "key": np.concatenate([one, two, starts]).view(np.int64),
-                    "context": np.concatenate([one, context, starts]).view(np.int64),
-                    "bucket": np.full(len(one) + len(two) + 1, b, np.int64),
-                    "n": np.concatenate([n_one, n_two, [int((~held[rows]).sum())]]).astype(np.int64),
-                }
-            )
+        rows = zip(batch.column("bucket").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True)
+        for bucket, out, text in rows:
+            keys = word_keys(text.as_py())
+            held.setdefault(bucket, []).append((keys, not out))
+            waiting += len(keys)
+            if waiting > _FLUSH:
+                yield from flush()
+                waiting = 0
+    yield from flush()
 
 
 @dataclass(frozen=True)
 class Scale:
-    """Corpus-wide numbers: training tokens, distinct ones, and the discount of seen pairs."""
+    """Corpus-wide numbers: training tokens, distinct ones, training texts, and the strength of the prior."""
 
     tokens: int
     distinct: int
-    discount: float
+    texts: int
+    strength: float
 
     def single(self, count: np.ndarray) -> np.ndarray:
         """log10 of the unigram estimate, additive with one half for each token and for unknown ones."""
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
+def prior_strength(bins: list[tuple[int, int]], once: int) -> float:
+    """Pseudo-count whose backoff mass is what Good and Turing give to unseen pairs.
+
+    bins: (contexts, uses of them together), of contexts used about equally often. The
+    mass of a context used u times is m / (u + m) of its u tokens; all together shall be
+    `once`, the number of pairs seen once.
+    """
+    total = sum(u for _, u in bins)
+    if not total:
+        return 1.0
+    low, high = 1e-3, 1e9
+    for _ in range(100):
+        mid = math.sqrt(low * high)
+        mass = sum(u * mid / (u / n + mid) for n, u in bins if n)
+        low, high = (mid, high) if mass < once else (low, mid)
+    return math.sqrt(low * high)
+
+
 class Automaton:
     """States, arcs and failure arcs for the texts of one bucket.
 
-    The empty state has an arc for each token, weighted with its unigram probability. A
-    token that was seen as a context is a state of its own: it has an arc for each pair
-    seen in training, weighted with the interpolated discounted probability, and a
-    failure arc to the empty state whose weight is the mass the discount set free, so
-    that the weights of a state add up to one. A token leads to its own state.
+    The empty state has an arc for each token, weighted with its unigram probability.
+    Each token, and the place before a text, is a state too: it has an arc for each pair
+    seen in training, weighted with the pair's probability under a Dirichlet prior of
+    unigram shape, (count + m p) / (uses + m), and a failure arc to the empty state
+    weighted m / (uses + m). The weights of a state add up to one. A token leads to its
+    own state.
     """
 
-    def __init__(self, singles: pd.DataFrame, pairs: pd.DataFrame, scale: Scale):
-        """singles: key, n (as token), uses (as context), follows; pairs: key, n. All sorted by unsigned key."""
-        self.scale = scale
-        self.words = singles["key"].to_numpy(np.int64).view(np.uint64)
-        self.count = singles["n"].to_numpy(np.int64)
-        self.uses = singles["uses"].to_numpy(np.int64)
-        self.single = scale.single(self.count)
-        free = scale.discount * singles["follows"].to_numpy(np.float64) / np.maximum(self.uses, 1)
-        self.fail = np.log10(np.where(self.uses > 0, np.maximum(free, 1e-300), 1.0))
-        seen = pairs["n"].to_numpy(np.int64) > 0
-        self.arcs = pairs["key"].to_numpy(np.int64).view(np.uint64)[seen]
-        self.arc_count = pairs["n"].to_numpy(np.int64)[seen]
+    def __init__(self, words: np.ndarray, count: np.ndarray, arcs: np.ndarray, arc_count: np.ndarray, scale: Scale):
+        """Keys ascend; words holds START, END and every word of the bucket."""
+        self.scale, self.words, self.count = scale, words, count
+        self.single = scale.single(count)
+        # A word is a context each time it occurs; an end never is, a start once in each text.
+        self.uses = np.where(words == START, scale.texts, np.where(words == END, 0, count)).astype(np.float64)
+        self.fail = np.log10(scale.strength / (self.uses + scale.strength))
+        self.arcs, self.arc_count = arcs[arc_count > 0], arc_count[arc_count > 0]
 
     def walk(self, keys: np.ndarray) -> tuple[float, float, int]:
         """(base score, score, known tokens) of one text: one pass from left to right.
@@ -138,44 +156,40 @@ class Automaton:
         """
         at = np.searchsorted(self.words, keys)
         state = np.searchsorted(self.words, previous(keys))
-        arc = np.searchsorted(self.arcs, pairs := pair_keys(previous(keys), keys))
-        arc = np.minimum(arc, max(len(self.arcs) - 1, 0))
+        pairs = pair_keys(previous(keys), keys)
+        arc = np.minimum(np.searchsorted(self.arcs, pairs), max(len(self.arcs) - 1, 0))
         found = self.arcs[arc] == pairs if len(self.arcs) else np.zeros(len(keys), bool)
         single = self.single[at]
         weight = self.fail[state] + single
-        seen = np.maximum(self.arc_count[arc[found]] - self.scale.discount, 0) / self.uses[state[found]]
-        weight[found] = np.log10(seen + 10.0 ** weight[found])
+        weight[found] = np.log10(self.arc_count[arc[found]] / (self.uses[state[found]] + self.scale.strength) + 10.0 ** weight[found])
         return float(np.cumsum(single)[-1]), float(np.cumsum(weight)[-1]), int((self.count[at] > 0).sum())
 
 
+def _amended(keys: np.ndarray, own: np.ndarray, news: pd.DataFrame) -> np.ndarray:
+    """Own counts, replaced where the corpus has another count."""
+    at = np.searchsorted(keys, news["key"].to_numpy(np.int64).view(np.uint64))
+    counts = own.copy()
+    counts[at] = news["n"].to_numpy(np.int64)
+    return counts
+
+
 def _scores(scale: Scale):
     def score(docs: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         keys = [word_keys(t) for t in docs["text"]]
-        train = np.repeat(~docs["held_out"].to_numpy(bool), [len(k) for k in keys])
+        sizes = [len(k) for k in keys]
+        train = np.repeat(~docs["held_out"].to_numpy(bool), sizes)
         key, before = np.concatenate(keys), np.concatenate([previous(k) for k in keys])
-        one, n_one, _ = _tally(key, train)
-        two, n_two, _ = _tally(pair_keys(before, key), train)
-        singles = pd.DataFrame({"key": one.view(np.int64), "n": n_one, "uses": 0, "follows": 0})
-        singles = pd.concat([singles, pd.DataFrame({"key": [START], "n": [0], "uses": [0], "follows": [0]})])
-        # What the corpus adds to the bucket's own counts; unseen elsewhere means unchanged.
-        own = model[model["kind"] != 2].set_index("key")
-        singles = singles.set_index("key")
-        for name in ("n", "uses", "follows"):
-            singles[name] = own[name].reindex(singles.index).fillna(0).astype("int64")
-        pairs = pd.Series(n_two, two.view(np.int64))
-        more = model[model["kind"] == 2].set_index("key")["n"]
-        pairs = more.reindex(pairs.index).fillna(pairs).astype("int64")
-
-        def by_key(x):
-            return x.iloc[np.argsort(x["key"].to_numpy(np.int64).view(np.uint64))]
-
-        automaton = Automaton(
-            by_key(singles.reset_index()), by_key(pd.DataFrame({"key": pairs.index.to_numpy(), "n": pairs.to_numpy()})), scale
-        )
+        words, own = _tally(key, train)
+        count = _amended(words, own, model[model["kind"] == 1])
+        arcs, own = _tally(pair_keys(before, key), train)
+        arc_count = _amended(arcs, own, model[model["kind"] == 2])
+        at = int(np.searchsorted(words, START))
+        words, count = np.insert(words, at, np.uint64(START)), np.insert(count, at, 0)
+        automaton = Automaton(words, count, arcs, arc_count, scale)
         rows = []
         for doc_id, held, own_keys in zip(docs["doc_id"], docs["held_out"], keys, strict=True):
-            base, score_, known = automaton.walk(own_keys)
-            rows.append((doc_id, bool(held), len(own_keys), known, scale.tokens, base, score_))
+            base, whole, known = automaton.walk(own_keys)
+            rows.append((doc_id, bool(held), len(own_keys), known, scale.tokens, base, whole))
         made = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return made.astype({"doc_id": "Int64"})
 
@@ -185,49 +199,49 @@ def _scores(scale: Scale):
 def language_scores(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Texts are dealt by doc_id to buckets of about `bucket_chars` characters. Each task
-    counts the words and word pairs of its rows; counts of one n-gram meet by its key,
-    and what a bucket does not know already goes back to the bucket that asked. There
-    the automaton of the bucket's n-grams is built and each text is walked once. Nothing
-    but three numbers reaches the driver, and no task holds more than a bucket's n-grams.
-
-    Pairs are smoothed by interpolated absolute discounting; the discount is n1 / (n1 +
-    2 n2) from the numbers of pairs seen once and twice. Null or empty texts are one end
-    token. A null doc_id counts as the text "" in the fold rule and stays null; repeated
-    rows are counted and scored as often as they occur. Words are told apart by a 64-bit
-    hash. Other columns are not read. An empty table gives no rows.
+    A bucket is the texts of one file split, cut by a hash of doc_id to about
+    `bucket_chars` characters; the split keeps them in the task that counts them. Each
+    task counts its words and word pairs, counts of one n-gram meet by its key, and only
+    counts that differ from a bucket's own go back to the bucket. There the automaton of
+    the bucket's n-grams is built and each text is walked once. A few sums are all that
+    reaches the driver, and no task holds more than the n-grams of a bucket.
+
+    Pairs are smoothed by a Dirichlet prior whose strength follows from the pairs seen
+    once. Null or empty texts are one end token. A null doc_id counts as the text "" in
+    the fold rule and stays null; repeated rows are counted and scored as often as they
+    occur. Words are told apart by a 64-bit hash. Other columns are not read. An empty
+    table gives no rows.
     """
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_FOLD
-    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(size / bucket_chars))
-    bucket = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(buckets))
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), held.alias("held_out"), bucket.alias("bucket"))
-
-    asked = rows.select("text", "held_out", "bucket").mapInArrow(_counts, "kind byte, key long, context long, bucket long, n long")
-    # One exchange by key: the counts of a bucket, then those of all, without another.
-    spread = asked.repartition("key").groupBy("key", "kind", "bucket").agg(F.sum("n").alias("own"), F.first("context").alias("context"))
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"), held.alias("held_out"), split.alias("split"))
+    size = plain.groupBy("split").agg(F.sum(F.length("text")).alias("chars"), F.sum((~F.col("held_out")).cast("long")).alias("texts")).agg(
+        F.max("chars").alias("chars"), F.sum("texts").alias("texts")
+    ).first()
+    parts = max(1, math.ceil((size["chars"] or 0) / bucket_chars))
+    part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(parts))
+    rows = plain.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("split", part), F.lit(2**31 - 1)).cast("int").alias("bucket"))
+
     by_key = Window.partitionBy("key", "kind")
-    nth = F.row_number().over(by_key.orderBy("bucket"))
-    known = cut_lineage(
-        spread.select("key", "kind", "bucket", "context", F.sum("own").over(by_key).alias("n"), "own", nth.alias("nth"))
-        .where("kind <> 2 or n <> own or nth = 1")
-        .select("key", "kind", "bucket", "context", "n", F.expr("n <> own").alias("news"), F.expr("nth = 1").alias("first"))
+    known = rows.select("text", "held_out", "bucket").mapInArrow(_counts, "key long, kind int, bucket int, own int")
+    known = known.select(
+        "key", "kind", "bucket", "own", F.sum("own").over(by_key).alias("n"),
+        (F.row_number().over(by_key.orderBy("bucket")) == 1).alias("first"),
     )
-    total = known.where("first and n > 0").agg(
-        F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("tokens"),
-        F.sum(F.when(F.col("kind") == 1, 1)).alias("distinct"),
-        F.sum(F.when(F.expr("kind = 2 and n = 1"), 1)).alias("once"),
-        F.sum(F.when(F.expr("kind = 2 and n = 2"), 1)).alias("twice"),
-    ).first()
-    once, twice = total["once"] or 0, total["twice"] or 0
-    scale = Scale(total["tokens"] or 0, total["distinct"] or 0, once / (once + 2 * twice) if once else 0.5)
-
-    follows = known.where("kind = 2 and first and n > 0").groupBy("context").agg(F.count("*").alias("follows"))
-    singles = known.where("kind <> 2").join(follows, "context", "left")
-    # A word is a context each time but in last place; only END is last, and it never is a context.
-    uses = F.when(F.col("key") == END, 0).otherwise(F.col("n"))
-    model = singles.select("bucket", "kind", "key", "n", uses.alias("uses"), F.coalesce("follows", F.lit(0)).alias("follows")).union(
-        known.where("kind = 2 and news").select("bucket", "kind", "key", "n", F.lit(0), F.lit(0))
-    )
+    seen_once = Observation()
+    known = known.observe(seen_once, F.count_if(F.expr("kind = 2 and first and n = 1")).alias("once"))
+    folder = f"{spark.sparkContext.getCheckpointDir()}/counts-{uuid.uuid4().hex}"
+    known.where("n <> own or (kind = 1 and first)").write.parquet(folder)
+    once = seen_once.get["once"]
+    known = spark.read.parquet(folder)
+    words = known.where("kind = 1 and first and n > 0")
+    bins = words.groupBy(F.floor(2 * F.log2("n")).alias("bin")).agg(
+        F.count("*").alias("words"), F.sum("n").alias("uses"), F.sum(F.when(F.col("key") == END, F.col("n")).otherwise(0)).alias("ends")
+    ).collect()
+    contexts = [(x["words"] - (x["ends"] > 0), x["uses"] - x["ends"]) for x in bins] + [(1, size["texts"] or 0)]
+    scale = Scale(sum(x["uses"] for x in bins), sum(x["words"] for x in bins), size["texts"] or 0, prior_strength(contexts, once))
+    news = known.where("n <> own").select("bucket", "kind", "key", "n")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInPandas(_scores(scale), schema)
+    return rows.groupBy("bucket").cogroup(news.groupBy("bucket")).applyInPandas(_scores(scale), schema)
