@@ -75,8 +75,8 @@ class _Model:
         for table, rate, cell, at, held, guess in zip(self.tables, self.rates, self.cells, self.rate_at, self.held, self.ids, strict=True):
             hit = guess == ids
             now = rate[at]
-            # Rates stay in [2**9, 2**16 - 2**10], so every order keeps a share.
-            rate[at] = np.where(held > 0, np.where(hit, now + ((np.uint32(64512) - now) >> _RATE), now - ((now - np.uint32(512)) >> _RATE)), now)
+            # Rates stay under 2**16 - 2**12: what two sure orders leave still parts among all ids.
+            rate[at] = np.where(held > 0, np.where(hit, now + ((np.uint32(61440) - now) >> _RATE), now - ((now - np.uint32(512)) >> _RATE)), now)
             table[cell] = np.where(hit, held + ((held & np.uint32(3)) < 3), ((ids + 1) << 2).astype(np.uint32))
         self.cum += _STEP[classes]
         full = self.cum[:, -1] >= _HALVE_AT
