@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
+from pyspark.sql.window import Window
 
 from roomtable.llm import vantage
 from roomtable.llm.components import components
@@ -132,3 +133,23 @@ def near_copies(docs: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     return own.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all columns, less all near copies but the one of smallest doc_id.
+
+    Of several rows with that id the first by text stays. Rows without doc_id cannot be
+    told apart from their copies by id and all stay.
+    """
+    groups = near_copies(docs.where("doc_id is not null"))
+    gone = cut_lineage(groups.where("doc_id <> component_id").select("doc_id").distinct())
+    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    again = cut_lineage(again)
+    first = Window.partitionBy("doc_id").orderBy("text")
+    name = "_nth_of_" + "_".join(docs.columns)[:40]
+    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
+    once = repeated.withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)

@@ -84,3 +84,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomtable.llm.backoff import language_scores
 
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op1_nearest_page_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.pagediff import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op2_licence_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.licences import licences
+
+    return licences(table(spark, sf_dir, "documents"))
+
+
+@query("op9_tool_call_chat")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.toolcalls import chat_lines
+
+    return chat_lines(table(spark, sf_dir, "conversations"))
