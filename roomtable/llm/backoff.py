@@ -24,8 +24,9 @@ HELD_FOLD = 1
 #: Keys of the two marks that are no word: the end of a text, and the place before it.
 END, START = 1, 2
 _TURN = np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 _FLUSH = 6_000_000
+_ROWS = 100_000
 _memory: dict[bytes, int] = {}
 
 
@@ -58,8 +59,11 @@ def previous(keys: np.ndarray) -> np.ndarray:
 
 def _tally(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, and how often each occurs among the known (training) rows."""
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, known, len(distinct)).astype(np.int64)
+    distinct = np.unique(keys)
+    trained, counts = np.unique(keys[known], return_counts=True)
+    own = np.zeros(len(distinct), np.int64)
+    own[np.searchsorted(distinct, trained)] = counts
+    return distinct, own
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,15 +75,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list] = {}
 
     def flush():
-        for bucket, texts in held.items():
+        while held:
+            bucket, texts = held.popitem()
             key = np.concatenate([k for k, _ in texts])
             before = np.concatenate([previous(k) for k, _ in texts])
             train = np.repeat([t for _, t in texts], [len(k) for k, _ in texts])
             for kind, (keys, own) in ((1, _tally(key, train)), (2, _tally(pair_keys(before, key), train))):
-                yield pa.RecordBatch.from_pydict(
-                    {"key": keys.view(np.int64), "kind": np.full(len(keys), kind, np.int32), "bucket": np.full(len(keys), bucket, np.int32), "own": own.astype(np.int32)}
-                )
-        held.clear()
+                for k in range(0, len(keys), _ROWS):
+                    part, n = keys[k : k + _ROWS].view(np.int64), min(_ROWS, len(keys) - k)
+                    yield pa.RecordBatch.from_pydict(
+                        {"key": part, "kind": np.full(n, kind, np.int32), "bucket": np.full(n, bucket, np.int32), "own": own[k : k + _ROWS].astype(np.int32)}
+                    )
 
     waiting = 0
     for batch in batches:
