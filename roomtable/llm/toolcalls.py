@@ -71,7 +71,7 @@ def numbered(rows: DataFrame, group: str, order: list[str], at_once: int = NUMBE
     sizes = sizes.select(F.col(group).alias("g"), F.col("span").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     own = dealt.withColumn("nth", F.row_number().over(Window.partitionBy(group, "span").orderBy(*order)) - 1)
     joined = own.join(sizes, own[group].eqNullSafe(sizes["g"]) & (own["span"] == sizes["s"]))
-    return joined.withColumn("position", F.col("nth") + F.col("before")).drop("span", "nth", "g", "s", "before")
+    return joined.select(*[own[c] for c in rows.columns], (own["nth"] + sizes["before"]).alias("position"))
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
