@@ -103,7 +103,8 @@ def check_manifest_files(photos: DataFrame, files: DataFrame, position: str = "p
 def register_photo(manifest: DataFrame, incoming: DataFrame, sequence: str) -> tuple[DataFrame, DataFrame]:
     """(manifest with the newest entry per id, refused rows with a reason).
 
-    `incoming` and `manifest` carry `sequence`; the highest one wins.
+    `incoming` and `manifest` carry `sequence`; the highest one wins, of equal ones the
+    last by file, then by licence.
     """
     shared, file = F.col("redistributable"), F.col("file")
     judged = incoming.withColumn(
@@ -113,7 +114,7 @@ def register_photo(manifest: DataFrame, incoming: DataFrame, sequence: str) -> t
         .when(F.col("license").isNull(), "license_missing"),
     )
     taken = judged.where(F.col("refusal").isNull()).drop("refusal")
-    newest = Window.partitionBy("photo_id").orderBy(F.desc(sequence))
+    newest = Window.partitionBy("photo_id").orderBy(F.desc(sequence), F.desc("file"), F.desc("license"))
     merged = (
         manifest.unionByName(taken, allowMissingColumns=True)
         .withColumn("_rank", F.row_number().over(newest))

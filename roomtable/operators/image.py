@@ -120,16 +120,20 @@ def downscale_factor(width: int, height: int, target: int) -> int:
 def with_halo(lines: DataFrame, keys: Sequence[str], reach: int, rows: int = _BLOCK_ROWS) -> DataFrame:
     """Blocks of rows with the rows around them; the frame mirrors at its edges.
 
-    Adds block and own (the row belongs to the block and the frame). The mirror
-    does not repeat the edge row; reach must be smaller than the frame.
+    Adds block and own (the row belongs to the block and the frame). The mirror does
+    not repeat the edge row and goes back and forth where the reach exceeds the frame.
     """
+    turn = "greatest(2 * (height - 1), 1L)"
+    places = (
+        f"transform(sequence(cast(ceil((-{reach} - ({{0}})) / {turn}) AS bigint), "
+        f"cast(floor((height - 1 + {reach} - ({{0}})) / {turn}) AS bigint) + 1), k -> ({{0}}) + k * {turn})"
+    )
     return (
         lines.selectExpr(
             *keys,
             "line",
-            f"""explode(filter(array(y, if(y BETWEEN 1 AND {reach}, -y, NULL),
-                 if(y BETWEEN height - 1 - {reach} AND height - 2, 2 * (height - 1) - y, NULL)),
-                 v -> v IS NOT NULL)) AS y""",
+            f"""explode(filter(array_union({places.format("y")}, {places.format("-y")}),
+                 v -> v BETWEEN -{reach} AND height - 1 + {reach})) AS y""",
         )
         .selectExpr(
             *keys,
@@ -154,8 +158,9 @@ def _over(keys: Sequence[str]) -> str:
 
 
 def _mirror(array: str, index: str) -> str:
-    """SQL: element at an index that may stick out by less than the length."""
-    return f"{array}[size({array}) - 1 - abs(size({array}) - 1 - abs({index}))]"
+    """SQL: element at an index that may stick out by any number; edges mirror."""
+    turn = f"greatest(2 * (size({array}) - 1), 1)"
+    return f"{array}[least(pmod({index}, {turn}), {turn} - pmod({index}, {turn}))]"
 
 
 def _across(array: str, weights: Sequence[float]) -> str:

@@ -11,7 +11,6 @@ from roomtable.operators import masks as M
 from roomtable.session import cut_lineage
 
 _SHIFT = 1 << 32
-_MAX_ROUNDS = 60
 _STARS_PER_ROUND = 3
 
 
@@ -21,20 +20,28 @@ def run_id() -> Column:
 
 
 def _touching(runs: DataFrame, keys: Sequence[str], connectivity: int) -> DataFrame:
-    """(keys, hi, lo) for runs of neighbouring rows that touch.
+    """(keys, hi, lo) for runs of neighbouring rows that touch, in one sweep of both rows.
 
-    On two rows of disjoint runs the touching pairs are at most the runs of both
-    rows, so this stays linear.
+    Runs of one row are apart, so of two runs that touch, the one that starts later
+    touches the last run of the other row that starts before it. A run therefore looks at
+    one run only, and the work is linear in runs.
     """
     reach = 1 if connectivity == 8 else 0
-    upper = runs.select(
-        *keys, (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("_id").alias("lo")
-    )
-    lower = runs.select(*keys, "y", "x0", "x1", F.col("_id").alias("hi"))
+    span = [F.col("x0"), (F.col("x1") + reach).alias("_end"), F.col("_id")]
+    upper = runs.select(*keys, (F.col("y") + 1).alias("y"), *span, F.lit(0).alias("_side"))
+    lower = runs.select(*keys, "y", *span, F.lit(1).alias("_side"))
+    sweep = Window.partitionBy(*keys, "y").orderBy("x0", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = lambda side: F.last(F.when(F.col("_side") == side, F.struct("_id", "_end")), ignorenulls=True).over(sweep)
+    both = upper.unionByName(lower).select("*", seen(0).alias("_up"), seen(1).alias("_down"))
+    below = F.col("_side") == 1
     return (
-        lower.join(upper, [*keys, "y"])
-        .where((F.col("x0") <= F.col("u1") + reach) & (F.col("u0") <= F.col("x1") + reach))
-        .select(*keys, "hi", "lo")
+        both.withColumn("_other", F.when(below, F.col("_up")).otherwise(F.col("_down")))
+        .where(F.col("_other._end") >= F.col("x0"))
+        .select(
+            *keys,
+            F.when(below, F.col("_id")).otherwise(F.col("_other._id")).alias("hi"),
+            F.when(below, F.col("_other._id")).otherwise(F.col("_id")).alias("lo"),
+        )
     )
 
 
@@ -49,14 +56,12 @@ def components(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> D
     keys = list(keys)
     nodes = cut_lineage(runs.withColumn("_id", run_id()))
     edges = _touching(nodes, keys, connectivity)
-    for _ in range(_MAX_ROUNDS):
+    while True:
         for _ in range(_STARS_PER_ROUND):
             edges = _small_star(_large_star(edges, keys), keys)
         edges = cut_lineage(edges)
         if _settled(edges, keys):
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = edges.select(*keys, F.col("hi").alias("_id"), F.col("lo").alias("_root"))
     return (
         nodes.join(roots, [*keys, "_id"], "left")

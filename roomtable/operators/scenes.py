@@ -104,10 +104,11 @@ def validate_scene_input(zones: DataFrame) -> DataFrame:
     """Adds `problems` per zone.
 
     zones: plane (struct quad, width, depth, or null), polygon, holes, horizon.
-    Points are structs x, y; a null or NaN coordinate is not finite. The codes are
+    Points are structs x, y; a null, NaN or infinite number is not finite. The codes are
     fixed values of the scene contract.
     """
-    point = "p IS NOT NULL AND p.x IS NOT NULL AND p.y IS NOT NULL AND NOT isnan(p.x) AND NOT isnan(p.y)"
+    finite = lambda x: f"coalesce(NOT isnan({x}) AND abs({x}) < double('infinity'), false)"
+    point = f"p IS NOT NULL AND {finite('p.x')} AND {finite('p.y')}"
     bad_quad = f"coalesce(plane IS NULL OR size(plane.quad) <> 4 OR NOT forall(plane.quad, p -> {point}), true)"
     area = """abs(aggregate(sequence(0, 3), 0D, (s, i) -> s
         + plane.quad[i].x * plane.quad[(i + 1) % 4].y - plane.quad[(i + 1) % 4].x * plane.quad[i].y)) / 2"""
@@ -121,7 +122,13 @@ def validate_scene_input(zones: DataFrame) -> DataFrame:
         "problems",
         codes(
             (e("_q"), "plan_invalide"),
-            (e("NOT _q AND NOT coalesce(plane.width > 0 AND plane.depth > 0, false)"), "dimensions"),
+            (
+                e(
+                    "NOT _q AND NOT (coalesce(plane.width > 0 AND plane.depth > 0, false) "
+                    f"AND {finite('plane.width')} AND {finite('plane.depth')})"
+                ),
+                "dimensions",
+            ),
             (e("NOT _q AND NOT coalesce(_area > 1e-4, false)"), "plan_degenere"),
             (e("NOT _q AND _c"), "contour_invalide"),
             (e(f"NOT _q AND NOT _c AND {outside}"), "hors_image"),
@@ -129,7 +136,7 @@ def validate_scene_input(zones: DataFrame) -> DataFrame:
                 e(f"NOT _q AND NOT forall(coalesce(holes, array()), h -> h IS NOT NULL AND forall(h, p -> {point}))"),
                 "trous_invalides",
             ),
-            (e("horizon IS NOT NULL AND isnan(horizon)"), "horizon_invalide"),
+            (e(f"horizon IS NOT NULL AND NOT {finite('horizon')}"), "horizon_invalide"),
         ),
     ).drop("_q", "_c", "_area")
 

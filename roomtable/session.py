@@ -17,6 +17,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "roomtable")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 

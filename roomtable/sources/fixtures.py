@@ -65,7 +65,8 @@ _COMMON: dict[str, str] = {
     """,
     "pass": """
         select conv_id as photo_id, turn, case when turn = 0 then null else chr(cast(64 + turn as int))
-        end as pass_label, role as annotator, (conv_id * 8 + turn) % 500 as vec_id, case (conv_id +
+        end as pass_label, role as annotator, (conv_id * 8 + turn) % (select count(*) from
+        embeddings) as vec_id, case (conv_id +
         turn) % 3 when 0 then 'draft' when 1 then 'reviewed' else 'approved' end as status, case when
         (conv_id + turn) % 3 = 0 then null when conv_id % 2 = 0 then role else 'reviewer' end as
         reviewer, turn % 2 = 0 as independent_pass, case when turn % 4 = 3 then null else

@@ -239,3 +239,14 @@ def test_noise_does_not_depend_on_partitions(spark):
     assert a == b
     values = [r["luma"] * 255 for r in a]
     assert 6 < float(np.std(values)) < 10
+
+
+@pytest.mark.parametrize("height", range(1, 10))
+def test_mirror_reaches_beyond_small_frames(spark, height):
+    reach, width = 8, 3
+    lines = spark.createDataFrame([(1, y, height, width, [float(y * 10 + x) for x in range(width)]) for y in range(height)], "photo_id long, y long, height long, width long, line array<double>")
+    rows = I.with_halo(lines, ["photo_id", "width", "height"], reach).collect()
+    turn = max(2 * (height - 1), 1)
+    want = {v: min(v % turn, turn - v % turn) * 10.0 for v in range(-reach, height + reach)}
+    assert {r["y"]: r["line"][0] for r in rows} == want
+    assert sum(r["own"] for r in rows) == height
