@@ -7,8 +7,8 @@ so the reader repeats the writer exactly.
 
 The model mixes three predictions. Order 2 and order 1 name the id that followed the same
 two ids, or the same id, last time, with a confidence that rises with each hit. Order 0
-is a distribution over all ids: adaptive counts of the number of bits of an id, even
-within one number of bits. Each order's share of the range is its hit rate so far at the
+is a distribution over all ids: shares of the number of bits of an id, which move towards
+each id that is seen, even within one number of bits. Each order's share of the range is its hit rate so far at the
 present confidence; what orders 2 and 1 leave goes to order 0.
 """
 
@@ -23,198 +23,217 @@ BLOCK = 1024
 LARGEST = 1 << 16
 _BITS = 10
 _CLASSES = 17
-_CONFIDENCES = 4
-_RATE = np.uint32(4)
-_FULL = np.uint64(1 << 32)
 _U = np.uint64
 _WORD = _U(32)
 _LOW = _U(0xFFFFFFFF)
-_HALVE_AT = 1 << 9
-_FIRST = np.array([0] + [1 << k for k in range(_CLASSES - 1)], np.int64)
-_SIZE = np.array([1] + [1 << k for k in range(_CLASSES - 1)], np.uint64)
-_STEP = (2 * (np.arange(_CLASSES + 1) > np.arange(_CLASSES)[:, None])).astype(np.uint32)
+_FULL = _U(1 << 32)
+_I = np.uint32
+#: Order 0 has 2**14 parts; each number of bits keeps at least _LEAST of them.
+_PARTS = 14
+_LEAST = 32
+#: Hit rates stay below this: what two sure orders leave still parts among all ids.
+_SUREST = 61376
+_FIRST = np.array([0] + [1 << k for k in range(_CLASSES - 1)], np.uint32)
+_SHIFT = np.array([0, *range(_CLASSES - 1)], np.uint32)
 _CLASS = np.zeros(LARGEST, np.uint8)
 for _k in range(1, _CLASSES):
     _CLASS[1 << (_k - 1) : 1 << _k] = _k
+_INNER = np.arange(1, _CLASSES, dtype=np.int16)[:, None]
 
 
 class _Model:
-    """State of all blocks; `lanes` counts them."""
+    """State of all blocks; `lanes` counts them, those of the longest blocks first."""
 
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
+        self.base, self.slot = self.lane << _BITS, self.lane << 2
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
         # A cell holds (id + 1) * 4 + confidence; 0 is empty.
         self.tables = [np.zeros(lanes << _BITS, np.uint32) for _ in range(2)]
-        self.rates = [np.full(lanes * _CONFIDENCES, 1 << 14, np.uint32) for _ in range(2)]
-        self.cum = np.tile(np.arange(_CLASSES + 1, dtype=np.uint32), (lanes, 1))
+        self.rates = [np.tile(np.array([0, *[1 << 14] * 3], np.int32), lanes) for _ in range(2)]
+        # Row k: parts of order 0 below class k, for each lane.
+        even = np.arange(_CLASSES + 1) * (1 << _PARTS) // _CLASSES
+        even[-1] = 1 << _PARTS
+        self.cum = np.tile(even.astype(np.int16)[:, None], (1, lanes))
+        self.moves = np.empty((_CLASSES - 1, lanes), np.int16)
+        self.steps = 0
+
+    def keep(self, lanes: int) -> None:
+        """Go on with the first lanes; the blocks of the others have ended."""
+        for name in ("lane", "base", "slot", "last", "before"):
+            setattr(self, name, getattr(self, name)[:lanes])
+        self.cum, self.moves = self.cum[:, :lanes].copy(), self.moves[:, :lanes].copy()
 
     def predict(self):
-        """(id, share) of orders 2 and 1, in 2**32 parts; -1 and 0 where an order has none."""
+        """(id, id, share, share) of orders 2 and 1, in 2**32 parts."""
         mask = (1 << _BITS) - 1
-        base = self.lane << _BITS
-        self.cells = (
-            base + ((self.last * 40503 + self.before * 30011 ^ self.before >> 5) & mask),
-            base + ((self.last ^ self.last >> 6) & mask),
-        )
-        shares, ids, self.rate_at, self.held = [], [], [], []
-        for table, rate, cell in zip(self.tables, self.rates, self.cells, strict=True):
-            held = table[cell]
-            at = (self.lane << 2) + (held & 3)
-            ids.append((held >> np.uint32(2)).astype(np.int64) - 1)
-            shares.append(np.where(held > 0, rate[at], np.uint32(0)).astype(np.uint64))
-            self.rate_at.append(at)
-            self.held.append(held)
-        two = shares[0] << _U(16)
-        one = np.where(ids[0] == ids[1], _U(0), (shares[1] * (_U(1 << 16) - shares[0])))
-        self.ids = ids
-        return ids[0], ids[1], two, one
+        last, before = self.last, self.before
+        self.cells = self.base + ((last * 40503 + before * 30011 ^ before >> 5) & mask), self.base + ((last ^ last >> 6) & mask)
+        self.held = [table[cell] for table, cell in zip(self.tables, self.cells, strict=True)]
+        self.rate_at = [self.slot + (held & _I(3)) for held in self.held]
+        self.rate = [rate[at] for rate, at in zip(self.rates, self.rate_at, strict=True)]
+        # The guess of an empty cell is no id.
+        self.guess = [(held >> _I(2)) - _I(1) for held in self.held]
+        sure = self.rate[0].view(np.uint32)
+        one = self.rate[1].view(np.uint32) * (_I(1 << 16) - sure)
+        one[self.guess[0] == self.guess[1]] = 0
+        return *self.guess, sure << _I(16), one
 
     def update(self, ids: np.ndarray, classes: np.ndarray) -> None:
-        for table, rate, cell, at, held, guess in zip(self.tables, self.rates, self.cells, self.rate_at, self.held, self.ids, strict=True):
-            hit = guess == ids
-            now = rate[at]
-            # Rates stay under 2**16 - 2**12: what two sure orders leave still parts among all ids.
-            rate[at] = np.where(held > 0, np.where(hit, now + ((np.uint32(61440) - now) >> _RATE), now - ((now - np.uint32(512)) >> _RATE)), now)
-            table[cell] = np.where(hit, held + ((held & np.uint32(3)) < 3), ((ids + 1) << 2).astype(np.uint32))
-        self.cum += _STEP[classes]
-        full = self.cum[:, -1] >= _HALVE_AT
-        if full.any():
-            counts = np.diff(self.cum[full].astype(np.int64), axis=1)
-            self.cum[full, 1:] = np.cumsum((counts + 1) >> 1, axis=1)
-        self.before, self.last = self.last, ids
+        fresh = ((ids + _I(1)) << _I(2)) + _I(1)
+        for i in range(2):
+            hit, held = self.guess[i] == ids, self.held[i]
+            now = self.rate[i]
+            self.rates[i][self.rate_at[i]] = now + ((hit * np.int32(_SUREST - 512) + np.int32(512) - now) >> np.int32(4))
+            self.tables[i][self.cells[i]] = np.where(hit, held + ((held & _I(3)) < _I(3)), fresh)
+        # Each row moves towards its place when all parts but the least ones are the class seen.
+        moves, inner = self.moves, self.cum[1:-1]
+        np.subtract(classes.astype(np.int16), _INNER, out=moves)
+        moves >>= np.int16(15)
+        moves &= np.int16((1 << _PARTS) - _CLASSES * _LEAST)
+        moves += _INNER * np.int16(_LEAST)
+        moves -= inner
+        moves >>= np.int16(min(6, 2 + (self.steps + 1).bit_length() // 2))
+        inner += moves
+        self.steps += 1
+        self.before, self.last = self.last, ids.astype(np.int64)
 
 
 def _grid(blocks: list[np.ndarray]) -> np.ndarray:
-    grid = np.zeros((max(map(len, blocks)), len(blocks)), np.int64)
+    grid = np.zeros((len(blocks), max(map(len, blocks))), np.uint32)
     for i, block in enumerate(blocks):
-        grid[: len(block), i] = block
-    return grid
+        grid[i, : len(block)] = block
+    return np.ascontiguousarray(grid.T)
+
+
+def _longest_first(lengths: list[int]) -> tuple[list[int], np.ndarray]:
+    """The order of lanes, and for each step how many blocks have not ended."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    ascending = np.array([lengths[i] for i in reversed(order)])
+    return order, len(order) - np.searchsorted(ascending, np.arange(int(ascending[-1])), "right")
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """One code for each block of ids. Longer blocks first is fastest; any order is right."""
-    if not blocks:
-        return []
+    """One code for each block of ids."""
     if any(len(b) and int(b.max()) >= LARGEST for b in blocks):
         raise ValueError(f"ids must be below {LARGEST}")
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    lengths = np.array([len(blocks[i]) for i in order])
-    if not lengths[0]:
+    if not any(map(len, blocks)):
         return [b""] * len(blocks)
-    grid = _grid([blocks[i] for i in order])
-    lanes = len(order)
-    out = np.zeros((lanes, len(grid) + 3), np.uint64)
+    order, going = _longest_first([len(b) for b in blocks])
+    grid, lanes = _grid([blocks[i] for i in order]), len(order)
+    out = np.zeros((len(grid) + 3, lanes), np.uint32)  # by place, for lanes move on at about one pace
     used = np.zeros(lanes, np.int64)
-    low, span, model = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), _Model(lanes)
-    for t in range(len(grid)):
-        ids = grid[t]
-        two, one, share_two, share_one = model.predict()
+    lows, spans, model = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64), _Model(lanes)
+    for t, live in enumerate(going.tolist()):
+        if live < len(model.lane):
+            model.keep(live)
+        ids, low, span = grid[t, :live], lows[:live], spans[:live]
         classes = _CLASS[ids]
-        start, size = _interval(model, ids, classes.astype(np.intp), two, one, share_two, share_one)
-        live = lengths > t
-        if not live[-1]:  # blocks that have ended keep their state
-            start, size = np.where(live, start, _U(0)), np.where(live, size, _FULL)
-        unit = span >> _WORD
-        moved = low + unit * start
+        start, size = _interval(model, ids, classes.astype(np.intp), *model.predict())
+        span >>= _WORD
+        moved = span * start
+        moved += low
         over = np.flatnonzero(moved < low)
-        span = np.where(size == _FULL, span, unit * size)
-        low = moved
+        span *= size
+        low[:] = moved
         if len(over):
             _carry(out, used, over)
         short = np.flatnonzero(span < _FULL)
         if len(short):
-            out[short, used[short]] = low[short] >> _WORD
-            used[short] += 1
-            low[short] <<= _WORD
+            own, at = low[short], used[short]
+            out[at, short] = own >> _WORD
+            used[short] = at + 1
+            low[short] = own << _WORD
             span[short] <<= _WORD
         model.update(ids, classes)
     for shift in (32, 0):
-        out[np.arange(lanes), used] = low >> _U(shift) & _LOW
+        out[used, np.arange(lanes)] = lows >> _U(shift) & _LOW
         used += 1
-    coded = [b""] * len(blocks)
+    out, coded = np.ascontiguousarray(out.T).astype("<u4"), [b""] * len(blocks)
     for lane, i in enumerate(order):
-        coded[i] = out[lane, : used[lane]].astype("<u4").tobytes() if lengths[lane] else b""
+        coded[i] = out[lane, : used[lane]].tobytes() if len(blocks[i]) else b""
     return coded
 
 
 def _interval(model, ids, classes, two, one, share_two, share_one):
     """(start, size) of each id in 2**32 parts: order 2, then order 1, then order 0."""
-    rest = _FULL - share_two - share_one
-    count = model.cum[model.lane, classes + 1] - model.cum[model.lane, classes]
-    part = rest // model.cum[:, -1].astype(np.uint64)
-    size = (part * count) // _SIZE[classes]
-    start = share_two + share_one + part * model.cum[model.lane, classes] + size * (ids - _FIRST[classes]).astype(np.uint64)
-    by_one = ids == one
-    by_one &= share_one > 0
+    both = share_two + share_one
+    part = ~both >> _I(_PARTS)
+    at = classes * len(ids) + model.lane
+    flat = model.cum.reshape(-1)
+    below = flat[at].astype(np.uint32)
+    size = (part * (flat[at + len(ids)].astype(np.uint32) - below)) >> _SHIFT[classes]
+    start = both + part * below + size * (ids - _FIRST[classes])
+    by_one = (ids == one) & (share_one > 0)
     start, size = np.where(by_one, share_two, start), np.where(by_one, share_one, size)
     by_two = ids == two
-    return np.where(by_two, _U(0), start), np.where(by_two, share_two, size)
+    return np.where(by_two, _I(0), start), np.where(by_two, share_two, size)
 
 
 def _carry(out: np.ndarray, used: np.ndarray, over: np.ndarray) -> None:
-    for lane in over.tolist():
-        at = used[lane] - 1
-        while out[lane, at] == _LOW:
-            out[lane, at] = 0
-            at -= 1
-        out[lane, at] += _U(1)
+    at = used[over] - 1
+    while len(over):
+        # A word that was full becomes 0 and carries on.
+        word = out[at, over] + _I(1)
+        out[at, over] = word
+        full = word == 0
+        over, at = over[full], at[full] - 1
 
 
 def decode_blocks(codes: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
-    order = sorted(range(len(codes)), key=lambda i: -lengths[i])
-    if not order or not lengths[order[0]]:
+    if not any(lengths):
         return [np.zeros(0, "<u4") for _ in codes]
-    long = np.array([lengths[i] for i in order])
+    order, going = _longest_first(lengths)
     words = [np.frombuffer(codes[i], "<u4") for i in order]
     lanes = len(order)
-    data = np.zeros((lanes, max(map(len, words)) + 3), np.uint64)
+    data = np.zeros((lanes, max(map(len, words)) + 3), np.uint32)
     for lane, x in enumerate(words):
         data[lane, : len(x)] = x
-    steps = int(long[0])
-    grid = np.zeros((steps, lanes), np.int64)
+    data = np.ascontiguousarray(data.T)
+    grid = np.zeros((len(going), lanes), np.uint32)
     # `code` is the distance of the code from the low end of the range.
-    code, used = data[:, 0] << _WORD | data[:, 1], np.full(lanes, 2)
-    span, model = np.full(lanes, (1 << 64) - 1, np.uint64), _Model(lanes)
-    for t in range(steps):
+    distances, used = data[0].astype(np.uint64) << _WORD | data[1], np.full(lanes, 2)
+    spans, model = np.full(lanes, (1 << 64) - 1, np.uint64), _Model(lanes)
+    for t, live in enumerate(going.tolist()):
+        if live < len(model.lane):
+            model.keep(live)
+        code, span = distances[:live], spans[:live]
         two, one, share_two, share_one = model.predict()
-        unit = span >> _WORD
-        target = np.minimum(code // unit, _LOW)
-        part = (_FULL - share_two - share_one) // model.cum[:, -1].astype(np.uint64)
         both = share_two + share_one
+        part = ~both >> _I(_PARTS)
+        span >>= _WORD
+        target = np.minimum(code // span, _LOW).astype(np.uint32)
         own = np.maximum(target, both) - both
-        scaled = own // part
-        classes = (model.cum[:, 1:-1] <= scaled[:, None]).sum(1)
-        below = model.cum[model.lane, classes]
-        below_all, wide = part * below, _SIZE[classes]
-        size = part * (model.cum[model.lane, classes + 1] - below) // wide
-        step = np.minimum((own - below_all) // size, wide - _U(1))
-        ids = _FIRST[classes] + step.astype(np.int64)
-        start = both + below_all + size * step
+        scaled = np.minimum(own // part, _I((1 << _PARTS) - 1)).astype(np.int16)
+        classes = (model.cum[1:-1] <= scaled).view(np.uint8).sum(0, dtype=np.uint8).astype(np.intp)
+        at = classes * live + model.lane
+        flat = model.cum.reshape(-1)
+        below, shift = flat[at].astype(np.uint32), _SHIFT[classes]
+        size = (part * (flat[at + live].astype(np.uint32) - below)) >> shift
+        below *= part
+        step = np.minimum((own - below) // size, (_I(1) << shift) - _I(1))
+        ids = _FIRST[classes] + step
+        start = both + below + size * step
         # The writer prefers order 2, then order 1, wherever their guess is right.
         by_one, by_two = target < both, target < share_two
         ids = np.where(by_two, two, np.where(by_one, one, ids))
-        start = np.where(by_two, _U(0), np.where(by_one, share_two, start))
+        start = np.where(by_two, _I(0), np.where(by_one, share_two, start))
         size = np.where(by_two, share_two, np.where(by_one, share_one, size))
-        live = long > t
-        if not live[-1]:
-            ids = np.where(live, ids, 0)
-            start, size = np.where(live, start, _U(0)), np.where(live, size, _FULL)
-        classes = _CLASS[ids]
-        code = code - unit * start
-        span = np.where(size == _FULL, span, unit * size)
+        code -= span * start
+        span *= size
         short = np.flatnonzero(span < _FULL)
         if len(short):
-            code[short] = code[short] << _WORD | data[short, used[short]]
-            used[short] += 1
+            place = used[short]
+            code[short] = code[short] << _WORD | data[place, short]
+            used[short] = place + 1
             span[short] <<= _WORD
-        grid[t] = ids
-        model.update(ids, classes)
-    ids = [np.zeros(0, "<u4")] * len(codes)
+        grid[t, :live] = ids
+        model.update(ids, _CLASS[ids])
+    grid, ids = np.ascontiguousarray(grid.T).astype("<u4"), [np.zeros(0, "<u4")] * len(codes)
     for lane, i in enumerate(order):
-        ids[i] = grid[: lengths[i], lane].astype("<u4")
+        ids[i] = grid[lane, : lengths[i]]
     return ids
 
 
