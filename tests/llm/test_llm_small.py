@@ -443,6 +443,17 @@ def test_coder_round_trip():
         idcoder.encode_blocks([np.array([1 << 16], "u4")])
 
 
+def test_coder_carries_through_full_words_and_survives_surprises():
+    out = np.array([[7, 1], [0xFFFFFFFF, 2], [0xFFFFFFFF, 3]], "u4")
+    idcoder._carry(out, np.array([3, 2]), np.array([0, 1]))
+    assert out.tolist() == [[8, 1], [0, 3], [0, 3]]
+    broken = np.tile(np.array([5, 6, 7], "u4"), 400)
+    broken[::97], broken[600], broken[700] = 40_000, 65_535, 32_768
+    blocks = [broken[:n] for n in (1200, 1, 1024, 601)]
+    back = idcoder.decode_blocks(idcoder.encode_blocks(blocks), [len(b) for b in blocks])
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, back, strict=True))
+
+
 def test_written_ids_are_read_back(odd, none, spark, tmp_path):
     rows = idfiles.written_and_read(odd).collect()
     encode = word_encoder(vocabulary_path())
