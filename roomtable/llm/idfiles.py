@@ -15,6 +15,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,27 +28,41 @@ from roomtable.llm.subwords import vocabulary_path, word_encoder
 
 END_ID = 1
 #: Blocks that are coded side by side.
-LANES = 4096
+LANES = 8192
 SCHEMA = "shard int, block int, first long, ordinal long, doc_ids array<long>, lengths array<long>, n int, checksum long, code binary"
 
 
-def _coded(first: int, block: int, ordinal: int, ids: np.ndarray, docs: list, sizes: np.ndarray, shard: int) -> pd.DataFrame:
+def _coded(shard: int, first: int, block: int, ordinal: int, ids: np.ndarray, docs: list, sizes: np.ndarray) -> pa.RecordBatch:
     """Block rows of a run of ids; docs and sizes are the documents whose ids make it up."""
-    blocks = [ids[k : k + idcoder.BLOCK] for k in range(0, len(ids), idcoder.BLOCK)]
+    low = np.arange(0, len(ids), idcoder.BLOCK)
+    high = np.minimum(low + idcoder.BLOCK, len(ids))
+    blocks = [ids[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
     ends = np.cumsum(sizes)
-    rows = []
-    for k, (part, code) in enumerate(zip(blocks, idcoder.encode_blocks(blocks), strict=True)):
-        low, high = k * idcoder.BLOCK, k * idcoder.BLOCK + len(part)
-        a, b = int(np.searchsorted(ends, low, "right")), int(np.searchsorted(ends, high, "left")) + 1
-        inside = np.minimum(ends[a:b], high) - np.maximum(ends[a:b] - sizes[a:b], low)
-        rows.append((shard, block + k, first + low, ordinal + a, docs[a:b], inside.tolist(), len(part), idcoder.checksum(part), code))
-    return pd.DataFrame(rows, columns=["shard", "block", "first", "ordinal", "doc_ids", "lengths", "n", "checksum", "code"])
+    a = np.searchsorted(ends, low, "right")
+    held = np.searchsorted(ends, high, "left") + 1 - a
+    upto = np.cumsum(held)
+    inside = np.arange(int(upto[-1])) - np.repeat(upto - held - a, held)
+    lengths = np.minimum(ends[inside], np.repeat(high, held)) - np.maximum((ends - sizes)[inside], np.repeat(low, held))
+    offsets = pa.array(np.append(0, upto), pa.int32())
+    columns = {
+        "shard": pa.array(np.full(len(low), shard, np.int32)),
+        "block": pa.array(np.arange(block, block + len(low), dtype=np.int32)),
+        "first": pa.array(first + low),
+        "ordinal": pa.array(ordinal + a),
+        "doc_ids": pa.ListArray.from_arrays(offsets, pa.array(docs, pa.int64()).take(pa.array(inside))),
+        "lengths": pa.ListArray.from_arrays(offsets, pa.array(lengths)),
+        "n": pa.array((high - low).astype(np.int32)),
+        "checksum": pa.array([idcoder.checksum(x) for x in blocks], pa.int64()),
+        "code": pa.array(idcoder.encode_blocks(blocks), pa.binary()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _writer(path: str, end_id: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard = word_encoder(path), TaskContext.get().partitionId()
         first, block, ordinal, wanted = 0, 0, 0, LANES * idcoder.BLOCK
+        end = np.array([end_id], "<u4")
         ids, docs, sizes, held = [], [], [], 0
 
         def cut(last: bool):
@@ -61,21 +76,21 @@ def _writer(path: str, end_id: int):
             own = size[:upto].copy()
             if upto > whole:
                 own[-1] = take - (ends[whole] - size[whole])
-            made = _coded(first, block, ordinal, stream[:take], docs[:upto], own, shard)
+            made = _coded(shard, first, block, ordinal, stream[:take], docs[:upto], own)
             left = size[whole:].copy()
             if upto > whole:
                 left[0] -= own[-1]
-            first, block, ordinal = first + take, block + len(made), ordinal + whole
-            ids, docs, sizes, held = [stream[take:]], docs[whole:], left.tolist(), len(stream) - take
+            first, block, ordinal = first + take, block + made.num_rows, ordinal + whole
+            ids, docs, sizes, held = [stream[take:].copy()], docs[whole:], left.tolist(), len(stream) - take
             return made
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = np.append(encode(text), np.array([end_id], "<u4")).astype("<u4")
-                ids.append(own)
-                docs.append(None if pd.isna(doc_id) else int(doc_id))
-                sizes.append(len(own))
-                held += len(own)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                own = encode(text.as_py())
+                ids += own, end
+                docs.append(doc_id)
+                sizes.append(len(own) + 1)
+                held += len(own) + 1
                 if held >= wanted:
                     yield cut(False)
         if held:
@@ -89,30 +104,47 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
     Documents are dealt to shards by ranges of doc_id; a shard is one task's output.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().cast("binary").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInPandas(_writer(path or vocabulary_path(), end_id), SCHEMA).write.parquet(folder)
-
-
-def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(shard, ordinal, doc_id, block, first, n, crc): the parts of documents, joined where they follow each other."""
+    ordered.mapInArrow(_writer(path or vocabulary_path(), end_id), SCHEMA).write.parquet(folder)
+
+
+def _parts(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """(shard, ordinal, doc_id, first, n, crc): the parts of documents in some blocks, joined where they follow each other."""
+    rows = rows.take(pa.array(np.lexsort((rows.column("block").to_numpy(), rows.column("shard").to_numpy()))))
+    shard, block, first, ordinal, n, checksum = (rows.column(c).to_numpy() for c in ("shard", "block", "first", "ordinal", "n", "checksum"))
+    ids = memoryview(np.concatenate(idcoder.decode_blocks(rows.column("code").to_pylist(), n.tolist())).astype("<u4", copy=False)).cast("B")
+    ends = np.cumsum(n, dtype=np.int64)
+    for k, (a, b, told) in enumerate(zip((4 * (ends - n)).tolist(), (4 * ends).tolist(), checksum.tolist(), strict=True)):
+        if crc32(ids[a:b]) != told:
+            raise ValueError(f"block {block[k]} of shard {shard[k]} is damaged")
+    held = rows.column("lengths").value_lengths().to_numpy()
+    size = rows.column("lengths").flatten().to_numpy()
+    upto = np.cumsum(size)
+    at = upto - size
+    shards = np.repeat(shard, held)
+    number = np.repeat(ordinal - (np.cumsum(held) - held), held) + np.arange(len(size))
+    begin = np.repeat(first - (ends - n), held) + at
+    fresh = np.ones(len(size), bool)
+    fresh[1:] = (shards[1:] != shards[:-1]) | (number[1:] != number[:-1]) | (begin[1:] != (begin + size)[:-1])
+    head = np.flatnonzero(fresh)
+    low, high = at[head], upto[np.append(head[1:], len(size)) - 1]
+    crcs = [crc32(ids[a:b]) for a, b in zip((4 * low).tolist(), (4 * high).tolist(), strict=True)]
+    columns = {
+        "shard": pa.array(shards[head]), "ordinal": pa.array(number[head]),
+        "doc_id": rows.column("doc_ids").flatten().take(pa.array(head)),
+        "first": pa.array(begin[head]), "n": pa.array(high - low), "crc": pa.array(crcs, pa.int64()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of each batch; a batch of more blocks than LANES is cut evenly."""
     for batch in batches:
-        for k in range(0, len(batch), LANES):
-            rows = batch.iloc[k : k + LANES].sort_values(["shard", "block"])
-            made: list[list] = []
-            for row, ids in zip(rows.itertuples(index=False), idcoder.decode_blocks(list(rows["code"]), rows["n"].tolist()), strict=True):
-                if idcoder.checksum(ids) != row.checksum:
-                    raise ValueError(f"block {row.block} of shard {row.shard} is damaged")
-                at = 0
-                for i, (doc_id, n) in enumerate(zip(row.doc_ids, row.lengths, strict=True)):
-                    part, n = ids[at : at + int(n)].astype("<u4").tobytes(), int(n)
-                    last = made[-1] if made else None
-                    if last and last[:2] == [row.shard, row.ordinal + i] and last[4] + last[5] == row.first + at:
-                        last[5], last[6] = last[5] + n, crc32(part, last[6])
-                    else:
-                        made.append([row.shard, row.ordinal + i, doc_id, row.block, row.first + at, n, crc32(part)])
-                    at += n
-            yield pd.DataFrame(made, columns=["shard", "ordinal", "doc_id", "block", "first", "n", "crc"]).astype({"doc_id": "Int64"})
+        pieces = -(-batch.num_rows // LANES)
+        bounds = [batch.num_rows * k // max(pieces, 1) for k in range(pieces + 1)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield _parts(batch.slice(a, b - a))
 
 
 @F.pandas_udf(LongType())
@@ -131,8 +163,8 @@ def _joined_crc(parts: pd.Series) -> pd.Series:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files."""
-    parts = spark.read.schema(SCHEMA).parquet(folder).mapInPandas(
-        _reader, "shard int, ordinal long, doc_id long, block int, first long, n long, crc long"
+    parts = spark.read.schema(SCHEMA).parquet(folder).mapInArrow(
+        _reader, "shard int, ordinal long, doc_id long, first long, n long, crc long"
     )
     whole = parts.groupBy("shard", "ordinal").agg(
         F.first("doc_id").alias("doc_id"), F.min("first").alias("first"), F.sum("n").alias("n_tokens"),

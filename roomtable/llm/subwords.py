@@ -68,14 +68,14 @@ class _Memory(dict):
 
 
 @functools.cache
-def word_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """text -> ids as unsigned 32-bit numbers, by the tokenizer file at `path`."""
+def word_encoder(path: str) -> Callable[[str | bytes], np.ndarray]:
+    """text, or its UTF-8 -> ids as unsigned 32-bit numbers, by the tokenizer file at `path`."""
     memory = _Memory(path)
 
-    def encode(text: str) -> np.ndarray:
+    def encode(text: str | bytes) -> np.ndarray:
         if len(memory) > REMEMBERED:
             memory.clear()
-        data = text.encode("utf-8", "surrogatepass")
+        data = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         # The vocabulary is lower case; only the names of its special tokens tell cases apart.
         words = data.split() if b"<|" in data else data.lower().split()
         return np.frombuffer(b"".join(map(memory.__getitem__, words)), "<u4")
