@@ -27,11 +27,13 @@ _TURN = np.uint64(0x9E3779B97F4A7C15)
 _REMEMBERED = 150_000
 _FLUSH = 6_000_000
 _ROWS = 100_000
+#: Counts that are bundled at a time.
+_BUNDLED = 1_000_000
 _memory: dict[bytes, int] = {}
 
 
 def word_keys(text: str) -> np.ndarray:
-    """64-bit keys of the tokens: XXH64 of each word, A-Z lower-cased, then END."""
+    """Keys of the tokens: XXH64 of each word, A-Z lower-cased, made odd, then END."""
     words = words_of(text)
     words = b" ".join(words).lower().split() if words else words
     if len(_memory) > _REMEMBERED:
@@ -41,16 +43,16 @@ def word_keys(text: str) -> np.ndarray:
     for i, word in enumerate(words):
         key = get(word)
         if key is None:
-            key = _memory[word] = digest(word)
+            key = _memory[word] = digest(word) | 1
         keys[i] = key
     keys[-1] = END
     return keys
 
 
 def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """64-bit keys of (previous token, token)."""
+    """Keys of (previous token, token), made even; so the last bit tells words and pairs apart."""
     mixed = (before ^ (before >> np.uint64(32))) * _TURN
-    return ((mixed << np.uint64(23)) | (mixed >> np.uint64(41))) * _TURN + keys
+    return (((mixed << np.uint64(23)) | (mixed >> np.uint64(41))) * _TURN + keys) & ~np.uint64(1)
 
 
 def previous(keys: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def _tally(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, kind, bucket, own): words (kind 1) and word pairs (kind 2) of a task's texts, by bucket.
+    """Rows (key, bucket, own): words and word pairs of a task's texts, by bucket.
 
     own is the count in training texts; n-grams of held-out texts come with 0, so their
     bucket learns the counts that others have. Counts go out after _FLUSH tokens.
@@ -80,11 +82,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.concatenate([k for k, _ in texts])
             before = np.concatenate([previous(k) for k, _ in texts])
             train = np.repeat([t for _, t in texts], [len(k) for k, _ in texts])
-            for kind, (keys, own) in ((1, _tally(key, train)), (2, _tally(pair_keys(before, key), train))):
+            for keys, own in (_tally(key, train), _tally(pair_keys(before, key), train)):
                 for k in range(0, len(keys), _ROWS):
                     part, n = keys[k : k + _ROWS].view(np.int64), min(_ROWS, len(keys) - k)
                     yield pa.RecordBatch.from_pydict(
-                        {"key": part, "kind": np.full(n, kind, np.int32), "bucket": np.full(n, bucket, np.int32), "own": own[k : k + _ROWS].astype(np.int32)}
+                        {"key": part, "bucket": np.full(n, bucket, np.int32), "own": own[k : k + _ROWS].astype(np.int32)}
                     )
 
     waiting = 0
@@ -100,6 +102,44 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then their second bytes and so on: runs of equal bytes pack well."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _values(planes: bytes, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, keys, counts): the counts of a bucket side by side, keys as steps from one to the next."""
+    held: list[pa.RecordBatch] = []
+
+    def flush():
+        bucket, key, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("bucket", "key", "n"))
+        held.clear()
+        order = np.argsort(bucket, kind="stable")
+        bucket, key, n = bucket[order], key[order].view(np.uint64), n[order]
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        bounds = list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True))
+        keys = [_planes(np.diff(key[a:b], prepend=np.uint64(0))) for a, b in bounds]
+        return pa.RecordBatch.from_pydict(
+            {"bucket": bucket[starts], "keys": pa.array(keys, pa.binary()), "counts": pa.array([_planes(n[a:b]) for a, b in bounds], pa.binary())}
+        )
+
+    waiting = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            waiting += batch.num_rows
+        if waiting >= _BUNDLED:
+            yield flush()
+            waiting = 0
+    if waiting:
+        yield flush()
+
+
 @dataclass(frozen=True)
 class Scale:
     """Corpus-wide numbers: training tokens, distinct ones, training texts, and the strength of the prior."""
@@ -171,24 +211,32 @@ class Automaton:
         return float(np.cumsum(single)[-1]), float(np.cumsum(weight)[-1]), int((self.count[at] > 0).sum())
 
 
-def _amended(keys: np.ndarray, own: np.ndarray, news: pd.DataFrame) -> np.ndarray:
+def _amended(keys: np.ndarray, own: np.ndarray, news: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Own counts, replaced where the corpus has another count."""
-    at = np.searchsorted(keys, news["key"].to_numpy(np.int64).view(np.uint64))
     counts = own.copy()
-    counts[at] = news["n"].to_numpy(np.int64)
+    counts[np.searchsorted(keys, news[0])] = news[1]
     return counts
 
 
+def _news(model: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of the bundled words, and of the bundled pairs."""
+    keys = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(_values(x, np.uint64)) for x in model["keys"]]])
+    counts = np.concatenate([np.zeros(0, np.int64), *[_values(x, np.int64) for x in model["counts"]]])
+    word = keys & np.uint64(1) == 1
+    return [(keys[word], counts[word]), (keys[~word], counts[~word])]
+
+
 def _scores(scale: Scale):
     def score(docs: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         keys = [word_keys(t) for t in docs["text"]]
         sizes = [len(k) for k in keys]
         train = np.repeat(~docs["held_out"].to_numpy(bool), sizes)
         key, before = np.concatenate(keys), np.concatenate([previous(k) for k in keys])
+        word_news, pair_news = _news(model)
         words, own = _tally(key, train)
-        count = _amended(words, own, model[model["kind"] == 1])
+        count = _amended(words, own, word_news)
         arcs, own = _tally(pair_keys(before, key), train)
-        arc_count = _amended(arcs, own, model[model["kind"] == 2])
+        arc_count = _amended(arcs, own, pair_news)
         at = int(np.searchsorted(words, START))
         words, count = np.insert(words, at, np.uint64(START)), np.insert(count, at, 0)
         automaton = Automaton(words, count, arcs, arc_count, scale)
@@ -215,7 +263,7 @@ def language_scores(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFr
     Pairs are smoothed by a Dirichlet prior whose strength follows from the pairs seen
     once. Null or empty texts are one end token. A null doc_id counts as the text "" in
     the fold rule and stays null; repeated rows are counted and scored as often as they
-    occur. Words are told apart by a 64-bit hash. Other columns are not read. An empty
+    occur. Words, and pairs, are told apart by 63 bits of a hash. Other columns are not read. An empty
     table gives no rows.
     """
     spark = docs.sparkSession
@@ -230,24 +278,24 @@ def language_scores(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFr
     part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(parts))
     rows = plain.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("split", part), F.lit(2**31 - 1)).cast("int").alias("bucket"))
 
-    by_key = Window.partitionBy("key", "kind")
-    known = rows.select("text", "held_out", "bucket").mapInArrow(_counts, "key long, kind int, bucket int, own int")
+    by_key = Window.partitionBy("key")
+    known = rows.select("text", "held_out", "bucket").mapInArrow(_counts, "key long, bucket int, own int")
     known = known.select(
-        "key", "kind", "bucket", "own", F.sum("own").over(by_key).alias("n"),
+        "key", "bucket", "own", F.sum("own").over(by_key).alias("n"),
         (F.row_number().over(by_key.orderBy("bucket")) == 1).alias("first"),
     )
     seen_once = Observation()
-    known = known.observe(seen_once, F.count_if(F.expr("kind = 2 and first and n = 1")).alias("once"))
+    known = known.observe(seen_once, F.count_if(F.expr("key & 1 = 0 and first and n = 1")).alias("once"))
     folder = f"{spark.sparkContext.getCheckpointDir()}/counts-{uuid.uuid4().hex}"
-    known.where("n <> own or (kind = 1 and first)").write.parquet(folder)
+    known.where("n <> own or (key & 1 = 1 and first)").write.option("compression", "zstd").parquet(folder)
     once = seen_once.get["once"]
     known = spark.read.parquet(folder)
-    words = known.where("kind = 1 and first and n > 0")
+    words = known.where("key & 1 = 1 and first and n > 0")
     bins = words.groupBy(F.floor(2 * F.log2("n")).alias("bin")).agg(
         F.count("*").alias("words"), F.sum("n").alias("uses"), F.sum(F.when(F.col("key") == END, F.col("n")).otherwise(0)).alias("ends")
     ).collect()
     contexts = [(x["words"] - (x["ends"] > 0), x["uses"] - x["ends"]) for x in bins] + [(1, size["texts"] or 0)]
     scale = Scale(sum(x["uses"] for x in bins), sum(x["words"] for x in bins), size["texts"] or 0, prior_strength(contexts, once))
-    news = known.where("n <> own").select("bucket", "kind", "key", "n")
+    news = known.where("n <> own").select("bucket", "key", "n").mapInArrow(_bundles, "bucket int, keys binary, counts binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("bucket").cogroup(news.groupBy("bucket")).applyInPandas(_scores(scale), schema)
