@@ -250,6 +250,23 @@ def test_verified_pieces_equal_brute_force():
         assert {m[0] for m in leaks.matches(host.decode(), index)} == want
 
 
+def test_a_piece_is_found_wherever_it_starts():
+    rng = random.Random(90)
+    text = leaks.normalised(words(rng, 60)).decode()
+    index = leaks.Index.build([(1, text)])
+    for at in range(len(text) - leaks.SEGMENT + 1):
+        # Marks around the piece are in no item, so neither side lengthens it.
+        host = words(rng, 20) + "#" + text[at : at + leaks.SEGMENT].replace(" ", "  ") + "#" + words(rng, 20)
+        found = leaks.matches(host, index)
+        assert [(m[0], m[3]) for m in found] == [(1, 0 if text[at] != " " and text[at + leaks.SEGMENT - 1] != " " else found[0][3])]
+    for _ in range(40):
+        at = rng.randrange(len(text) - leaks.SEGMENT)
+        s = list(text[at : at + leaks.SEGMENT])
+        for k in rng.sample(range(leaks.SEGMENT), leaks.edit_budget(leaks.SEGMENT)):
+            s[k] = "#"
+        assert [m[0] for m in leaks.matches("9" * 50 + "".join(s) + "9" * 50, index)] == [1]
+
+
 def test_leaks_of_odd_rows_and_blocks(spark, odd, none):
     rng = random.Random(10)
     passage = words(rng, 30)
