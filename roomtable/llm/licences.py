@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -16,8 +18,8 @@ from roomtable.llm.shared import whole_text, words_of
 
 #: Share of a template's words that must align.
 COVERAGE = 0.8
-#: Words of a text looked at together; neighbouring looks overlap by half.
-LOOK = 400
+#: Words from the first to the last aligned one, at most, as a multiple of the template's.
+SPAN = 1.25
 
 # Public licence notices, as their authors ask to have them written.
 TEMPLATES = {
@@ -51,6 +53,7 @@ TEMPLATES = {
 _FOUND = ArrayType(
     StructType([StructField("licence", StringType()), StructField("coverage", DoubleType()), StructField("first_word", LongType()), StructField("last_word", LongType())])
 )
+_SAYS = re.compile(rb"[0-9a-z\x80-\xff]")
 _EDGE = b".,;:()\"'!?$%&*#|<>[]{}-"
 
 
@@ -82,12 +85,35 @@ def _anchors(a: list[bytes], b: list[bytes], a0: int, a1: int, b0: int, b1: int)
     return chain[::-1]
 
 
+def _longest(a: list[bytes], b: list[bytes], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence of two ranges."""
+    own, theirs = set(a[a0:a1]), set(b[b0:b1])
+    left = [i for i in range(a0, a1) if a[i] in theirs]
+    right = [j for j in range(b0, b1) if b[j] in own]
+    rows = [[0] * (len(right) + 1)]
+    for i in left:
+        row = [0]
+        for k, j in enumerate(right):
+            row.append(rows[-1][k] + 1 if a[i] == b[j] else max(rows[-1][k + 1], row[k]))
+        rows.append(row)
+    pairs, n, k = [], len(left), len(right)
+    while n and k:
+        if a[left[n - 1]] == b[right[k - 1]]:
+            n, k = n - 1, k - 1
+            pairs.append((left[n], right[k]))
+        elif rows[n - 1][k] >= rows[n][k - 1]:
+            n -= 1
+        else:
+            k -= 1
+    return pairs[::-1]
+
+
 def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
     """Patience alignment: pairs (i, j) of equal words, increasing in both.
 
     Words unique to both sides anchor the alignment; each gap between anchors is aligned
     by itself, where other words may be unique. Equal words at both ends of a gap are
-    taken first. A gap without common unique words stays open.
+    taken first. A gap without common unique words takes a longest common subsequence.
     """
     found, work = [], [(0, len(a), 0, len(b))]
     while work:
@@ -102,6 +128,7 @@ def aligned(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
             continue
         chain = _anchors(a, b, a0, a1, b0, b1)
         if not chain:
+            found += _longest(a, b, a0, a1, b0, b1)
             continue
         edges = [(a0 - 1, b0 - 1), *chain, (a1, b1)]
         found += chain
@@ -124,37 +151,54 @@ class Scanner:
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(licence, coverage, first word, last word) of each template that the text covers well enough.
 
-        Only places that can reach the coverage are aligned: looks at the text in which
-        enough of the template's words occur, counted with repeats.
+        A copy leaves few of a template's words out, so it has one of any `missing + 1`.
+        Every place of the rarest of them in the text is held against the template with that
+        word fixed, as far as SPAN reaches, so each copy is aligned by itself.
         """
         words = licence_words(text)
         present = set(words)
+        fitting = [(name, template) for name, template in self.templates if sum(w in present for w in template) >= self.coverage * len(template)]
+        if not fitting:
+            return []
+        at = [i for i, w in enumerate(words) if _SAYS.search(w)]
+        words = [words[i] for i in at]
+        places: dict[bytes, list[int]] = {w: [] for _, template in fitting for w in template}
+        for i, w in enumerate(words):
+            if w in places:
+                places[w].append(i)
         found = []
-        for name, template in self.templates:
-            need = self.coverage * len(template)
-            if sum(w in present for w in template) < need:
-                continue
-            look = max(LOOK, 2 * len(template))
-            best = (0.0, 0, 0)
-            wanted = Counter(template)
-            hits = [i for i, w in enumerate(words) if w in wanted]
-            done = -1
-            for h in hits:
-                start = max(0, h - 1)
-                if start < done:
-                    continue
-                part = words[start : start + look]
-                done = start + look // 2
-                if sum((Counter(w for w in part if w in wanted) & wanted).values()) < need:
-                    continue
-                pairs = aligned(part, list(template))
-                share = len(pairs) / len(template)
-                if share > best[0]:
-                    best = (share, start + pairs[0][0], start + pairs[-1][0])
-            if best[0] >= self.coverage:
-                found.append((name, *best))
+        for name, template in fitting:
+            copy = self._best(words, places, template)
+            if copy:
+                found.append((name, len(copy) / len(template), at[copy[0][0]], at[copy[-1][0]]))
         return found
 
+    def _best(self, words: list[bytes], places: dict[bytes, list[int]], template: tuple[bytes, ...]) -> list[tuple[int, int]]:
+        """The aligned pairs of the copy that covers most of the template, the first in a tie; none below the coverage."""
+        size, wanted, own = len(template), Counter(template), list(template)
+        need = self.coverage * size
+        spare = int(SPAN * size) - size
+        order = sorted(range(size), key=lambda j: len(places[template[j]]))[: size - math.ceil(need - 1e-9) + 1]
+        best: list[tuple[int, int]] = []
+        for j in order:
+            for i in places[template[j]]:
+                low = max(0, i - j - spare)
+                left, right = words[low:i], words[i + 1 : i + size - j + spare]
+                if sum((Counter(w for w in (*left, words[i], *right) if w in wanted) & wanted).values()) < need:
+                    continue
+                pairs = [(low + x, y) for x, y in aligned(left, own[:j])] + [(i, j)] + [(i + 1 + x, j + 1 + y) for x, y in aligned(right, own[j + 1 :])]
+                pairs = _within(pairs, size + spare)
+                if len(pairs) >= need and (not best or (-len(pairs), pairs[0][0]) < (-len(best), best[0][0])):
+                    best = pairs
+        return best
+
+
+def _within(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
+    """The pairs without those at the looser end, until `span` words hold them."""
+    while pairs[-1][0] - pairs[0][0] >= span:
+        pairs = pairs[1:] if pairs[1][0] - pairs[0][0] >= pairs[-1][0] - pairs[-2][0] else pairs[:-1]
+    return pairs
+
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, licence, coverage, first_word, last_word, n_licences): the best licence of every row.
@@ -162,7 +206,8 @@ def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
     The best is the one with the most aligned words; ties go to the first name. Rows
     without a licence have nulls and n_licences 0, as have null and empty texts. A null
     doc_id stays null, repeated rows stay repeated, other columns are not read. The whole
-    text is searched, in overlapping looks, so memory follows the words of one text.
+    text is searched, so memory follows the words of one text. Words of marks alone count
+    as places but not in the span.
     """
     scanner = Scanner.of(templates or TEMPLATES, coverage)
     sizes = {name: len(words) for name, words in scanner.templates}

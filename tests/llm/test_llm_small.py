@@ -621,6 +621,17 @@ def test_licences_of_odd_rows(spark, odd, none):
     assert licences.licences(none).count() == 0
 
 
+def test_each_copy_of_a_notice_is_aligned_by_itself():
+    scan = licences.Scanner.of(licences.TEMPLATES).scan
+    notice = "Released under the MIT License."
+    assert scan(f"Foo bar. {notice} Baz. {notice} end") == [("MIT", 1.0, 2, 6)]
+    for name, text in licences.TEMPLATES.items():
+        lines = "\n * ".join(" ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+        for n in (1, 2, 5):
+            assert (name, 1.0) in {x[:2] for x in scan("start " + f"{lines} between the copies ".join([""] * (n + 1)) + "end")}
+    assert scan("released far " + "away " * 40 + "under " + "so " * 40 + "the " + "on " * 40 + "license mit") == []
+
+
 # chat
 
 
