@@ -53,6 +53,26 @@ TEMPLATES = {
 _FOUND = ArrayType(
     StructType([StructField("licence", StringType()), StructField("coverage", DoubleType()), StructField("first_word", LongType()), StructField("last_word", LongType())])
 )
+# Words that tell licences apart; those of a template must all align.
+_NAMES = frozenset(
+    b"apache mit bsd isc zlib mozilla mpl eclipse epl boost artistic unlicense gnu general gpl lgpl agpl lesser library affero creative commons cc cc0 attribution "
+    b"by by-nc by-sa by-nd by-nc-sa by-nc-nd nc sa nd noncommercial non-commercial sharealike share-alike noderivatives noderivs no-derivatives".split()
+)
+# Words that make another licence of the one named, by a word of its name.
+_OTHERWISE = {
+    b"gnu": frozenset(b"lesser library affero".split()),
+    b"mit": frozenset((b"no", b"no-attribution", b"attribution", b"bsd")),
+    b"bsd": frozenset((b"mit",)),
+    **dict.fromkeys(
+        (b"attribution", b"by", b"by-nc", b"by-sa"),
+        frozenset(
+            b"nc sa nd noncommercial non-commercial commercial sharealike share-alike share noderivatives noderivs no-derivatives noderivative derivatives "
+            b"nc-sa nc-nd noncommercial-sharealike noncommercial-noderivatives".split()
+        ),
+    ),
+}
+#: A version, with what its number is.
+_VERSION = re.compile(rb"v?([0-9]{1,2}(?:\.[0-9]+)*?)(?:\.0)*\+?")
 _SAYS = re.compile(rb"[0-9a-z\x80-\xff]")
 _EDGE = b".,;:()\"'!?$%&*#|<>[]{}-"
 
@@ -62,6 +82,18 @@ def licence_words(text: str) -> list[bytes]:
     return [w.strip(_EDGE) for w in words_of(text.lower())]
 
 
+def _numbered(word: bytes) -> bytes:
+    """The word, or the bare number of a version: 3 for v3 and 3.0."""
+    number = _VERSION.fullmatch(word) if word[:1].isdigit() or word[:1] == b"v" else None
+    return number[1] if number else word
+
+
+def _telling(template: tuple[bytes, ...]) -> frozenset[int]:
+    """Places of a template's words that tell it from other licences: names and versions."""
+    named = any(w in _NAMES for w in template)
+    return frozenset(j for j, w in enumerate(template) if w in _NAMES or named and _VERSION.fullmatch(w))
+
+
 def _anchors(a: list[bytes], b: list[bytes], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Pairs of words unique in both ranges, in the longest increasing order."""
     once_a, once_b = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -145,7 +177,7 @@ class Scanner:
 
     @staticmethod
     def of(templates: dict[str, str], coverage: float = COVERAGE) -> Scanner:
-        cut = ((name, tuple(filter(None, licence_words(t)))) for name, t in sorted(templates.items()))
+        cut = ((name, tuple(_numbered(w) for w in licence_words(t) if _SAYS.search(w))) for name, t in sorted(templates.items()))
         return Scanner(tuple((name, words) for name, words in cut if words), coverage)
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
@@ -153,15 +185,16 @@ class Scanner:
 
         A copy leaves few of a template's words out, so it has one of any `missing + 1`.
         Every place of the rarest of them in the text is held against the template with that
-        word fixed, as far as SPAN reaches, so each copy is aligned by itself.
+        word fixed, as far as SPAN reaches, so each copy is aligned by itself. Names and
+        versions must all align, without a word between that makes another licence of it.
         """
         words = licence_words(text)
-        present = set(words)
+        present = set(map(_numbered, set(words)))
         fitting = [(name, template) for name, template in self.templates if sum(w in present for w in template) >= self.coverage * len(template)]
         if not fitting:
             return []
         at = [i for i, w in enumerate(words) if _SAYS.search(w)]
-        words = [words[i] for i in at]
+        words = [_numbered(words[i]) for i in at]
         places: dict[bytes, list[int]] = {w: [] for _, template in fitting for w in template}
         for i, w in enumerate(words):
             if w in places:
@@ -178,7 +211,10 @@ class Scanner:
         size, wanted, own = len(template), Counter(template), list(template)
         need = self.coverage * size
         spare = int(SPAN * size) - size
-        order = sorted(range(size), key=lambda j: len(places[template[j]]))[: size - math.ceil(need - 1e-9) + 1]
+        telling = _telling(template)
+        otherwise = frozenset().union(*(_OTHERWISE.get(template[j], ()) for j in telling)) - wanted.keys()
+        rare = lambda j: (len(places[template[j]]), j)
+        order = [min(telling, key=rare)] if telling else sorted(range(size), key=rare)[: size - math.ceil(need - 1e-9) + 1]
         best: list[tuple[int, int]] = []
         for j in order:
             for i in places[template[j]]:
@@ -188,11 +224,20 @@ class Scanner:
                     continue
                 pairs = [(low + x, y) for x, y in aligned(left, own[:j])] + [(i, j)] + [(i + 1 + x, j + 1 + y) for x, y in aligned(right, own[j + 1 :])]
                 pairs = _within(pairs, size + spare)
+                if not telling <= {y for _, y in pairs} or otherwise and _changed(words, pairs, telling, otherwise):
+                    continue
                 if len(pairs) >= need and (not best or (-len(pairs), pairs[0][0]) < (-len(best), best[0][0])):
                     best = pairs
         return best
 
 
+def _changed(words: list[bytes], pairs: list[tuple[int, int]], telling: frozenset[int], otherwise: frozenset[bytes]) -> bool:
+    """Whether a word of `otherwise` stands from the licence's name to the end of the copy, or next to it."""
+    first = min(x for x, y in pairs if y in telling)
+    last = max(pairs[-1][0], max(x for x, y in pairs if y in telling) + 1)
+    return any(w in otherwise for w in words[first : last + 1])
+
+
 def _within(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
     """The pairs without those at the looser end, until `span` words hold them."""
     while pairs[-1][0] - pairs[0][0] >= span:

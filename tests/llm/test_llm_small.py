@@ -632,6 +632,26 @@ def test_each_copy_of_a_notice_is_aligned_by_itself():
     assert scan("released far " + "away " * 40 + "under " + "so " * 40 + "the " + "on " * 40 + "license mit") == []
 
 
+def test_words_that_tell_licences_apart_must_align():
+    scan = licences.Scanner.of(licences.TEMPLATES).scan
+    for other in (
+        "Licensed under CC BY 4.0.", "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC 3.0.", "Released under the BSD License.", "Released under the MIT No Attribution License.",
+        "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the Apache License, Version 1.1.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution 3.0 International License.", licences.TEMPLATES["GPL-3.0 header"].replace("GNU", "GNU Lesser"),
+    ):
+        assert scan(other) == [] and scan(f"so {other} and {other} on") == []
+    for own, name in (
+        ("Licensed under the MIT License", "MIT"), ("Licensed under CC BY-NC, 4.0", "CC-BY-NC-4.0"), ("This is licensed under the GNU General Public License v3", "GPL-3.0"),
+        ("This work is licensed under the GNU General Public License, version 3.0", "GPL-3.0"), ("This work is under a Creative Commons Attribution 4.0 International License", "CC-BY-4.0"),
+    ):
+        assert [x[0] for x in scan(own)] == [name]
+    two = "This work is licensed under the GNU Lesser General Public License, version 3. This work is licensed under the GNU General Public License, version 3."
+    assert scan(two) == [("GPL-3.0", 1.0, 13, 24)]
+
+
 # chat
 
 
