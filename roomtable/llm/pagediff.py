@@ -6,11 +6,12 @@ import itertools
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType
 from pyspark.sql.window import Window
 
 from roomtable.llm.pagelines import Line, lines_of
@@ -19,16 +20,16 @@ from roomtable.llm.shared import cut_lineage
 #: Pages of one host whose neighbours one task finds; a larger host is dealt to several.
 NEIGHBOURS_AT_ONCE = 2000
 
-_OUTLINE = StructType([StructField("text", ArrayType(StringType())), StructField("framed", ArrayType(BooleanType())), StructField("outer", ArrayType(StringType()))])
+#: Bytes that stand for a line; pages are compared two at a time, so few suffice.
+_MARK = 6
 
 
-def outer_lines(lines: list[Line]) -> list[str]:
-    """Lines that differencing may delete: those outside an article the page marks itself."""
-    marked = any(x.main and not x.framed for x in lines)
-    return [x.text for x in lines if not (marked and x.main and not x.framed)]
+def line_marks(lines: list[Line]) -> list[bytes]:
+    """A mark for each line of the page, equal for equal texts."""
+    return [blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=_MARK).digest() for x in lines]
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Places in `a` of a longest common subsequence of lines.
 
     Hunt and Szymanski's way: the matches of each line, last first, extend chains kept by
@@ -40,7 +41,7 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[object, list[int]] = defaultdict(list)
     for j in range(len(b) - tail - 1, head - 1, -1):
         places[b[j]].append(j)
     ends: list[int] = []
@@ -61,15 +62,17 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return chain
 
 
-def main_text(lines: list[Line], other: list[str]) -> str:
+def main_text(lines: list[Line], other: list[bytes]) -> str:
     """Blocks that are neither shared with the other page nor furniture by their markup.
 
-    Inside an article that the page marks, a line is never furniture for being shared:
-    articles quote each other. Elsewhere shared lines go, and lines that are mostly links.
+    Shared lines go, also inside an article that the page marks, unless they are half of
+    the article or more: then the other page holds the same article. Where the page marks
+    none, lines that are mostly links go too.
     """
-    marked = any(x.main and not x.framed for x in lines)
-    outer = [k for k, x in enumerate(lines) if not (marked and x.main and not x.framed)]
-    shared = {outer[k] for k in common_lines([lines[k].text for k in outer], other)}
+    marked = [k for k, x in enumerate(lines) if x.main and not x.framed]
+    shared = common_lines(line_marks(lines), other)
+    if 2 * len(shared.intersection(marked)) >= len(marked):
+        shared -= set(marked)
     kept = [
         x.text for k, x in enumerate(lines)
         if k not in shared and not x.framed and (x.main if marked else not x.linked)
@@ -78,12 +81,12 @@ def main_text(lines: list[Line], other: list[str]) -> str:
 
 
 def _outlines(pages: pd.Series) -> pd.Series:
-    return pd.Series([outer_lines(lines_of(page)) for page in pages], dtype=object)
+    return pd.Series([b"".join(line_marks(lines_of(page))) for page in pages], dtype=object)
 
 
 def _texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for pages, others in batches:
-        yield pd.Series([main_text(lines_of(p), [] if o is None else list(o)) for p, o in zip(pages, others, strict=True)], dtype=object)
+        yield pd.Series([main_text(lines_of(p), [] if o is None else [o[k : k + _MARK] for k in range(0, len(o), _MARK)]) for p, o in zip(pages, others, strict=True)], dtype=object)
 
 
 def nearest(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
@@ -122,13 +125,13 @@ def main_texts(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame
     """(page_id, url, text, n_chars) of every row of `pages`.
 
     The lines a page shares with the nearest page of its host, by longest common
-    subsequence, are deleted; then what the markup frames as navigation, advert, form or
+    subsequence, are deleted, inside a marked article too unless half of it is shared; then what the markup frames as navigation, advert, form or
     comment. Null or blank html gives the empty text. Pages without a url, or alone on
     their host, have no neighbour and keep what the markup leaves. Repeated rows are
     treated alike; page_id may be null or repeated. Other columns are not read.
     """
     page = F.coalesce(F.col("html"), F.lit(""))
-    outline = F.pandas_udf(_outlines, ArrayType(StringType()))(page)
+    outline = F.pandas_udf(_outlines, BinaryType())(page)
     own = pages.select("url", outline.alias("outline")).where("url is not null")
     bare = F.lower(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))
     host = F.regexp_extract(bare, r"^([^/?#]*)", 1)

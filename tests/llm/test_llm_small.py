@@ -595,6 +595,16 @@ def test_shared_lines_go_and_articles_stay(spark):
     assert {r["page_id"]: r["text"] for r in pagediff.main_texts(pages, 1).collect()}[6] == "Quote\nOwn 1"
 
 
+def test_a_line_repeated_inside_articles_goes(spark):
+    page = "<nav>Menu</nav><main><p>{0} one</p><div>Get our offers</div><p>{0} two</p><p>{0} three</p></main><footer>End</footer>"
+    rows = [(k, f"http://a.example/x/{k}", page.format(w)) for k, w in enumerate(("first", "second", "third"))]
+    copy = page.format("first").replace("first two", "first 2")
+    rows += [(8, "http://b.example/1", page.format("first")), (9, "http://b.example/2", copy)]
+    got = {r["page_id"]: r["text"] for r in pagediff.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(3)] == [f"{w} one\n{w} two\n{w} three" for w in ("first", "second", "third")]
+    assert got[8] == "first one\nGet our offers\nfirst two\nfirst three" and got[9] == got[8].replace("two", "2")
+
+
 # licences
 
 
