@@ -21,6 +21,13 @@ FRAME_WORDS = frozenset(
     "cookie cookies consent notice alert popup modal newsletter subscribe signup login search share sharing social comment comments reply replies respond disqus "
     "related recommended recommendations pagination pager widget toolbar copyright disclaimer contentinfo complementary header topbar skip tags".split()
 )
+# Words of compounds that leave a frame word's meaning, as in site-footer and nav-list.
+FRAME_PARTS = frozenset(
+    "site page main top bottom left right primary secondary global mobile desktop area bar block box container form group inner item items link links list outer "
+    "panel posts row section slot thread unit wrap wrapper js".split()
+)
+# Frame words for parts of a layout, which some pages also put around everything.
+LAYOUT_WORDS = frozenset("nav navbar navigation menu sidebar aside footer masthead popup modal login search widget toolbar header topbar skip alert notice".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
@@ -40,17 +47,58 @@ class Line:
     linked: bool
 
 
-def _frames(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in FRAME and not (name == "header" and inside_main):
-        return True
+#: How an element frames: not at all, as a part of the layout, or whatever it holds.
+_OPEN, _LAYOUT, _FIRM = range(3)
+
+
+def _frames(name: str, attributes: str, inside_main: bool) -> int:
+    if name == "form":
+        found = _LAYOUT
+    elif name in FRAME and not (name == "header" and inside_main):
+        return _FIRM
+    else:
+        found = _OPEN
     if _HIDDEN.search(attributes):
-        return True
-    if name in ("body", "html", *MAIN):
-        return False
+        return _FIRM
+    if name in ("body", "html"):
+        return found
     for groups in _NAMES.finditer(attributes):
-        if FRAME_WORDS & set(_WORD.findall((groups[1] or groups[2] or groups[3] or "").lower())):
-            return True
-    return False
+        for whole in (groups[1] or groups[2] or groups[3] or "").lower().split():
+            parts = set(_WORD.findall(whole))
+            words = parts & FRAME_WORDS
+            if not words or parts - FRAME_WORDS - FRAME_PARTS or inside_main and words == {"header"}:
+                continue
+            if words - LAYOUT_WORDS:
+                return _FIRM
+            found = _LAYOUT
+    return found
+
+
+@dataclass(frozen=True)
+class _Found:
+    text: str
+    firm: bool
+    layout: tuple[int, ...]  # elements around the line that frame it as parts of the layout
+    main: bool
+    linked: bool
+    title: bool
+
+
+def _settled(found: list[_Found], mains: list[tuple[bool, tuple[int, ...]]]) -> list[Line]:
+    """The lines, where an element does not frame that holds most of the text or the page's one article.
+
+    Only parts of the layout are let go; adverts, comments and the like are framed however
+    long they are. One article with a title outside that stays is a teaser.
+    """
+    size: dict[tuple[int, ...], int] = {(): 0}
+    for x in found:
+        if not x.firm:
+            size[x.layout] = size.get(x.layout, 0) + len(x.text)
+    most = max(size, key=size.get)
+    free = set(most) if size[most] > size[()] else set()
+    if len(mains) == 1 and not mains[0][0] and not any(x.title and not (x.firm or x.layout or x.main) for x in found):
+        free |= set(mains[0][1])
+    return [Line(x.text, x.firm or not free.issuperset(x.layout), x.main, x.linked) for x in found]
 
 
 def lines_of(page: str) -> list[Line]:
@@ -59,28 +107,32 @@ def lines_of(page: str) -> list[Line]:
     White space inside a block, line breaks included, becomes one space; character
     references are decoded. Silent elements give nothing.
     """
-    found: list[Line] = []
+    found: list[_Found] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, framed, main
-    links = at = length = linked = 0
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # name, firm, layout, main
+    mains: list[tuple[bool, tuple[int, ...]]] = []
+    links = at = length = linked = free = elements = 0
 
     def end_block() -> None:
-        nonlocal length, linked
+        nonlocal length, linked, free
         if pieces:
             text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             pieces.clear()
             if text:
-                _, framed, main = stack[-1] if stack else ("", False, False)
-                found.append(Line(text, framed, main, 2 * linked > length))
-        length = linked = 0
+                name, firm, layout, main = stack[-1] if stack else ("", False, (), False)
+                # A paragraph with words of its own is no list of links.
+                mostly = linked >= length - free if name == "p" else 2 * linked > length
+                found.append(_Found(text, firm, layout, main, bool(linked) and mostly, name == "h1"))
+        length = linked = free = 0
 
     def take(piece: str) -> None:
-        nonlocal length, linked
+        nonlocal length, linked, free
         if piece:
             pieces.append(piece)
             size = len(piece.strip())
             length += size
             linked += size if links else 0
+            free += 0 if links or any(map(str.isalnum, piece)) else size
 
     while at < len(page):
         tag = _TAG.search(page, at)
@@ -117,9 +169,14 @@ def lines_of(page: str) -> list[Line]:
                 ended = _SELF_ENDING.get(name)
                 while ended and stack and stack[-1][0] in ended:
                     stack.pop()
-                _, framed, main = stack[-1] if stack else ("", False, False)
-                stack.append((name, framed or _frames(name, tag[3], main), main or name in MAIN))
-        elif name in ("span", "section") and not closing and _frames(name, tag[3] or "", True):
-            continue
+                _, firm, layout, main = stack[-1] if stack else ("", False, (), False)
+                framing = _frames(name, tag[3], main)
+                firm = firm or framing == _FIRM
+                if framing == _LAYOUT:
+                    elements += 1
+                    layout = (*layout, elements)
+                if name in MAIN and not main:
+                    mains.append((firm, layout))
+                stack.append((name, firm, layout, main or name in MAIN))
     end_block()
-    return found
+    return _settled(found, mains)

@@ -605,6 +605,22 @@ def test_a_line_repeated_inside_articles_goes(spark):
     assert got[8] == "first one\nGet our offers\nfirst two\nfirst three" and got[9] == got[8].replace("two", "2")
 
 
+def test_frames_are_whole_names_and_never_most_of_a_page():
+    text = lambda page: pagediff.main_text(pagelines.lines_of(page), [])
+    body = "<p>A body of some words</p><p>and more of it</p>"
+    whole = "A body of some words\nand more of it"
+    for name in ("has-sidebar", "no-sidebar", "with-header", "sidebar", "header"):
+        assert text(f"<div class='{name}'><article>{body}</article></div>") == whole
+        assert text(f"<div class='{name}'>{body}</div><div>short</div>").startswith(whole)
+    assert text(f"<form>{body}</form>") == whole
+    assert text(f"<article><header class='entry-header header'><h1>Title</h1></header>{body}</article>") == "Title\n" + whole
+    assert text(f"<div>{body}</div>" + "<article class='comment'><p>I think that this is right, and so on and on</p></article>" * 3) == whole
+    assert text(f"<div>{body}</div><div class='site-footer'>End</div><div id='ad-300'>Buy</div><ul class='nav-list'><li>Home</li></ul>") == whole
+    assert text(f"<div class='sidebar'><article>Teaser</article></div><h1>Title</h1>{body}") == "Title\n" + whole
+    assert text("<div class='ad'>Buy this now</div>") == ""
+    assert text("<p>See <a href='x'>a long name of some other page</a> too</p><p><a href='x'>Home</a> | <a href='y'>Up</a></p>") == "See a long name of some other page too"
+
+
 # licences
 
 
