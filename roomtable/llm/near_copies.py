@@ -68,7 +68,7 @@ def _visits(levels: int):
     return visit
 
 
-def _links_of_group(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _links_of_group(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     fps, side = rows["fp"].to_numpy(np.int64).view(np.uint64), rows["side"].to_numpy()
     alone = key[1] == key[2] and key[3] == key[4]
     links = vantage.spanning_links(fps[side == 0], None if alone else fps[side == 1], int(key[0]))
@@ -112,6 +112,19 @@ def near_links(distinct: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     return dealt.groupBy("half", "lo", "hi", "lo_part", "hi_part").applyInPandas(_links_of_group, "a long, b long")
 
 
+def _grouped(docs: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; a component has one root, a fingerprint."""
+    own = cut_lineage(fingerprints(docs))
+    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(near_links(distinct.select("fp"), shard_size))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root")
+    )
+    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_print = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return own.join(by_print, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_copies(docs: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of `docs`.
 
@@ -122,34 +135,30 @@ def near_copies(docs: DataFrame, shard_size: int = SHARD_SIZE) -> DataFrame:
     doc_id keeps its fingerprint and gets its group's id, null if nobody there has one.
     An empty table gives no rows.
     """
-    own = cut_lineage(fingerprints(docs))
-    distinct = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(near_links(distinct.select("fp"), shard_size))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = rooted.join(ids, "root").select("fp", "component_id")
-    return own.join(by_print, "fp").select(
+    return _grouped(docs, shard_size).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, with all columns, less all near copies but the one of smallest doc_id.
+    """The rows of `docs`, with all columns, less all near copies but one row of each group.
 
-    Of several rows with that id the first by text stays. Rows without doc_id cannot be
-    told apart from their copies by id and all stay.
+    The row of smallest doc_id stays, of several with that id the first by text. Rows are
+    judged by their own text: of two unrelated texts under one id neither goes. Rows
+    without doc_id cannot be told apart from their copies by id and all stay.
     """
-    groups = near_copies(docs.where("doc_id is not null"))
-    gone = cut_lineage(groups.where("doc_id <> component_id").select("doc_id").distinct())
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    groups = cut_lineage(_grouped(docs.where("doc_id is not null")))
+    again = cut_lineage(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     if again.isEmpty():
-        return kept
-    again = cut_lineage(again)
-    first = Window.partitionBy("doc_id").orderBy("text")
-    name = "_nth_of_" + "_".join(docs.columns)[:40]
-    repeated = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
-    once = repeated.withColumn(name, F.row_number().over(first)).where(F.col(name) == 1).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    alone = docs.join(gone.union(again).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    of_text = groups.join(again, "doc_id", "left_semi").distinct()
+    repeated = docs.join(again, "doc_id", "left_semi").select("doc_id", whole_text().alias("text"), F.struct(*docs.columns).alias("row"))
+    first = Window.partitionBy("root", "doc_id").orderBy("text")
+    once = (
+        repeated.withColumn("fp", _simhash_column("text"))
+        .join(of_text, ["doc_id", "fp"]).where("doc_id = component_id")
+        .withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    )
+    return alone.union(once.select("row.*"))

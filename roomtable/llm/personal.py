@@ -58,7 +58,8 @@ def base_spans(text: str) -> list[Span]:
     """Matches of the four fixed patterns, leftmost and not overlapping within a kind."""
     found = [("email", *s) for s in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        parts = [x.lstrip("0") for x in m[0].split(".")]
+        if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
             found.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m[0])

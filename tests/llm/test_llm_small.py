@@ -152,6 +152,23 @@ def test_one_of_each_keeps_one_row_of_a_group(odd, none):
     assert near_copies.one_of_each(none).count() == 0
 
 
+def test_one_of_each_judges_rows_not_ids(spark):
+    rng = random.Random(12)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    for given, kept in (
+        ([(5, a), (5, b)], [(5, a), (5, b)]),
+        ([(3, b), (5, a), (5, b)], [(3, b), (5, a)]),
+        ([(1, a), (2, b), (2, b), (2, c), (4, c), (4, a), (None, a)], [(1, a), (2, b), (2, c), (None, a)]),
+    ):
+        rows = near_copies.one_of_each(docs_of(spark, given)).collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in rows), key=str) == sorted(kept, key=str)
+
+
+def test_address_of_long_parts():
+    zeros = "0" * 5000
+    assert [s for s in personal.base_spans(f"{zeros}7.1.2.3 {'9' * 5000}.1.1.1") if s[0] == "ip"] == [("ip", 0, 5007)]
+
+
 # quality
 
 
