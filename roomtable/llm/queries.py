@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from roomtable.llm.shared import table
 
@@ -105,3 +106,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from roomtable.llm.toolcalls import chat_lines
 
     return chat_lines(table(spark, sf_dir, "conversations"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(
+    "op11_line_runs",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS place,
+                      string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT r, place, i, lines[i] AS line,
+                 translate(trim(lines[i], {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+    k AS (SELECT key, min(place) AS owner FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT place) > 1),
+    f AS (SELECT l.r, l.i, l.line, coalesce(l.place > k.owner, false) AS gone FROM l LEFT JOIN k ON l.key = k.key),
+    t AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+                 coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM f GROUP BY r)
+    SELECT d.doc_id, t.n_lines, t.n_dropped, sha256(t.kept) AS kept_sha256 FROM t JOIN d ON d.r = t.r
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.line_runs import without_repeated_lines
+
+    kept = without_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
