@@ -131,3 +131,63 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = without_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op12_collocations",
+    r"""
+    WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+    n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+    f AS MATERIALIZED (SELECT lang, ph, count(*) AS f FROM (
+        SELECT lang, w[i:i + m - 1] AS ph FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) AS l(m)))
+      GROUP BY lang, ph HAVING count(*) >= 100),
+    c AS (SELECT f.lang, f.ph, f.f AS a, k, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * f.f * n.n) // (x.f::HUGEINT * y.f) AS score
+      FROM (SELECT *, unnest(range(1, len(ph))) AS k FROM f) AS f
+      JOIN f AS x ON x.lang = f.lang AND x.ph = f.ph[1:k] JOIN f AS y ON y.lang = f.lang AND y.ph = f.ph[k + 1:] JOIN n ON n.lang = f.lang
+      QUALIFY row_number() OVER (PARTITION BY f.lang, f.ph ORDER BY score, k) = 1),
+    s AS (SELECT DISTINCT e.lang, e.ph FROM (
+        SELECT lang, f, ph AS whole, ph[i:i + m - 1] AS ph FROM (SELECT *, unnest(range(1, len(ph) - m + 2)) AS i FROM f, range(2, 5) AS l(m) WHERE m < len(ph))) AS e
+      JOIN f ON f.lang = e.lang AND f.ph = e.ph WHERE 100 * e.f >= 100 * f.f)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+    FROM (SELECT *, array_to_string(ph, ' ') AS phrase FROM c ANTI JOIN s ON s.lang = c.lang AND s.ph = c.ph) QUALIFY rank <= 2000
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _means_sql(rounds: int = 5) -> str:
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS q
+           FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), q) - 1 AS c, q
+           FROM v WHERE vec_id IS NOT NULL QUALIFY c < 40)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""a{k} AS MATERIALIZED (SELECT * FROM (
+              SELECT v.r, v.vec_id, v.q, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS d
+              FROM v, c{k} AS c) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""c{k + 1} AS MATERIALIZED (SELECT c{k}.c, coalesce(m.q, c{k}.q) AS q FROM c{k} LEFT JOIN (
+                  SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY i) AS q FROM (
+                    SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(q) AS x FROM a{k}) GROUP BY c, i)
+                  GROUP BY c) AS m ON m.c = c{k}.c)"""
+            )
+    return f"""WITH {", ".join(steps)}
+    SELECT a.vec_id, a.c::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+           (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM a{rounds} AS a JOIN c{rounds} AS c ON c.c = a.c"""
+
+
+@query("op13_pivot_clusters", _means_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from roomtable.llm.pivots import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
