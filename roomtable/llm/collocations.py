@@ -33,6 +33,8 @@ SHARE = 100
 #: Words whose windows a task sorts at a time, and words of a range whose windows a task merges.
 CHUNK_WORDS = 1_500_000
 RANGE_WORDS = 3_000_000
+#: Most frequent words whose numbers are broadcast; they come to a few MB.
+COMMON_WORDS = 1 << 18
 #: Places of each chunk from which the bounds of the ranges are drawn: only the balance of tasks hangs on them.
 SAMPLED_PLACES = 64
 _SLICE = 1 << 22
@@ -113,18 +115,30 @@ def _chunk_schema() -> pa.Schema:
     )
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks in numbers of the vocabulary; a rarer word ends a piece just as a break does."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1)
-            codes = np.frombuffer(row.column("tokens")[0].as_buffer(), np.uint32)
-            to = np.zeros(int(codes.max(initial=0)) + 1, np.uint32)
-            to[row.column("pos").flatten().to_numpy() + _FIRST] = row.column("id").flatten().to_numpy()
-            now = to[codes]
-            stays = (now != 0) | (np.concatenate([[1], now[:-1]]) != 0)
-            own = int(stays[: row.column("own")[0].as_py()].sum())
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([now[stays].tobytes()], pa.binary())], ["own", "ids"])
+def _numbered(common):
+    """Chunks in numbers of the vocabulary; a rarer word ends a piece just as a break does.
+
+    `common` holds the numbers of the most frequent words by language; those of other words,
+    if there are any, stand in the columns pos and id.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                codes = np.frombuffer(row.column("tokens")[0].as_buffer(), np.uint32)
+                get = common.value.get(row.column("lang")[0].as_py(), {}).get
+                words = row.column("words")[0].as_py()
+                to = np.zeros(len(words) + _FIRST, np.uint32)
+                to[_FIRST:] = np.fromiter((get(w, 0) for w in words), np.uint32, len(words))
+                if "pos" in batch.schema.names and row.column("pos")[0].is_valid:
+                    to[row.column("pos").flatten().to_numpy() + _FIRST] = row.column("id").flatten().to_numpy()
+                now = to[codes]
+                stays = (now != 0) | (np.concatenate([[1], now[:-1]]) != 0)
+                own = int(stays[: row.column("own")[0].as_py()].sum())
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.int64()), pa.array([now[stays].tobytes()], pa.binary())], ["own", "ids"])
+
+    return rows
 
 
 def windows(ids: np.ndarray, own: int, backward: bool = False) -> np.ndarray:
@@ -313,12 +327,28 @@ def _bounds(numbered: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vocabulary(words: DataFrame, least: int) -> DataFrame:
-    """(lang, word, id) of the words counted at least `least` times, numbered from 1 in their order."""
+    """(lang, word, f, id) of the words counted at least `least` times, numbered from 1 in their order."""
     frequent = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return _in_sorted_order(frequent.select("lang", "word"), "lang", "word")
-
-
-def phrase_counts(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_WORDS, range_words: int = RANGE_WORDS):
+    return _in_sorted_order(frequent, "lang", "word")
+
+
+def _in_numbers(chunks: DataFrame, words: DataFrame, vocabulary: DataFrame, common_words: int) -> DataFrame:
+    """(own, ids) of every chunk: the most frequent words by a broadcast of at most `common_words`, others by a join."""
+    first = vocabulary.orderBy(F.desc("f"), "id").limit(common_words).collect()
+    common: dict[str, dict[str, int]] = defaultdict(dict)
+    for x in first:
+        common[x["lang"]][x["word"]] = x["id"]
+    known = chunks.select("chunk", "lang", "own", "tokens", "words")
+    if len(first) == common_words:
+        last = first[-1]
+        others = vocabulary.where((F.col("f") < last["f"]) | ((F.col("f") == last["f"]) & (F.col("id") > last["id"])))
+        ids = words.join(others.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
+        known = known.join(ids, "chunk", "left").select(*known.columns, F.col("ids.pos").alias("pos"), F.col("ids.id").alias("id"))
+    shared = chunks.sparkSession.sparkContext.broadcast(dict(common))
+    return known.mapInArrow(_numbered(shared), "own long, ids binary")
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_WORDS, range_words: int = RANGE_WORDS, common_words: int = COMMON_WORDS):
     """Phrases with their counts along both orders, the vocabulary, and words by language.
 
     Gives (phrases, vocabulary, totals): phrases (key, f, tails, heads, stands_for) of one to
@@ -340,10 +370,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_
     words = words.select("chunk", "lang", "pos", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     totals = chunks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
     vocabulary = kept(_vocabulary(words, least), "vocabulary")
-    ids = words.select("chunk", "lang", "pos", "word").join(vocabulary, ["lang", "word"])
-    ids = ids.groupBy("chunk").agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
-    known = chunks.select("chunk", "own", "tokens").join(ids, "chunk").select("own", "tokens", F.col("ids.pos").alias("pos"), F.col("ids.id").alias("id"))
-    numbered = kept(known.mapInArrow(_numbered, "own long, ids binary"), "numbered")
+    numbered = kept(_in_numbers(chunks, words, vocabulary, common_words), "numbered")
     places = numbered.agg(F.sum("own")).first()[0] or 0
     forward, backward = _bounds(numbered, max(1, -(-places // range_words)))
     blocks = numbered.mapInArrow(_blocks(forward), "part int, n int, block binary")
@@ -354,7 +381,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_
     return cut_lineage(_walked(ends, forward, False).unionByName(of_ends)), vocabulary, totals
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, chunk_words: int = CHUNK_WORDS, range_words: int = RANGE_WORDS) -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = LEAST, top: int = TOP, chunk_words: int = CHUNK_WORDS, range_words: int = RANGE_WORDS, common_words: int = COMMON_WORDS
+) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best `top` phrases.
 
     Words are runs of other than space and tab within pieces between breaks, A-Z lower-cased.
@@ -365,7 +394,7 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, chunk_word
     and other columns are not read; an empty table gives no rows. Score, count and phrase
     (in byte order) settle all ties.
     """
-    phrases, vocabulary, totals = phrase_counts(docs, least, chunk_words, range_words)
+    phrases, vocabulary, totals = phrase_counts(docs, least, chunk_words, range_words, common_words)
     stood_for = phrases.where("stands_for is not null").select(F.col("stands_for").alias("key")).distinct()
     left = phrases.where("size(heads) > 0").join(stood_for, "key", "left_anti").select("key", F.col("f").alias("a"), "heads", "tails")
     number = F.conv(F.hex(F.substring("key", 4 * F.col("k") - 3, 4)), 16, 10).cast("long")

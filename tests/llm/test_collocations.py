@@ -53,10 +53,11 @@ def made(seed, docs, vocabulary):
     return [*texts, (None, "en"), ("", None), (None, None), (" \t", "de"), texts[0], texts[0]]
 
 
-@pytest.mark.parametrize("least, top, chunk_words, range_words", [(3, 50, 10_000, 10_000), (2, 2000, 37, 60), (5, 7, 6, 25)])
-def test_phrases_equal_plain_counts(spark, least, top, chunk_words, range_words):
+@pytest.mark.parametrize("least, top, chunk_words, range_words, common", [(3, 50, 10_000, 10_000, 1000), (2, 2000, 37, 60, 10), (5, 7, 6, 25, 1)])
+def test_phrases_equal_plain_counts(spark, least, top, chunk_words, range_words, common):
+    """Many small chunks and ranges; with few common words the others' numbers are joined in."""
     rows = made(least, 80, 9)
-    found = collocations.collocations(table_of(spark, rows), least, top, chunk_words, range_words)
+    found = collocations.collocations(table_of(spark, rows), least, top, chunk_words, range_words, common)
     assert rows_of(found) == plain(rows, least, top)
 
 
