@@ -249,16 +249,14 @@ def hotspots(differing: DataFrame, keys: Sequence[str], top: int = MAX_HOTSPOTS)
     known = cut_lineage(differing)
     parts = R.components(M.merged(known.select(*keys, "y", "x0", "x1"), keys), keys, 8)
     facts = R.part_facts(parts, keys)
-    # zone stretches lie inside one run each: find it by row and overlap
-    zoned = (
-        known.select(*keys, "y", F.col("x0").alias("z0"), F.col("x1").alias("z1"), "zone")
-        .join(parts, [*keys, "y"])
-        .where((F.col("z0") >= F.col("x0")) & (F.col("z1") <= F.col("x1")))
-        .groupBy(*keys, "part")
-        .agg(
-            F.sum(F.when(F.col("zone") == "at_frame", F.col("z1") - F.col("z0") + 1).otherwise(0)).alias("_f"),
-            F.sum(F.when(F.col("zone") == "along_junction", F.col("z1") - F.col("z0") + 1).otherwise(0)).alias("_j"),
-        )
+    # zone stretches lie inside one run each: the last one that began carries its part
+    stretch = known.select(*keys, "y", F.col("x0").alias("x"), (F.col("x1") - F.col("x0") + 1).alias("_size"), "zone", F.lit(1).alias("_side"))
+    begun = parts.select(*keys, "y", F.col("x0").alias("x"), "part", F.lit(0).alias("_side"))
+    along = Window.partitionBy(*keys, "y").orderBy("x", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = stretch.unionByName(begun, allowMissingColumns=True).withColumn("part", F.last("part", ignorenulls=True).over(along))
+    zoned = carried.where("_side = 1").groupBy(*keys, "part").agg(
+        F.sum(F.when(F.col("zone") == "at_frame", F.col("_size")).otherwise(0)).alias("_f"),
+        F.sum(F.when(F.col("zone") == "along_junction", F.col("_size")).otherwise(0)).alias("_j"),
     )
     order = Window.partitionBy(*keys).orderBy(F.desc("pixels"), "part")
     ranked = (
@@ -402,17 +400,27 @@ def score_candidates(rows: DataFrame, traits: DataFrame, key: str) -> DataFrame:
 def bleed_by_role(shapes: DataFrame, prediction: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Painted-over area per exclusion role, and thin objects lost.
 
-    shapes: keys, shape_id, role, thin and runs; prediction: keys and runs. A thin
-    object is lost when more than half of it is painted.
+    shapes: keys, shape_id, role, thin and runs; prediction: keys and runs, apart from each
+    other in a row. A thin object is lost when more than half of it is painted. The painted
+    length up to a column is a running sum along the row, read at both ends of each run of
+    a shape; so the prediction is read once, however many shapes there are.
     """
+    keys = list(keys)
     keyed = [*keys, "shape_id", "role", "thin"]
-    owners = shapes.select(*keyed).distinct()
-    painted = prediction.join(owners, list(keys)).select(*keyed, "y", "x0", "x1")
-    swept = M.stretches(M.gather({"s": shapes, "p": painted}, keyed), keyed, ["s", "p"])
     size = F.col("x1") - F.col("x0") + 1
-    each = swept.where(F.col("s") > 0).groupBy(*keyed).agg(
-        F.sum(size).alias("_area"),
-        F.sum(F.when(F.col("p") > 0, size).otherwise(0)).alias("_over"),
+    ends = F.array(
+        F.struct((F.col("x0") - 1).alias("x"), F.lit(-1).alias("sign"), F.lit(0).cast("bigint").alias("own")),
+        F.struct(F.col("x1").alias("x"), F.lit(1).alias("sign"), size.alias("own")),
+    )
+    asked = shapes.select(*keyed, "y", F.explode(ends).alias("e")).select(*keyed, "y", "e.*", F.lit(1).alias("_ask"))
+    painted = prediction.select(*keys, "y", F.col("x0").alias("x"), size.alias("_size"), F.col("x1").alias("_end"), F.lit(0).alias("_ask"))
+    along = Window.partitionBy(*keys, "y").orderBy("x", "_ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = F.greatest(F.coalesce(F.last("_end", ignorenulls=True).over(along) - F.col("x"), F.lit(0)), F.lit(0))
+    swept = asked.unionByName(painted, allowMissingColumns=True).withColumn(
+        "_before", F.coalesce(F.sum("_size").over(along), F.lit(0)) - beyond
+    )
+    each = swept.where("_ask = 1").groupBy(*keyed).agg(
+        F.sum("own").alias("_area"), F.sum(F.col("sign") * F.col("_before")).alias("_over")
     )
     return each.groupBy("role").agg(
         F.count(F.lit(1)).alias("exclusions"),

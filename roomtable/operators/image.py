@@ -2,26 +2,30 @@
 
 An image is one row per scanline: (keys, y, line array<double>), keys including
 width and height. Work on neighbouring rows happens in blocks of rows that carry
-their halo along, so a tall image is many small groups and every stencil of an
-image shares one shuffle.
+their halo along (`kernels`), so a tall image is many small groups and every stencil
+of an image shares one shuffle. Blocks give sums, counts and profiles, not pixels.
 
 Lines are never empty, so they are unnested with the outer form: for the inner
-one the optimizer adds a size() filter on the array and pushes it down, which
-would compute every stencil once more per element.
+one the optimizer adds a size() filter on the array and pushes it down.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roomtable.functions import vocabulary as V
+from roomtable.functions.draws import drawn, share
 from roomtable.functions.numbers import codes, fixed, ratio
 from roomtable.functions.ranks import quantiles
 from roomtable.functions.settings import DEFAULTS, Settings
+from roomtable.operators import kernels as K
 from roomtable.operators import masks as M
 from roomtable.session import cut_lineage
 
@@ -39,7 +43,8 @@ MAX_SEEDS = 12
 GEOMETRIC_BLUR = 9
 GEOMETRIC_FROM = 0.35
 
-_BLOCK_ROWS = 64
+_BINS = 256
+_STRIP = 64
 
 
 def luma(df: DataFrame) -> DataFrame:
@@ -62,20 +67,40 @@ def image_info(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 def exposure_profile(
     lines: DataFrame, keys: Sequence[str], settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Mean, median, spread and clipping of the luma of each image."""
+    """Mean, median, spread and clipping of the luma of each image.
+
+    Scanlines become sums and a histogram where they lie; exact quantiles come from the
+    values of the few bins that hold their ranks, in a second reading.
+    """
     keys = list(keys)
-    cells = lines.select(*keys, F.explode_outer("line").alias("v"))
-    share = lambda test: F.avg(test.cast("double"))
-    v = F.col("v")
-    plain = cells.groupBy(*keys).agg(
-        F.avg("v").alias("_mean"),
-        F.stddev_pop("v").alias("_std"),
-        share(v < settings.dark_luma_max).alias("_dark"),
-        share(v > settings.bright_luma_min).alias("_bright"),
-        share(v >= CLIP_HIGH).alias("_high"),
-        share(v <= CLIP_LOW).alias("_low"),
-    )
-    ranked = quantiles(cells, keys, "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    limits = [
+        ("dark", lambda v: v < settings.dark_luma_max),
+        ("bright", lambda v: v > settings.bright_luma_min),
+        ("high", lambda v: v >= CLIP_HIGH),
+        ("low", lambda v: v <= CLIP_LOW),
+    ]
+    kinds = {"n": "long", "sum": "double", "squares": "double", **{name: "long" for name, _ in limits}}
+    kinds |= {"bins": "array<int>", "counts": "array<long>"}
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, values in K.by_image(batch, keys):
+                bins, counts = K.counted(_bin(values))
+                off = values - 0.5
+                found = {"n": [values.size], "sum": [values.sum()], "squares": [(off * off).sum()], "bins": [bins], "counts": [counts]}
+                found |= {name: [int(test(values).sum())] for name, test in limits}
+                yield from K.with_keys(image, found, kinds).to_batches()
+
+    rows = lines.selectExpr(*keys, "cast(line AS array<double>) AS line")
+    parts = cut_lineage(rows.mapInArrow(sums, K.in_arrow(rows, keys, kinds)))
+    mean = F.sum("sum") / F.sum("n")
+    spread = F.sum("squares") / F.sum("n") - (mean - 0.5) * (mean - 0.5)
+    plain = parts.groupBy(*keys).agg(
+        mean.alias("_mean"),
+        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("_std"),
+        *[(F.sum(name) / F.sum("n")).alias(f"_{name}") for name, _ in limits],
+    )
+    ranked = _line_quantiles(rows, parts, keys, {"p5": 0.05, "p50": 0.5, "p95": 0.95})
     return plain.join(ranked, keys).select(
         *keys,
         fixed(F.col("_mean"), 5).alias("luma_mean"),
@@ -90,6 +115,42 @@ def exposure_profile(
     )
 
 
+def _bin(values: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(values * _BINS), 0, _BINS - 1).astype(np.int64)
+
+
+def _line_quantiles(rows: DataFrame, parts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """Exact linear quantiles of the values of each image; `parts` has its histogram."""
+    counts = parts.selectExpr(*keys, "inline(arrays_zip(bins, counts))").groupBy(*keys, "bins").agg(F.sum("counts").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("bins")
+    held = counts.select(
+        *keys, "bins", "n", F.sum("n").over(along).alias("upto"), F.sum("n").over(Window.partitionBy(*keys)).alias("total")
+    )
+    at = {name: F.lit(p) * (F.col("total") - 1) for name, p in wanted.items()}
+    ranks = F.array(*[F.struct(F.lit(f"{k}:{s}").alias("tag"), f(x).cast("bigint").alias("rank")) for k, x in at.items() for s, f in (("lo", F.floor), ("hi", F.ceil))])
+    asked = F.filter(ranks, lambda x: (x["rank"] >= F.col("upto") - F.col("n")) & (x["rank"] < F.col("upto")))
+    hits = held.select(*keys, F.col("bins").alias("bin"), (F.col("upto") - F.col("n")).alias("start"), "total", asked.alias("asked")).where("size(asked) > 0")
+    hits = cut_lineage(hits)
+    kinds = {"bin": "int", "v": "double", "n": "long"}
+
+    def values_in_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, values in K.by_image(batch, [*keys, "open"]):
+                open_ = [int(x) for x in image.column("open")[0].as_py().split(",")]
+                v, n = np.unique(values[np.isin(_bin(values), open_)], return_counts=True)
+                yield from K.with_keys(image.select(keys), {"bin": _bin(v), "v": v, "n": n}, kinds).to_batches()
+
+    open_bins = hits.groupBy(*keys).agg(F.concat_ws(",", F.collect_set(F.col("bin").cast("string"))).alias("open"))
+    found = rows.join(open_bins, keys).mapInArrow(values_in_bins, K.in_arrow(rows, keys, kinds)).groupBy(*keys, "bin", "v").agg(F.sum("n").alias("n"))
+    inside = Window.partitionBy(*keys, "bin").orderBy("v")
+    placed = found.join(hits, [*keys, "bin"]).withColumn("upto", F.col("start") + F.sum("n").over(inside)).withColumn("hit", F.explode("asked"))
+    placed = placed.where("hit.rank >= upto - n AND hit.rank < upto")
+    ends = placed.groupBy(*keys, "total").agg(
+        *[F.max(F.when(F.col("hit.tag") == f"{k}:{s}", F.col("v"))).alias(f"{k}_{s}") for k in wanted for s in ("lo", "hi")]
+    )
+    return ends.select(*keys, *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (x - F.floor(x))).alias(k) for k, x in at.items()])
+
+
 # --- stencils --------------------------------------------------------------
 
 
@@ -117,295 +178,153 @@ def downscale_factor(width: int, height: int, target: int) -> int:
     return max(1, math.ceil(max(width, height) / target))
 
 
-def with_halo(lines: DataFrame, keys: Sequence[str], reach: int, rows: int = _BLOCK_ROWS) -> DataFrame:
-    """Blocks of rows with the rows around them; the frame mirrors at its edges.
+def _steep(block: K.Block) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel responses of the lightly smoothed luma."""
+    return K.sobel(K.binomial(block.around(block.rows, 2)) / 16.0)
 
-    Adds block and own (the row belongs to the block and the frame). The mirror does
-    not repeat the edge row and goes back and forth where the reach exceeds the frame.
-    """
-    turn = "greatest(2 * (height - 1), 1L)"
-    places = (
-        f"transform(sequence(cast(ceil((-{reach} - ({{0}})) / {turn}) AS bigint), "
-        f"cast(floor((height - 1 + {reach} - ({{0}})) / {turn}) AS bigint) + 1), k -> ({{0}}) + k * {turn})"
-    )
-    return (
-        lines.selectExpr(
-            *keys,
-            "line",
-            f"""explode(filter(array_union({places.format("y")}, {places.format("-y")}),
-                 v -> v BETWEEN -{reach} AND height - 1 + {reach})) AS y""",
-        )
-        .selectExpr(
-            *keys,
-            "line",
-            "y",
-            f"""explode(sequence(greatest(0L, cast(floor((y - {reach}) / {rows}) AS bigint)),
-                 least(cast(floor((height - 1) / {rows}) AS bigint),
-                       cast(floor((y + {reach}) / {rows}) AS bigint)))) AS block""",
-        )
-        .selectExpr(
-            *keys,
-            "block",
-            "y",
-            "line",
-            f"y >= 0 AND y < height AND y >= block * {rows} AND y < (block + 1) * {rows} AS own",
-        )
-    )
 
+def _strong(block: K.Block) -> int:
+    return int((np.hypot(*_steep(block)) > STRONG_GRADIENT).sum())
 
-def _over(keys: Sequence[str]) -> str:
-    return f"OVER (PARTITION BY {', '.join(keys)}, block ORDER BY y)"
 
+def _clean(block: K.Block) -> np.ndarray:
+    """Denoised bytes of all rows; the outermost row is right only at the frame's edge."""
+    return K.median3(K.as_bytes(block.rows, np.rint))
 
-def _mirror(array: str, index: str) -> str:
-    """SQL: element at an index that may stick out by any number; edges mirror."""
-    turn = f"greatest(2 * (size({array}) - 1), 1)"
-    return f"{array}[least(pmod({index}, {turn}), {turn} - pmod({index}, {turn}))]"
-
-
-def _across(array: str, weights: Sequence[float]) -> str:
-    """SQL: horizontal odd-length kernel over an array, mirrored edges."""
-    k = len(weights) // 2
-    terms = [
-        f"({w!r}D) * {_mirror(array, f'(i + {d})') if d else 'v'}"
-        for d, w in zip(range(-k, k + 1), weights, strict=True)
-        if w
-    ]
-    return f"transform({array}, (v, i) -> {' + '.join(terms)})"
 
-
-def _weighted(up: str, mid: str, down: str, weights: tuple[float, float, float]) -> str:
-    a, b, c = weights
-    return f"transform({mid}, (v, i) -> ({a!r}D) * {up}[i] + ({b!r}D) * v + ({c!r}D) * {down}[i])"
-
-
-_SMOOTH = (0.25, 0.5, 0.25)
-_SOBEL_SMOOTH = (1.0, 2.0, 1.0)
-_SOBEL_STEP = (-1.0, 0.0, 1.0)
-
-
-def _around(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Adds <c>_up and <c>_down for each array column."""
-    over = _over(keys)
-    extra = [f"coalesce(lag({c}) {over}, {c}) AS {c}_up" for c in columns] + [
-        f"coalesce(lead({c}) {over}, {c}) AS {c}_down" for c in columns
-    ]
-    return df.selectExpr("*", *extra)
+def _laplacian(block: K.Block) -> dict[str, list]:
+    """Sums of the 4-neighbour Laplacian of the luma cut to bytes."""
+    b = block.around(K.as_bytes(block.rows, np.floor), 1).astype(np.int64)
+    lap = b[:-2, 1:-1] + b[2:, 1:-1] + b[1:-1, :-2] + b[1:-1, 2:] - 4 * b[1:-1, 1:-1]
+    return {"n": [lap.size], "lap_sum": [int(lap.sum())], "lap_squares": [int((lap * lap).sum())]}
 
 
-def smoothed(df: DataFrame, keys: Sequence[str], column: str, alias: str) -> DataFrame:
-    """3x3 binomial smoothing of an array column inside blocks."""
-    near = _around(df, keys, [column])
-    tall = near.selectExpr("*", f"{_weighted(f'{column}_up', column, f'{column}_down', _SMOOTH)} AS _tall")
-    return tall.selectExpr(*df.columns, f"{_across('_tall', _SMOOTH)} AS {alias}")
+_LAPLACIAN_SUMS = {"n": "long", "lap_sum": "long", "lap_squares": "long"}
 
 
-def sobel(df: DataFrame, keys: Sequence[str], column: str, prefix: str) -> DataFrame:
-    """<prefix>_x and <prefix>_y, the 3x3 Sobel responses of an array column."""
-    near = _around(df, keys, [column])
-    parts = near.selectExpr(
-        "*",
-        f"{_weighted(f'{column}_up', column, f'{column}_down', _SOBEL_SMOOTH)} AS _sum",
-        f"{_weighted(f'{column}_up', column, f'{column}_down', _SOBEL_STEP)} AS _dif",
-    )
-    return parts.selectExpr(
-        *df.columns,
-        f"{_across('_sum', _SOBEL_STEP)} AS {prefix}_x",
-        f"{_across('_dif', _SOBEL_SMOOTH)} AS {prefix}_y",
-    )
-
-
-def denoised(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """`clean`: 3x3 median of the luma in bytes; the edge row and column repeat.
-
-    It stays on the byte scale: all later sums are then exact whole numbers over
-    a power of two, and neighbouring values compare the same everywhere.
-    """
-    over = _over(keys)
-    stepped = df.selectExpr("*", "transform(line, v -> rint(least(greatest(v, 0D), 1D) * 255D)) AS bytes")
-    near = stepped.selectExpr(
-        "*",
-        f"if(y = 0, bytes, coalesce(lag(bytes) {over}, bytes)) AS bytes_up",
-        f"if(y = height - 1, bytes, coalesce(lead(bytes) {over}, bytes)) AS bytes_down",
-    )
-    nine = ", ".join(
-        f"{row}[{col}]"
-        for row in ("bytes_up", "bytes", "bytes_down")
-        for col in ("greatest(i - 1, 0)", "i", "least(i + 1, size(bytes) - 1)")
-    )
-    return near.selectExpr(
-        *df.columns, "bytes", f"transform(bytes, (v, i) -> sort_array(array({nine}))[4]) AS clean"
-    )
+def _laplacian_variance():
+    mean = F.sum("lap_sum") / F.sum("n")
+    return fixed(F.sum("lap_squares") / F.sum("n") - mean * mean, 3).alias("laplacian_variance")
 
 
 def gradient_facts(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of pixels with a strong gradient after a light smoothing."""
-    keys = list(keys)
-    steep = sobel(smoothed(with_halo(lines, keys, 3), keys, "line", "soft"), keys, "soft", "g")
-    return (
-        steep.where("own")
-        .selectExpr(
-            *keys,
-            "size(line) AS n",
-            f"size(filter(zip_with(g_x, g_y, (a, b) -> hypot(a, b)), m -> m > {STRONG_GRADIENT}D)) AS strong",
-        )
-        .groupBy(*keys)
-        .agg(fixed(F.sum("strong") / F.sum("n"), 6).alias("strong_gradient_ratio"))
+    counts = K.by_blocks(
+        lines, keys, 2, lambda b: {"n": [b.own(b.rows).size], "strong": [_strong(b)]}, {"n": "long", "strong": "long"}
     )
-
-
-_LAPLACIAN = "up[i] + down[i] + {left} + {right} - 4 * v"
+    return counts.groupBy(*keys).agg(fixed(F.sum("strong") / F.sum("n"), 6).alias("strong_gradient_ratio"))
 
 
 def laplacian_variance(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Variance of the 4-neighbour Laplacian of the luma cut to bytes."""
-    keys = list(keys)
-    over = _over(keys)
-    bytes_ = with_halo(lines, keys, 1).selectExpr(
-        *keys, "block", "y", "own", "transform(line, v -> floor(least(greatest(v, 0D), 1D) * 255D)) AS b"
-    )
-    near = bytes_.selectExpr(
-        "*", f"coalesce(lag(b) {over}, b) AS up", f"coalesce(lead(b) {over}, b) AS down"
-    )
-    response = _LAPLACIAN.format(left=_mirror("b", "(i - 1)"), right=_mirror("b", "(i + 1)"))
-    rows = near.where("own").selectExpr(*keys, f"transform(b, (v, i) -> cast({response} AS double)) AS lap")
-    return _laplacian_summary(
-        rows.selectExpr(
-            *keys,
-            "size(lap) AS n",
-            "aggregate(lap, 0D, (s, v) -> s + v) AS lap_sum",
-            "aggregate(lap, 0D, (s, v) -> s + v * v) AS lap_squares",
-        ),
-        keys,
-    )
+    return K.by_blocks(lines, keys, 1, _laplacian, _LAPLACIAN_SUMS).groupBy(*keys).agg(_laplacian_variance())
 
 
-def _laplacian_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    mean = F.sum("lap_sum") / F.sum("n")
-    return rows.groupBy(*keys).agg(
-        fixed(F.sum("lap_squares") / F.sum("n") - mean * mean, 3).alias("laplacian_variance")
+def denoise(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """3x3 median of the luma in steps of a byte; the edge row and column repeat."""
+    return K.by_blocks(
+        lines, keys, 1, lambda b: {"y": b.y, "line": b.own(_clean(b)) / 255.0}, {"y": "long", "line": "array<double>"}
     )
 
 
-def denoise(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return denoised(with_halo(lines, keys, 2), keys).where("own").selectExpr(
-        *keys, "y", "transform(clean, v -> v / 255D) AS line"
-    )
+_REBLUR_SUMS = {c: "double" for c in ("across_total", "across_left", "down_total", "down_left")}
+
+
+def _reblur(block: K.Block, clean: np.ndarray) -> dict[str, list]:
+    """Variation of neighbours in both directions, and how much of it a 9-tap box removes."""
+    out = {}
+    for name, axis in (("across", 1), ("down", 0)):
+        near = block.around(clean, 5)
+        boxed = K.weighted(near, (1,) * 9, axis)
+        if axis:
+            plain, boxed = near[5:-5, 5:-5], boxed[5:-5, 1:-1]
+            a, b = np.abs(np.diff(plain, axis=1)), np.abs(np.diff(boxed, axis=1))
+        else:
+            last = 1 if block.y[-1] == block.height - 1 else 0
+            a, b = np.abs(np.diff(near[5 : -4 - last, 5:-5], axis=0)), np.abs(np.diff(boxed[1 : len(boxed) - last, 5:-5], axis=0))
+        out[f"{name}_total"] = [float(a.sum())]
+        out[f"{name}_left"] = [float(np.maximum(9 * a - b, 0).sum()) / 9.0]
+    return out
+
+
+def _reblur_score():
+    score = lambda t, l: F.when(F.sum(t) > 1e-6, (F.sum(t) - F.sum(l)) / F.sum(t))  # noqa: E731, E741
+    worst = F.greatest(score("across_total", "across_left"), score("down_total", "down_left"))
+    return fixed(worst, 5).alias("reblur_ratio")
 
 
 def reblur_ratio(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of local variation a 9-tap box removes, the larger of both axes.
 
-    lines is the denoised luma, on any scale. Null where neither axis varies.
+    lines is the denoised luma; it is read in steps of a byte, on which all sums are
+    exact. Null where neither axis varies.
     """
-    keys = list(keys)
-    rows = _reblur_rows(with_halo(lines, keys, 5).withColumnRenamed("line", "clean"), keys)
-    return _reblur_summary(rows.where("own"), keys)
-
-
-def _reblur_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per row of `clean`: totals and remainders of both axes."""
-    over = _over(keys)
-    window = f"OVER (PARTITION BY {', '.join(keys)}, block ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"
-    boxed = df.selectExpr("*", f"collect_list(clean) {window} AS _stack").selectExpr(
-        *df.columns,
-        "transform(clean, (v, i) -> aggregate(_stack, 0D, (s, row) -> s + row[i])) AS _tall",
-        f"{_across('clean', [1.0] * 9)} AS _wide",
-    )
-    nxt = boxed.selectExpr(
-        *df.columns,
-        "_tall",
-        "_wide",
-        f"lead(clean) {over} AS _clean_next",
-        f"lead(_tall) {over} AS _tall_next",
-    )
-    pairs_across = "transform(sequence(0, size(clean) - 2), i -> struct(abs(clean[i + 1] - clean[i]) AS a, abs(_wide[i + 1] - _wide[i]) / 9D AS b))"
-    pairs_down = "transform(clean, (v, i) -> struct(abs(_clean_next[i] - v) AS a, abs(_tall_next[i] - _tall[i]) / 9D AS b))"
-    none = "cast(array() AS array<struct<a: double, b: double>>)"
-    paired = nxt.selectExpr(
-        *df.columns,
-        f"if(size(clean) > 1, {pairs_across}, {none}) AS _pa",
-        f"if(y < height - 1, {pairs_down}, {none}) AS _pd",
-    )
-    total = "aggregate({0}, 0D, (s, p) -> s + p.a)"
-    left = "aggregate({0}, 0D, (s, p) -> s + greatest(p.a - p.b, 0D))"
-    return paired.selectExpr(
-        *df.columns,
-        f"{total.format('_pa')} AS across_total",
-        f"{left.format('_pa')} AS across_left",
-        f"{total.format('_pd')} AS down_total",
-        f"{left.format('_pd')} AS down_left",
-    )
-
-
-def _reblur_summary(rows: DataFrame, keys: list[str]) -> DataFrame:
-    sums = rows.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("across_total", "across_left", "down_total", "down_left")]
-    )
-    score = lambda t, l: F.when(F.col(t) > 1e-6, (F.col(t) - F.col(l)) / F.col(t))  # noqa: E731, E741
-    return sums.select(
-        *keys,
-        fixed(
-            F.greatest(score("across_total", "across_left"), score("down_total", "down_left")), 5
-        ).alias("reblur_ratio"),
-    )
+    sums = K.by_blocks(lines, keys, 5, lambda b: _reblur(b, K.as_bytes(b.rows, np.rint)), _REBLUR_SUMS)
+    return sums.groupBy(*keys).agg(_reblur_score())
 
 
-def edge_cells(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Gradient profiles (keys, axis, at, pos, mag): at is the line, pos along it."""
-    side = lambda axis, at, pos: F.expr(
-        f"struct('{axis}' AS axis, {at} AS at, {pos} AS pos, abs(g.g_{axis}) AS mag)"
-    )
-    return (
-        df.selectExpr(*keys, "y", "posexplode_outer(arrays_zip(g_x, g_y)) AS (c, g)")
-        .select(*keys, F.explode(F.array(side("x", "y", "cast(c AS bigint)"), side("y", "cast(c AS bigint)", "y"))).alias("s"))
-        .select(*keys, "s.axis", "s.at", "s.pos", "s.mag")
-    )
+#: Gradients of smoothed bytes are whole sixteenths.
+_SIXTEENTHS = 16
+_EDGES = {
+    "x_mags": "array<int>", "x_counts": "array<long>", "y_mags": "array<int>", "y_counts": "array<long>",
+    "mags": "array<int>", "widths": "array<int>", "counts": "array<int>", "first_y": "long", "strips": "array<binary>",
+}
+
+
+def _edges(block: K.Block, clean: np.ndarray) -> dict[str, list]:
+    """Gradient histograms of both axes, edge widths across, and each fourth column for those down."""
+    gx, gy = (np.abs(g) for g in K.sobel(K.binomial(block.around(clean, 2))))
+    (x_mags, x_counts), (y_mags, y_counts) = K.counted(gx), K.counted(gy)
+    mags, widths, counts = K.peak_widths(gx[block.y % EDGE_STEP == 0], EDGE_MAX_WIDTH)
+    columns = gy[:, ::EDGE_STEP].astype(np.int32)
+    strips = [columns[:, k : k + _STRIP].tobytes() for k in range(0, columns.shape[1], _STRIP)]
+    found = (x_mags, x_counts, y_mags, y_counts, mags, widths, counts, int(block.y[0]), strips)
+    return {name: [value] for name, value in zip(_EDGES, found, strict=True)}
 
 
-def edge_widths(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+def edge_widths(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Median width of strong edges per image, the larger of both directions.
 
-    One line in four; a peak tops both neighbours (ties to its right allowed) and
-    a quarter of the 99.9th percentile; its width reaches down both slopes, which
-    end at the first step that does not fall, and widths of 60 and more are out.
+    edges: the columns `_edges` gives for each block. One line in four; a peak tops both
+    neighbours (ties to its right allowed) and a quarter of the 99.9th percentile; its
+    width reaches down both slopes, which end at the first step that does not fall, and
+    widths of 60 and more are out. Columns meet again in strips of _STRIP for the widths
+    down the frame.
     """
     keys = list(keys)
     axes = [*keys, "axis"]
-    limits = quantiles(profiles, axes, "mag", {"top": 0.999}).select(
-        *axes, (F.col("top") * EDGE_STRONG_SHARE).alias("limit")
-    )
-    line = f"PARTITION BY {', '.join(axes)}, at ORDER BY pos"
-    sampled = profiles.where(f"at % {EDGE_STEP} = 0")
-    stepped = sampled.selectExpr(
-        "*", f"lag(mag) OVER ({line}) AS before", f"lead(mag) OVER ({line}) AS after"
-    )
-    slopes = stepped.selectExpr(
-        "*",
-        f"max(if(before < mag, NULL, pos)) OVER ({line} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS foot_left",
-        "if(after < mag, NULL, pos) AS _stop",
-    )
-    walked = slopes.selectExpr(
-        "*",
-        f"min(_stop) OVER ({line} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS foot_right",
-    )
-    widths = (
-        walked.where("mag > before AND mag >= after")
-        .join(limits, axes)
-        .where("limit > 1e-6 AND mag >= limit")
-        .selectExpr(
-            *axes,
-            f"least(foot_right, pos + {EDGE_MAX_WIDTH}) - greatest(foot_left, pos - {EDGE_MAX_WIDTH}) + 1 AS w",
-        )
-        .where(f"w < {EDGE_MAX_WIDTH}")
-    )
+    kinds = {"axis": "string", "mags": "array<int>", "widths": "array<int>", "counts": "array<int>"}
+
+    def down(table: pa.Table) -> pa.Table:
+        parts = sorted(zip(table.column("first_y").to_pylist(), table.column("mags").to_pylist(), table.column("rows").to_pylist(), strict=True))
+        profiles = np.concatenate([np.frombuffer(m, np.int32).reshape(n, -1) for _, m, n in parts])
+        found = K.peak_widths(np.ascontiguousarray(profiles.T), EDGE_MAX_WIDTH)
+        return K.with_keys(table.select(keys).slice(0, 1), dict(zip(("mags", "widths", "counts"), ([x] for x in found), strict=True)), dict(list(kinds.items())[1:]))
+
+    strips = edges.selectExpr(*keys, "first_y", "rows", "posexplode(strips) AS (strip, mags)")
+    tall = strips.groupBy(*keys, "strip").applyInArrow(down, K.in_arrow(edges, keys, dict(list(kinds.items())[1:])))
+    peaks = edges.selectExpr(*keys, "'x' AS axis", "inline(arrays_zip(mags, widths, counts))").unionByName(
+        tall.selectExpr(*keys, "'y' AS axis", "inline(arrays_zip(mags, widths, counts))")
+    )
+    x, y = (edges.selectExpr(*keys, f"'{a}' AS axis", f"inline(arrays_zip({a}_mags, {a}_counts)) AS (mag, n)") for a in "xy")
+    histogram = x.unionByName(y)
+    histogram = histogram.groupBy(*axes, "mag").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy(*axes).orderBy("mag")
+    placed = histogram.select("*", F.sum("n").over(along).alias("upto"), F.sum("n").over(Window.partitionBy(*axes)).alias("total"))
+    rank = "0.999D * (total - 1)"
+    held = lambda x: f"max(if({x} >= upto - n AND {x} < upto, mag / {_SIXTEENTHS}D, NULL))"
+    limits = placed.groupBy(*axes, "total").agg(F.expr(held(f"floor({rank})")).alias("lo"), F.expr(held(f"ceil({rank})")).alias("hi"))
+    limits = limits.selectExpr(*axes, f"(lo + (hi - lo) * ({rank} - floor({rank}))) * {EDGE_STRONG_SHARE}D AS limit")
+    strong = peaks.join(limits, axes).where(f"limit > 1e-6 AND mags / {_SIXTEENTHS}D >= limit")
     # at most 59 different widths per group, so the plain percentile stays small
-    per_axis = widths.groupBy(*axes).agg(
-        F.expr("percentile(w, 0.5)").alias("median"), F.count(F.lit(1)).alias("n")
-    )
-    return per_axis.groupBy(*keys).agg(
-        fixed(F.max("median"), 3).alias("edge_width_px"), F.sum("n").alias("edge_count")
-    )
+    per_axis = strong.groupBy(*axes).agg(F.expr("percentile(widths, 0.5, counts)").alias("median"), F.sum("counts").alias("n"))
+    return per_axis.groupBy(*keys).agg(fixed(F.max("median"), 3).alias("edge_width_px"), F.sum("n").alias("edge_count"))
+
+
+def edge_blocks(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What `edge_widths` reads, of every block of the denoised luma."""
+    kinds = {**_EDGES, "rows": "long"}
+    return cut_lineage(K.by_blocks(lines, keys, 3, lambda b: {**_edges(b, _clean(b)), "rows": [len(b.y)]}, kinds))
 
 
 def blur_reading(
@@ -413,49 +332,22 @@ def blur_reading(
 ) -> DataFrame:
     """All sharpness measures of each image in one row.
 
-    lines are at working size. One shuffle brings the rows of a block together;
-    the scalars of a row and its edge profile come out of the same pass.
+    lines are at working size. One shuffle brings the rows of a block together; sums,
+    histograms and the columns for the widths down the frame come out of the same pass.
     """
     keys = list(keys)
-    base = denoised(with_halo(lines, keys, 6), keys)
-    soft = smoothed(base, keys, "line", "soft")
-    steep = sobel(soft, keys, "soft", "raw")
-    crisp = sobel(smoothed(steep, keys, "clean", "mild"), keys, "mild", "g")
-    over = _over(keys)
-    flat = crisp.selectExpr(
-        "*", "transform(line, v -> floor(least(greatest(v, 0D), 1D) * 255D)) AS b"
-    ).selectExpr("*", f"coalesce(lag(b) {over}, b) AS up", f"coalesce(lead(b) {over}, b) AS down")
-    response = _LAPLACIAN.format(left=_mirror("b", "(i - 1)"), right=_mirror("b", "(i + 1)"))
-    rows = _reblur_rows(
-        flat.selectExpr(
-            *keys, "block", "y", "own", "clean", "g_x", "g_y",
-            f"size(filter(zip_with(raw_x, raw_y, (a, c) -> hypot(a, c)), m -> m > {STRONG_GRADIENT}D)) AS strong",
-            f"transform(b, (v, i) -> cast({response} AS double)) AS lap",
-        ),
-        keys,
-    ).where("own")
-    kept = cut_lineage(
-        rows.selectExpr(
-            *keys, "y", "g_x", "g_y", "strong", "size(lap) AS n",
-            "aggregate(lap, 0D, (s, v) -> s + v) AS lap_sum",
-            "aggregate(lap, 0D, (s, v) -> s + v * v) AS lap_squares",
-            "across_total", "across_left", "down_total", "down_left",
-        )
-    )
-    mean = F.sum("lap_sum") / F.sum("n")
-    score = lambda t, l: F.when(  # noqa: E731, E741
-        F.sum(t) > 1e-6, (F.sum(t) - F.sum(l)) / F.sum(t)
-    )
+
+    def read(block: K.Block) -> dict:
+        clean = _clean(block)
+        return {"strong": [_strong(block)], "rows": [len(block.y)], **_laplacian(block), **_reblur(block, clean), **_edges(block, clean)}
+
+    kinds = {"strong": "long", "rows": "long", **_LAPLACIAN_SUMS, **_REBLUR_SUMS, **_EDGES}
+    kept = cut_lineage(K.by_blocks(lines, keys, 6, read, kinds))
     scalars = kept.groupBy(*keys).agg(
-        fixed(F.sum("strong") / F.sum("n"), 6).alias("strong_gradient_ratio"),
-        fixed(F.sum("lap_squares") / F.sum("n") - mean * mean, 3).alias("laplacian_variance"),
-        fixed(
-            F.greatest(score("across_total", "across_left"), score("down_total", "down_left")), 5
-        ).alias("reblur_ratio"),
+        fixed(F.sum("strong") / F.sum("n"), 6).alias("strong_gradient_ratio"), _laplacian_variance(), _reblur_score()
     )
-    edges = edge_widths(edge_cells(kept, keys), keys)
     side = F.greatest("width", "height")
-    return scalars.join(edges, keys, "left").select(
+    return scalars.join(edge_widths(kept, keys), keys, "left").select(
         *keys,
         "strong_gradient_ratio",
         "laplacian_variance",
@@ -624,16 +516,18 @@ def edge_seeds(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     orientation; the list per image is as long as the image is wide or tall.
     """
     keys = list(keys)
-    steep = sobel(smoothed(with_halo(lines, keys, 3), keys, "line", "soft"), keys, "soft", "g").where("own")
-    cells = steep.selectExpr(*keys, "y", "posexplode_outer(arrays_zip(g_x, g_y)) AS (x, g)")
-    inside = "{0} >= floor({1} * 0.08D) AND {0} < floor({1} * (1.0D - 0.08D))"
-    upright = cells.where(inside.format("y", "height")).selectExpr(
-        *keys, "'vertical' AS orientation", "width AS span", "cast(x AS bigint) AS pos", "abs(g.g_x) AS e"
-    )
-    level = cells.where(inside.format("x", "width")).selectExpr(
-        *keys, "'horizontal' AS orientation", "height AS span", "y AS pos", "abs(g.g_y) AS e"
-    )
-    energy = upright.unionByName(level).groupBy(*keys, "orientation", "span", "pos").agg(
+
+    def energies(block: K.Block) -> dict:
+        gx, gy = (np.abs(g) for g in _steep(block))
+        inside = lambda at, size: (at >= math.floor(size * 0.08)) & (at < math.floor(size * (1.0 - 0.08)))
+        upright = gx[inside(block.y, block.height)].sum(axis=0)
+        return {"first_y": [int(block.y[0])], "upright": [upright], "level": [gy[:, inside(np.arange(gy.shape[1]), gy.shape[1])].sum(axis=1)]}
+
+    sums = K.by_blocks(lines, keys, 2, energies, {"first_y": "long", "upright": "array<double>", "level": "array<double>"})
+    upright = sums.selectExpr(*keys, "'vertical' AS orientation", "width AS span", "posexplode(upright) AS (pos, e)")
+    level = sums.selectExpr(*keys, "'horizontal' AS orientation", "height AS span", "first_y", "posexplode(level) AS (pos, e)")
+    level = level.withColumn("pos", F.col("pos") + F.col("first_y")).drop("first_y")
+    energy = upright.unionByName(level).groupBy(*keys, "orientation", "span", F.col("pos").cast("bigint").alias("pos")).agg(
         F.sum("e").alias("energy")
     )
     scored = energy.selectExpr(
@@ -670,43 +564,30 @@ def blur_radius(sigma: float) -> int:
     return (int(round(sigma * 6 + 1)) | 1) // 2
 
 
+_LINES = {"y": "long", "line": "array<double>"}
+
+
 def separable(lines: DataFrame, keys: Sequence[str], down: Sequence[float], across: Sequence[float]) -> DataFrame:
     """One vertical and one horizontal kernel of odd length, mirrored edges."""
-    keys = list(keys)
-    k = len(down) // 2
-    window = f"OVER (PARTITION BY {', '.join(keys)}, block ORDER BY y ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
-    weights = ", ".join(f"{w!r}D" for w in down)
-    return (
-        with_halo(lines, keys, k)
-        .selectExpr(*keys, "y", "own", "line", f"collect_list(line) {window} AS _stack")
-        .where("own")
-        .selectExpr(
-            *keys,
-            "y",
-            f"""transform(line, (v, i) -> aggregate(zip_with(_stack, array({weights}), (row, w) -> row[i] * w),
-                 0D, (s, t) -> s + t)) AS _tall""",
-        )
-        .selectExpr(*keys, "y", f"{_across('_tall', across)} AS line")
-    )
+    return K.by_blocks(lines, keys, len(down) // 2, lambda b: {"y": b.y, "line": _separated(b, down, across)}, _LINES)
+
+
+def _separated(block: K.Block, down: Sequence[float], across: Sequence[float]) -> np.ndarray:
+    """Both kernels have the same length."""
+    return K.weighted(K.weighted(block.around(block.rows, len(down) // 2), down, 0), across, 1)
 
 
 def stencil(lines: DataFrame, keys: Sequence[str], kernel: Sequence[Sequence[float]]) -> DataFrame:
     """Any square kernel of odd size, mirrored edges."""
-    keys = list(keys)
-    k = len(kernel) // 2
-    window = f"OVER (PARTITION BY {', '.join(keys)}, block ORDER BY y ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING)"
-    taps = [
-        f"({w!r}D) * {_mirror(f'_stack[{r}]', f'(i + {c - k})')}"
-        for r, row in enumerate(kernel)
-        for c, w in enumerate(row)
-        if abs(w) > 1e-12
-    ]
-    return (
-        with_halo(lines, keys, k)
-        .selectExpr(*keys, "y", "own", "line", f"collect_list(line) {window} AS _stack")
-        .where("own")
-        .selectExpr(*keys, "y", f"transform(line, (v, i) -> {' + '.join(taps)}) AS line")
-    )
+    size = len(kernel)
+
+    def summed(block: K.Block) -> dict:
+        near = block.around(block.rows, size // 2)
+        h = len(block.y)
+        own = [K.weighted(near[r : r + h], [w if abs(w) > 1e-12 else 0 for w in row], 1) for r, row in enumerate(kernel)]
+        return {"y": block.y, "line": sum(own)}
+
+    return K.by_blocks(lines, keys, size // 2, summed, _LINES)
 
 
 def geometric_floor(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -717,14 +598,19 @@ def geometric_floor(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     keys = list(keys)
     soft = gaussian_kernel(0.3 * ((GEOMETRIC_BLUR - 1) * 0.5 - 1) + 0.8, GEOMETRIC_BLUR // 2)
-    steep = separable(
-        lines, keys, _convolved(soft, [-1.0, -2.0, 0.0, 2.0, 1.0]), _convolved(soft, [1.0, 4.0, 6.0, 4.0, 1.0])
-    )
-    cells = steep.where(f"y >= floor(height * {GEOMETRIC_FROM}D)").selectExpr(
-        *keys, "y", "posexplode_outer(line) AS (x, g)"
-    )
-    breaks = cells.groupBy(*keys, "x").agg(
-        F.expr("min(struct(-round(abs(g), 9) AS g, y AS y)).y").alias("limit")
+    down, across = _convolved(soft, [-1.0, -2.0, 0.0, 2.0, 1.0]), _convolved(soft, [1.0, 4.0, 6.0, 4.0, 1.0])
+
+    def strongest(block: K.Block) -> dict:
+        steep = np.floor(np.abs(_separated(block, down, across)) * 1e9 + 0.5) / 1e9
+        below = block.y >= math.floor(block.height * GEOMETRIC_FROM)
+        if not below.any():
+            return {"g": [], "y": []}
+        at = steep[below].argmax(axis=0)
+        return {"g": [steep[below][at, np.arange(steep.shape[1])]], "y": [block.y[below][at]]}
+
+    found = K.by_blocks(lines, keys, len(down) // 2, strongest, {"g": "array<double>", "y": "array<long>"})
+    breaks = found.selectExpr(*keys, "posexplode(arrays_zip(g, y)) AS (x, b)").groupBy(*keys, "x").agg(
+        F.expr("min(struct(-b.g AS g, b.y AS y)).y").alias("limit")
     )
     # one entry per column of the frame
     tops = breaks.groupBy(*keys).agg(
@@ -827,13 +713,18 @@ def augment_motion(lines: DataFrame, keys: Sequence[str], length: int, angle_deg
 
 
 def augment_noise(cells: DataFrame, sigma: float, seed: int) -> DataFrame:
-    """Gaussian noise from a hash of seed and place, so partitions do not matter."""
-    uniform = lambda salt: (
-        (F.abs(F.xxhash64(F.lit(seed), F.lit(salt), "photo_id", "y", "x")) % F.lit(1 << 52)) + 1
-    ) / float((1 << 52) + 1)
-    normal = F.sqrt(-2.0 * F.log(uniform(1))) * F.cos(2.0 * math.pi * uniform(2))
-    noisy = F.floor(F.least(F.greatest(F.rint(F.col("luma") * 255.0) + sigma * normal, F.lit(0.0)), F.lit(255.0)))
-    return cells.withColumn("luma", noisy / 255.0)
+    """Gaussian noise drawn from seed and place, so partitions do not matter.
+
+    Two uniform numbers of the counter generator make a normal one; values step on the
+    8-bit scale.
+    """
+    place = ("photo_id", "y", "x")
+    mixed = cells.selectExpr("*", *drawn("u", seed, 1, *place), *drawn("v", seed, 2, *place))
+    normal = f"sqrt(-2D * ln({share('u')})) * cos({2.0 * math.pi!r}D * {share('v')})"
+    return mixed.selectExpr(
+        *[c for c in cells.columns if c != "luma"],
+        f"cast(floor(least(greatest(rint(luma * 255D) + {sigma}D * {normal}, 0D), 255D)) AS double) / 255D AS luma",
+    )
 
 
 def upper_medians(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -6,13 +6,16 @@ floors are runs. Formulas are SQL text over columns, one select per step.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomtable.functions.draws import drawn, share
 from roomtable.functions.numbers import codes, fixed
-from roomtable.functions.ranks import dense_index
+from roomtable.operators import kernels as K
 from roomtable.session import cut_lineage
 
 #: Fixed values of the published geometry rules.
@@ -24,6 +27,8 @@ PLANK_M = 0.092
 DEPTH_OVER_WIDTH_MAX = 5.0
 MIN_COVERAGE = 0.03
 MIN_NEAR_PLANK_PX = 6.0
+LIGHT_KIND = "photo-luma"
+LIGHT = {"strength": 1.0, "blur_radius": 0.045, "ambient": 0.22, "tint": 0.5, "contact": 0.4, "exposure": 0.25}
 BLOCKING_CHECKS = (
     "non_finite",
     "degenerate_plane",
@@ -42,7 +47,7 @@ BLOCKING_CHECKS = (
 
 @dataclass(frozen=True)
 class VoteRules:
-    """Published limits of the vanishing point vote."""
+    """Limits of the vanishing point vote. Published defaults, in degrees, draws and shares of the width."""
 
     vertical_deg: float = 12.0
     tolerance_deg: float = 1.6
@@ -50,6 +55,11 @@ class VoteRules:
     min_support: float = 0.8
     min_count: int = 4
     rounds: int = 3
+    keep_refined: float = 0.9
+
+
+#: Steps of the inverse iteration; the first is the least-squares point itself.
+REFINE_STEPS = 8
 
 
 def segment_facts(segments: DataFrame) -> DataFrame:
@@ -88,16 +98,17 @@ def vanishing_points(
 ) -> DataFrame:
     """Up to three vanishing points per photo, strongest first.
 
-    Each round draws crossings of two segments as hypotheses, adds up the length
-    of the segments that point at each, keeps the best and takes its segments out.
-    When a photo has no more pairs than draws, every pair is a hypothesis exactly
-    once; otherwise pairs are drawn by hash, as the published method samples them.
+    Each round draws `rules.draws` pairs of segments, longer ones more often and never one
+    twice in a pair; adds up, for each crossing, the length of the segments that point at
+    it; moves the best crossing to the point nearest to its segments' lines, if the vote
+    there is about as good; and takes the segments that point at it out. One rule holds for
+    any number of segments. A photo's votes are summed before they are dealt, so a photo
+    with many segments is no single task; equal (photo_id, seg_id) count as one line.
     """
-    facts = segment_facts(segments).where(f"vertical_deg > {rules.vertical_deg}")
-    rest = cut_lineage(facts)
+    rest = cut_lineage(segment_facts(segments).where(f"vertical_deg > {rules.vertical_deg}"))
     found = None
     for number in range(1, rules.rounds + 1):
-        best = cut_lineage(_strongest(rest, width, height, rules))
+        best = cut_lineage(_strongest(rest, number, width, height, rules))
         point = best.withColumn("rank", F.lit(number).cast("bigint"))
         found = point if found is None else found.unionByName(point)
         if number < rules.rounds:
@@ -110,34 +121,44 @@ def vanishing_points(
     )
 
 
-def _strongest(pool: DataFrame, width: int, height: int, rules: VoteRules) -> DataFrame:
-    numbered = dense_index(pool, "photo_id", "seg_id", "i", "total").where(
-        f"total >= {rules.min_count}"
+def _drawn_pairs(pool: DataFrame, number: int, rules: VoteRules) -> DataFrame:
+    """(photo_id, a, b, draw): distinct pairs of segments, each with its first draw.
+
+    The two smallest of -log(uniform) / length are a draw of two without replacement whose
+    chances follow the lengths. The second is the smallest of all but the first.
+    """
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        mixed = rows.selectExpr("*", *drawn("h", "photo_id", number, "draw", "seg_id"))
+        return mixed.selectExpr("*", f"-ln({share('h')}) / length AS key")
+
+    some = pool.where("length > 0").select("photo_id", "seg_id", "length")
+    first = (
+        keyed(some.selectExpr("*", f"explode(sequence(0, {rules.draws - 1})) AS draw"))
+        .groupBy("photo_id", "draw")
+        .agg(F.min_by("seg_id", "key").alias("a"), F.count(F.lit(1)).alias("n"))
+        .where(f"n >= {rules.min_count}")
     )
-    sizes = numbered.groupBy("photo_id").agg(F.max("total").alias("total"))
-    pairs = sizes.selectExpr(
-        "photo_id", "total", "total * (total - 1) div 2 AS pairs"
-    ).selectExpr("*", f"explode(sequence(0L, least(pairs, {rules.draws}L) - 1)) AS draw")
-    picked = pairs.selectExpr(
-        "photo_id",
-        f"""if(pairs <= {rules.draws}, cast(floor((sqrt(8D * draw + 1) + 1) / 2) AS bigint),
-             pmod(xxhash64(photo_id, draw, 1), total)) AS i""",
-        "draw",
-        "pairs",
-        "total",
-    ).selectExpr(
-        "photo_id",
-        "draw",
-        "i",
-        f"""if(pairs <= {rules.draws}, draw - i * (i - 1) div 2,
-             pmod(i + 1 + pmod(xxhash64(photo_id, draw, 2), total - 1), total)) AS j""",
+    by_photo = first.groupBy("photo_id").agg(F.sort_array(F.collect_list(F.struct("draw", "a"))).alias("picks"))
+    others = some.join(by_photo, "photo_id").selectExpr("photo_id", "seg_id", "length", "inline(picks)")
+    pairs = (
+        keyed(others.where("seg_id <> a"))
+        .groupBy("photo_id", "draw", "a")
+        .agg(F.min_by("seg_id", "key").alias("b"))
+    )
+    return pairs.groupBy("photo_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.min("draw").alias("draw")
     )
+
+
+def _crossings(pool: DataFrame, pairs: DataFrame, width: int, height: int) -> DataFrame:
+    """(photo_id, draw, vx, vy) of the pairs whose lines cross where a horizon can be."""
     line = ["la", "lb", "lc", "dx", "dy"]
-    first = numbered.select("photo_id", "i", *[F.col(c).alias(f"a_{c}") for c in line])
-    second = numbered.select("photo_id", F.col("i").alias("j"), *[F.col(c).alias(f"b_{c}") for c in line])
-    crossings = (
-        picked.join(first, ["photo_id", "i"])
-        .join(second, ["photo_id", "j"])
+    first = pool.select("photo_id", F.col("seg_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in line])
+    second = pool.select("photo_id", F.col("seg_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in line])
+    return (
+        pairs.join(first, ["photo_id", "a"])
+        .join(second, ["photo_id", "b"])
         .where("abs(a_dx * b_dy - a_dy * b_dx) >= sin(radians(1D))")
         .selectExpr(
             "photo_id",
@@ -151,20 +172,58 @@ def _strongest(pool: DataFrame, width: int, height: int, rules: VoteRules) -> Da
         .where(
             f"vy > -0.5 * {height} AND vy < 1.5 * {height} AND abs(vx - {width} / 2D) <= 12 * {width}"
         )
+        .dropDuplicates(["photo_id", "draw"])
     )
-    votes = (
-        _angles(crossings.join(numbered.drop("i", "total"), "photo_id"))
-        .where(f"angle < {rules.tolerance_deg}")
-        .groupBy("photo_id", "draw", "vx", "vy")
-        .agg(
-            F.sum(F.expr(f"length * (1 - angle / {rules.tolerance_deg})")).alias("total"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    top = votes.groupBy("photo_id").agg(
-        F.expr("min(struct(-round(total, 6) AS t, round(vx, 6) AS a, round(vy, 6) AS b, vx, vy, total, n))").alias("b")
+
+
+def _votes(pool: DataFrame, points: DataFrame, rules: VoteRules, *moments) -> DataFrame:
+    """Per point (photo_id, draw, vx, vy): total, n and `moments` over the segments that point at it."""
+    near = _angles(pool.join(points, "photo_id")).where(f"angle < {rules.tolerance_deg}")
+    return near.groupBy("photo_id", "draw", "vx", "vy").agg(
+        F.sum(F.expr(f"length * (1 - angle / {rules.tolerance_deg})")).alias("total"),
+        F.count(F.lit(1)).alias("n"),
+        *moments,
     )
-    return top.selectExpr("photo_id", "b.vx", "b.vy", f"b.total / {width} AS support", "b.n").where(
+
+
+def _nearest_point(moments: DataFrame) -> DataFrame:
+    """Adds rx, ry: the point whose homogeneous vector all lines come nearest to.
+
+    The columns aa, ab, ... are the length-weighted moments of the lines' coefficients. The
+    smallest eigenvector of their matrix comes out of inverse iteration with its adjugate;
+    the first step, from (0, 0, 1), is the solution of the 2 x 2 normal equations.
+    """
+    found = moments.selectExpr(
+        "*",
+        "bb * cc - bc * bc AS _a", "ac * bc - ab * cc AS _b", "ab * bc - ac * bb AS _c",
+        "aa * cc - ac * ac AS _d", "ab * ac - aa * bc AS _e", "aa * bb - ab * ab AS _f",
+    )
+    # one expression for all steps: as one select for each, a filter on rx would repeat them twofold a step
+    step = """struct((_a * p.rx + _b * p.ry + _c) / nullif(_c * p.rx + _e * p.ry + _f, 0D) AS rx,
+      (_b * p.rx + _d * p.ry + _e) / nullif(_c * p.rx + _e * p.ry + _f, 0D) AS ry)"""
+    start = "struct(_c / nullif(_f, 0D) AS rx, _e / nullif(_f, 0D) AS ry)"
+    moved = found.selectExpr("*", f"aggregate(sequence(1, {REFINE_STEPS}), {start}, (p, k) -> {step}) AS _p")
+    return moved.selectExpr(*moments.columns, "_p.rx", "_p.ry")
+
+
+def _strongest(pool: DataFrame, number: int, width: int, height: int, rules: VoteRules) -> DataFrame:
+    crossings = _crossings(pool, _drawn_pairs(pool, number, rules), width, height)
+    by_photo = crossings.groupBy("photo_id").agg(F.collect_list(F.struct("draw", "vx", "vy")).alias("points"))
+    open_points = by_photo.selectExpr("photo_id", "inline(points)")
+    top = _votes(pool, open_points, rules).groupBy("photo_id").agg(
+        F.expr("min(struct(-round(total, 6) AS t, draw, vx, vy, total, n))").alias("b")
+    )
+    best = cut_lineage(top.selectExpr("photo_id", "b.draw", "b.vx", "b.vy", "b.total", "b.n"))
+    product = lambda a, b: F.sum(F.expr(f"length * l{a} * l{b}")).alias(a + b)
+    moments = [product(a, b) for a, b in ("aa", "ab", "ac", "bb", "bc", "cc")]
+    own = _votes(pool, best.select("photo_id", "draw", "vx", "vy"), rules, *moments)
+    moved = _nearest_point(own).where(f"ry > -0.5D * {height} AND ry < 1.5D * {height}")
+    again = _votes(pool, moved.selectExpr("photo_id", "draw", "rx AS vx", "ry AS vy"), rules)
+    again = again.selectExpr("photo_id", "struct(vx, vy, total, n) AS r")
+    choice = best.join(again, "photo_id", "left").selectExpr(
+        "photo_id", f"if(coalesce(r.total >= {rules.keep_refined}D * total, false), r, struct(vx, vy, total, n)) AS c"
+    )
+    return choice.selectExpr("photo_id", "c.vx", "c.vy", f"c.total / {width} AS support", "c.n").where(
         f"support >= {rules.min_support} AND n >= {rules.min_count}"
     )
 
@@ -240,21 +299,24 @@ def horizon_estimate(photos: DataFrame, points: DataFrame, width: int, height: i
 # --- floor -----------------------------------------------------------------
 
 
+FAR_EDGE_RANK = 0.15
+
+
 def floor_extent(runs: DataFrame) -> DataFrame:
     """Coverage, far edge (15th percentile of column tops) and last row per floor."""
     keys = ["photo_id", "width", "height"]
-    tops = (
-        runs.selectExpr(*keys, "y", "explode(sequence(x0, x1)) AS x")
-        .groupBy(*keys, "x")
-        .agg(F.min("y").alias("top"), F.max("y").alias("last"), F.count(F.lit(1)).alias("n"))
-    )
-    # one row per column of the frame, whole numbers below the height
-    return tops.groupBy(*keys).agg(
-        (F.sum("n") / (F.col("width") * F.col("height"))).alias("coverage"),
-        F.count(F.lit(1)).alias("columns"),
-        F.expr("percentile(top, 0.15)").alias("far_edge_px"),
-        F.max("last").alias("bottom_px"),
+
+    def read(tops: np.ndarray) -> dict:
+        at = FAR_EDGE_RANK * (len(tops) - 1)
+        low, high = int(tops[math.floor(at)]), int(tops[math.ceil(at)])
+        return {"columns": [len(tops)], "far_edge_px": [low + (high - low) * (at - math.floor(at))]}
+
+    tops = K.skyline(runs, keys, read, {"columns": "long", "far_edge_px": "double"})
+    sums = runs.groupBy(*keys).agg(
+        (F.sum(F.col("x1") - F.col("x0") + 1) / (F.col("width") * F.col("height"))).alias("coverage"),
+        F.max("y").alias("bottom_px"),
     )
+    return sums.join(tops, keys).select(*keys, "coverage", "columns", "far_edge_px", "bottom_px")
 
 
 def floor_rails(runs: DataFrame, extent: DataFrame) -> DataFrame:
@@ -476,17 +538,50 @@ def decide_render(scenes: DataFrame, min_confidence: float = 0.55) -> DataFrame:
 
 
 def assemble_scene(scenes: DataFrame, min_confidence: float = 0.55) -> DataFrame:
-    """Nested scene rows; without floor, zones or finite numbers there is no scene."""
+    """Nested scene rows; without floor, zones or finite numbers there is no scene.
+
+    scenes: the columns that scene_confidence and validate_scene read, floor_zones (the
+    nested zones of regions.zone_forest) and rugs, rug_ratio (regions.rug_signal).
+    """
     decided = decide_render(validate_scene(scene_confidence(scenes)), min_confidence)
     missing = F.expr(
         f"coalesce(coverage, 0) < {MIN_COVERAGE} OR coalesce(columns, 0) < width * 0.1 OR zones = 0"
     ) | F.array_contains("checks", "non_finite")
+    confidence = fixed(F.col("scene_confidence"), 3)
+    e = F.expr
+    camera = F.struct(
+        fixed(F.col("horizon_share"), 4).alias("horizon"),
+        e("array(struct(vx_px / width AS x, horizon_share AS y, 1D AS weight, 'rails-sol' AS role))").alias("vanishing_points"),
+        fixed(e("degrees(2 * atan(width / (2 * focal_px)))"), 1).alias("fov_deg"),
+        F.lit(CAMERA_HEIGHT_M).alias("height_m"),
+    )
+    plane = F.struct(
+        e("array(struct(qx0 AS x, qy0 AS y), struct(qx1 AS x, qy1 AS y), struct(qx2 AS x, qy2 AS y), struct(qx3 AS x, qy3 AS y))").alias("quad"),
+        e("struct(width_m AS width, depth_m AS depth)").alias("meters"),
+    )
+    zones = F.transform(
+        "floor_zones",
+        lambda z: F.struct(
+            F.concat(F.lit("sol-"), z["zone"]).alias("id"),
+            F.lit("sol").alias("surface_id"),
+            F.lit("sol").alias("plane_ref"),
+            (z["zone"] - 1).alias("order"),
+            confidence.alias("confidence"),
+            z["pixels"].alias("pixels"),
+            z["box"].alias("box"),
+            z["holes"].alias("holes"),
+        ),
+    )
     scene = F.struct(
-        F.expr("struct(round(horizon_share, 4) AS horizon, vx_px / width AS vanishing_x, focal_px AS focal_px)").alias("camera"),
-        F.expr("array(struct(qx0 AS x, qy0 AS y), struct(qx1 AS x, qy1 AS y), struct(qx2 AS x, qy2 AS y), struct(qx3 AS x, qy3 AS y))").alias("quad"),
-        F.expr("struct(width_m AS width, depth_m AS depth)").alias("meters"),
-        "zones",
-        "rugs",
+        F.lit("photo").alias("id"),
+        F.lit("ai").alias("source"),
+        confidence.alias("confidence"),
+        F.struct("width", "height").alias("image"),
+        camera.alias("camera"),
+        e("array(struct('sol' AS id, true AS continuous))").alias("surfaces"),
+        F.struct(plane.alias("sol")).alias("planes"),
+        zones.alias("floor_zones"),
+        F.struct(F.lit(LIGHT_KIND).alias("kind"), *[F.lit(v).alias(k) for k, v in LIGHT.items()]).alias("light"),
         F.expr(
             """array_compact(array('experimental_scene', concat('perspective_', method), 'scale_assumed',
                  if(array_contains(reasons, 'low_confidence'), 'low_confidence', NULL),
@@ -497,7 +592,12 @@ def assemble_scene(scenes: DataFrame, min_confidence: float = 0.55) -> DataFrame
     return decided.select(
         "photo_id",
         F.when(missing, "no_floor").otherwise(F.col("render_status")).alias("status"),
-        F.when(~missing, fixed(F.col("scene_confidence"), 3)).alias("confidence"),
+        F.when(~missing, confidence).alias("confidence"),
         "reasons",
+        F.struct((F.col("rugs") > 0).alias("present"), "rugs", fixed(F.col("rug_ratio"), 4).alias("area_ratio")).alias("rug"),
+        F.struct(
+            F.col("render_status").alias("status"), "reasons", confidence.alias("confidence"),
+            F.lit(min_confidence).alias("min_confidence"), "checks",
+        ).alias("decision"),
         F.when(~missing, scene).alias("scene"),
     )

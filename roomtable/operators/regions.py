@@ -170,6 +170,107 @@ def opening_radius(width: int, height: int) -> int:
     return (size - 1) // 2
 
 
+def containment(parts: DataFrame, gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The forest of parts and gaps: what lies in what, how deep, and from which root.
+
+    parts are runs with the number of their 8-connected component, gaps those of the
+    background with the number of their 4-connected one. A component lies in the one of
+    the other kind that holds the pixel left of its first pixel; gaps that touch the frame
+    are no holes and have no parent, so parts in them are roots of depth 0. Rows: keys,
+    kind, node, pixels, box, open (touches the frame), parent, depth, root. Depths come by
+    pointer jumping, in as many rounds as the logarithm of the deepest nesting.
+    """
+    keys = list(keys)
+    facts, ends = [], []
+    for kind, runs in (("part", parts), ("gap", gaps)):
+        own = part_facts(runs, keys).withColumnRenamed("part", "node")
+        facts.append(own.withColumn("kind", F.lit(kind)))
+        other = "gap" if kind == "part" else "part"
+        ends.append(runs.select(*keys, "y", F.col("x1").alias("_end"), F.col("part").alias("parent"), F.lit(other).alias("kind")))
+    nodes = facts[0].unionByName(facts[1])
+    open_ = (F.col("left") == 0) | (F.col("top") == 0) | (F.col("right") == F.col("width") - 1) | (F.col("bottom") == F.col("height") - 1)
+    nodes = nodes.withColumns(
+        {"open": open_, "y": F.floor(F.col("node") / _SHIFT).cast("bigint"), "_end": F.col("node") % _SHIFT - 1}
+    )
+    linked = nodes.join(ends[0].unionByName(ends[1]), [*keys, "kind", "y", "_end"], "left").drop("y", "_end")
+    outer = nodes.where("kind = 'gap' AND open").select(*keys, F.col("node").alias("parent"), F.lit("part").alias("kind"), F.lit(True).alias("_outer"))
+    linked = linked.join(outer, [*keys, "kind", "parent"], "left")
+    rootless = F.col("_outer") | ((F.col("kind") == "gap") & F.col("open"))
+    linked = linked.withColumn("parent", F.when(~F.coalesce(rootless, F.lit(False)), F.col("parent"))).drop("_outer")
+    return cut_lineage(_with_depths(cut_lineage(linked), keys))
+
+
+def _with_depths(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds depth and root; every jump doubles the distance a node looks up.
+
+    A node that looks up no more knows its depth and root.
+    """
+    other = F.when(F.col("kind") == "part", "gap").otherwise("part")
+    up = nodes.select(
+        *keys, "kind", "node", F.col("parent").alias("_to"), F.when(F.col("parent").isNotNull(), other).alias("_to_kind"),
+        F.col("parent").isNotNull().cast("bigint").alias("depth"), F.col("node").alias("root"),
+    )
+    while not (up := cut_lineage(up)).where("_to IS NOT NULL").isEmpty():
+        above = up.select(
+            *keys, F.col("kind").alias("_to_kind"), F.col("node").alias("_to"), F.col("_to").alias("_next"),
+            F.col("_to_kind").alias("_next_kind"), F.col("depth").alias("_more"), F.col("root").alias("_top"),
+        )
+        up = up.join(above, [*keys, "_to", "_to_kind"], "left").select(
+            *keys, "kind", "node", F.col("_next").alias("_to"), F.col("_next_kind").alias("_to_kind"),
+            (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.coalesce("_top", "root").alias("root"),
+        )
+    return nodes.join(up.select(*keys, "kind", "node", "depth", "root"), [*keys, "kind", "node"])
+
+
+def zone_forest(
+    runs: DataFrame,
+    frames: DataFrame,
+    keys: Sequence[str],
+    max_zones: int = 3,
+    min_zone_ratio: float = 0.01,
+    min_hole_ratio: float = 0.0005,
+    parts: DataFrame | None = None,
+) -> DataFrame:
+    """One row per mask: `floor_zones`, its largest parts with the holes inside them.
+
+    A zone has rank, part, pixels, box and holes; a hole has pixels, box and the number and
+    pixels of the parts that lie in it. Masks without a zone have no row. The zones of a
+    mask are at most `max_zones`, its holes those above `min_hole_ratio` of the frame.
+    """
+    keys = list(keys)
+    parts = cut_lineage(components(runs, keys, 8)) if parts is None else parts
+    forest = containment(parts, components(M.complement(runs, frames, keys), keys, 4), keys)
+    total = F.col("width") * F.col("height")
+    box = F.struct("left", "top", "right", "bottom").alias("box")
+    islands = forest.where("kind = 'part' AND parent IS NOT NULL").groupBy(*keys, F.col("parent").alias("node")).agg(
+        F.count(F.lit(1)).alias("islands"), F.sum("pixels").alias("island_pixels")
+    )
+    holes = (
+        forest.where("kind = 'gap' AND parent IS NOT NULL").where(F.col("pixels") >= total * min_hole_ratio)
+        .join(islands, [*keys, "node"], "left")
+        .groupBy(*keys, F.col("parent").alias("node"))
+        .agg(
+            F.sort_array(
+                F.collect_list(
+                    F.struct(
+                        F.col("node").alias("first"), "pixels", box,
+                        F.coalesce("islands", F.lit(0)).alias("islands"), F.coalesce("island_pixels", F.lit(0)).alias("island_pixels"),
+                    )
+                )
+            ).alias("holes")
+        )
+    )
+    order = Window.partitionBy(*keys).orderBy(F.desc("pixels"), "node")
+    zones = (
+        forest.where("kind = 'part'").where(F.col("pixels") >= total * min_zone_ratio)
+        .withColumn("zone", F.row_number().over(order).cast("bigint")).where(F.col("zone") <= max_zones)
+        .join(holes, [*keys, "node"], "left")
+    )
+    empty = F.array().cast(holes.schema["holes"].dataType)
+    zone = F.struct("zone", F.col("node").alias("part"), "pixels", box, F.coalesce("holes", empty).alias("holes"))
+    return zones.groupBy(*keys).agg(F.sort_array(F.collect_list(zone)).alias("floor_zones"))
+
+
 def floor_zones(
     runs: DataFrame,
     frames: DataFrame,

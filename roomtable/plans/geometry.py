@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from roomtable.functions.draws import drawn, share_sql
 from roomtable.functions.numbers import fixed, piped
 from roomtable.functions.settings import DEFAULTS
 from roomtable.operators import image as I
@@ -14,8 +15,10 @@ from roomtable.operators import masks as M
 from roomtable.operators import perspective as P
 from roomtable.operators import regions as R
 from roomtable.operators.scenes import decide_status, photo_report
-from roomtable.plans.frames import KEYS, SHEET, sheet_frames, sized
+from roomtable.plans.evaluation import EIGHT, FOUR, _components_sql
+from roomtable.plans.frames import KEYS, SHEET, sheet_frames, sheet_lines, sheet_runs, sized
 from roomtable.plans.image import _CODES, SMALL, tile_luma
+from roomtable.plans.regions import _DENSE_SQL, _FACTS, _REFINED, _relabel
 from roomtable.plans.registry import query, r
 from roomtable.session import cut_lineage
 
@@ -247,45 +250,87 @@ def _angle(seg: str, point: str) -> str:
       abs({seg}.dx * {vy} - {seg}.dy * {vx}) / {reach} END)))"""
 
 
+def _refined(k: int) -> str:
+    """The moments' smallest eigenvector, by the same steps as the operator takes."""
+    inner = f"""SELECT *, c_ / nullif(f_, 0) AS x0_, e_ / nullif(f_, 0) AS y0_ FROM (SELECT *, bb * cc - bc * bc AS a_, ac * bc - ab * cc AS b_,
+      ab * bc - ac * bb AS c_, aa * cc - ac * ac AS d_, ab * ac - aa * bc AS e_, aa * bb - ab * ab AS f_ FROM m{k})"""
+    for i in range(P.REFINE_STEPS):
+        under = f"nullif(c_ * x{i}_ + e_ * y{i}_ + f_, 0)"
+        inner = f"""SELECT *, (a_ * x{i}_ + b_ * y{i}_ + c_) / {under} AS x{i + 1}_, (b_ * x{i}_ + d_ * y{i}_ + e_) / {under} AS y{i + 1}_ FROM ({inner})"""
+    return f"SELECT photo_id, x{P.REFINE_STEPS}_ AS vx, y{P.REFINE_STEPS}_ AS vy FROM ({inner})"
+
+
 def _round(k: int, tol: float, support: float, count: int) -> str:
+    moments = ", ".join(f"sum(length * l{a} * l{b}) AS {a}{b}" for a, b in ("aa", "ab", "ac", "bb", "bc", "cc"))
     return f"""s{k} AS (SELECT * FROM p{k} QUALIFY count(*) OVER (PARTITION BY photo_id) >= {count}),
-    c{k} AS (SELECT photo_id, sa, sb, hx / hw AS vx, hy / hw AS vy FROM (SELECT a.photo_id, a.seg_id AS sa, b.seg_id AS sb,
+    d{k} AS (SELECT photo_id, draw, arg_min(seg_id, -ln({share_sql('h')}) / length, 2) AS two FROM (SELECT photo_id, seg_id, length, draw,
+      {', '.join(drawn('h', 'photo_id', k, 'draw', 'seg_id'))} FROM s{k}, range(600) AS t(draw) WHERE length > 0) GROUP BY ALL),
+    q{k} AS (SELECT photo_id, least(two[1], two[2]) AS sa, greatest(two[1], two[2]) AS sb, min(draw) AS draw FROM d{k} GROUP BY ALL),
+    c{k} AS (SELECT photo_id, draw, hx / hw AS vx, hy / hw AS vy FROM (SELECT q.photo_id, q.draw,
       a.lb * b.lc - a.lc * b.lb AS hx, a.lc * b.la - a.la * b.lc AS hy, a.la * b.lb - a.lb * b.la AS hw
-      FROM s{k} a JOIN s{k} b ON a.photo_id = b.photo_id AND a.seg_id < b.seg_id
+      FROM q{k} q JOIN s{k} a ON a.photo_id = q.photo_id AND a.seg_id = q.sa JOIN s{k} b ON b.photo_id = q.photo_id AND b.seg_id = q.sb
       WHERE abs(a.dx * b.dy - a.dy * b.dx) >= sin(radians(1))) WHERE abs(hw) >= 1e-12),
     h{k} AS (SELECT * FROM c{k} WHERE vy > -500 AND vy < 1500 AND abs(vx - 500) <= 12000),
-    v{k} AS (SELECT photo_id, vx, vy, sum(length * (1 - angle / {tol})) AS total, count(*) AS n FROM (SELECT h.*, s.length,
-      {_angle('s', 'h')} AS angle FROM h{k} h JOIN s{k} s USING (photo_id)) WHERE angle < {tol} GROUP BY photo_id, sa, sb, vx, vy),
-    b{k} AS (SELECT * FROM (SELECT * FROM v{k} QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY -round(total, 6),
-      round(vx, 6), round(vy, 6)) = 1) WHERE total / 1000 >= {support} AND n >= {count})"""
+    v{k} AS (SELECT photo_id, draw, vx, vy, sum(length * (1 - angle / {tol})) AS total, count(*) AS n FROM (SELECT h.*, s.length,
+      {_angle('s', 'h')} AS angle FROM h{k} h JOIN s{k} s USING (photo_id)) WHERE angle < {tol} GROUP BY ALL),
+    w{k} AS (SELECT * FROM v{k} QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY -round(total, 6), draw) = 1),
+    m{k} AS (SELECT photo_id, {moments} FROM w{k} w JOIN s{k} s USING (photo_id) WHERE {_angle('s', 'w')} < {tol} GROUP BY photo_id),
+    r{k} AS (SELECT * FROM ({_refined(k)}) WHERE vy > -500 AND vy < 1500),
+    t{k} AS (SELECT photo_id, vx, vy, sum(length * (1 - angle / {tol})) AS total, count(*) AS n FROM (SELECT r.*, s.length,
+      {_angle('s', 'r')} AS angle FROM r{k} r JOIN s{k} s USING (photo_id)) WHERE angle < {tol} GROUP BY ALL),
+    b{k} AS (SELECT * FROM (SELECT w.photo_id, CASE WHEN t.total >= 0.9e0 * w.total THEN t.vx ELSE w.vx END AS vx,
+      CASE WHEN t.total >= 0.9e0 * w.total THEN t.vy ELSE w.vy END AS vy, CASE WHEN t.total >= 0.9e0 * w.total THEN t.total ELSE w.total END AS total,
+      CASE WHEN t.total >= 0.9e0 * w.total THEN t.n ELSE w.n END AS n FROM w{k} w LEFT JOIN t{k} t USING (photo_id))
+      WHERE total / 1000 >= {support} AND n >= {count})"""
 
 
 def _next_pool(k: int, tol: float) -> str:
     return f"""p{k + 1} AS (SELECT s.* FROM p{k} s JOIN b{k} b USING (photo_id) WHERE {_angle('s', 'b')} >= {2 * tol})"""
 
 
-_VOTE = f"""{_SEGMENTS}, p1 AS (SELECT * FROM sv WHERE vertical_deg > 12), {_round(1, 6.0, 0.2, 3)},
-  {_next_pool(1, 6.0)}, {_round(2, 6.0, 0.2, 3)}, {_next_pool(2, 6.0)}, {_round(3, 6.0, 0.2, 3)},
+def _vote(segments: str, tol: float = 6.0, support: float = 0.2, count: int = 3) -> str:
+    return f"""{segments}, p1 AS (SELECT * FROM sv WHERE vertical_deg > 12), {_round(1, tol, support, count)},
+  {_next_pool(1, tol)}, {_round(2, tol, support, count)}, {_next_pool(2, tol)}, {_round(3, tol, support, count)},
   vp AS (SELECT photo_id, 1 AS rank, vx AS x, vy AS y, total / 1000 AS support, n FROM b1 UNION ALL
     SELECT photo_id, 2, vx, vy, total / 1000, n FROM b2 UNION ALL SELECT photo_id, 3, vx, vy, total / 1000, n FROM b3)"""
 
 
+_VOTE = _vote(_SEGMENTS)
+
+
 def points(fx):
     return P.vanishing_points(fx.segment, FRAME, FRAME, LOOSE)
 
 
-@query(
-    "vanishing_points",
-    "L6",
-    f"""WITH {_VOTE} SELECT photo_id, rank::BIGINT AS rank, {r('x', 3)} AS x, {r('y', 3)} AS y, {r('support', 5)} AS support, n AS count FROM vp""",
-)
-def vanishing_points(fx):
-    return points(fx).select(
+_POINTS = f"SELECT photo_id, rank::BIGINT AS rank, {r('x', 3)} AS x, {r('y', 3)} AS y, {r('support', 5)} AS support, n AS count FROM vp"
+
+
+def _rounded(found):
+    return found.select(
         "photo_id", "rank", fixed(F.col("x"), 3).alias("x"), fixed(F.col("y"), 3).alias("y"),
         fixed(F.col("support"), 5).alias("support"), "count",
     )
 
 
+@query("vanishing_points", "L6", f"WITH {_VOTE} {_POINTS}")
+def vanishing_points(fx):
+    return _rounded(points(fx))
+
+
+#: four frames side by side in one photo: 64 segments, more pairs than draws
+_CROWDED = "photo_id // 4 AS photo_id, photo_id % 4 * 16 + seg_id AS seg_id, x0, y0, x1, y1"
+
+
+@query(
+    "crowded_vanishing_points",
+    "L6",
+    f"WITH {_vote(_SEGMENTS.replace('FROM segment', f'FROM (SELECT {_CROWDED} FROM segment)'), 1.6, 0.8, 4)} {_POINTS}",
+)
+def crowded_vanishing_points(fx):
+    crowded = fx.segment.selectExpr(*_CROWDED.replace("//", "div").split(", "))
+    return _rounded(P.vanishing_points(crowded, FRAME, FRAME))
+
+
 _WIDE = """wd AS (SELECT e.vec_id AS photo_id, CASE WHEN label = 3 THEN 24e0 END AS f35,
     max(x) FILTER (rank = 1) AS xa, max(y) FILTER (rank = 1) AS ya, max(support) FILTER (rank = 1) AS sa,
     max(x) FILTER (rank = 2) AS xb, max(y) FILTER (rank = 2) AS yb, max(support) FILTER (rank = 2) AS sb,
@@ -343,27 +388,29 @@ def horizon_estimate(fx):
 # --- floors --------------------------------------------------------------------
 
 
+#: Limit of a sheet's values inside its floor, by place: a trapezoid that opens towards the
+#: bottom and whose edges follow the values; one sheet in five reaches the top, one is in stripes.
+_FLOOR_FROM = """greatest(0.08e0 * (abs(x - 31.5e0) - 4 - 0.5e0 * y), 0.1e0 * (CASE WHEN photo_id % 5 = 4 THEN 0 ELSE 14 END - y),
+  CASE WHEN photo_id % 5 = 3 AND x % 16 < 2 THEN 1e0 ELSE -1e0 END) - 0.3e0"""
+
+
 def floor_runs(fx):
-    """A floor per sheet: each row opens towards the bottom, jittered by its values."""
-    luma = "least(1D, greatest(0D, 0.5D + cast(embedding[{0}] AS double)))"
-    rows = fx.embeddings.selectExpr(
-        "cast(floor(vec_id / 50) AS bigint) AS photo_id",
-        "vec_id % 50 AS y",
-        f"cast(floor(24 - (vec_id % 50 - 15) * 0.5D + 4 * {luma.format(0)}) AS bigint) AS x0",
-        f"cast(floor(38 + (vec_id % 50 - 15) * 0.5D + 4 * {luma.format(1)}) AS bigint) AS x1",
-    ).where("y >= 15")
-    return sized(rows, SHEET)
-
-
-_FLOOR = """fr AS (SELECT vec_id // 50 AS photo_id, vec_id % 50 AS y,
-    floor(24 - (vec_id % 50 - 15) * 0.5e0 + 4 * least(1, greatest(0, 0.5e0 + embedding[1]::DOUBLE)))::BIGINT AS x0,
-    floor(38 + (vec_id % 50 - 15) * 0.5e0 + 4 * least(1, greatest(0, 0.5e0 + embedding[2]::DOUBLE)))::BIGINT AS x1
-    FROM embeddings WHERE vec_id % 50 >= 15),
-  cl AS (SELECT photo_id, y, unnest(range(x0, x1 + 1)) AS x FROM fr),
-  tops AS (SELECT photo_id, x, min(y) AS top, count(*) AS n FROM cl GROUP BY ALL),
-  ex AS (SELECT photo_id, sum(n) / 3200 AS coverage, count(*) AS columns, quantile_cont(top, 0.15) AS far,
-    (SELECT max(y) FROM fr f WHERE f.photo_id = t.photo_id) AS bottom FROM tops t GROUP BY photo_id)"""
-_RAILS = f"""{_FLOOR}, ed AS (SELECT fr.*, far, bottom FROM fr JOIN ex USING (photo_id) WHERE y >= floor(far)),
+    """A floor per sheet, from all of its values."""
+    over = f"transform(line, (v, x) -> cast(v AS double) - ({_FLOOR_FROM})) AS line"
+    lines = sheet_lines(fx).selectExpr(*KEYS, "y", over)
+    return M.lines_to_runs(lines, KEYS, "line", {"floor": lambda v: v > 0}).drop("side")
+
+
+#: cells of the floors, before anything is cleaned
+_RAW = f"""fc0 AS (SELECT photo_id, y, x FROM (SELECT vec_id // 50 AS photo_id, vec_id % 50 AS y, i - 1 AS x, embedding[i]::DOUBLE AS v
+    FROM embeddings, range(1, 65) r(i)) WHERE v - ({_FLOOR_FROM}) > 0)"""
+_PLAIN = f"""{_RAW}, fc AS (SELECT * FROM fc0)"""
+#: of cells `fc`
+_EXTENT = """fr AS (SELECT photo_id, y, min(x) AS x0, max(x) AS x1 FROM fc GROUP BY ALL),
+  tops AS (SELECT photo_id, x, min(y) AS top, max(y) AS last, count(*) AS n FROM fc GROUP BY ALL),
+  ex AS (SELECT photo_id, sum(n) / 3200 AS coverage, count(*) AS columns, quantile_cont(top, 0.15) AS far, max(last) AS bottom
+    FROM tops GROUP BY photo_id)"""
+_RAILS = f"""{_EXTENT}, ed AS (SELECT fr.*, far, bottom FROM fr JOIN ex USING (photo_id) WHERE y >= floor(far)),
   rg AS (SELECT photo_id, far, bottom, count(*) FILTER (x0 > 1) AS nl, regr_slope(x0, y) FILTER (x0 > 1) AS al,
       regr_intercept(x0, y) FILTER (x0 > 1) AS bl, count(*) FILTER (x1 < 62) AS nr, regr_slope(x1, y) FILTER (x1 < 62) AS ar,
       regr_intercept(x1, y) FILTER (x1 < 62) AS br, max(y) FILTER (x0 > 1) - min(y) FILTER (x0 > 1) AS sl,
@@ -380,7 +427,7 @@ _RAILS = f"""{_FLOOR}, ed AS (SELECT fr.*, far, bottom FROM fr JOIN ex USING (ph
 @query(
     "floor_rails",
     "L9",
-    f"""WITH {_RAILS} SELECT photo_id, {r('rail_x', 4)} AS rail_x, {r('rail_y', 4)} AS rail_y,
+    f"""WITH {_PLAIN}, {_RAILS} SELECT photo_id, {r('rail_x', 4)} AS rail_x, {r('rail_y', 4)} AS rail_y,
     {r('rail_confidence', 4)} AS rail_confidence FROM ra""",
 )
 def floor_rails(fx):
@@ -431,7 +478,7 @@ _INPUTS = f"""{_RAILS}, cam AS (SELECT vec_id // 50 AS photo_id, least(1, greate
 @query(
     "fused_horizon",
     "L10",
-    f"""WITH {_INPUTS} SELECT photo_id, outcome, method, {r('horizon_px', 4)} AS horizon_px, {r('vx_px', 4)} AS vx_px,
+    f"""WITH {_PLAIN}, {_INPUTS} SELECT photo_id, outcome, method, {r('horizon_px', 4)} AS horizon_px, {r('vx_px', 4)} AS vx_px,
     {r('confidence', 4)} AS confidence FROM fu""",
 )
 def fused_horizon(fx):
@@ -466,7 +513,7 @@ _SCALE = f"""{_INPUTS}, hp AS (SELECT *, CASE WHEN photo_id % 4 = 1 THEN 52e0 EL
 @query(
     "floor_scale",
     "L11",
-    f"""WITH {_SCALE} SELECT photo_id, {r('wm', 2)} AS width_m, {r('dm', 2)} AS depth_m, {r('dm / wm', 2)} AS depth_over_width,
+    f"""WITH {_PLAIN}, {_SCALE} SELECT photo_id, {r('wm', 2)} AS width_m, {r('dm', 2)} AS depth_m, {r('dm / wm', 2)} AS depth_over_width,
     plank_near_px, {r('0.092e0 / 1.5e0 * 0.5e0 * (yn + yf - 2 * h)', 1)} AS plank_mid_px, {r('0.092e0 / 1.5e0 * (yf - h)', 1)} AS plank_far_px,
     plausible, CASE WHEN prior OR cut OR NOT plausible THEN 'low' ELSE 'medium' END AS metric_scale_confidence,
     {r('qx0', 5)} AS qx0, {r('qx1', 5)} AS qx1, {r('yf / 50', 5)} AS qy0, {r('pc', 4)} AS perspective_confidence FROM sl""",
@@ -480,7 +527,7 @@ def floor_scale(fx):
 
 
 def scene_table(fx, runs=None, raw=None):
-    """floor_scale rows with parts, zones and mask changes, ready for validation."""
+    """floor_scale rows with parts, nested zones, rugs and mask changes, ready for validation."""
     runs = floor_runs(fx) if runs is None else runs
     raw = runs if raw is None else raw
     total = F.col("width") * F.col("height")
@@ -491,13 +538,14 @@ def scene_table(fx, runs=None, raw=None):
         F.sum((F.col("pixels") >= total * 0.01).cast("int")).alias("huge_parts"),
         F.min("top").alias("top_row"),
     )
-    zones = R.floor_zones(runs, sheet_frames(fx), KEYS, parts=labelled).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("zones"),
-        F.sum((F.col("pixels") < total * 0.005).cast("int")).alias("small_zones"),
-        (F.min("left") / (F.col("width") - 1)).alias("zone_left"),
-        (F.max("right") / (F.col("width") - 1)).alias("zone_right"),
-        (F.min("top") / (F.col("height") - 1)).alias("zone_top"),
-        (F.max("bottom") / (F.col("height") - 1)).alias("zone_bottom"),
+    zones = R.zone_forest(runs, sheet_frames(fx), KEYS, parts=labelled).select(
+        "*",
+        F.size("floor_zones").alias("zones"),
+        F.size(F.filter("floor_zones", lambda z: z["pixels"] < total * 0.005)).alias("small_zones"),
+        *[
+            F.expr(f"array_{pick}(transform(floor_zones, z -> z.box.{side})) / ({size} - 1) AS zone_{side}")
+            for side, size, pick in (("left", "width", "min"), ("right", "width", "max"), ("top", "height", "min"), ("bottom", "height", "max"))
+        ],
     )
     swept = M.stretches(M.gather({"a": raw, "b": runs}, KEYS), KEYS, ["a", "b"])
     size = F.col("x1") - F.col("x0") + 1
@@ -505,31 +553,78 @@ def scene_table(fx, runs=None, raw=None):
         F.sum(F.when(F.col("a") > 0, size).otherwise(0)).alias("raw_pixels"),
         F.sum(F.when((F.col("a") > 0) != (F.col("b") > 0), size).otherwise(0)).alias("changed_pixels"),
     )
-    joined = scaled(fx, runs).join(parts, KEYS).join(changes, KEYS).join(zones, KEYS, "left")
+    rugs = R.rug_signal(sheet_runs(fx, rug="luma > 0.6").drop("side"), sheet_frames(fx), KEYS)
+    rugs = rugs.select(*KEYS, "rugs", F.col("area_ratio").alias("rug_ratio"))
+    joined = scaled(fx, runs).join(parts, KEYS).join(changes, KEYS).join(zones, KEYS, "left").join(rugs, KEYS, "left")
     return joined.withColumn("zones", F.coalesce("zones", F.lit(0)))
 
 
-_CONFIDENCE = f"""{_SCALE}, sn AS (SELECT *, least(greatest(pc * CASE WHEN coverage < 0.08 THEN 0.6e0 WHEN coverage > 0.65 THEN 0.7e0
-    ELSE 1 END * CASE WHEN far_edge_px / 50 <= 0.7 THEN 1 WHEN method = 'lines-vp' THEN 0.95e0 ELSE 0.8e0 END, 0), 1) AS conf FROM sl)"""
-
-
-@query("scene_confidence", "M14", f"WITH {_CONFIDENCE} SELECT photo_id, {r('conf', 4)} AS scene_confidence FROM sn")
+#: of cells `fc`: parts (pt), how many are large (pf), background parts (gp)
+_PARTS = f"""{_relabel(_components_sql('fc', 'photo_id', EIGHT), '6')},
+  pt AS (SELECT photo_id, lab, {_FACTS} FROM nd6 JOIN lb6 USING (id) GROUP BY ALL),
+  pf AS (SELECT photo_id, count_if(pixels >= 16) AS large_parts, count_if(pixels >= 32) AS huge_parts, min(top) AS top_row
+    FROM pt GROUP BY photo_id)"""
+_GAPS = f"""bg7 AS (SELECT photo_id, y, x FROM sheet EXCEPT SELECT photo_id, y, x FROM fc),
+  {_relabel(_components_sql('bg7', 'photo_id', FOUR), '7')},
+  gp AS (SELECT *, "left" = 0 OR top = 0 OR "right" = 63 OR bottom = 49 AS open_ FROM (SELECT photo_id, lab, {_FACTS}
+    FROM nd7 JOIN lb7 USING (id) GROUP BY ALL))"""
+#: parents: the component of the other kind with the pixel left of the first one
+_FOREST = """fo AS (SELECT 'part' AS kind, p.photo_id, p.lab AS node, p.pixels, g.lab AS parent FROM pt p LEFT JOIN lb7 l ON l.id = p.lab - 1
+      AND p.lab % 1000 > 0 LEFT JOIN gp g ON g.lab = l.lab AND NOT g.open_
+    UNION ALL SELECT 'gap', g.photo_id, g.lab, g.pixels, l.lab FROM gp g LEFT JOIN lb6 l ON l.id = g.lab - 1 AND NOT g.open_)"""
+_CONFIDENCE = f"""{_SCALE}, {_PARTS}, sn AS (SELECT *, least(greatest(pc * CASE WHEN coverage < 0.08 THEN 0.6e0 WHEN coverage > 0.65 THEN 0.7e0
+    ELSE 1 END * CASE WHEN large_parts > 4 THEN 0.85e0 ELSE 1 END * CASE WHEN far_edge_px / 50 <= 0.7 THEN 1 WHEN method = 'lines-vp'
+    THEN 0.95e0 ELSE 0.8e0 END, 0), 1) AS conf FROM sl JOIN pf USING (photo_id))"""
+
+
+@query("scene_confidence", "M14", f"WITH RECURSIVE {_PLAIN}, {_CONFIDENCE} SELECT photo_id, {r('conf', 4)} AS scene_confidence FROM sn")
 def scene_confidence(fx):
     return P.scene_confidence(scene_table(fx)).select(
         "photo_id", fixed(F.col("scene_confidence"), 4).alias("scene_confidence")
     )
 
 
-_CHECKS = f"""{_CONFIDENCE}, qd AS (SELECT *, yf / 50 AS qyt, h / 50 AS hs,
+@query(
+    "containment_forest",
+    "L12 M10",
+    f"""WITH RECURSIVE {_PLAIN.replace("FROM fc0)", "FROM fc0 WHERE greatest(abs(x - 32), abs(y - 32)) // 3 % 2 = 0 OR photo_id % 2 = 0)")}, {_PARTS}, {_GAPS}, {_FOREST},
+    up(photo_id, kind, node, parent, depth) AS (SELECT photo_id, kind, node, parent, 0 FROM fo UNION ALL
+      SELECT u.photo_id, u.kind, u.node, f.parent, depth + 1 FROM up u JOIN fo f ON f.node = u.parent
+        AND f.kind = CASE WHEN (depth % 2 = 0) = (u.kind = 'part') THEN 'gap' ELSE 'part' END)
+    SELECT photo_id, kind, node // 1000 % 1000 AS y, node % 1000 AS x, any_value(pixels) AS pixels, max(depth)::BIGINT AS depth
+    FROM up JOIN (SELECT photo_id, kind, node, pixels FROM fo) USING (photo_id, kind, node) GROUP BY ALL""",
+)
+def containment_forest(fx):
+    cells = M.runs_to_cells(floor_runs(fx)).where("greatest(abs(x - 32), abs(y - 32)) div 3 % 2 = 0 OR photo_id % 2 = 0")
+    runs = cut_lineage(M.cells_to_runs(cells, KEYS))
+    gaps = R.components(M.complement(runs, sheet_frames(fx), KEYS), KEYS, 4)
+    found = R.containment(R.components(runs, KEYS, 8), gaps, KEYS)
+    return found.selectExpr("photo_id", "kind", "node div 4294967296 AS y", "node % 4294967296 AS x", "pixels", "depth")
+
+
+def _checks_sql(changed: str) -> str:
+    """The codes of the failed checks in their published order; `changed` is the share of rewritten pixels."""
+    return f"""{_CONFIDENCE}, qd AS (SELECT *, yf / 50 AS qyt, h / 50 AS hs,
     abs((qx0 * (yf / 50) - qx1 * (yf / 50)) + (qx1 * 1.08e0 - 1.08e0 * (yf / 50)) + (1.08e0 * 1.08e0 + 0.08e0 * 1.08e0)
       + (-0.08e0 * (yf / 50) - qx0 * 1.08e0)) / 2 AS quad FROM sn),
-  ck AS (SELECT *, concat_ws('|', CASE WHEN quad < 0.001 OR qx1 <= qx0 OR NOT qyt < 1.08 THEN 'degenerate_plane' END,
-    CASE WHEN NOT plausible THEN 'geometry_implausible' END, CASE WHEN NOT hs < qyt THEN 'horizon_below_floor' END,
+  ck AS (SELECT *, list_filter([
+    CASE WHEN quad < 0.001 OR qx1 <= qx0 OR NOT qyt < 1.08 THEN 'degenerate_plane' END,
+    CASE WHEN NOT hs < qyt THEN 'horizon_below_floor' END,
     CASE WHEN NOT hs BETWEEN 0.05 AND 0.85 THEN 'horizon_out_of_frame' END,
-    CASE WHEN plank_near_px < 6 THEN 'plank_microscopic' END) AS checks FROM qd)"""
+    CASE WHEN wm <= 0 OR dm <= 0 THEN 'non_positive_meters' END,
+    CASE WHEN photo_id NOT IN (SELECT photo_id FROM pt WHERE pixels >= 32) THEN 'degenerate_zone' END,
+    CASE WHEN NOT plausible THEN 'geometry_implausible' END,
+    CASE WHEN plank_near_px < 6 THEN 'plank_microscopic' END,
+    CASE WHEN top_row < 2 THEN 'floor_touches_top' END,
+    CASE WHEN huge_parts > 3 THEN 'fragmented_floor' END,
+    CASE WHEN {changed} > 0.25 THEN 'refiner_rewrote_mask' END], lambda c: c IS NOT NULL) AS codes FROM qd),
+  rd AS (SELECT *, list_concat(CASE WHEN conf < 0.55 THEN ['low_confidence'] ELSE [] END, codes) AS reasons FROM ck)"""
+
 
+_CHECKS = f"{_PLAIN}, {_checks_sql('0')}"
 
-@query("scene_checks", "P17", f"WITH {_CHECKS} SELECT photo_id, checks FROM ck")
+
+@query("scene_checks", "P17", f"WITH RECURSIVE {_CHECKS} SELECT photo_id, array_to_string(list_sort(codes), '|') AS checks FROM ck")
 def scene_checks(fx):
     return P.validate_scene(scene_table(fx)).select("photo_id", piped(F.col("checks")).alias("checks"))
 
@@ -537,23 +632,49 @@ def scene_checks(fx):
 @query(
     "render_decision",
     "P18",
-    f"""WITH {_CHECKS} SELECT photo_id, CASE WHEN checks = '' AND conf >= 0.55 THEN 'auto_render' ELSE 'needs_manual_adjustment' END
-    AS render_status, conf < 0.55 AS low_confidence FROM ck""",
+    f"""WITH RECURSIVE {_CHECKS} SELECT photo_id, CASE WHEN len(reasons) = 0 THEN 'auto_render' ELSE 'needs_manual_adjustment' END
+    AS render_status, array_to_string(reasons, '|') AS reasons FROM rd""",
 )
 def render_decision(fx):
     decided = P.decide_render(P.validate_scene(P.scene_confidence(scene_table(fx))))
-    return decided.select(
-        "photo_id", "render_status", F.array_contains("reasons", "low_confidence").alias("low_confidence")
-    )
+    return decided.select("photo_id", "render_status", F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("assembled_scenes", "L12 M7")
+_SCENES = f"""{_RAW}, {_REFINED.replace(f"q AS (SELECT photo_id, y, x FROM sheet WHERE {_DENSE_SQL})", "q AS (SELECT photo_id, y, x FROM fc0)")},
+  fc AS (SELECT photo_id, y, x FROM rf),
+  ch AS (SELECT coalesce(a.photo_id, b.photo_id) AS photo_id, count(a.photo_id) AS raw_, count_if(a.photo_id IS NULL OR b.photo_id IS NULL) AS diff
+    FROM fc0 a FULL JOIN fc b ON a.photo_id = b.photo_id AND a.y = b.y AND a.x = b.x GROUP BY ALL),
+  {_checks_sql('(SELECT diff / greatest(1, raw_) FROM ch WHERE ch.photo_id = qd.photo_id)')}, {_GAPS}, {_FOREST},
+  zr AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY pixels DESC, lab) AS zone FROM pt WHERE pixels >= 32 QUALIFY zone <= 3),
+  isl AS (SELECT parent AS lab, count(*) AS n FROM fo WHERE kind = 'part' AND parent IS NOT NULL GROUP BY parent),
+  hl8 AS (SELECT fo.parent AS lab, string_agg(g.pixels || '@' || g."left" || ',' || g.top || '+' || coalesce(isl.n, 0), ';' ORDER BY g.lab) AS holes
+    FROM fo JOIN gp g ON g.lab = fo.node LEFT JOIN isl ON isl.lab = g.lab WHERE fo.kind = 'gap' AND fo.parent IS NOT NULL AND g.pixels >= 1.6 GROUP BY fo.parent),
+  zo AS (SELECT photo_id, string_agg('sol-' || zone || ':' || pixels || ' ' || "left" || ',' || top || ',' || "right" || ',' || bottom || ' [' || coalesce(holes, '') || ']', '|' ORDER BY zone) AS zones
+    FROM zr LEFT JOIN hl8 USING (lab) GROUP BY photo_id),
+  rq AS (SELECT photo_id, y, x FROM sheet WHERE luma > 0.6e0), {_relabel(_components_sql('rq', 'photo_id', EIGHT), '9')},
+  rp AS (SELECT photo_id, lab, count(*) AS pixels FROM nd9 JOIN lb9 USING (id) GROUP BY ALL),
+  rg9 AS (SELECT photo_id, count_if(pixels >= 6.4) AS rugs, sum(pixels) / 3200 AS ratio FROM rp GROUP BY photo_id)"""
+
+
+@query(
+    "assembled_scenes",
+    "L12 M7",
+    f"""WITH RECURSIVE {_SCENES} SELECT photo_id, CASE WHEN len(reasons) = 0 THEN 'auto_render' ELSE 'needs_manual_adjustment' END AS status,
+    {r('conf', 3)} AS confidence, array_to_string(reasons, '|') AS reasons, {r('wm', 2)} AS width, {r('dm', 2)} AS depth,
+    {r('hs', 4)} AS horizon, {r('degrees(2 * atan(64 / (2 * f)))', 1)} AS fov_deg, zones, coalesce(rugs, 0) AS rugs,
+    {r('coalesce(ratio, 0)', 4)} AS rug_ratio, concat_ws('|', 'experimental_scene', 'perspective_' || method, 'scale_assumed',
+      CASE WHEN conf < 0.55 THEN 'low_confidence' WHEN len(reasons) > 0 THEN 'needs_manual_adjustment' END) AS warnings
+    FROM rd LEFT JOIN zo USING (photo_id) LEFT JOIN rg9 USING (photo_id)""",
+)
 def assembled_scenes(fx):
     raw = floor_runs(fx)
     refined = cut_lineage(R.refine_mask(raw, sheet_frames(fx), KEYS, R.opening_radius(*SHEET)))
-    table = scene_table(fx, refined, raw).withColumn("rugs", F.lit(0))
-    scenes = P.assemble_scene(table)
-    return scenes.select(
-        "photo_id", "status", "confidence", F.array_join("reasons", "|").alias("reasons"),
-        "scene.meters.width", "scene.meters.depth", F.array_join("scene.warnings", "|").alias("warnings"),
+    scenes = P.assemble_scene(scene_table(fx, refined, raw))
+    box = "z.box.left || ',' || z.box.top || ',' || z.box.right || ',' || z.box.bottom"
+    holes = "array_join(transform(z.holes, o -> o.pixels || '@' || o.box.left || ',' || o.box.top || '+' || o.islands), ';')"
+    return scenes.selectExpr(
+        "photo_id", "status", "confidence", "array_join(reasons, '|') AS reasons", "scene.planes.sol.meters.width",
+        "scene.planes.sol.meters.depth", "scene.camera.horizon", "scene.camera.fov_deg",
+        f"array_join(transform(scene.floor_zones, z -> z.id || ':' || z.pixels || ' ' || {box} || ' [' || {holes} || ']'), '|') AS zones",
+        "rug.rugs", "rug.area_ratio AS rug_ratio", "array_join(scene.warnings, '|') AS warnings",
     )

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from roomtable.functions.draws import drawn, share_sql
 from roomtable.functions.numbers import fixed, piped
 from roomtable.functions.settings import DEFAULTS
 from roomtable.operators import image as I
@@ -201,10 +203,7 @@ def reblur_ratio(fx):
     f"WITH {_pixels('sheet', 64, 50)} SELECT * FROM ew",
 )
 def edge_width(fx):
-    keys = KEYS
-    base = I.denoised(I.with_halo(sheet_luma(fx), keys, 4), keys)
-    steep = I.sobel(I.smoothed(base, keys, "clean", "mild"), keys, "mild", "g").where("own")
-    return plain(I.edge_widths(I.edge_cells(steep, keys), keys))
+    return plain(I.edge_widths(I.edge_blocks(sheet_luma(fx), KEYS), KEYS))
 
 
 @query("blur_reading", "I7", f"WITH {_TILE_SQL} {_BLUR}")
@@ -442,7 +441,13 @@ def augmented_motion(fx):
     return _cells_of(I.augment_motion(sheet_luma(fx), KEYS, 5, 30.0))
 
 
-@query("augmented_noise", "I11")
+@query(
+    "augmented_noise",
+    "I11",
+    f"""SELECT photo_id, y, x, floor(least(greatest(round_even(luma * 255e0, 0)
+      + 6e0 * sqrt(-2e0 * ln({share_sql('u')})) * cos({2.0 * math.pi!r}e0 * {share_sql('v')}), 0), 255)) / 255e0 AS luma
+    FROM (SELECT *, {', '.join([*drawn('u', 7, 1, 'photo_id', 'y', 'x'), *drawn('v', 7, 2, 'photo_id', 'y', 'x')])} FROM cell)""",
+)
 def augmented_noise(fx):
     return I.augment_noise(fx.cell, 6.0, 7).select("photo_id", "y", "x", "luma")
 

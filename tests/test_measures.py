@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roomtable.functions import draws
 from roomtable.operators import evaluation as E
 from roomtable.operators import governance as G
 from roomtable.operators import image as I
+from roomtable.operators import kernels as K
 from roomtable.operators import lens as L
 from roomtable.operators import perspective as P
 from roomtable.operators import scenes as S
@@ -245,8 +247,53 @@ def test_noise_does_not_depend_on_partitions(spark):
 def test_mirror_reaches_beyond_small_frames(spark, height):
     reach, width = 8, 3
     lines = spark.createDataFrame([(1, y, height, width, [float(y * 10 + x) for x in range(width)]) for y in range(height)], "photo_id long, y long, height long, width long, line array<double>")
-    rows = I.with_halo(lines, ["photo_id", "width", "height"], reach).collect()
+    seen = K.by_blocks(lines, ["photo_id", "width", "height"], reach, lambda b: {"y": range(-reach, len(b.y) + reach), "v": b.around(b.rows, reach)[:, reach]}, {"y": "long", "v": "double"})
+    rows = seen.collect()
     turn = max(2 * (height - 1), 1)
     want = {v: min(v % turn, turn - v % turn) * 10.0 for v in range(-reach, height + reach)}
-    assert {r["y"]: r["line"][0] for r in rows} == want
-    assert sum(r["own"] for r in rows) == height
+    assert {r["y"]: r["v"] for r in rows} == want
+
+
+def plain_widths(row):
+    found = []
+    for p in range(1, len(row) - 1):
+        if row[p] > row[p - 1] and row[p] >= row[p + 1]:
+            a = b = p
+            while a > 0 and row[a - 1] < row[a]:
+                a -= 1
+            while b < len(row) - 1 and row[b + 1] < row[b]:
+                b += 1
+            w = min(b, p + 60) - max(a, p - 60) + 1
+            if w < 60:
+                found.append((row[p], w))
+    return found
+
+
+def test_kernels_equal_plain_loops():
+    rng = np.random.default_rng(9)
+    for shape in ((1, 1), (2, 5), (7, 4), (40, 90)):
+        values = rng.integers(0, 256, shape)
+        near = np.pad(values, 1, mode="edge")
+        plain = [[int(np.median(near[i : i + 3, j : j + 3])) for j in range(shape[1])] for i in range(shape[0])]
+        assert K.median3(values).tolist() == plain
+        mags, widths, counts = K.peak_widths(values // 16, 60)
+        pairs = sorted((int(m), int(w)) for m, w, n in zip(mags, widths, counts, strict=True) for _ in range(n))
+        assert pairs == sorted(x for row in (values // 16).tolist() for x in plain_widths(row))
+
+
+def test_quantiles_of_lines_are_exact(spark):
+    rng = np.random.default_rng(10)
+    image = np.concatenate([rng.random((30, 21)), np.full((20, 21), 0.25), rng.integers(0, 256, (21, 21)) / 255])
+    rows = lines(spark, image, 1).unionByName(lines(spark, np.array([[0.3]]), 2)).repartition(5)
+    found = {r["photo_id"]: r for r in I.exposure_profile(rows, KEYS).collect()}
+    assert found[1]["luma_median"] == pytest.approx(np.median(image), abs=1e-5)
+    assert found[1]["contrast_p5_p95"] == pytest.approx(np.subtract(*np.percentile(image, [95, 5])), abs=1e-5)
+    assert found[1]["contrast_std"] == pytest.approx(image.std(), abs=1e-5)
+    assert found[2]["luma_median"] == 0.3 and found[2]["contrast_std"] == 0
+
+
+def test_counter_draws_are_even(spark):
+    drawn_ = spark.range(60_000).selectExpr("id", *draws.drawn("h", 5, "id % 7", "id"))
+    spread = drawn_.selectExpr(f"cast({draws.share('h')} * 20 AS int) AS b").groupBy("b").count().collect()
+    assert len(spread) == 20 and all(abs(r["count"] - 3000) < 300 for r in spread)
+    assert drawn_.select("h").distinct().count() > 59_900
