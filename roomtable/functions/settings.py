@@ -48,8 +48,9 @@ class Settings:
     lens_k1_suspect_min: float = 0.03
     lens_k1_min_residual_gain: float = 0.25
 
-    def snapshot(self) -> dict[str, str]:
-        return {name: str(value) for name, value in asdict(self).items()}
+    def snapshot(self) -> dict[str, float | int | str]:
+        """The settings that decide a result, with their types; not those of the experimental floor."""
+        return {name: value for name, value in asdict(self).items() if not name.startswith("experimental_")}
 
 
 DEFAULTS = Settings()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roomtable.functions.numbers import codes, count_where
 from roomtable.functions.vocabulary import PATTERNS
+from roomtable.session import cut_lineage
 
 #: Surface of each finish (roughness, clearcoat).
 FINISHES = {
@@ -22,6 +23,11 @@ FINISHES = {
 #: Default size in mm of the patterns that are not plain boards.
 PATTERN_SIZES = {"point-de-hongrie": (90.0, 600.0), "baton-rompu": (90.0, 450.0)}
 ANGLE_DEG = 45.0
+#: A texture's spread that makes a variation of 1.
+SPREAD = 30.0
+#: Attributes that a rich key of the alternatives keeps, and poor keys that are broadcast at most.
+RICH = 2
+POOR_KEYS = 100_000
 
 
 def finish_kind(label: Column) -> Column:
@@ -40,9 +46,10 @@ def finish_kind(label: Column) -> Column:
 
 
 def enrich_material(products: DataFrame) -> DataFrame:
-    """Adds finish_kind, roughness, clearcoat, relief and a board length.
+    """Adds finish_kind, roughness, clearcoat, relief, variation and a board length.
 
-    Declared values in columns declared_finish, roughness, clearcoat or relief win.
+    Declared values in columns declared_finish, roughness, clearcoat, relief or variation
+    win; else the variation comes from texture_spread.
     """
     has = lambda name: F.col(name) if name in products.columns else F.lit(None)
     declared = F.when(has("declared_finish").isin(list(FINISHES)), has("declared_finish"))
@@ -59,6 +66,7 @@ def enrich_material(products: DataFrame) -> DataFrame:
         "roughness": F.coalesce(has("roughness").cast("double"), of(0)),
         "clearcoat": F.coalesce(has("clearcoat").cast("double"), shiny),
         "relief": F.coalesce(has("relief").cast("double"), 0.45 - shiny * 0.6),
+        "variation": F.coalesce(has("variation").cast("double"), has("texture_spread").cast("double") / SPREAD),
         "board_length_mm": F.coalesce(F.nullif(F.col("length_mm"), F.lit(0)), F.col("width_mm") * 9),
     }
     return kinded.select(
@@ -130,6 +138,11 @@ def find_variants(products: DataFrame, requests: DataFrame, attributes: Sequence
     requests: ref, attribute, wanted. Products are indexed by the wanted value and
     every subset of the other attributes, smallest reference per key, so that a
     request looks up at most 2^(n-1) keys instead of scanning the catalogue.
+
+    Keys that keep RICH attributes or more are dealt out on both sides. The poor ones, which
+    many requests share, are as few as pairs of attribute values: requests that found
+    nothing richer meet them as a broadcast of at most POOR_KEYS rows, and by a join only
+    where a vocabulary is larger.
     """
     attributes = list(attributes)
     n = len(attributes)
@@ -159,17 +172,24 @@ def find_variants(products: DataFrame, requests: DataFrame, attributes: Sequence
         chosen = F.when(F.col("attribute") == a, F.col(a).cast("string")).otherwise(chosen)
     index = (
         keys(offered, F.col("attribute"), chosen)
-        .groupBy("attribute", "_value", F.col("_k.rest").alias("rest"))
+        .groupBy("attribute", "_value", F.col("_k.rest").alias("rest"), F.col("_k.kept").alias("kept"))
         .agg(F.min("ref").alias("variant"))
     )
     asked = keys(requests.join(products, "ref"), F.col("attribute"), F.col("wanted").cast("string"))
-    hits = asked.where(F.col("_value") != chosen).select(
-        "ref", "attribute", "wanted", F.col("_value"), F.col("_k.kept").alias("kept"), F.col("_k.rest").alias("rest")
-    ).join(index, ["attribute", "_value", "rest"])
-    best = F.min(F.struct((-F.col("kept")).alias("k"), F.col("variant").alias("v")))
-    return hits.groupBy("ref", "attribute", "wanted").agg(best.alias("b")).select(
-        "ref", "attribute", "wanted", F.col("b.v").alias("variant"), (-F.col("b.k")).cast("bigint").alias("kept")
-    )
+    own = ["ref", "attribute", "wanted"]
+    looked = asked.where(F.col("_value") != chosen).select(*own, "_value", F.col("_k.kept").alias("kept"), F.col("_k.rest").alias("rest"))
+    best = F.min(F.struct((-F.col("kept")).alias("k"), F.col("variant").alias("v"))).alias("b")
+
+    def found(part: DataFrame, among: DataFrame) -> DataFrame:
+        return part.join(among, ["attribute", "_value", "rest"]).groupBy(*own).agg(best)
+
+    rich = found(looked.where(F.col("kept") >= RICH), index.where(F.col("kept") >= RICH).drop("kept"))
+    rich = cut_lineage(rich)
+    poor = cut_lineage(index.where(F.col("kept") < RICH).drop("kept"))
+    few = poor.limit(POOR_KEYS + 1).count() <= POOR_KEYS
+    left = looked.where(F.col("kept") < RICH).join(rich, own, "left_anti")
+    hits = rich.unionByName(found(left, F.broadcast(poor) if few else poor))
+    return hits.select(*own, F.col("b.v").alias("variant"), (-F.col("b.k")).cast("bigint").alias("kept"))
 
 
 def catalogue_checks(products: DataFrame, url_pattern: str) -> DataFrame:

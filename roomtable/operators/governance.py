@@ -186,17 +186,55 @@ def unify_cases(generated: DataFrame, photos: DataFrame, files: DataFrame) -> tu
 
 
 def validate_annotation(passes: DataFrame) -> DataFrame:
+    """Adds `issues`: codes of the broken rules, each once.
+
+    Besides status, reviewer and durations, the columns width, height, revision,
+    corrections_seconds, correction_count, annotator, boundary, uncertain_zones and
+    exclusions are checked where `passes` has them: sizes and numbers have lower bounds,
+    outlines a least number of points with finite coordinates, kinds, reasons and roles
+    come from their vocabularies.
+    """
     draft = F.col("status") == "draft"
-    return passes.withColumn(
-        "issues",
-        codes(
-            (~one_of(F.col("status"), V.STATUSES), "unknown_status"),
-            (~draft & F.col("reviewer").isNull(), "review_missing"),
-            (draft & F.col("reviewer").isNotNull(), "draft_with_review"),
-            (F.col("first_pass_seconds") < 0, "negative_duration"),
-            (F.col("review_seconds") < 0, "negative_duration"),
-        ),
-    )
+    found = [
+        (~one_of(F.col("status"), V.STATUSES), "unknown_status"),
+        (~draft & F.col("reviewer").isNull(), "review_missing"),
+        (draft & F.col("reviewer").isNotNull(), "draft_with_review"),
+    ]
+    for column in ("first_pass_seconds", "review_seconds", "corrections_seconds"):
+        if column in passes.columns:
+            found.append((F.col(column) < 0, "negative_duration"))
+    for column, least, code in (("width", 1, "size_below_one"), ("height", 1, "size_below_one"), ("revision", 1, "revision_below_one"), ("correction_count", 0, "negative_correction_count")):
+        if column in passes.columns:
+            found.append((F.col(column) < least, code))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    for column, outline, least, kind, allowed in (
+        ("boundary", "points", 2, "kind", V.BOUNDARY_KINDS),
+        ("uncertain_zones", "polygon", 3, "reason", V.UNCERTAIN_REASONS),
+        ("exclusions", "polygon", 3, "role", V.EXCLUSION_ROLES),
+    ):
+        if column in passes.columns:
+            items = F.coalesce(F.col(column), F.array())
+            found += _outline_rules(items, column, outline, least, kind, allowed, finite)
+    if "annotator" in passes.columns:
+        found.append((F.coalesce(F.trim("annotator"), F.lit("")) == "", "annotator_missing"))
+    return passes.withColumn("issues", F.array_distinct(codes(*found)))
+
+
+def _outline_rules(items, column: str, outline: str, least: int, kind: str, allowed, finite) -> list:
+    def short(x):
+        return F.coalesce(F.size(x[outline]) < least, F.lit(True))
+
+    def infinite(x):
+        return F.exists(F.coalesce(x[outline], F.array()), lambda p: ~(finite(p["x"]) & finite(p["y"])))
+
+    def unknown(x):
+        return F.coalesce(~x[kind].isin(list(allowed)), F.lit(True))
+
+    return [
+        (F.exists(items, short), f"{column}_too_short"),
+        (F.exists(items, infinite), f"{column}_not_finite"),
+        (F.exists(items, unknown), f"{column}_unknown_{kind}"),
+    ]
 
 
 def check_status(passes: DataFrame) -> DataFrame:
@@ -332,20 +370,29 @@ def missing_passes(expected: DataFrame, passes: DataFrame, labels: tuple[str, ..
 # --- reports --------------------------------------------------------------
 
 
-def corpus_counts(passes: DataFrame) -> DataFrame:
-    """Scenes, photos and review counts of a corpus, one row."""
+def corpus_counts(scenes: DataFrame) -> DataFrame:
+    """Scenes, photos, findings and review counts of a corpus, one row.
+
+    scenes: photo_id, status, annotator, reviewer, usable, errors, warnings (numbers of
+    findings) and exclusions (array of structs with thin).
+    """
     named = F.col("reviewer").isNotNull()
     own = F.col("reviewer") == F.col("annotator")
-    per_photo = passes.groupBy("photo_id").agg(
+    thin = F.size(F.filter(F.coalesce("exclusions", F.array()), lambda e: e["thin"]))
+    per_photo = scenes.groupBy("photo_id").agg(
         F.count(F.lit(1)).alias("passes"),
+        count_where(F.coalesce("usable", F.lit(False))).alias("usable"),
+        count_where(F.coalesce("errors", F.lit(0)) > 0).alias("with_errors"),
+        count_where(F.coalesce("warnings", F.lit(0)) > 0).alias("with_warnings"),
+        F.sum(thin).cast("bigint").alias("thin_exclusions"),
         count_where((F.col("status") == "approved") & own).alias("self_approved"),
         count_where(named & ~own).alias("independently_reviewed"),
     )
+    sums = ("usable", "with_errors", "with_warnings", "thin_exclusions", "self_approved", "independently_reviewed")
     return per_photo.agg(
         F.sum("passes").alias("scenes"),
         F.count(F.lit(1)).alias("photos"),
-        F.sum("self_approved").alias("self_approved"),
-        F.sum("independently_reviewed").alias("independently_reviewed"),
+        *[F.sum(c).alias(c) for c in sums],
         count_where(F.col("passes") > 1).alias("doubly_annotated"),
     )
 
@@ -471,10 +518,14 @@ def assemble_annotation(
     status: str = "draft",
     reviewer: str | None = None,
     pass_label: str | None = None,
+    independent: bool = False,
+    revision: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Draws joined to their photo; unknown photos and wrong sizes are set aside.
 
-    photos: photo_id, frame_width, frame_height.
+    photos: photo_id, frame_width, frame_height. The annotation keeps the drawn outlines,
+    its holes as exclusions with role and note, boundary and uncertain zones, and names the
+    masks that are rasterised from them; there is an uncertain mask only with such zones.
     """
     flat = draws.select(
         *[c for c in draws.columns if c != "draw"],
@@ -486,6 +537,11 @@ def assemble_annotation(
         ).alias("pass_label"),
         F.col("draw.drawSeconds").alias("first_pass_seconds"),
         F.col("draw.notes").alias("notes"),
+        F.col("draw.floorPolygons").alias("floor_polygons"),
+        F.coalesce("draw.floorHoles", F.array()).alias("floor_holes"),
+        _drawn_exclusions().alias("exclusions"),
+        F.coalesce("draw.boundary", F.array()).alias("boundary"),
+        F.coalesce("draw.uncertainZones", F.array()).alias("uncertain_zones"),
     )
     joined = flat.join(photos, "photo_id", "left").withColumn(
         "refusal",
@@ -500,26 +556,42 @@ def assemble_annotation(
         kept.withColumn("annotator", F.lit(annotator))
         .withColumn("status", F.lit(status))
         .withColumn("reviewer", F.lit(review).cast("string"))
-        .withColumn(
-            "mask_name",
-            F.concat(
-                F.col("photo_id"),
-                F.coalesce(F.concat(F.lit("."), "pass_label"), F.lit("")),
-                F.lit(".floor-visible"),
-            ),
-        )
+        .withColumn("independent_pass", F.lit(independent))
+        .withColumn("revision", F.lit(revision).cast("bigint"))
+        .withColumn("masks", _mask_names())
     )
     return done, joined.where(F.col("refusal").isNotNull())
 
 
+def _drawn_exclusions() -> Column:
+    """The holes of a draw with their role (unknown if not given) and note."""
+    given = lambda names, k: F.nullif(F.get(F.coalesce(names, F.array()), k), F.lit(""))
+    roles, notes = F.col("draw.floorHoleRoles"), F.col("draw.floorHoleNotes")
+    return F.transform(
+        F.coalesce("draw.floorHoles", F.array()),
+        lambda hole, k: F.struct(
+            F.coalesce(given(roles, k), F.lit("unknown")).alias("role"), hole.alias("polygon"), given(notes, k).alias("note")
+        ),
+    )
+
+
+def _mask_names() -> Column:
+    stem = F.concat(F.lit("masks/"), "photo_id", F.coalesce(F.concat(F.lit("."), "pass_label"), F.lit("")))
+    floor = F.create_map(F.lit("floorVisible"), F.concat(stem, F.lit(".floor-visible.png")))
+    unsure = F.create_map(F.lit("uncertain"), F.concat(stem, F.lit(".uncertain.png")))
+    return F.when(F.size("uncertain_zones") > 0, F.map_concat(floor, unsure)).otherwise(floor)
+
+
 def review_readiness(
     passes: DataFrame, overlaps: DataFrame, painted: DataFrame, digests: DataFrame, annotator: str, label: str
 ) -> DataFrame:
     """Eight booleans per pass that have to hold before a person looks at it.
 
     passes: photo_id, turn, width, height, frame_width, frame_height, status,
-    annotator, pass_label, unknown_roles, mask, mask_digest. overlaps: photo_id,
-    turn, shared (floor and uncertain pixels). painted: photo_id, turn of passes
+    annotator, pass_label, unknown_roles, mask, mask_digest, and of an uncertain mask, where
+    there is one, uncertain_mask, uncertain_digest, uncertain_width and uncertain_height,
+    which have to hold as those of the floor. overlaps: photo_id, turn, shared (floor and
+    uncertain pixels). painted: photo_id, turn of passes
     whose floor reaches the core of an exclusion.
     """
     hit = painted.select("photo_id", "turn").distinct().withColumn("_hit", F.lit(True))
@@ -528,16 +600,23 @@ def review_readiness(
         .join(hit, ["photo_id", "turn"], "left")
         .join(digests, "mask", "left")
     )
+    sizes = (F.col("width") == F.col("frame_width")) & (F.col("height") == F.col("frame_height"))
+    unchanged = F.col("digest").eqNullSafe(F.col("mask_digest"))
+    if "uncertain_mask" in passes.columns:
+        theirs = digests.select(F.col("mask").alias("uncertain_mask"), F.col("digest").alias("_uncertain"))
+        joined = joined.join(theirs, "uncertain_mask", "left")
+        none = F.col("uncertain_mask").isNull()
+        same = (F.col("uncertain_width") == F.col("width")) & (F.col("uncertain_height") == F.col("height"))
+        sizes = sizes & (none | F.coalesce(same, F.lit(False)))
+        unchanged = unchanged & (none | F.col("_uncertain").eqNullSafe(F.col("uncertain_digest")))
     return joined.select(
         "photo_id",
         "turn",
-        (
-            (F.col("width") == F.col("frame_width")) & (F.col("height") == F.col("frame_height"))
-        ).alias("sizes_match"),
+        sizes.alias("sizes_match"),
         (F.coalesce("shared", F.lit(0)) == 0).alias("floor_and_uncertain_disjoint"),
         F.col("_hit").isNull().alias("exclusions_clear"),
         (F.col("unknown_roles") == 0).alias("roles_kept"),
-        F.col("digest").eqNullSafe(F.col("mask_digest")).alias("mask_unchanged"),
+        unchanged.alias("mask_unchanged"),
         (F.col("status") == "draft").alias("is_draft"),
         (F.col("annotator") == annotator).alias("expected_annotator"),
         F.col("pass_label").eqNullSafe(F.lit(label)).alias("label_kept"),

@@ -19,14 +19,13 @@ def run_id() -> Column:
     return (F.col("y") * F.lit(_SHIFT) + F.col("x0")).cast("bigint")
 
 
-def _touching(runs: DataFrame, keys: Sequence[str], connectivity: int) -> DataFrame:
+def _touching(runs: DataFrame, keys: Sequence[str], reach: Column) -> DataFrame:
     """(keys, hi, lo) for runs of neighbouring rows that touch, in one sweep of both rows.
 
     Runs of one row are apart, so of two runs that touch, the one that starts later
     touches the last run of the other row that starts before it. A run therefore looks at
-    one run only, and the work is linear in runs.
+    one run only, and the work is linear in runs. reach is 1 where corners count, else 0.
     """
-    reach = 1 if connectivity == 8 else 0
     span = [F.col("x0"), (F.col("x1") + reach).alias("_end"), F.col("_id")]
     upper = runs.select(*keys, (F.col("y") + 1).alias("y"), *span, F.lit(0).alias("_side"))
     lower = runs.select(*keys, "y", *span, F.lit(1).alias("_side"))
@@ -45,9 +44,11 @@ def _touching(runs: DataFrame, keys: Sequence[str], connectivity: int) -> DataFr
     )
 
 
-def components(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> DataFrame:
+def components(runs: DataFrame, keys: Sequence[str], connectivity: int = 8, reach: Column | None = None) -> DataFrame:
     """Adds `part`, the number of the first run of the component of each run.
 
+    `reach`, 1 or 0 by the keys, stands for the connectivity of masks that differ in it.
+
     Alternates two star steps on the touching graph: every node points its larger
     neighbours, then its smaller ones, at the smallest neighbour it knows. Chains
     shrink geometrically, so long winding masks take few rounds too. Only a yes or
@@ -55,7 +56,7 @@ def components(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> D
     """
     keys = list(keys)
     nodes = cut_lineage(runs.withColumn("_id", run_id()))
-    edges = _touching(nodes, keys, connectivity)
+    edges = _touching(nodes, keys, F.lit(1 if connectivity == 8 else 0) if reach is None else reach)
     while True:
         for _ in range(_STARS_PER_ROUND):
             edges = _small_star(_large_star(edges, keys), keys)
@@ -170,6 +171,16 @@ def opening_radius(width: int, height: int) -> int:
     return (size - 1) // 2
 
 
+def parts_and_gaps(runs: DataFrame, frames: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Runs with their 8-connected, and the background's with their 4-connected component, in one labelling."""
+    keys = list(keys)
+    gaps = M.complement(runs, frames, keys).select(*keys, "y", "x0", "x1", F.lit("gap").alias("kind"))
+    both = runs.select(*keys, "y", "x0", "x1", F.lit("part").alias("kind")).unionByName(gaps)
+    corners = F.when(F.col("kind") == "part", 1).otherwise(0)
+    labelled = cut_lineage(components(both, [*keys, "kind"], reach=corners))
+    return tuple(labelled.where(F.col("kind") == kind).drop("kind") for kind in ("part", "gap"))
+
+
 def containment(parts: DataFrame, gaps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The forest of parts and gaps: what lies in what, how deep, and from which root.
 
@@ -223,23 +234,22 @@ def _with_depths(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def zone_forest(
-    runs: DataFrame,
-    frames: DataFrame,
+    parts: DataFrame,
+    gaps: DataFrame,
     keys: Sequence[str],
     max_zones: int = 3,
     min_zone_ratio: float = 0.01,
     min_hole_ratio: float = 0.0005,
-    parts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per mask: `floor_zones`, its largest parts with the holes inside them.
 
-    A zone has rank, part, pixels, box and holes; a hole has pixels, box and the number and
-    pixels of the parts that lie in it. Masks without a zone have no row. The zones of a
-    mask are at most `max_zones`, its holes those above `min_hole_ratio` of the frame.
+    parts and gaps as for `containment`. A zone has rank, part, pixels, box and holes; a hole
+    has pixels, box and the number and pixels of the parts that lie in it. Masks without a
+    zone have no row. The zones of a mask are at most `max_zones`, its holes those above
+    `min_hole_ratio` of the frame.
     """
     keys = list(keys)
-    parts = cut_lineage(components(runs, keys, 8)) if parts is None else parts
-    forest = containment(parts, components(M.complement(runs, frames, keys), keys, 4), keys)
+    forest = containment(parts, gaps, keys)
     total = F.col("width") * F.col("height")
     box = F.struct("left", "top", "right", "bottom").alias("box")
     islands = forest.where("kind = 'part' AND parent IS NOT NULL").groupBy(*keys, F.col("parent").alias("node")).agg(

@@ -4,11 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roomtable.functions import vocabulary as V
 from roomtable.functions.numbers import codes, piped
 from roomtable.functions.settings import DEFAULTS, Settings
 from roomtable.operators import lens as L
+from roomtable.sources.reports import report_rows
+
+
+#: Report column and the measured column it shows.
+MEASURED = {
+    "blur_method": "blur_method", "lens_method": "lens_method", "width": "width", "height": "height",
+    "strong_gradient_ratio": "strong_gradient_ratio", "laplacian_variance": "laplacian_variance", "reblur_ratio": "reblur_ratio",
+    "edge_width_px": "edge_width_px", "blur_sharp": "sharp", "blur_low_texture": "low_texture", "luma_mean": "luma_mean",
+    "contrast_std": "contrast_std", "clipped_high_ratio": "clipped_high_ratio", "clipped_low_ratio": "clipped_low_ratio",
+    "lens_verdict": "lens_verdict", "lens_suspected_sign": "suspected_sign", "lens_usable_edges": "usable_edges",
+    "lens_total_track_px": "total_track_px", "lens_spatial_coverage": "spatial_coverage", "lens_sign_agreement": "sign_agreement",
+    "lens_k1_estimate": "k1", "lens_k1_residual_gain": "residual_gain", "truth_k1": "truth_k1", "truth_sign": "truth_sign",
+    "truth_blur_sigma": "truth_blur_sigma", "truth_exposure_gain": "truth_exposure_gain", "k1_absolute_error": "k1_absolute_error",
+    "sign_correct": "sign_correct", **{stage: stage for stage in V.STAGES},
+}
+
+
+def measured_results(scored: DataFrame, refused: DataFrame, measures: DataFrame) -> DataFrame:
+    """Report rows with everything that was measured; a refused image has measured nothing.
+
+    measures: photo_id and the columns that MEASURED names; a column it lacks is null.
+    """
+    flat = flatten_results(scored, refused)
+    named = measures.select(
+        F.col("photo_id").cast("string").alias("id"),
+        *[F.col(c).alias(name) for name, c in MEASURED.items() if c in measures.columns],
+    )
+    out = F.col("status").startswith("refused:")
+    shown = [F.when(~out, F.col(name)).alias(name) for name in named.columns[1:]]
+    return report_rows(flat.join(named, "id", "left").select(*flat.columns, *shown))
 
 
 def flatten_results(scored: DataFrame, refused: DataFrame) -> DataFrame:
@@ -141,6 +172,27 @@ def validate_scene_input(zones: DataFrame) -> DataFrame:
     ).drop("_q", "_c", "_area")
 
 
+def scene_problems(scenes: DataFrame, zones: DataFrame, order: str) -> DataFrame:
+    """(scene_id, problems): the codes of a scene's zones by their place, or that it has none.
+
+    scenes: scene_id; zones: validate_scene_input rows with scene_id and `order`.
+    """
+    place = F.row_number().over(Window.partitionBy("scene_id").orderBy(order)) - 1
+    named = zones.withColumn("_k", place).select(
+        "scene_id", "_k", F.posexplode("problems").alias("_i", "code"),
+    ).select("scene_id", F.struct("_k", "_i", F.concat(F.lit("zone"), F.col("_k"), F.lit("_"), "code").alias("code")).alias("p"))
+    listed = named.groupBy("scene_id").agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    counted = zones.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_zones"))
+    none = F.array().cast("array<string>")
+    return (
+        scenes.join(counted, "scene_id", "left").join(listed, "scene_id", "left")
+        .select(
+            "scene_id",
+            F.when(F.col("_zones").isNull(), F.array(F.lit("aucune_zone"))).otherwise(F.coalesce(F.col("ps.code"), none)).alias("problems"),
+        )
+    )
+
+
 def normalise_scene(scenes: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     """(scenes with defaults filled in, refused scenes with a reason).
 

@@ -21,12 +21,15 @@ _SURFACE = ", ".join(f"('{k}', {a}e0, {b}e0)" for k, (a, b) in C.FINISHES.items(
     "enriched_materials",
     "C1",
     f"""SELECT ref, kind AS finish_kind, rough AS roughness, clear AS clearcoat, {r('0.45e0 - clear * 0.6e0', 4)} AS relief,
+    {r('coalesce(CASE WHEN ref % 5 = 0 THEN 0.25e0 END, (width_mm % 40) / 30e0)', 6)} AS variation,
     (CASE WHEN length_mm = 0 THEN width_mm * 9 ELSE length_mm END)::BIGINT AS board_length_mm
     FROM (SELECT *, {_KIND} AS kind FROM product) p JOIN (VALUES {_SURFACE}) f(kind, rough, clear) USING (kind)""",
 )
 def enriched_materials(fx):
-    return C.enrich_material(fx.product).select(
+    textured = fx.product.selectExpr("*", "width_mm % 40 AS texture_spread", "if(ref % 5 = 0, 0.25D, NULL) AS variation")
+    return C.enrich_material(textured).select(
         "ref", "finish_kind", "roughness", "clearcoat", fixed(F.col("relief"), 4).alias("relief"),
+        fixed(F.col("variation"), 6).alias("variation"),
         F.col("board_length_mm").cast("bigint").alias("board_length_mm"),
     )
 
@@ -215,6 +218,29 @@ def scene_input_problems(fx):
     return S.validate_scene_input(zones).select("zone_id", piped(F.col("problems")).alias("problems"))
 
 
+@query(
+    "scene_zone_problems",
+    "P13",
+    """SELECT scene_id::BIGINT AS scene_id, concat_ws('|', CASE WHEN count(zone_id) = 0 THEN 'aucune_zone' END, string_agg('zone' || k || '_dimensions', '|' ORDER BY k)
+      FILTER (zone_id % 3 = 0)) AS problems FROM (SELECT s.scene_id, z.zone_id, row_number() OVER (PARTITION BY s.scene_id ORDER BY zone_id) - 1 AS k
+      FROM range(0, 6) s(scene_id) LEFT JOIN zone z ON z.scene_id = s.scene_id) GROUP BY scene_id""",
+)
+def scene_zone_problems(fx):
+    edge = F.array(_point(F.lit(0.1), F.lit(0.5)), _point(F.lit(0.9), F.lit(0.5)), _point(F.lit(0.5), F.lit(1.0)))
+    quad = F.array(_point(F.lit(0.1), F.lit(0.2)), _point(F.lit(0.9), F.lit(0.2)), _point(F.lit(0.9), F.lit(1.0)), _point(F.lit(0.1), F.lit(1.0)))
+    zones = fx.zone.select(
+        "scene_id",
+        "zone_id",
+        F.struct(quad.alias("quad"), F.when(F.col("zone_id") % 3 == 0, 0.0).otherwise(2.0).alias("width"), F.lit(3.0).alias("depth")).alias("plane"),
+        edge.alias("polygon"),
+        F.lit(None).cast("array<array<struct<x:double,y:double>>>").alias("holes"),
+        F.lit(0.4).alias("horizon"),
+    )
+    scenes = fx.spark.range(6).select(F.col("id").alias("scene_id"))
+    found = S.scene_problems(scenes, S.validate_scene_input(zones), "zone_id")
+    return found.select("scene_id", F.array_join("problems", "|").alias("problems"))
+
+
 @query(
     "normalised_scenes",
     "P14",

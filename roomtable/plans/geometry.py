@@ -14,10 +14,10 @@ from roomtable.operators import lens as L
 from roomtable.operators import masks as M
 from roomtable.operators import perspective as P
 from roomtable.operators import regions as R
-from roomtable.operators.scenes import decide_status, photo_report
-from roomtable.plans.evaluation import EIGHT, FOUR, _components_sql
+from roomtable.operators.scenes import decide_status, measured_results, photo_report
+from roomtable.plans.evaluation import _PIPE, _SCORES, EIGHT, FOUR, _components_sql, _scored_images
 from roomtable.plans.frames import KEYS, SHEET, sheet_frames, sheet_lines, sheet_runs, sized
-from roomtable.plans.image import _CODES, SMALL, tile_luma
+from roomtable.plans.image import _CODES, SMALL, measures, tile_luma
 from roomtable.plans.regions import _DENSE_SQL, _FACTS, _REFINED, _relabel
 from roomtable.plans.registry import query, r
 from roomtable.session import cut_lineage
@@ -214,6 +214,43 @@ def photo_report_query(fx):
     )
 
 
+# --- reports ---------------------------------------------------------------------
+
+_MS = {"load_image_ms": "photo_id % 7 + 0.5", "quality_analysis_ms": "photo_id % 11 * 2.5", "lens_analysis_ms": "photo_id % 5 + 0.25", "total_ms": "photo_id % 13 + 30.0"}
+
+
+@query(
+    "measured_results",
+    "S8 S9",
+    f"""{_CODES}, {_LENS_SCORES.replace("tk <> 0 AS bent", "tk, suspected_sign, lens_verdict, k1, residual_gain, tk <> 0 AS bent")},
+    sr AS (SELECT photo_id, p.difficulty, p.graded AS graded, n_chars < 40 AS small, {_PIPE.format('label', 'e')} AS expected, {_PIPE.format('label', 'd')} AS detected,
+      {_PIPE.format('label', 'd AND NOT e')} AS extra, {_PIPE.format('label', 'e AND NOT d')} AS missed
+      FROM {_SCORES} s JOIN photo p USING (photo_id) JOIN documents ON doc_id = photo_id GROUP BY photo_id, p.difficulty, p.graded, n_chars)
+    SELECT CAST(photo_id AS VARCHAR) AS id, difficulty, graded, CASE WHEN small THEN 'refused:image_too_small' ELSE 'success' END AS status,
+      m.* EXCLUDE (photo_id), expected, CASE WHEN small THEN '' ELSE detected END AS detected, CASE WHEN small THEN '' ELSE extra END AS false_positives,
+      CASE WHEN small THEN expected ELSE missed END AS false_negatives, CASE WHEN NOT small AND photo_id % 4 = 0 THEN 'lens_analysis_undetermined' ELSE '' END AS informational
+    FROM sr LEFT JOIN (SELECT me.photo_id, 'reblur_ratio' AS blur_method, 'k1_fit' AS lens_method, 8::BIGINT AS width, 8::BIGINT AS height,
+      strong_gradient_ratio, laplacian_variance, reblur_ratio, edge_width_px, sharp AS blur_sharp, low_texture AS blur_low_texture, luma_mean, contrast_std,
+      clipped_high_ratio, clipped_low_ratio, lens_verdict, suspected_sign AS lens_suspected_sign, usable_edges AS lens_usable_edges,
+      total_track_px AS lens_total_track_px, spatial_coverage AS lens_spatial_coverage, sign_agreement AS lens_sign_agreement, k1 AS lens_k1_estimate,
+      residual_gain AS lens_k1_residual_gain, tk AS truth_k1, CASE WHEN tk > 0 THEN 'barrel' WHEN tk < 0 THEN 'pincushion' WHEN tk = 0 THEN 'none' END AS truth_sign,
+      CASE WHEN me.photo_id % 3 = 1 THEN me.photo_id / 100 END AS truth_blur_sigma, CASE WHEN me.photo_id % 3 = 2 THEN 0.5e0 END AS truth_exposure_gain,
+      err AS k1_absolute_error, ok AS sign_correct, {', '.join(f"({v.replace('photo_id', 'me.photo_id')})::DOUBLE AS {k}" for k, v in _MS.items())}
+      FROM me LEFT JOIN sc ON sc.photo_id = me.photo_id LEFT JOIN su ON su.photo_id = me.photo_id
+      WHERE me.photo_id NOT IN (SELECT doc_id FROM documents WHERE n_chars < 40)) m USING (photo_id)""",
+)
+def measured_results_query(fx):
+    """Every column of a report row; documents without a tile have measured nothing."""
+    refused = fx.documents.where("n_chars < 40").select(F.col("doc_id").alias("photo_id"), F.lit("image_too_small").alias("code"))
+    tiles = I.classify_sharpness(measures(fx), SMALL)
+    lens = lens_scores(fx).drop("width", "height", "graded")
+    shown = tiles.join(lens, "photo_id", "left").selectExpr(
+        "*", "'reblur_ratio' AS blur_method", "'k1_fit' AS lens_method", "if(photo_id % 3 = 1, photo_id / 100, NULL) AS truth_blur_sigma",
+        "if(photo_id % 3 = 2, 0.5D, NULL) AS truth_exposure_gain", *[f"cast({v} AS double) AS {k}" for k, v in _MS.items()],
+    )
+    return measured_results(_scored_images(fx), refused, shown)
+
+
 # --- segments ----------------------------------------------------------------
 
 FRAME = 1000
@@ -531,14 +568,14 @@ def scene_table(fx, runs=None, raw=None):
     runs = floor_runs(fx) if runs is None else runs
     raw = runs if raw is None else raw
     total = F.col("width") * F.col("height")
-    labelled = cut_lineage(R.components(runs, KEYS, 8))
-    facts = R.part_facts(labelled, KEYS)
+    sides = R.parts_and_gaps(runs, sheet_frames(fx), KEYS)
+    facts = R.part_facts(sides[0], KEYS)
     parts = facts.groupBy(*KEYS).agg(
         F.sum((F.col("pixels") >= total * 0.005).cast("int")).alias("large_parts"),
         F.sum((F.col("pixels") >= total * 0.01).cast("int")).alias("huge_parts"),
         F.min("top").alias("top_row"),
     )
-    zones = R.zone_forest(runs, sheet_frames(fx), KEYS, parts=labelled).select(
+    zones = R.zone_forest(*sides, KEYS).select(
         "*",
         F.size("floor_zones").alias("zones"),
         F.size(F.filter("floor_zones", lambda z: z["pixels"] < total * 0.005)).alias("small_zones"),
@@ -597,8 +634,7 @@ def scene_confidence(fx):
 def containment_forest(fx):
     cells = M.runs_to_cells(floor_runs(fx)).where("greatest(abs(x - 32), abs(y - 32)) div 3 % 2 = 0 OR photo_id % 2 = 0")
     runs = cut_lineage(M.cells_to_runs(cells, KEYS))
-    gaps = R.components(M.complement(runs, sheet_frames(fx), KEYS), KEYS, 4)
-    found = R.containment(R.components(runs, KEYS, 8), gaps, KEYS)
+    found = R.containment(*R.parts_and_gaps(runs, sheet_frames(fx), KEYS), KEYS)
     return found.selectExpr("photo_id", "kind", "node div 4294967296 AS y", "node % 4294967296 AS x", "pixels", "depth")
 
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from roomtable.functions.numbers import piped
 from roomtable.functions.settings import DEFAULTS
 from roomtable.functions.vocabulary import EXCLUSION_ROLES, GOLDEN_CASES, STATUSES
+from roomtable.operators import changes as C
 from roomtable.operators import governance as G
 from roomtable.plans.registry import query, r
 from roomtable.sources.annotations import (
+    annotation_lines,
     parse_annotation_lines,
     parse_draws,
     text_hash,
 )
-from roomtable.sources.manifest import manifest_lines, parse_photo_lines
+from roomtable.sources.manifest import manifest_lines, parse_photo_lines, photo_struct, read_manifest
+from roomtable.sources.reports import stamp_config
+from roomtable.session import shared_folder
 
 DRAW_TAG = "draw@1"
 
@@ -27,56 +33,102 @@ def files_on_disk(fx):
 _FILES = "(SELECT file, digest FROM photo WHERE license <> '')"
 
 
-@query(
-    "manifest_photos",
-    "S1",
-    """SELECT CAST(photo_id AS VARCHAR) AS photo_id, file, difficulty, license, redistributable,
-    usage, expected_digest, graded, split, golden_case FROM photo""",
-)
-def manifest_photos(fx):
-    return parse_photo_lines(manifest_lines(fx.photo)).select(
-        "photo_id", "file", "difficulty", "license", "redistributable", "usage",
-        "expected_digest", "graded", "split", "golden_case",
+#: every member of a photo, from the columns of the view
+_FULL = """photo_id, file, difficulty, source, 'https://example.org/' || photo_id AS source_url, CASE WHEN photo_id % 3 = 0 THEN NULL ELSE 'author ' || source END AS author,
+  license, CASE WHEN photo_id % 2 = 0 THEN CAST('2024-01-31' AS DATE) END AS verified_on, redistributable, usage, expected_digest,
+  'a "quoted" }] note\\\\' AS provenance_note, graded, photo_id % 7 = 0 AS truth_available, split, golden_case, CASE WHEN photo_id % 5 = 0 THEN '{[' || source END AS notes"""
+_SHOWN = (
+    "photo_id", "file", "difficulty", "source", "source_url", "author", "license", "verified_on", "redistributable", "usage",
+    "expected_digest", "provenance_note", "graded", "truth_available", "split", "golden_case", "notes",
+)
+
+
+def full_photos(fx):
+    shown = fx.photo.selectExpr(*[f"{x}" for x in _split_list(_FULL)])
+    traits = F.expr("filter(array(if(photo_id % 2 = 0, 'rug', NULL), if(photo_id % 3 = 0, 'tiles', NULL)), x -> x IS NOT NULL)")
+    lens = F.expr("if(photo_id % 4 = 0, map('k1', cast(photo_id / 100 AS string), 'provenance', 'measured'), NULL)")
+    return shown.withColumns({"traits": traits, "expected_issues": F.array(F.lit("image_blurry")), "truth_lens": lens})
+
+
+def _split_list(text):
+    """Items of a select list; commas inside brackets or quotes do not part."""
+    out, depth, quoted, start = [], 0, False, 0
+    for k, c in enumerate(text):
+        quoted ^= c == "'"
+        if not quoted:
+            depth += (c == "(") - (c == ")")
+            if c == "," and not depth:
+                out.append(text[start:k].strip())
+                start = k + 1
+    return [*out, text[start:].strip()]
+
+
+_PHOTO_SQL = f"""SELECT CAST(photo_id AS VARCHAR) AS photo_id, * EXCLUDE (photo_id, verified_on), CAST(verified_on AS VARCHAR) AS verified_on,
+    concat_ws('|', CASE WHEN photo_id % 2 = 0 THEN 'rug' END, CASE WHEN photo_id % 3 = 0 THEN 'tiles' END) AS traits,
+    'image_blurry' AS expected_issues, CASE WHEN photo_id % 4 = 0 THEN photo_id / 100 END AS truth_k1
+    FROM (SELECT {_FULL.replace(chr(92) * 2, chr(92))} FROM photo)"""
+
+
+def _photo_rows(photos):
+    return photos.select(
+        *[c for c in _SHOWN if c != "verified_on"], F.col("verified_on").cast("string").alias("verified_on"),
+        F.array_join("traits", "|").alias("traits"), F.array_join("expected_issues", "|").alias("expected_issues"), "truth_k1",
     )
 
 
+@query("manifest_photos", "S1", _PHOTO_SQL)
+def manifest_photos(fx):
+    """The photos as documents of up to 500 each, read in splits."""
+    path = f"{shared_folder(fx.spark)}/manifest-{uuid.uuid4().hex}"
+    lines = full_photos(fx).select(F.expr("cast(photo_id div 500 AS int)").alias("part"), F.to_json(photo_struct([*_SHOWN, "traits", "expected_issues", "truth_lens"])).alias("value"))
+    head = '{"schema": "dataset@1", "history": [{"photos": [{"id": "not one"}]}, {}], "note": "a } in \\"text\\"", "photos": ['
+    documents = lines.groupBy("part").agg(F.concat(F.lit(head), F.array_join(F.collect_list("value"), ",\n"), F.lit("]}")).alias("value"))
+    documents.repartition("part").write.partitionBy("part").text(path)
+    return _photo_rows(read_manifest(fx.spark, path))
+
+
 @query(
     "annotation_records",
     "S2",
-    """SELECT CAST(photo_id AS VARCHAR) AS photo_id, CAST(64 AS BIGINT) AS width,
-    CAST(8 AS BIGINT) AS height, annotator, status, reviewer, pass_label, independent_pass,
-    first_pass_seconds, CASE WHEN first_pass_seconds IS NULL THEN NULL ELSE review_seconds END
-    AS review_seconds FROM pass""",
+    """SELECT CAST(photo_id AS VARCHAR) AS photo_id, CAST(64 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, annotator, '2024-03-01' AS annotated_on,
+    status, reviewer, CASE WHEN reviewer IS NOT NULL THEN turn % 2 = 0 END AS corrected, CASE WHEN reviewer IS NOT NULL THEN 'seen' END AS review_note,
+    pass_label, independent_pass, turn + 1 AS revision, first_pass_seconds, CASE WHEN first_pass_seconds IS NULL THEN NULL ELSE review_seconds END AS review_seconds,
+    CASE WHEN first_pass_seconds IS NOT NULL THEN turn END AS correction_count, 'masks/' || vec_id || '.png' AS floor_mask,
+    CASE WHEN turn % 3 = 0 THEN 'masks/' || vec_id || '.u.png' END AS uncertain_mask, sha256(vec_id::VARCHAR) AS floor_sha256,
+    'wall_floor:2' AS boundary, CASE WHEN turn % 2 = 1 THEN 'occluder:3' ELSE '' END AS exclusions FROM pass""",
 )
 def annotation_records(fx):
-    timing = F.when(
-        F.col("first_pass_seconds").isNotNull(),
-        F.struct(
-            F.col("first_pass_seconds").alias("firstPassSeconds"),
-            F.col("review_seconds").alias("reviewSeconds"),
-        ),
-    )
-    lines = fx.view("pass").select(
-        F.to_json(
-            F.struct(
-                F.col("photo_id").cast("string").alias("photoId"),
-                F.lit(64).alias("width"),
-                F.lit(8).alias("height"),
-                "annotator",
-                "status",
-                F.when(F.col("reviewer").isNotNull(), F.struct("reviewer")).alias("review"),
-                F.col("pass_label").alias("passLabel"),
-                F.col("independent_pass").alias("independentPass"),
-                timing.alias("timing"),
-            )
-        ).alias("value")
-    )
-    return parse_annotation_lines(lines).select(
-        "photo_id", "width", "height", "annotator", "status", "reviewer", "pass_label",
-        "independent_pass", "first_pass_seconds", "review_seconds",
+    """Written as JSON lines, read, written and read again."""
+    once = parse_annotation_lines(annotation_lines(full_annotations(fx)))
+    rows = parse_annotation_lines(annotation_lines(once))
+    listed = lambda c, kind, outline: F.expr(f"array_join(transform({c}, x -> x.{kind} || ':' || size(x.{outline})), '|') AS {c}")
+    return rows.select(
+        "photo_id", "width", "height", "annotator", F.col("annotated_on").cast("string").alias("annotated_on"), "status", "reviewer",
+        "corrected", "review_note", "pass_label", "independent_pass", "revision", "first_pass_seconds", "review_seconds", "correction_count",
+        F.col("masks.floorVisible").alias("floor_mask"), F.col("masks.uncertain").alias("uncertain_mask"),
+        F.col("mask_sha256.floorVisible").alias("floor_sha256"), listed("boundary", "kind", "points"), listed("exclusions", "role", "polygon"),
     )
 
 
+def full_annotations(fx):
+    """The passes as annotations with all of their members."""
+    point = "named_struct('x', 0.1D, 'y', 0.2D)"
+    named = "first_pass_seconds IS NOT NULL"
+    return fx.view("pass").selectExpr(
+        "'annotation@1' AS schema", "cast(photo_id AS string) AS photo_id", "64L AS width", "8L AS height",
+        "map_filter(map('floorVisible', 'masks/' || vec_id || '.png', 'uncertain', if(turn % 3 = 0, 'masks/' || vec_id || '.u.png', NULL)), (k, v) -> v IS NOT NULL) AS masks",
+        f"array(named_struct('kind', 'wall_floor', 'points', array({point}, {point}), 'note', cast(NULL AS string))) AS boundary",
+        f"cast(array() AS array<struct<reason: string, polygon: array<struct<x: double, y: double>>, note: string>>) AS uncertain_zones",
+        f"if(turn % 2 = 1, array(named_struct('role', 'occluder', 'polygon', array({point}, {point}, {point}), 'thin', true, 'note', 'a note')), array()) AS exclusions",
+        "annotator", "date'2024-03-01' AS annotated_on", "cast(turn AS bigint) + 1 AS revision", "status", "reviewer",
+        "if(reviewer IS NOT NULL, date'2024-03-02', NULL) AS reviewed_on", "if(reviewer IS NOT NULL, turn % 2 = 0, NULL) AS corrected",
+        "if(reviewer IS NOT NULL, 'seen', NULL) AS review_note", "pass_label", "independent_pass", "first_pass_seconds",
+        f"if({named}, 0D, NULL) AS corrections_seconds", f"if({named}, review_seconds, NULL) AS review_seconds",
+        f"if({named}, cast(turn AS bigint), NULL) AS correction_count", "map('floorVisible', sha2(cast(vec_id AS string), 256)) AS mask_sha256",
+        "cast(NULL AS string) AS notes",
+    )
+
+
 _DRAW_PROBLEMS = """concat_ws('|',
     CASE WHEN json_extract_string(body, '$.schema') IS DISTINCT FROM 'draw@1' THEN 'wrong_schema' END,
     CASE WHEN json_extract(body, '$.photoId') IS NULL THEN 'missing_photoId' END,
@@ -92,7 +144,8 @@ _DRAW_PROBLEMS = """concat_ws('|',
     f"""SELECT draw_id, {_DRAW_PROBLEMS} AS problems,
     CASE WHEN {_DRAW_PROBLEMS} = '' THEN json_extract_string(body, '$.photoId') END AS photo_id,
     CASE WHEN {_DRAW_PROBLEMS} = '' THEN CAST(json_extract(body, '$.drawSeconds') AS DOUBLE) END
-    AS draw_seconds FROM draw""",
+    AS draw_seconds, CASE WHEN {_DRAW_PROBLEMS} = '' THEN CASE WHEN draw_id % 3 = 0 THEN 'reflection' ELSE '' END END AS reasons,
+    CASE WHEN {_DRAW_PROBLEMS} = '' THEN 'wall_floor' END AS boundary FROM draw""",
 )
 def draw_files(fx):
     good, bad = parse_draws(fx.draw, DRAW_TAG)
@@ -101,6 +154,8 @@ def draw_files(fx):
         F.lit("").alias("problems"),
         F.col("draw.photoId").alias("photo_id"),
         F.col("draw.drawSeconds").alias("draw_seconds"),
+        F.array_join("draw.uncertainZones.reason", "|").alias("reasons"),
+        F.array_join("draw.boundary.kind", "|").alias("boundary"),
     ).unionByName(
         bad.select("draw_id", F.array_join("problems", "|").alias("problems")),
         allowMissingColumns=True,
@@ -165,21 +220,11 @@ def photo_registration(fx):
     )
 
 
-@query(
-    "manifest_export",
-    "S10",
-    """SELECT CAST(photo_id AS VARCHAR) AS photo_id, difficulty, split, digest_known FROM
-    (SELECT photo_id, difficulty, split, expected_digest IS NOT NULL AS digest_known FROM photo)""",
-)
+@query("manifest_export", "S10", _PHOTO_SQL)
 def manifest_export(fx):
-    lines = manifest_lines(fx.photo)
-    text = lambda path: F.get_json_object("value", path)
-    return lines.select(
-        text("$.id").alias("photo_id"),
-        text("$.difficulty").alias("difficulty"),
-        text("$.split").alias("split"),
-        text("$.provenance.sha256").isNotNull().alias("digest_known"),
-    )
+    """Exported and read twice: nothing is lost on the way."""
+    once = parse_photo_lines(manifest_lines(full_photos(fx)))
+    return _photo_rows(parse_photo_lines(manifest_lines(once)))
 
 
 def _sql_list(values):
@@ -204,16 +249,76 @@ def photo_rules(fx):
     "annotation_rules",
     "P2",
     f"""SELECT photo_id, turn, concat_ws('|',
+    CASE WHEN turn % 4 = 3 THEN 'boundary_too_short' END,
+    CASE WHEN turn % 6 = 5 THEN 'boundary_unknown_kind' END,
     CASE WHEN status = 'draft' AND reviewer IS NOT NULL THEN 'draft_with_review' END,
+    CASE WHEN photo_id % 11 = 0 THEN 'exclusions_not_finite' END,
+    CASE WHEN photo_id % 9 = 4 THEN 'exclusions_unknown_role' END,
+    CASE WHEN first_pass_seconds < 0 OR review_seconds < 0 THEN 'negative_duration' END,
     CASE WHEN status <> 'draft' AND reviewer IS NULL THEN 'review_missing' END,
+    CASE WHEN turn % 5 = 0 THEN 'revision_below_one' END,
+    CASE WHEN photo_id % 13 = 0 THEN 'uncertain_zones_unknown_reason' END,
     CASE WHEN status NOT IN ({_sql_list(STATUSES)}) THEN 'unknown_status' END) AS issues FROM pass""",
 )
 def annotation_rules(fx):
-    return G.validate_annotation(fx.view("pass")).select(
+    point = "named_struct('x', {x}, 'y', 0.2D)"
+    inside = point.format(x="0.1D")
+    far = point.format(x="if(photo_id % 11 = 0, double('infinity'), 0.4D)")
+    passes = fx.view("pass").selectExpr(
+        "*",
+        "cast(turn % 5 AS bigint) AS revision",
+        f"array(named_struct('kind', if(turn % 6 = 5, 'unheard', 'wall_floor'), 'points', if(turn % 4 = 3, array({inside}), array({inside}, {inside})))) AS boundary",
+        f"array(named_struct('role', if(photo_id % 9 = 4, 'unheard', 'occluder'), 'polygon', array({inside}, {inside}, {far}))) AS exclusions",
+        f"if(photo_id % 13 = 0, array(named_struct('reason', cast(NULL AS string), 'polygon', array({inside}, {inside}, {inside}))), array()) AS uncertain_zones",
+    )
+    return G.validate_annotation(passes).select(
         "photo_id", "turn", piped(F.col("issues")).alias("issues")
     )
 
 
+#: two revisions of each photo's exclusion: corners move, a corner goes, or nothing changes
+_REVISED = "CASE WHEN photo_id % 7 = 3 THEN 3 ELSE 2 END"
+
+
+def revisions(fx):
+    corner = lambda x, y: f"named_struct('x', {x}, 'y', {y})"
+    outline = f"array({corner('x0', 'y0')}, {corner('x1', 'y0')}, {corner('x1', 'y1')}, {corner('x0', 'y1')})"
+    moved = f"array({corner('x0', 'y0')}, {corner('x1 + 0.25D', 'y0')}, {corner('x1 + 0.25D', 'y1')}, {corner('x0', 'y1')})"
+    base = "photo_id, role, {0} AS outline, {1} AS revision, photo_id % 2 = 0 AS corrected, if(photo_id % 5 = 0, NULL, 'reader') AS reviewer"
+    first = fx.exclusion.selectExpr(*_split_list(base.format(outline, "1L")))
+    later = f"CASE photo_id % 3 WHEN 0 THEN {moved} WHEN 1 THEN slice({outline}, 1, 3) ELSE {outline} END"
+    second = fx.exclusion.selectExpr(*_split_list(base.format(later, f"cast({_REVISED} AS bigint)")))
+    none = "cast(array() AS array<struct<kind: string>>)"
+    return first.unionByName(second).selectExpr(
+        "photo_id", "revision", "corrected", "reviewer", f"{none} AS boundary", f"{none} AS uncertain_zones",
+        "array(named_struct('role', role, 'polygon', outline)) AS exclusions", "map('floorVisible', 'same') AS mask_sha256",
+    )
+
+
+@query(
+    "revision_changes",
+    "P2 P24",
+    f"""SELECT photo_id, {_REVISED}::BIGINT AS revision, 'exclusions[0].polygon[' || i || '].x' AS path, 'changed' AS kind FROM exclusion, range(1, 3) t(i) WHERE photo_id % 3 = 0
+    UNION ALL SELECT photo_id, {_REVISED}, 'exclusions[0].polygon[3].' || c, 'removed' FROM exclusion, (VALUES ('x'), ('y')) t(c) WHERE photo_id % 3 = 1""",
+)
+def revision_changes(fx):
+    return C.revision_changes(revisions(fx), ["photo_id"]).select("photo_id", "revision", "path", "kind")
+
+
+@query(
+    "correction_checks",
+    "P2 P24",
+    f"""SELECT photo_id, 1::BIGINT AS revision, 0::BIGINT AS changed, '' AS issues FROM exclusion
+    UNION ALL SELECT photo_id, {_REVISED}, n, concat_ws('|', CASE WHEN photo_id % 7 = 3 THEN 'revision_skipped' END,
+      CASE WHEN photo_id % 2 = 0 AND n = 0 THEN 'corrected_without_change' END,
+      CASE WHEN photo_id % 5 <> 0 AND photo_id % 2 = 1 AND n > 0 THEN 'change_without_correction' END)
+    FROM (SELECT photo_id, CASE WHEN photo_id % 3 = 2 THEN 0 ELSE 2 END AS n FROM exclusion)""",
+)
+def correction_checks(fx):
+    checked = C.check_corrections(revisions(fx), ["photo_id"])
+    return checked.select("photo_id", "revision", "changed", F.array_join("issues", "|").alias("issues"))
+
+
 @query(
     "provenance_issues",
     "P3",
@@ -448,14 +553,26 @@ def difficulty_histogram(fx):
 @query(
     "corpus_counts",
     "A15",
-    """SELECT count(*) AS scenes, count(DISTINCT photo_id) AS photos,
-    CAST(sum((status = 'approved' AND reviewer = annotator)::INT) AS BIGINT) AS self_approved,
+    """WITH p AS (SELECT *, (status = 'draft' AND reviewer IS NOT NULL) OR (status <> 'draft' AND reviewer IS NULL) AS wrong,
+      reviewer = annotator AS own, turn % 4 = 1 AS thin FROM pass)
+    SELECT count(*) AS scenes, count(DISTINCT photo_id) AS photos, count_if(NOT wrong AND status = 'approved' AND turn % 9 <> 8) AS usable,
+    count_if(wrong) AS with_errors, count_if(coalesce(status = 'approved' AND own, false)) AS with_warnings,
+    2 * count_if(thin) AS thin_exclusions, CAST(sum((status = 'approved' AND own)::INT) AS BIGINT) AS self_approved,
     CAST(sum((reviewer <> annotator)::INT) AS BIGINT) AS independently_reviewed,
     (SELECT count(*) FROM (SELECT photo_id FROM pass GROUP BY 1 HAVING count(*) > 1)) AS doubly_annotated
-    FROM pass""",
+    FROM p""",
 )
 def corpus_counts(fx):
-    return G.corpus_counts(fx.view("pass"))
+    checked = G.check_status(G.validate_annotation(fx.view("pass")))
+    exclusion = F.struct(F.lit("occluder").alias("role"), (F.col("turn") % 4 == 1).alias("thin"))
+    scenes = checked.select(
+        "*",
+        F.size("issues").alias("errors"),
+        (F.col("code") == "self_approved").cast("int").alias("warnings"),
+        (F.col("turn") % 9 != 8).alias("mask_readable"),
+        F.array(exclusion, exclusion).alias("exclusions"),
+    )
+    return G.corpus_counts(G.with_usable(scenes))
 
 
 @query(
@@ -658,7 +775,10 @@ def exclusion_import(fx):
     SELECT g.draw_id, g.photo_id, g.first_pass_seconds, CASE WHEN f.photo_id IS NULL
       THEN 'photo_not_in_manifest' WHEN f.frame_width <> g.width THEN 'dimensions_mismatch' END AS refusal,
       CASE WHEN f.frame_width = g.width THEN 'drawer' END AS reviewer,
-      CASE WHEN f.frame_width = g.width THEN g.photo_id || '.floor-visible' END AS mask_name
+      CASE WHEN f.frame_width = g.width THEN 'masks/' || g.photo_id || '.floor-visible.png' END AS floor_mask,
+      CASE WHEN f.frame_width = g.width AND draw_id % 3 = 0 THEN 'masks/' || g.photo_id || '.uncertain.png' END AS uncertain_mask,
+      CASE WHEN f.frame_width = g.width THEN 4 END::BIGINT AS revision, CASE WHEN f.frame_width = g.width THEN 'occluder:3' END AS exclusions,
+      CASE WHEN f.frame_width = g.width THEN 3 END::BIGINT AS floor_points, CASE WHEN f.frame_width = g.width THEN 'wall_floor' END AS boundary
     FROM good g LEFT JOIN frames f USING (photo_id)""",
 )
 def assembled_annotations(fx):
@@ -668,27 +788,44 @@ def assembled_annotations(fx):
         F.when(F.col("lang") == "de", 800).otherwise(640).alias("frame_width"),
         F.lit(480).alias("frame_height"),
     )
-    done, refused = G.assemble_annotation(good, frames, "drawer", status="reviewed")
+    done, refused = G.assemble_annotation(good, frames, "drawer", status="reviewed", revision=4)
     columns = ["draw_id", "photo_id", "first_pass_seconds"]
-    return done.select(*columns, "reviewer", "mask_name").unionByName(
+    return done.select(
+        *columns, "reviewer", F.col("masks.floorVisible").alias("floor_mask"), F.try_element_at("masks", F.lit("uncertain")).alias("uncertain_mask"), "revision",
+        F.expr("array_join(transform(exclusions, x -> x.role || ':' || size(x.polygon)), '|') AS exclusions"),
+        F.size(F.flatten("floor_polygons")).cast("bigint").alias("floor_points"), F.array_join("boundary.kind", "|").alias("boundary"),
+    ).unionByName(
         refused.select(*columns, "refusal"), allowMissingColumns=True
     )
 
 
+#: Published settings that decide a result.
+_SETTINGS = {
+    "min_long_side": 640, "max_aspect_ratio": 3.0, "blur_working_side": 1024, "blur_method": "reblur_ratio", "blur_sharp_min": 120.0,
+    "blur_reblur_sharp_max": 0.3583, "blur_edge_width_sharp_max": 9.0, "blur_min_strong_gradient_ratio": 0.005, "dark_luma_max": 0.06,
+    "bright_luma_min": 0.98, "dark_ratio_max": 0.35, "bright_ratio_max": 0.12, "luma_mean_min": 0.12, "luma_mean_max": 0.85,
+    "contrast_min": 0.05, "contrast_ratio_min": 0.1, "blur_reblur_blurry_min": 0.4778, "blur_edge_width_blurry_min": 12.0,
+    "clipped_high_ratio_max": 0.02, "clipped_low_ratio_max": 0.05, "lens_method": "k1_fit", "lens_sagitta_suspect_px": 3.0,
+    "lens_reference_width": 1600, "lens_max_fit_rms_px": 2.0, "lens_min_track_points": 40, "lens_min_track_height_ratio": 0.25,
+    "lens_min_usable_edges": 2, "lens_min_sign_agreement": 0.8, "lens_k1_search_min": -0.45, "lens_k1_search_max": 0.45,
+    "lens_k1_search_steps": 181, "lens_k1_suspect_min": 0.03, "lens_k1_min_residual_gain": 0.25,
+}
+
+
 @query(
     "settings_stamp",
     "S11",
-    f"""SELECT photo_id, difficulty, CAST({len(DEFAULTS.snapshot())} AS BIGINT) AS settings,
-    '{DEFAULTS.blur_method}' AS blur_method FROM photo""",
+    f"""SELECT photo_id, difficulty, '{", ".join(f'{k}={v}' for k, v in sorted(_SETTINGS.items()))}' AS config FROM photo""",
 )
 def settings_stamp(fx):
-    from roomtable.sources.reports import stamp_config
-
     stamped = stamp_config(fx.photo, DEFAULTS)
-    parsed = F.from_json("config", "map<string,string>")
+    members = F.array_sort(F.json_object_keys("config"))
+    entries = F.map_entries(F.from_json("config", "map<string,string>"))
     return stamped.select(
         "photo_id",
         "difficulty",
-        F.size(F.map_keys(parsed)).cast("bigint").alias("settings"),
-        parsed["blur_method"].alias("blur_method"),
+        F.when(
+            F.size(members) == F.size(entries),
+            F.array_join(F.transform(F.sort_array(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", "),
+        ).alias("config"),
     )

@@ -397,9 +397,9 @@ def review_selection(fx):
     co AS {_eroded('ec', 'box2', True, 8, 8)},
     hit AS (SELECT DISTINCT photo_id FROM co JOIN cell USING (photo_id, y, x) WHERE m),
     ov AS (SELECT photo_id, count_if(m AND abs(luma - 0.5e0) < 0.02e0) AS shared FROM cell GROUP BY 1)
-    SELECT s.photo_id, s.turn, turn % 7 <> 6 AS sizes_match, shared = 0 AS floor_and_uncertain_disjoint,
+    SELECT s.photo_id, s.turn, turn % 7 <> 6 AND NOT (s.photo_id % 3 = 0 AND turn % 2 = 1) AS sizes_match, shared = 0 AS floor_and_uncertain_disjoint,
       s.vec_id NOT IN (SELECT photo_id FROM hit) AS exclusions_clear, e.role <> 'unknown' AS roles_kept,
-      turn % 5 <> 4 AS mask_unchanged, status = 'draft' AS is_draft, annotator = 'assistant' AS expected_annotator,
+      turn % 5 <> 4 AND NOT (s.photo_id % 3 = 0 AND s.photo_id % 4 = 0) AS mask_unchanged, status = 'draft' AS is_draft, annotator = 'assistant' AS expected_annotator,
       coalesce(pass_label = 'A', false) AS label_kept
     FROM pass s JOIN ov ON ov.photo_id = s.vec_id JOIN e ON e.photo_id = s.vec_id""",
 )
@@ -422,6 +422,11 @@ def review_readiness(fx):
         F.lit(8).alias("frame_height"),
         F.col("vec_id").alias("mask"),
         F.when(F.col("turn") % 5 == 4, "drifted").otherwise(digest).alias("mask_digest"),
+        # a third of the photos has an uncertain mask as well
+        F.when(F.col("photo_id") % 3 == 0, F.col("vec_id")).alias("uncertain_mask"),
+        F.when(F.col("photo_id") % 4 == 0, "drifted").otherwise(digest).alias("uncertain_digest"),
+        F.when(F.col("turn") % 2 == 1, 7).when(F.col("turn") % 7 == 6, 9).otherwise(8).alias("uncertain_width"),
+        F.lit(8).alias("uncertain_height"),
     )
     by_pass = passes.select("photo_id", "turn", "vec_id")
     digests = fx.embeddings.select(F.col("vec_id").alias("mask"), digest.alias("digest"))

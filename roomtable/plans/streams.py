@@ -10,7 +10,7 @@ from roomtable.plans.image import _CODES, SMALL, measures
 from roomtable.plans.registry import query
 from roomtable.session import shared_folder
 from roomtable.streaming.intake import MEASURE, intake_stream
-from roomtable.streaming.registrations import REGISTRATION, register_stream, version
+from roomtable.streaming.registrations import REGISTRATION, current_manifest, register_stream
 
 
 def _workspace(spark) -> str:
@@ -49,12 +49,9 @@ def registrations(fx):
     root = _workspace(fx.spark)
     first = fx.photo.where("graded").withColumn("difficulty", F.lit("hard")).withColumn("seq", F.lit(2))
     late = fx.photo.withColumn("seq", F.lit(1))
-    for number, wave in enumerate((first, late)):
+    for wave in (first, late):
         wave.select(*REGISTRATION.names).write.mode("append").json(f"{root}/in")
         register_stream(
-            fx.spark, f"{root}/in", f"{root}/manifest", f"{root}/refused", f"{root}/state"
+            fx.spark, f"{root}/in", f"{root}/manifest", f"{root}/refused", f"{root}/state", buckets=8
         ).awaitTermination()
-        last = number
-    merged = fx.spark.read.parquet(version(f"{root}/manifest", last))
-    return merged.select("photo_id", "difficulty", "seq")
-
+    return current_manifest(fx.spark, f"{root}/manifest").select("photo_id", "difficulty", "seq")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,16 @@ from roomtable.functions.numbers import codes
 _text, _flag, _num = T.StringType(), T.BooleanType(), T.DoubleType()
 POINT = T.StructType([T.StructField("x", _num), T.StructField("y", _num)])
 POLYGON = T.ArrayType(POINT)
+MASK_ROLES = ("floorVisible", "uncertain", "floorExtent")
+
+BOUNDARY = T.StructField(
+    "boundary",
+    T.ArrayType(T.StructType([T.StructField("kind", _text), T.StructField("points", POLYGON), T.StructField("note", _text)])),
+)
+UNCERTAIN_ZONES = T.StructField(
+    "uncertainZones",
+    T.ArrayType(T.StructType([T.StructField("reason", _text), T.StructField("polygon", POLYGON), T.StructField("note", _text)])),
+)
 
 ANNOTATION = T.StructType(
     [
@@ -28,30 +38,8 @@ ANNOTATION = T.StructType(
                 ]
             ),
         ),
-        T.StructField(
-            "boundary",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("kind", _text),
-                        T.StructField("points", POLYGON),
-                        T.StructField("note", _text),
-                    ]
-                )
-            ),
-        ),
-        T.StructField(
-            "uncertainZones",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("reason", _text),
-                        T.StructField("polygon", POLYGON),
-                        T.StructField("note", _text),
-                    ]
-                )
-            ),
-        ),
+        BOUNDARY,
+        UNCERTAIN_ZONES,
         T.StructField(
             "exclusions",
             T.ArrayType(
@@ -109,6 +97,8 @@ DRAW = T.StructType(
         T.StructField("floorHoles", T.ArrayType(POLYGON)),
         T.StructField("floorHoleRoles", T.ArrayType(_text)),
         T.StructField("floorHoleNotes", T.ArrayType(_text)),
+        UNCERTAIN_ZONES,
+        BOUNDARY,
         T.StructField("drawSeconds", _num),
         T.StructField("notes", _text),
     ]
@@ -138,12 +128,20 @@ def flat_annotations(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "annotation"]
     return df.select(
         *rest,
+        a["schema"].alias("schema"),
         a["photoId"].alias("photo_id"),
         a["width"].alias("width"),
         a["height"].alias("height"),
+        F.map_filter(
+            F.create_map(*[x for role in MASK_ROLES for x in (F.lit(role), a["masks"][role])]), lambda _, mask: mask.isNotNull()
+        ).alias("masks"),
         a["annotator"].alias("annotator"),
+        a["annotatedOn"].alias("annotated_on"),
         a["status"].alias("status"),
         a["review"]["reviewer"].alias("reviewer"),
+        a["review"]["reviewedOn"].alias("reviewed_on"),
+        F.when(a["review"].isNotNull(), F.coalesce(a["review"]["corrected"], F.lit(False))).alias("corrected"),
+        a["review"]["note"].alias("review_note"),
         a["passLabel"].alias("pass_label"),
         F.coalesce(a["independentPass"], F.lit(False)).alias("independent_pass"),
         F.coalesce(a["revision"], F.lit(1)).alias("revision"),
@@ -154,14 +152,39 @@ def flat_annotations(df: DataFrame) -> DataFrame:
         F.when(
             a["timing"].isNotNull(), F.coalesce(a["timing"]["reviewSeconds"], F.lit(0.0))
         ).alias("review_seconds"),
+        a["timing"]["correctionCount"].alias("correction_count"),
         F.coalesce(a["boundary"], F.array()).alias("boundary"),
         F.coalesce(a["uncertainZones"], F.array()).alias("uncertain_zones"),
         F.coalesce(a["exclusions"], F.array()).alias("exclusions"),
-        a["maskSha256"].alias("mask_sha256"),
+        F.coalesce(a["maskSha256"], F.create_map().cast("map<string,string>")).alias("mask_sha256"),
         a["notes"].alias("notes"),
     )
 
 
+def annotation_struct() -> Column:
+    """Flat annotation columns back to the nested record."""
+    when_any = lambda names, value: F.when(F.coalesce(*[F.col(c).cast("string") for c in names]).isNotNull(), value)
+    c = lambda column, name: F.col(column).alias(name)
+    timing = F.struct(
+        c("first_pass_seconds", "firstPassSeconds"), c("corrections_seconds", "correctionsSeconds"),
+        c("review_seconds", "reviewSeconds"), c("correction_count", "correctionCount"),
+    )
+    review = F.struct("reviewer", c("reviewed_on", "reviewedOn"), "corrected", c("review_note", "note"))
+    return F.struct(
+        "schema", c("photo_id", "photoId"), "width", "height",
+        F.struct(*[F.try_element_at("masks", F.lit(role)).alias(role) for role in MASK_ROLES]).alias("masks"),
+        "boundary", c("uncertain_zones", "uncertainZones"), "exclusions", "annotator", c("annotated_on", "annotatedOn"),
+        "revision", "status", when_any(["reviewer", "reviewed_on"], review).alias("review"), c("pass_label", "passLabel"),
+        c("independent_pass", "independentPass"), when_any(["first_pass_seconds", "review_seconds"], timing).alias("timing"),
+        c("mask_sha256", "maskSha256"), "notes",
+    )
+
+
+def annotation_lines(annotations: DataFrame) -> DataFrame:
+    """One JSON line per annotation."""
+    return annotations.select(F.to_json(annotation_struct()).alias("value"))
+
+
 def parse_draws(bodies: DataFrame, schema_tag: str, column: str = "body") -> tuple[DataFrame, DataFrame]:
     """Raw draw JSON to (usable rows, quarantined rows with their problems)."""
     draw = F.col("draw")

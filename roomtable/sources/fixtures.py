@@ -120,6 +120,10 @@ _COMMON: dict[str, str] = {
         'draw@1' end || '","photoId":' || cast(user_id as string) || case when event_id % 13 = 0 then ''
         else ',"width":640,"height":480' end || ',"floorPolygons":' || case when event_id % 17 = 0 then
         '[]' else '[[{"x":0.0,"y":0.6},{"x":1.0,"y":0.6},{"x":1.0,"y":1.2}]]' end ||
+        ',"floorHoles":[[{"x":0.1,"y":0.7},{"x":0.2,"y":0.7},{"x":0.2,"y":0.8}]],"uncertainZones":' ||
+        case when event_id % 3 = 0 then
+        '[{"reason":"reflection","polygon":[{"x":0.3,"y":0.7},{"x":0.4,"y":0.7},{"x":0.4,"y":0.8}]}]' else '[]' end ||
+        ',"boundary":[{"kind":"wall_floor","points":[{"x":0.0,"y":0.6},{"x":1.0,"y":0.6}]}]' ||
         ',"floorHoleRoles":["occluder"],"drawSeconds":' || cast(event_id % 300 as string) || '}' as body
         from events
     """,

@@ -70,6 +70,6 @@ def write_report(rows: DataFrame, folder: str) -> None:
 
 
 def stamp_config(report: DataFrame, settings: Settings) -> DataFrame:
-    """Adds the settings that decide a result as one JSON column."""
-    pairs = [F.lit(x) for item in sorted(settings.snapshot().items()) for x in item]
-    return report.withColumn("config", F.to_json(F.create_map(*pairs)))
+    """Adds the settings that decide a result as one JSON column; numbers stay numbers."""
+    values = [F.lit(value).alias(name) for name, value in sorted(settings.snapshot().items())]
+    return report.withColumn("config", F.to_json(F.struct(*values)))
