@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 from roomtable.session import cut_lineage
 
 _CLOSE = "}"
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
+#: An escape outside a string is one of a string that a split began in: its quote ends nothing.
+_TOKEN = re.compile(r'\\.|"(?:[^"\\]|\\.)*"?|[{}\[\]]', re.S)
 _STRING_END = re.compile(r'(?:[^"\\]|\\.)*"', re.S)
 _SPLIT = ["file", "start"]
 #: Depth of the root's keys, of the array under one of them, and inside its items.
@@ -47,6 +48,8 @@ class _Scan:
                 self.depth += 1
             elif token in "}]":
                 self.depth -= 1
+            elif token[0] == "\\":
+                continue
             elif not _STRING_END.fullmatch(token, 1):
                 self.in_string = True
                 return

@@ -13,7 +13,9 @@ from roomtable.operators import governance as G
 from roomtable.operators import image as I
 from roomtable.operators import kernels as K
 from roomtable.operators import lens as L
+from roomtable.operators import masks as M
 from roomtable.operators import perspective as P
+from roomtable.operators import regions as R
 from roomtable.operators import scenes as S
 from roomtable.sources import annotations as A
 from roomtable.sources import manifest as MF
@@ -297,3 +299,61 @@ def test_counter_draws_are_even(spark):
     spread = drawn_.selectExpr(f"cast({draws.share('h')} * 20 AS int) AS b").groupBy("b").count().collect()
     assert len(spread) == 20 and all(abs(r["count"] - 3000) < 300 for r in spread)
     assert drawn_.select("h").distinct().count() > 59_900
+
+
+def test_vote_finds_planted_points_among_many_segments(spark):
+    """Two bundles and noise, 120 segments: more pairs than draws."""
+    rng = np.random.default_rng(6)
+    rows, points = [], [(700.0, 250.0), (-900.0, 300.0)]
+    for k in range(120):
+        x, y = rng.uniform(100, 900, 2)
+        if k < 80:
+            vx, vy = points[k % 2]
+            dx, dy = vx - x, vy - y
+        else:
+            dx, dy = rng.normal(size=2)
+        size = rng.uniform(60, 160) / math.hypot(dx, dy)
+        rows.append((1, k, *map(float, (x, y, x + dx * size, y + dy * size))))
+    rows += [(2, 0, 1.0, 2.0, 1.0, 2.0), (2, 1, 0.0, 0.0, 9.0, 1.0), (3, 5, 5.0, 5.0, 80.0, 6.0)]
+    segments = spark.createDataFrame(rows, "photo_id long, seg_id long, x0 double, y0 double, x1 double, y1 double")
+    found = {r["rank"]: r for r in P.vanishing_points(segments, 1000, 1000).collect()}
+    assert {r["photo_id"] for r in found.values()} == {1}
+    near = [min(range(2), key=lambda i, r=r: math.hypot(r["x"] - points[i][0], r["y"] - points[i][1])) for r in (found[1], found[2])]
+    assert sorted(near) == [0, 1]
+    for rank, i in zip((1, 2), near, strict=True):
+        assert math.hypot(found[rank]["x"] - points[i][0], found[rank]["y"] - points[i][1]) < 12 and found[rank]["count"] >= 20
+
+
+def test_refinement_is_the_smallest_eigenvector(spark):
+    rng = np.random.default_rng(7)
+    lines_ = rng.normal(size=(6, 3)) * [1, 1, 300]
+    m = lines_.T @ lines_
+    row = spark.createDataFrame([(float(m[0, 0]), float(m[0, 1]), float(m[0, 2]), float(m[1, 1]), float(m[1, 2]), float(m[2, 2]))], "aa double, ab double, ac double, bb double, bc double, cc double")
+    vector = np.linalg.svd(lines_)[2][-1]
+    steps = P._nearest_point(row).first()
+    assert steps["rx"] == pytest.approx(vector[0] / vector[2], rel=1e-2) and steps["ry"] == pytest.approx(vector[1] / vector[2], rel=1e-2)
+
+
+def test_column_tops_without_pixels(spark):
+    rng = np.random.default_rng(8)
+    mask = rng.random((150, 90)) < 0.2
+    mask[:, 40:44] = False
+    cells = spark.createDataFrame([(1, 90, 150, int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)], "photo_id long, width long, height long, y long, x long")
+    found = P.floor_extent(M.cells_to_runs(cells, KEYS)).first()
+    tops = np.array([np.flatnonzero(mask[:, x])[0] for x in range(90) if mask[:, x].any()])
+    assert found["columns"] == len(tops) and found["far_edge_px"] == pytest.approx(np.percentile(tops, 15))
+    assert found["coverage"] == pytest.approx(mask.mean()) and found["bottom_px"] == np.nonzero(mask)[0].max()
+
+
+def test_rings_nest(spark):
+    """A ring in a ring in a ring, and one part outside."""
+    w = h = 17
+    cells = [(1, w, h, y, x) for y in range(1, 16) for x in range(1, 16) if max(abs(x - 8), abs(y - 8)) in (1, 4, 7)] + [(1, w, h, 0, 0), (2, w, h, 3, 3)]
+    runs = M.cells_to_runs(spark.createDataFrame(cells, "photo_id long, width long, height long, y long, x long"), KEYS)
+    frames = spark.createDataFrame([(1, w, h), (2, w, h)], "photo_id long, width long, height long")
+    forest = R.containment(*R.parts_and_gaps(runs, frames, KEYS), KEYS).where("photo_id = 1").collect()
+    # the corner pixel touches the outer ring over its corner
+    assert sorted((r["kind"], r["depth"], r["pixels"]) for r in forest if not (r["kind"] == "gap" and r["open"])) == [
+        ("gap", 1, 88), ("gap", 3, 40), ("gap", 5, 1), ("part", 0, 57), ("part", 2, 32), ("part", 4, 8),
+    ]
+    assert len({r["root"] for r in forest if r["kind"] == "part"}) == 1
