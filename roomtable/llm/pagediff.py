@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from roomtable.llm.pagelines import Line, lines_of
@@ -23,70 +22,156 @@ NEIGHBOURS_AT_ONCE = 2000
 #: Bytes that stand for a line; pages are compared two at a time, so few suffice.
 _MARK = 6
 
+#: Bits of a comparison's table that are kept at once.
+TABLE_BITS = 1 << 27
+
+#: Lines with as many places keep their mask.
+_FREQUENT = 64
+
+#: Signs of a line: shared with the nearest page; and also on most outlines of the host.
+SHARED, USUAL = 1, 2
+
+_BLOCKS = StructType(
+    [StructField("outline", BinaryType()), StructField("marked", BooleanType()), StructField("places", ArrayType(IntegerType())), StructField("blocks", ArrayType(StringType()))]
+)
+
 
 def line_marks(lines: list[Line]) -> list[bytes]:
     """A mark for each line of the page, equal for equal texts."""
     return [blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=_MARK).digest() for x in lines]
 
 
+def _masks(b: list) -> Callable[[object], int]:
+    """The places of a line in `b` as bits. Masks of frequent lines are kept, so few bits are."""
+    places: dict[object, list[int]] = defaultdict(list)
+    for j, x in enumerate(b):
+        places[x].append(j)
+    kept: dict[object, int] = {}
+
+    def mask(x: object) -> int:
+        if x in kept:
+            return kept[x]
+        bits = bytearray(len(b) // 8 + 1)
+        for j in places.get(x, ()):
+            bits[j >> 3] |= 1 << (j & 7)
+        made = int.from_bytes(bits, "little")
+        if len(places.get(x, ())) >= _FREQUENT:
+            kept[x] = made
+        return made
+
+    return mask
+
+
+def _rows(a: list, b: list) -> Iterator[int]:
+    """After each line of `a` a number whose zero bits are the places of `b` where the common subsequence grows."""
+    mask, full = _masks(b), (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & mask(x)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of the longest common subsequence of `a` with each start of `b`."""
+    row = 0
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
 def common_lines(a: list, b: list) -> set[int]:
     """Places in `a` of a longest common subsequence of lines.
 
-    Hunt and Szymanski's way: the matches of each line, last first, extend chains kept by
-    their ends. Common heads and tails are taken first.
+    Rows of the table are numbers of one bit a line of `b`, so repeated lines cost no more
+    than others. A table above TABLE_BITS is not kept: the first list is halved, the second cut
+    where the lengths of both sides add up to most. Common heads and tails go first.
     """
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    places: dict[object, list[int]] = defaultdict(list)
-    for j in range(len(b) - tail - 1, head - 1, -1):
-        places[b[j]].append(j)
-    ends: list[int] = []
-    tops: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
-            at = bisect_left(ends, j)
-            link = (i, tops[at - 1] if at else None)
-            if at == len(ends):
-                ends.append(j)
-                tops.append(link)
-            else:
-                ends[at], tops[at] = j, link
-    chain, link = set(range(head)) | set(range(len(a) - tail, len(a))), tops[-1] if tops else None
-    while link:
-        chain.add(link[0])
-        link = link[1]
-    return chain
-
-
-def main_text(lines: list[Line], other: list[bytes]) -> str:
-    """Blocks that are neither shared with the other page nor furniture by their markup.
-
-    Shared lines go, also inside an article that the page marks, unless they are half of
-    the article or more: then the other page holds the same article. Where the page marks
-    none, lines that are mostly links go too.
+    chosen: set[int] = set()
+    work = [(0, len(a), 0, len(b))]
+    while work:
+        a0, a1, b0, b1 = work.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            chosen.add(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            chosen.add(a1)
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 > 1 and (a1 - a0) * (b1 - b0) > TABLE_BITS:
+            middle = (a0 + a1) // 2
+            front = _lengths(a[a0:middle], b[b0:b1])
+            back = _lengths(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]
+            cut = b0 + int(np.argmax(front + back))
+            work += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
+            continue
+        rows = list(_rows(a[a0:a1], b[b0:b1]))
+        i, j = a1 - a0, b1 - b0
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                chosen.add(a0 + i)
+    return chosen
+
+
+def markup_blocks(lines: list[Line]) -> tuple[bool, list[int]]:
+    """(marked, places): whether the page marks an article, and the lines its markup leaves.
+
+    With a marked article these are its lines, otherwise all but those that are mostly
+    links; what the markup frames as furniture is never among them.
     """
-    marked = [k for k, x in enumerate(lines) if x.main and not x.framed]
-    shared = common_lines(line_marks(lines), other)
-    if 2 * len(shared.intersection(marked)) >= len(marked):
-        shared -= set(marked)
-    kept = [
-        x.text for k, x in enumerate(lines)
-        if k not in shared and not x.framed and (x.main if marked else not x.linked)
-    ]
-    return "\n".join(kept)
+    marked = any(x.main and not x.framed for x in lines)
+    return marked, [k for k, x in enumerate(lines) if not x.framed and (x.main if marked else not x.linked)]
+
+
+def _marks_in(outline: bytes | None) -> list[bytes]:
+    return [outline[k : k + _MARK] for k in range(0, len(outline or b""), _MARK)]
 
 
 def _outlines(pages: pd.Series) -> pd.Series:
     return pd.Series([b"".join(line_marks(lines_of(page))) for page in pages], dtype=object)
 
 
-def _texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for pages, others in batches:
-        yield pd.Series([main_text(lines_of(p), [] if o is None else [o[k : k + _MARK] for k in range(0, len(o), _MARK)]) for p, o in zip(pages, others, strict=True)], dtype=object)
+def _blocks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for pages in batches:
+        rows = []
+        for page in pages:
+            lines = lines_of(page)
+            marked, places = markup_blocks(lines)
+            rows.append((b"".join(line_marks(lines)), marked, places, [lines[k].text for k in places]))
+        yield pd.DataFrame(rows, columns=_BLOCKS.names)
+
+
+def _signs(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For each line of an outline: 0, SHARED with the other outline, or shared and USUAL on the host."""
+    for owns, others, usuals in batches:
+        rows = []
+        for own, other, usual in zip(owns, others, usuals, strict=True):
+            lines = _marks_in(own)
+            shared, usual_lines = common_lines(lines, _marks_in(other)), set(_marks_in(usual))
+            rows.append([0 if k not in shared else USUAL if x in usual_lines else SHARED for k, x in enumerate(lines)])
+        yield pd.Series(rows, dtype=object)
+
+
+def usual_lines(outlines: DataFrame) -> DataFrame:
+    """(host, usual): marks of the lines that stand on most outlines of a host, and on three at least.
+
+    outlines: host, outline, one row for each outline. Lines are counted by host and mark, combined before
+    the shuffle; those of a host are fewer than two outlines hold on average.
+    """
+    spots = F.sequence(F.lit(1), F.length("outline"), F.lit(_MARK))
+    marks = F.array_distinct(F.transform(spots, lambda k: F.substring("outline", k, F.lit(_MARK))))
+    lines = outlines.where(F.length("outline") > 0).select("host", F.explode(marks).alias("mark"))
+    sizes = outlines.groupBy("host").agg(F.count("*").alias("outlines"))
+    counted = lines.groupBy("host", "mark").agg(F.count("*").alias("n")).where("n >= 3").join(sizes, "host")
+    usual = counted.where("2 * n > outlines").groupBy("host").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    return usual.select("host", F.aggregate("marks", F.expr("cast('' as binary)"), lambda x, y: F.concat(x, y)).alias("usual"))
 
 
 def nearest(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
@@ -118,17 +203,21 @@ def nearest(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
         upto = F.coalesce(F.expr("0") + F.array_position(same, False) - 1, F.lit(-1))
         return F.when(other.isNull(), F.lit(-2)).otherwise(F.when(upto < 0, F.size(own)).otherwise(upto))
 
-    return sides.select("key", F.when(alike(back) >= alike(on), back).otherwise(on).alias("other"))
+    return sides.select("key", F.when(alike(back_path) >= alike(on_path), back).otherwise(on).alias("other"))
 
 
 def main_texts(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of `pages`.
 
     The lines a page shares with the nearest page of its host, by longest common
-    subsequence, are deleted, inside a marked article too unless half of it is shared; then what the markup frames as navigation, advert, form or
-    comment. Null or blank html gives the empty text. Pages without a url, or alone on
+    subsequence, are deleted. Inside a marked article that is one sign of two: the line
+    must also stand on most outlines of the host, so quotes and near copies of articles
+    stay. What the markup frames as navigation, advert, form or comment goes too. Null or blank html gives
+    the empty text. Pages without a url, or alone on
     their host, have no neighbour and keep what the markup leaves. Repeated rows are
     treated alike; page_id may be null or repeated. Other columns are not read.
+
+    Only blocks that the markup leaves go through the shuffle with a page, not its html.
     """
     page = F.coalesce(F.col("html"), F.lit(""))
     outline = F.pandas_udf(_outlines, BinaryType())(page)
@@ -146,10 +235,18 @@ def main_texts(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame
     parts = counts.select("host", "start", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / at_once).alias("part"))
     dealt = starts.join(parts, ["host", "start"]).select("host", "path", "key", "same", "part")
     pairs = nearest(dealt, at_once)
-    with_other = pairs.join(outlines.select(F.col("key").alias("other"), F.col("outline").alias("lines")), "other", "left")
-    by_same = dealt.join(with_other, "key").select("host", "same", "lines")
-
-    facts = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64(outline).alias("same"))
+    own_lines = outlines.select("key", "outline")
+    both = pairs.join(outlines.select(F.col("key").alias("other"), F.col("outline").alias("other_outline")), "other", "left")
+    usual = dealt.select("host", "part").distinct().join(usual_lines(dealt.join(own_lines, "key")), "host")
+    compared = dealt.join(both, "key").join(own_lines, "key").join(usual, ["host", "part"], "left")
+    signs = F.pandas_udf(_signs, ArrayType(IntegerType()))("outline", "other_outline", "usual")
+    by_same = compared.select("host", "same", signs.alias("signs"))
+
+    parsed = F.pandas_udf(_blocks, _BLOCKS)(page)
+    facts = pages.select("page_id", "url", host.alias("host"), parsed.alias("page"))
+    facts = facts.select("page_id", "url", "host", F.xxhash64("page.outline").alias("same"), "page.marked", "page.places", "page.blocks")
     joined = facts.join(by_same, ["host", "same"], "left")
-    text = F.pandas_udf(_texts, StringType())(page, F.col("lines"))
+    goes_from = F.when(F.col("marked"), USUAL).otherwise(SHARED)
+    kept = F.filter("blocks", lambda _, k: F.coalesce(F.get("signs", F.get("places", k)), F.lit(0)) < goes_from)
+    text = F.array_join(kept, "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # HTML element names by what they are.
-SILENT = frozenset("script style noscript template head title svg canvas iframe object embed video audio map select option button input textarea label datalist math".split())
+SILENT = frozenset("script style noscript template head title svg canvas iframe object embed video audio map select option button input textarea datalist".split())
 FRAME = frozenset("nav header footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend "
@@ -110,6 +111,8 @@ def lines_of(page: str) -> list[Line]:
     found: list[_Found] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # name, firm, layout, main
+    opened: Counter[str] = Counter()  # names on the stack
+    endless: set[str] = set()  # silent elements that no later tag ends
     mains: list[tuple[bool, tuple[int, ...]]] = []
     links = at = length = linked = free = elements = 0
 
@@ -150,10 +153,11 @@ def lines_of(page: str) -> list[Line]:
         elif name in SILENT and name not in VOID:
             if closing or tag[0].endswith("/>"):
                 continue
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            close = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if close:
                 at = close.end()
-            elif name != "head":
+            else:
+                endless.add(name)
                 at = len(page) if name in ("script", "style") else at
         elif name == "a":
             links = max(0, links - 1) if closing else links + 1
@@ -161,14 +165,14 @@ def lines_of(page: str) -> list[Line]:
             end_block()
             links = 0
             if closing:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        del stack[depth:]
+                while opened[name]:
+                    opened[last := stack.pop()[0]] -= 1
+                    if last == name:
                         break
             elif name not in VOID:
                 ended = _SELF_ENDING.get(name)
                 while ended and stack and stack[-1][0] in ended:
-                    stack.pop()
+                    opened[stack.pop()[0]] -= 1
                 _, firm, layout, main = stack[-1] if stack else ("", False, (), False)
                 framing = _frames(name, tag[3], main)
                 firm = firm or framing == _FIRM
@@ -178,5 +182,6 @@ def lines_of(page: str) -> list[Line]:
                 if name in MAIN and not main:
                     mains.append((firm, layout))
                 stack.append((name, firm, layout, main or name in MAIN))
+                opened[name] += 1
     end_block()
     return _settled(found, mains)

@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -622,8 +623,68 @@ def test_a_line_repeated_inside_articles_goes(spark):
     assert got[8] == "first one\nGet our offers\nfirst two\nfirst three" and got[9] == got[8].replace("two", "2")
 
 
+def plain_nearest(own, paths):
+    """The neighbour in path order with the longer common start, the earlier in a tie."""
+    order = sorted(paths)
+    at = order.index(own)
+    alike = lambda other: len(list(itertools.takewhile(lambda x: x[0] == x[1], zip(own.split("/"), other.split("/"), strict=False))))
+    near = [x for x in (order[at - 1] if at else None, order[at + 1] if at + 1 < len(order) else None) if x is not None]
+    return max(near, key=alike) if near else None
+
+
+@pytest.mark.parametrize("at_once", [2, 2000])
+def test_page_texts_equal_plain_differencing(spark, at_once):
+    """Every page against its nearest one, lines by plain counting, over hosts with and without marked articles."""
+    rng = random.Random(61)
+    notices = [f"Notice {k} for all" for k in range(3)]
+    pages = {}
+    for host in range(4):
+        for k in range(1, 9):
+            body = [f"{words(rng, 4)} {host} {k}" for _ in range(5)]
+            body += [x for x in notices if rng.random() < 0.7] + [f"Quote {rng.randint(0, 3)}"]
+            rng.shuffle(body)
+            inner = "".join(f"<p>{x}</p>" for x in body)
+            html = f"<div>Top of host</div><main>{inner}</main>" if host % 2 else f"<div>Top of host</div><div>{inner}</div>"
+            pages[f"h{host}.example", f"/{rng.randint(0, 2)}/{rng.randint(0, 2)}/{k}"] = (html, body)
+    rows = [(n, f"http://{h}{p}", html) for n, ((h, p), (html, _)) in enumerate(pages.items())]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["url"]: r["text"] for r in pagediff.main_texts(table, at_once).collect()}
+    dropped = 0
+    for (host, path), (_, body) in pages.items():
+        own = {p: x for (h, p), (_, x) in pages.items() if h == host}
+        other = ["Top of host", *own[plain_nearest(path, own)]]
+        shared = {k - 1 for k in pagediff.common_lines(["Top of host", *body], other)}
+        usual = lambda x: sum(x in y for y in own.values()) >= 3 and 2 * sum(x in y for y in own.values()) > len(own)  # noqa: B023, E731
+        marked = host in ("h1.example", "h3.example")
+        want = [x for k, x in enumerate(body) if k not in shared or marked and not usual(x)]
+        dropped += len(body) - len(want)
+        assert got[f"http://{host}{path}"] == "\n".join(want)
+    assert dropped > 20
+
+
+def test_long_pages_take_seconds():
+    """Stray tags, unclosed elements and repeated lines cost in proportion, however the table is cut."""
+    begun = time.monotonic()
+    assert pagelines.lines_of("<div>" * 60_000 + "</p>" * 60_000 + "x")[0].text == "x"
+    assert len(pagelines.lines_of("<select><p>a" * 30_000)) == 30_000
+    a, b = ["x", "y"] * 4000, ["y", "x", "x"] * 4000
+    places = pagediff.common_lines(a, b)
+    assert len(places) >= 7998 and time.monotonic() - begun < 30
+
+
+def test_halved_comparison_is_a_longest_subsequence(monkeypatch):
+    rng = random.Random(62)
+    lists = [([rng.randrange(6) for _ in range(rng.randint(0, 60))], [rng.randrange(6) for _ in range(rng.randint(0, 60))]) for _ in range(60)]
+    whole = [len(pagediff.common_lines(a, b)) for a, b in lists]
+    monkeypatch.setattr(pagediff, "TABLE_BITS", 16)
+    for (a, b), n in zip(lists, whole, strict=True):
+        chosen = pagediff.common_lines(a, b)
+        rest = iter(b)
+        assert len(chosen) == n and all(a[i] in rest for i in sorted(chosen))
+
+
 def test_frames_are_whole_names_and_never_most_of_a_page():
-    text = lambda page: pagediff.main_text(pagelines.lines_of(page), [])
+    text = lambda page: "\n".join(pagelines.lines_of(page)[k].text for k in pagediff.markup_blocks(pagelines.lines_of(page))[1])
     body = "<p>A body of some words</p><p>and more of it</p>"
     whole = "A body of some words\nand more of it"
     for name in ("has-sidebar", "no-sidebar", "with-header", "sidebar", "header"):
