@@ -45,6 +45,56 @@ TEMPLATES = {
     ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."
+    ),
+    "GPL-2.0 header": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1 header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0 header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ),
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Unlicense use": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or otherwise, and by any means"
+    ),
+    "OFL-1.1": "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "BSD-3-Clause names": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
@@ -56,6 +106,7 @@ _FOUND = ArrayType(
 # Words that tell licences apart; those of a template must all align.
 _NAMES = frozenset(
     b"apache mit bsd isc zlib mozilla mpl eclipse epl boost artistic unlicense gnu general gpl lgpl agpl lesser library affero creative commons cc cc0 attribution "
+    b"attribution-sharealike attribution-noncommercial attribution-noderivatives attribution-noncommercial-sharealike attribution-noncommercial-noderivatives ofl sil "
     b"by by-nc by-sa by-nd by-nc-sa by-nc-nd nc sa nd noncommercial non-commercial sharealike share-alike noderivatives noderivs no-derivatives".split()
 )
 # Words that make another licence of the one named, by a word of its name.
@@ -246,10 +297,10 @@ def _within(pairs: list[tuple[int, int]], span: int) -> list[tuple[int, int]]:
 
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """(doc_id, licence, coverage, first_word, last_word, n_licences): the best licence of every row.
+    """(doc_id, nth, licence, coverage, first_word, last_word, n_licences): every licence of every row.
 
-    The best is the one with the most aligned words; ties go to the first name. Rows
-    without a licence have nulls and n_licences 0, as have null and empty texts. A null
+    The licences of a text are numbered from 1 by their aligned words, most first; ties go to
+    the first name. Each comes with its best copy. Texts without a licence, null and empty ones, have one row of nulls and n_licences 0. A null
     doc_id stays null, repeated rows stay repeated, other columns are not read. The whole
     text is searched, so memory follows the words of one text. Words of marks alone count
     as places but not in the span.
@@ -268,8 +319,5 @@ def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
         yield from map(search, parts)
 
     found = docs.select("doc_id", F.pandas_udf(batches, _FOUND)(whole_text()).alias("found"))
-    best = F.get("found", F.lit(0))
-    return found.select(
-        "doc_id", best["licence"].alias("licence"), best["coverage"].alias("coverage"), best["first_word"].alias("first_word"),
-        best["last_word"].alias("last_word"), F.size("found").alias("n_licences"),
-    )
+    each = found.select("doc_id", F.size("found").alias("n_licences"), F.posexplode_outer("found").alias("at", "one"))
+    return each.select("doc_id", (F.col("at") + 1).alias("nth"), "one.licence", "one.coverage", "one.first_word", "one.last_word", "n_licences")
