@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from roomtable.llm.shared import whole_text, words_of
 
@@ -21,6 +20,8 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 #: Labelled rows of each class that the classifier is fitted on, at most.
 ROWS_PER_CLASS = 1000
+#: Tasks that make the vectors of the labelled texts.
+FIT_TASKS = 32
 #: A text whose probability of being good is lower is rejected.
 KEEP_FROM = 0.2
 BUCKET_BITS = 14
@@ -164,15 +165,16 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     """Fit on at most `rows_per_class` labelled texts of each class, those of the smallest hash of doc_id.
 
     Labels with a null doc_id or quality are left out; of several labels of one id the
-    lowest quality counts. With one class or none at hand every text gets the share of
-    good labels as its probability. The bound holds the driver's share of the work; the
-    vectors are made on the executors.
+    lowest quality counts, and of several texts of one id the first in byte order. With one class or none at hand every text gets the share of
+    good labels as its probability. The bound holds the driver's share of the work, however often an id
+    repeats; the vectors are made on the executors, and no class is gathered to find its smallest hashes.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") > 0).alias("good"))
     share = known.agg(F.avg(F.col("good").cast("double"))).first()[0]
-    nth = F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.withColumn("nth", nth).where(F.col("nth") <= rows_per_class).drop("nth")
-    texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    first = lambda good: known.where(F.col("good") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class)
+    chosen = first(True).union(first(False))
+    labelled = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = labelled.groupBy("doc_id", "good").agg(F.min("text").alias("text")).repartition(FIT_TASKS)
     vectors = texts.select("doc_id", "text", "good").mapInPandas(_vectors, "good boolean, places binary, shares binary")
     rows = sorted((x["good"], bytes(x["places"]), bytes(x["shares"])) for x in vectors.toLocalIterator())
     rows.sort(key=lambda x: crc32(x[1]))

@@ -206,6 +206,20 @@ def test_classifier_separates_held_out_rows(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, r in rows.items() if r["kept"]}
 
 
+def test_fit_takes_the_smallest_hashes_and_one_text_of_an_id(spark):
+    rng = random.Random(63)
+    texts = [(i, words(rng, 40) + (" ###" * 9 if i % 3 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    order = {r[0]: r[1] for r in labels.select("doc_id", F.xxhash64("doc_id")).collect()}
+    first = [i for good in (True, False) for i in sorted((i for i, _ in texts if (i % 3 > 0) == good), key=order.get)[:20]]
+    plain = quality.train(docs_of(spark, [x for x in texts if x[0] in first]), labels.where(F.col("doc_id").isin(first)))
+    share = labels.agg(F.avg("quality")).first()[0]
+    again = texts + [(i, t + " zzz of a later copy") for i, t in texts] * 5
+    bounded = quality.train(docs_of(spark, again), labels, 20)
+    assert np.allclose(plain.weights, bounded.weights, atol=1e-6) and plain.bias == pytest.approx(bounded.bias)
+    assert 0 < share < 1
+
+
 def test_quality_of_odd_rows_and_without_labels(odd, none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     rows = quality.quality_rules(odd, labels).collect()
@@ -725,6 +739,52 @@ def test_licences_of_odd_rows(spark, odd, none):
     assert licences.licences(none).count() == 0
 
 
+def test_every_licence_of_a_text_is_a_row(spark, none):
+    parts = ["MIT permission", "ISC", "Zlib", "MPL-2.0"]
+    text = " in between ".join(licences.TEMPLATES[k] for k in parts)
+    rows = licences.licences(docs_of(spark, [(1, text), (2, "nothing here"), (3, None), (1, text)])).collect()
+    assert collections.Counter((r["doc_id"], r["licence"]) for r in rows) == {**{(1, k): 2 for k in parts}, (2, None): 1, (3, None): 1}
+    assert {r["n_licences"] for r in rows if r["doc_id"] == 1} == {4}
+    ranked = sorted((r["nth"], r["licence"]) for r in rows if r["doc_id"] == 1)[::2]
+    sizes = {k: len(licences.Scanner.of({k: licences.TEMPLATES[k]}).templates[0][1]) for k in parts}
+    assert [x[1] for x in ranked] == sorted(parts, key=lambda k: (-sizes[k], k))
+
+
+def test_licences_equal_plain_alignment_of_all_windows():
+    """Notices with words lost, added or changed, against the longest common subsequence of every window."""
+    rng = random.Random(64)
+    named = ("MIT permission", "ISC", "Zlib", "BSD-3-Clause", "CC0-1.0", "Unlicense use")
+    templates = {k: licences.TEMPLATES[k] for k in named}
+    scanner = licences.Scanner.of(templates)
+    seen = collections.Counter()
+    for _ in range(40):
+        name = rng.choice(named)
+        rate = rng.choice((0, 0.05, 0.15, 0.2, 0.25, 0.4))
+        copy = []
+        for w in templates[name].split():
+            fate = rng.random()
+            copy += [] if fate < rate / 2 else [f"q{rng.random()}"] if fate < rate else [w, f"x{rng.random()}"] if fate < rate * 1.3 else [w]
+        text = " ".join([*words(rng, 6).split(), *copy, *words(rng, 6).split()])
+        found = {x[0]: x[1] for x in scanner.scan(text)}
+        own = [licences._numbered(w) for w in licences.licence_words(text)]
+        for k, template in scanner.templates:
+            wide, best = int(licences.SPAN * len(template)), 0
+            for i in range(max(1, len(own) - wide + 1)):
+                row = [0] * (len(template) + 1)
+                for w in own[i : i + wide]:
+                    last = row
+                    row = [0]
+                    for j, t in enumerate(template):
+                        row.append(last[j] + 1 if w == t else max(last[j + 1], row[j]))
+                best = max(best, row[-1])
+            if best >= licences.COVERAGE * len(template):
+                assert found[k] == pytest.approx(best / len(template))
+            else:
+                assert k not in found
+            seen[k in found] += 1
+    assert seen[True] > 10
+
+
 def test_each_copy_of_a_notice_is_aligned_by_itself():
     scan = licences.Scanner.of(licences.TEMPLATES).scan
     notice = "Released under the MIT License."
