@@ -32,7 +32,7 @@ _FREQUENT = 64
 SHARED, USUAL = 1, 2
 
 _BLOCKS = StructType(
-    [StructField("outline", BinaryType()), StructField("marked", BooleanType()), StructField("places", ArrayType(IntegerType())), StructField("blocks", ArrayType(StringType()))]
+    [StructField("outline", BinaryType()), StructField("marked", BooleanType()), StructField("places", ArrayType(IntegerType())), StructField("text", StringType())]
 )
 
 
@@ -144,7 +144,7 @@ def _blocks(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for page in pages:
             lines = lines_of(page)
             marked, places = markup_blocks(lines)
-            rows.append((b"".join(line_marks(lines)), marked, places, [lines[k].text for k in places]))
+            rows.append((b"".join(line_marks(lines)), marked, places, "\n".join(lines[k].text for k in places)))
         yield pd.DataFrame(rows, columns=_BLOCKS.names)
 
 
@@ -163,8 +163,9 @@ def usual_lines(outlines: DataFrame) -> DataFrame:
     """(host, usual): marks of the lines that stand on most outlines of a host, and on three at least.
 
     outlines: host, outline, one row for each outline. Lines are counted by host and mark, combined before
-    the shuffle; those of a host are fewer than two outlines hold on average.
+    the shuffle; those of a host are fewer than two outlines hold on average. Hosts go by their hash.
     """
+    outlines = outlines.select(F.xxhash64("host").alias("host"), "outline")
     spots = F.sequence(F.lit(1), F.length("outline"), F.lit(_MARK))
     marks = F.array_distinct(F.transform(spots, lambda k: F.substring("outline", k, F.lit(_MARK))))
     lines = outlines.where(F.length("outline") > 0).select("host", F.explode(marks).alias("mark"))
@@ -175,7 +176,7 @@ def usual_lines(outlines: DataFrame) -> DataFrame:
 
 
 def nearest(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
-    """(key, other): the page of the same host whose path is next to it in path order.
+    """(key, other, host, part): the page of the same host whose path is next to it in path order.
 
     Of the two neighbours in path order it is the one with the longer common start, the
     earlier in a tie. Pages of one outline count once, so copies are no neighbours of each
@@ -203,7 +204,7 @@ def nearest(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
         upto = F.coalesce(F.expr("0") + F.array_position(same, False) - 1, F.lit(-1))
         return F.when(other.isNull(), F.lit(-2)).otherwise(F.when(upto < 0, F.size(own)).otherwise(upto))
 
-    return sides.select("key", F.when(alike(back_path) >= alike(on_path), back).otherwise(on).alias("other"))
+    return sides.select("key", F.when(alike(back_path) >= alike(on_path), back).otherwise(on).alias("other"), "host", "part")
 
 
 def main_texts(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame:
@@ -221,32 +222,30 @@ def main_texts(pages: DataFrame, at_once: int = NEIGHBOURS_AT_ONCE) -> DataFrame
     """
     page = F.coalesce(F.col("html"), F.lit(""))
     outline = F.pandas_udf(_outlines, BinaryType())(page)
-    own = pages.select("url", outline.alias("outline")).where("url is not null")
     bare = F.lower(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://", ""))
     host = F.regexp_extract(bare, r"^([^/?#]*)", 1)
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1), r"(/|\.html?|/index\.[a-z]+)$", "")
-    key = F.xxhash64(host, path, "outline")
-    outlines = cut_lineage(own.select(host.alias("host"), path.alias("path"), key.alias("key"), "outline").dropDuplicates(["key"]))
     # One page of each outline of a host takes part, under its first path.
-    single = outlines.groupBy("host", F.xxhash64("outline").alias("same")).agg(F.min("path").alias("path"), F.min_by("key", F.struct("path", "key")).alias("key"))
-    starts = single.withColumn("start", F.substring("path", 1, 6))
+    own = pages.select("url", outline.alias("outline")).where("url is not null")
+    own = own.select(host.alias("host"), path.alias("path"), "outline").withColumn("key", F.xxhash64("host", "outline"))
+    outlines = cut_lineage(own.groupBy("key").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.min("outline").alias("outline")))
+    starts = outlines.select("host", "path", "key", F.substring("path", 1, 6).alias("start"))
     counts = starts.groupBy("host", "start").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("host").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     parts = counts.select("host", "start", F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / at_once).alias("part"))
-    dealt = starts.join(parts, ["host", "start"]).select("host", "path", "key", "same", "part")
-    pairs = nearest(dealt, at_once)
-    own_lines = outlines.select("key", "outline")
-    both = pairs.join(outlines.select(F.col("key").alias("other"), F.col("outline").alias("other_outline")), "other", "left")
-    usual = dealt.select("host", "part").distinct().join(usual_lines(dealt.join(own_lines, "key")), "host")
-    compared = dealt.join(both, "key").join(own_lines, "key").join(usual, ["host", "part"], "left")
+    dealt = starts.join(parts, ["host", "start"]).select("host", "path", "key", "part")
+    hosts = parts.select("host", "part").distinct().withColumn("h", F.xxhash64("host"))
+    usual = hosts.join(usual_lines(outlines).withColumnRenamed("host", "h"), "h").select("host", "part", "usual")
+    pairs = nearest(dealt, at_once).where("other is not null").join(usual, ["host", "part"], "left").select("key", "other", "usual")
+    both = pairs.join(outlines.select(F.col("key").alias("other"), F.col("outline").alias("other_outline")), "other")
     signs = F.pandas_udf(_signs, ArrayType(IntegerType()))("outline", "other_outline", "usual")
-    by_same = compared.select("host", "same", signs.alias("signs"))
+    by_key = both.drop("other").join(outlines.select("key", "outline"), "key").select("key", signs.alias("signs"))
 
     parsed = F.pandas_udf(_blocks, _BLOCKS)(page)
     facts = pages.select("page_id", "url", host.alias("host"), parsed.alias("page"))
-    facts = facts.select("page_id", "url", "host", F.xxhash64("page.outline").alias("same"), "page.marked", "page.places", "page.blocks")
-    joined = facts.join(by_same, ["host", "same"], "left")
+    facts = facts.select("page_id", "url", F.xxhash64("host", "page.outline").alias("key"), "page.marked", "page.places", "page.text")
+    joined = facts.join(by_key, "key", "left")
     goes_from = F.when(F.col("marked"), USUAL).otherwise(SHARED)
-    kept = F.filter("blocks", lambda _, k: F.coalesce(F.get("signs", F.get("places", k)), F.lit(0)) < goes_from)
+    kept = F.filter(F.split("text", "\n"), lambda _, k: F.coalesce(F.get("signs", F.get("places", k)), F.lit(0)) < goes_from)
     text = F.array_join(kept, "\n")
     return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
