@@ -142,7 +142,8 @@ def find_variants(products: DataFrame, requests: DataFrame, attributes: Sequence
     Keys that keep RICH attributes or more are dealt out on both sides. The poor ones, which
     many requests share, are as few as pairs of attribute values: requests that found
     nothing richer meet them as a broadcast of at most POOR_KEYS rows, and by a join only
-    where a vocabulary is larger.
+    where a vocabulary is larger. Requests and products meet by merge joins: both may be
+    large, and files of theirs that look small enough to broadcast hold many rows.
     """
     attributes = list(attributes)
     n = len(attributes)
@@ -175,7 +176,7 @@ def find_variants(products: DataFrame, requests: DataFrame, attributes: Sequence
         .groupBy("attribute", "_value", F.col("_k.rest").alias("rest"), F.col("_k.kept").alias("kept"))
         .agg(F.min("ref").alias("variant"))
     )
-    asked = keys(requests.join(products, "ref"), F.col("attribute"), F.col("wanted").cast("string"))
+    asked = keys(requests.hint("merge").join(products, "ref"), F.col("attribute"), F.col("wanted").cast("string"))
     own = ["ref", "attribute", "wanted"]
     looked = asked.where(F.col("_value") != chosen).select(*own, "_value", F.col("_k.kept").alias("kept"), F.col("_k.rest").alias("rest"))
     best = F.min(F.struct((-F.col("kept")).alias("k"), F.col("variant").alias("v"))).alias("b")
@@ -187,7 +188,7 @@ def find_variants(products: DataFrame, requests: DataFrame, attributes: Sequence
     rich = cut_lineage(rich)
     poor = cut_lineage(index.where(F.col("kept") < RICH).drop("kept"))
     few = poor.limit(POOR_KEYS + 1).count() <= POOR_KEYS
-    left = looked.where(F.col("kept") < RICH).join(rich, own, "left_anti")
+    left = looked.where(F.col("kept") < RICH).join(rich.hint("merge"), own, "left_anti")
     hits = rich.unionByName(found(left, F.broadcast(poor) if few else poor))
     return hits.select(*own, F.col("b.v").alias("variant"), (-F.col("b.k")).cast("bigint").alias("kept"))
 

@@ -94,3 +94,18 @@ def test_alternatives_hold_where_poor_keys_are_many(spark, monkeypatch):
     assert got() == sorted(plain)
     monkeypatch.setattr(C, "POOR_KEYS", 1)
     assert got() == sorted(plain)
+
+
+def test_alternatives_broadcast_only_poor_keys(spark, capsys, tmp_path):
+    """Requests, products and found rows grow with the catalogue: none of them may go through the driver."""
+    rows = [(i, "ab"[i % 2], "xyz"[i % 3], i % 5, "pq"[i // 7 % 2]) for i in range(40)]
+    made = spark.createDataFrame(rows, "ref long, pattern string, tone string, width long, finish string")
+    made.write.parquet(str(tmp_path / "products"))
+    products = spark.read.parquet(str(tmp_path / "products"))
+    requests = products.selectExpr("ref", "'pattern' AS attribute", "if(pattern = 'a', 'b', 'a') AS wanted")
+    found = C.find_variants(products, requests, ("pattern", "tone", "width", "finish"))
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 2
+    assert found.count() == 40
