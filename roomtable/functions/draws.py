@@ -7,6 +7,8 @@ fit in 63 bits and use only `*`, `+` and `%`.
 
 from __future__ import annotations
 
+import numpy as np
+
 PRIME = 2**31 - 1
 _BASE = 48_271
 _SHIFT = 1_013_904_223
@@ -39,3 +41,19 @@ def share(name: str) -> str:
 def share_sql(name: str) -> str:
     """Twin of `share` for the checks."""
     return f"((({name})::DOUBLE + 0.5e0) / {PRIME}e0)"
+
+
+def drawn_values(*counters: int | np.ndarray) -> np.ndarray:
+    """Twin of `drawn` for arrays, which broadcast."""
+    mixed = sum(np.asarray(c, np.int64) % PRIME * pow(_BASE, k + 1, PRIME) % PRIME for k, c in enumerate(counters))
+    x = (mixed + _SHIFT) % PRIME
+    for last in (False, True):
+        square = x * x % PRIME
+        x = square * square % PRIME * x % PRIME
+        x = x if last else (x + _SHIFT) % PRIME
+    return x
+
+
+def share_values(values: np.ndarray) -> np.ndarray:
+    """Twin of `share` for arrays."""
+    return (values + 0.5) / PRIME

@@ -7,15 +7,16 @@ floors are runs. Formulas are SQL text over columns, one select per step.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomtable.functions.draws import drawn, share
 from roomtable.functions.numbers import codes, fixed
 from roomtable.operators import kernels as K
+from roomtable.operators.votes import REFINE_STEPS, Lines, VoteRules, photo_points
 from roomtable.session import cut_lineage
 
 #: Fixed values of the published geometry rules.
@@ -45,21 +46,8 @@ BLOCKING_CHECKS = (
 )
 
 
-@dataclass(frozen=True)
-class VoteRules:
-    """Limits of the vanishing point vote. Published defaults, in degrees, draws and shares of the width."""
-
-    vertical_deg: float = 12.0
-    tolerance_deg: float = 1.6
-    draws: int = 600
-    min_support: float = 0.8
-    min_count: int = 4
-    rounds: int = 3
-    keep_refined: float = 0.9
-
-
-#: Steps of the inverse iteration; the first is the least-squares point itself.
-REFINE_STEPS = 8
+#: Segments of a photo up to which its vote is one group; of others, about as many go to a task.
+WHOLE_PHOTO = 1024
 
 
 def segment_facts(segments: DataFrame) -> DataFrame:
@@ -102,20 +90,49 @@ def vanishing_points(
     twice in a pair; adds up, for each crossing, the length of the segments that point at
     it; moves the best crossing to the point nearest to its segments' lines, if the vote
     there is about as good; and takes the segments that point at it out. One rule holds for
-    any number of segments. A photo's votes are summed before they are dealt, so a photo
-    with many segments is no single task; equal (photo_id, seg_id) count as one line.
+    any number of segments; equal (photo_id, seg_id) count as one line.
+
+    A photo of up to WHOLE_PHOTO segments is one group: its segments are shuffled once, its
+    draws and votes stay in the task. Photos with more are dealt in blocks of about as many,
+    whose draws and votes are combined before each shuffle, so none is a single task.
     """
-    rest = cut_lineage(segment_facts(segments).where(f"vertical_deg > {rules.vertical_deg}"))
+    ends = ["x0", "y0", "x1", "y1"]
+    leaning = segment_facts(segments).where(f"vertical_deg > {rules.vertical_deg} AND photo_id IS NOT NULL")
+    leaning = cut_lineage(leaning.select("photo_id", "seg_id", *ends))
+    counts = leaning.groupBy("photo_id").agg(F.count(F.lit(1)).alias("segments"))
+    crowded = cut_lineage(counts.where(f"segments > {WHOLE_PHOTO}"))
+    some = not crowded.isEmpty()
+    whole = leaning.join(crowded, "photo_id", "left_anti") if some else leaning
+    kinds = {"rank": "long", "x": "double", "y": "double", "support": "double", "count": "long"}
+
+    def run(table: pa.Table) -> pa.Table:
+        seg = table.column("seg_id")
+        lines = Lines.between(
+            seg.cast(pa.int64()).fill_null(0).to_numpy(), seg.is_valid().to_numpy(), *(table.column(c).to_numpy() for c in ends)
+        )
+        points = photo_points(lines, int(table.column("photo_id")[0].as_py()), width, height, rules)
+        found = zip(*points, strict=True) if points else [[]] * len(kinds)
+        return K.with_keys(table.select(["photo_id"]).slice(0, 1), dict(zip(kinds, found, strict=True)), kinds)
+
+    doubles = whole.selectExpr("photo_id", "seg_id", *[f"cast({c} AS double) AS {c}" for c in ends])
+    found = doubles.groupBy("photo_id").applyInArrow(run, K.in_arrow(whole, ["photo_id"], kinds))
+    if not some:
+        return found
+    block = f"pmod(hash(seg_id, x0, y0), cast(ceil(segments / {WHOLE_PHOTO}) AS int)) AS block"
+    dealt = leaning.join(crowded, "photo_id").selectExpr("photo_id", "seg_id", *ends, block)
+    return found.unionByName(_crowded_points(segment_facts(dealt), width, height, rules))
+
+
+def _crowded_points(rest: DataFrame, width: int, height: int, rules: VoteRules) -> DataFrame:
+    """The vote of `votes.photo_points` by joins; rest: the facts of leaning segments, and block."""
     found = None
     for number in range(1, rules.rounds + 1):
+        rest = cut_lineage(rest.repartition("photo_id", "block"))
         best = cut_lineage(_strongest(rest, number, width, height, rules))
         point = best.withColumn("rank", F.lit(number).cast("bigint"))
         found = point if found is None else found.unionByName(point)
-        if number < rules.rounds:
-            near = _angles(rest.join(best.select("photo_id", "vx", "vy"), "photo_id"))
-            rest = cut_lineage(
-                near.where(f"angle >= {2 * rules.tolerance_deg}").drop("vx", "vy", "angle")
-            )
+        near = _angles(rest.join(best.select("photo_id", "vx", "vy"), "photo_id"))
+        rest = near.where(f"angle >= {2 * rules.tolerance_deg}").drop("vx", "vy", "angle")
     return found.select(
         "photo_id", "rank", F.col("vx").alias("x"), F.col("vy").alias("y"), "support", F.col("n").alias("count")
     )

@@ -357,3 +357,36 @@ def test_rings_nest(spark):
         ("gap", 1, 88), ("gap", 3, 40), ("gap", 5, 1), ("part", 0, 57), ("part", 2, 32), ("part", 4, 8),
     ]
     assert len({r["root"] for r in forest if r["kind"] == "part"}) == 1
+
+
+def test_vote_by_groups_equals_vote_by_joins(spark, monkeypatch):
+    """Whole photos and photos dealt in blocks follow one rule; a null number is never drawn but votes."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for photo, n in ((1, 40), (2, 90), (-3, 25), (4, 3), (5, 60)):
+        for k in range(n):
+            x, y = rng.uniform(100, 900, 2)
+            dx, dy = ((300.0, 350.0) - np.array([x, y])) if k % 3 else rng.normal(size=2)
+            size = rng.uniform(60, 260) / math.hypot(dx, dy)
+            rows.append((photo, None if photo == 5 and k % 20 == 1 else k, *map(float, (x, y, x + dx * size, y + dy * size))))
+    rows += [(None, k, 0.0, 10.0 * k, 90.0, 11.0 * k + 3) for k in range(9)] + [(1, 99, None, 1.0, 2.0, 3.0)]
+    segments = spark.createDataFrame(rows, "photo_id long, seg_id long, x0 double, y0 double, x1 double, y1 double")
+    got = lambda rules: sorted((r["photo_id"], r["rank"], *(round(r[c], 4) for c in ("x", "y", "support")), r["count"]) for r in P.vanishing_points(segments, 1000, 1000, rules).collect())
+    loose = P.VoteRules(tolerance_deg=6.0, min_support=0.2, min_count=3)
+    whole = [got(P.VoteRules()), got(loose)]
+    assert {r[0] for r in whole[1]} >= {1, 2, -3, 5} and max(r[1] for r in whole[1]) == 3
+    monkeypatch.setattr(P, "WHOLE_PHOTO", 30)
+    assert [got(P.VoteRules()), got(loose)] == whole
+
+
+def test_vote_of_whole_photos_shuffles_segments_only(spark, capsys):
+    """600 draws a photo and round once went through shuffles, and ten checkpoints were written."""
+    segments = spark.range(320).selectExpr(
+        "id div 16 AS photo_id", "id % 16 AS seg_id", *[f"(id * {m} % 997) * 1D AS {c}" for m, c in ((71, "x0"), (131, "y0"), (257, "x1"), (389, "y1"))]
+    )
+    found = P.vanishing_points(segments, 1000, 1000, P.VoteRules(tolerance_deg=6.0, min_support=0.2, min_count=3))
+    capsys.readouterr()
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "FlatMapGroupsInArrow" in plan and "Union" not in plan
+    assert found.count() > 20
