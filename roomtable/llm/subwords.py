@@ -24,6 +24,8 @@ _LONGEST = 64
 _LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
 #: Letters and then marks, without the apostrophe and the '<' that the pattern joins otherwise.
 _MARKED = re.compile("([a-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=>?@\\[-`{-~]+)")
+#: The last mark of a word after a letter: a piece of its own, for the pattern parts letters from marks.
+_LAST_MARK = re.compile(rb"[!),.:;?](?<=[a-z].)(?=[\x09-\x0D\x20]|\Z)")
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MOVED = [b for b in range(256) if b not in _PLAIN]
 #: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256.
@@ -77,7 +79,7 @@ def word_encoder(path: str) -> Callable[[str | bytes], np.ndarray]:
             memory.clear()
         data = text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")
         # The vocabulary is lower case; only the names of its special tokens tell cases apart.
-        words = data.split() if b"<|" in data else data.lower().split()
+        words = data.split() if b"<|" in data else _LAST_MARK.sub(rb" \g<0>", data.lower()).split()
         return np.frombuffer(b"".join(map(memory.__getitem__, words)), "<u4")
 
     return encode

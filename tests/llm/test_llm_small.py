@@ -876,3 +876,18 @@ def test_pipeline_stages_chain(spark, tmp_path):
     want = {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.packed(docs).collect()}
     assert {(r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "benchmark_leaks", "personal_data", "packing"]
+
+
+def test_last_mark_is_a_word_of_its_own():
+    """A mark behind a letter is not remembered with each word; ids stay those of the tokenizers library."""
+    from tokenizers import Tokenizer
+
+    from roomtable.llm import subwords
+
+    path = subwords.vocabulary_path()
+    encode, plain = subwords.word_encoder.__wrapped__(path), Tokenizer.from_file(path)
+    memory = encode.__closure__[0].cell_contents
+    texts = ["Stone, floor: wood; oak.", "it's, l'été, (so), 3d, x). a.b, a,b <|endoftext|>, e\u0301, n.\n\nz!", ",", "a,", "\u00e9, a?\tb. c.\u00a0d, 'll, ''s. A<, b<."]
+    for text in texts:
+        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert b"stone" in memory and b"stone," not in memory and b"oak." not in memory
