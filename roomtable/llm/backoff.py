@@ -10,12 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roomtable.llm.shared import ensure_checkpoint_dir, whole_text, words_of
+from roomtable.llm.shared import ensure_checkpoint_dir, whole_text
+from roomtable.llm.wordkeys import Words, grouped, pieces
 
 #: Characters of text whose automaton one task builds; more for one text that is longer.
 BUCKET_CHARS = 16_000_000
@@ -24,29 +24,20 @@ HELD_FOLD = 1
 #: Keys of the two marks that are no word: the end of a text, and the place before it.
 END, START = 1, 2
 _TURN = np.uint64(0x9E3779B97F4A7C15)
-_REMEMBERED = 150_000
 _FLUSH = 6_000_000
 _ROWS = 100_000
 #: Counts that are bundled at a time.
 _BUNDLED = 1_000_000
-_memory: dict[bytes, int] = {}
-
-
-def word_keys(text: str) -> np.ndarray:
-    """Keys of the tokens: XXH64 of each word, A-Z lower-cased, made odd, then END."""
-    words = words_of(text)
-    words = b" ".join(words).lower().split() if words else words
-    if len(_memory) > _REMEMBERED:
-        _memory.clear()
-    get, digest = _memory.get, xxhash.xxh64_intdigest
-    keys = np.empty(len(words) + 1, np.uint64)
-    for i, word in enumerate(words):
-        key = get(word)
-        if key is None:
-            key = _memory[word] = digest(word) | 1
-        keys[i] = key
-    keys[-1] = END
-    return keys
+
+
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of tokens of each text): a key of each word, A-Z lower-cased, made odd, and END after each text."""
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for some in pieces(texts):
+        words = Words(some)
+        keys.append(np.insert(words.keys() | np.uint64(1), words.bounds[1:], np.uint64(END)))
+        sizes.append(np.diff(words.bounds) + 1)
+    return np.concatenate(keys), np.concatenate(sizes)
 
 
 def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -56,16 +47,26 @@ def pair_keys(before: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def previous(keys: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([START], np.uint64), keys[:-1]])
+    """The token before each one; behind an END a text starts."""
+    before = np.empty_like(keys)
+    before[:1], before[1:] = START, keys[:-1]
+    before[before == END] = START
+    return before
+
 
+def _marked(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Keys whose last bit, which all of a kind share, tells the known (training) rows."""
+    return (keys & ~np.uint64(1)) | known
 
-def _tally(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and how often each occurs among the known (training) rows."""
-    distinct = np.unique(keys)
-    trained, counts = np.unique(keys[known], return_counts=True)
-    own = np.zeros(len(distinct), np.int64)
-    own[np.searchsorted(distinct, trained)] = counts
-    return distinct, own
+
+def _tally(marked: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, with their last bit again, and how often each occurs among the known rows; sorts in place."""
+    marked.sort()
+    fresh = np.ones(len(marked), bool)
+    fresh[1:] = (marked[1:] ^ marked[:-1]) > np.uint64(1)
+    starts = np.flatnonzero(fresh)
+    own = np.add.reduceat((marked & np.uint64(1)).view(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
+    return (marked[starts] & ~np.uint64(1)) | np.uint64(last), own
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,11 +79,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         while held:
-            bucket, texts = held.popitem()
-            key = np.concatenate([k for k, _ in texts])
-            before = np.concatenate([previous(k) for k, _ in texts])
-            train = np.repeat([t for _, t in texts], [len(k) for k, _ in texts])
-            for keys, own in (_tally(key, train), _tally(pair_keys(before, key), train)):
+            bucket, parts = held.popitem()
+            for last in (1, 0):
+                keys, own = _tally(np.concatenate([p[1 - last] for p in parts]), last)
                 for k in range(0, len(keys), _ROWS):
                     part, n = keys[k : k + _ROWS].view(np.int64), min(_ROWS, len(keys) - k)
                     yield pa.RecordBatch.from_pydict(
@@ -91,11 +90,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     waiting = 0
     for batch in batches:
-        rows = zip(batch.column("bucket").to_pylist(), batch.column("held_out").to_pylist(), batch.column("text"), strict=True)
-        for bucket, out, text in rows:
-            keys = word_keys(text.as_py())
-            held.setdefault(bucket, []).append((keys, not out))
-            waiting += len(keys)
+        bucket = batch.column("bucket").to_numpy()
+        order = np.argsort(bucket, kind="stable")
+        texts = batch.column("text").take(pa.array(order)).to_pylist()
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)[order]
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], len(texts)], strict=True):
+            key, sizes = token_keys(texts[a:b])
+            known = np.repeat(train[a:b], sizes)
+            held.setdefault(int(bucket[order[a]]), []).append((_marked(key, known), _marked(pair_keys(previous(key), key), known)))
+            waiting += len(key)
             if waiting > _FLUSH:
                 yield from flush()
                 waiting = 0
@@ -190,25 +194,23 @@ class Automaton:
         # A word is a context each time it occurs; an end never is, a start once in each text.
         self.uses = np.where(words == START, scale.texts, np.where(words == END, 0, count)).astype(np.float64)
         self.fail = np.log10(scale.strength / (self.uses + scale.strength))
-        self.arcs, self.arc_count = arcs[arc_count > 0], arc_count[arc_count > 0]
+        self.arcs, self.arc_count = arcs, arc_count
 
-    def walk(self, keys: np.ndarray) -> tuple[float, float, int]:
-        """(base score, score, known tokens) of one text: one pass from left to right.
+    def walk(self, at: np.ndarray, state: np.ndarray, arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unigram weight, weight) of each token of some texts, from left to right.
 
         The state is the token before, START at first. Where it has an arc for the next
-        token the arc's weight is added, else the failure arc's and then the empty
-        state's arc. All states of a pass are known from the tokens, so the pass looks
-        its arcs up together and adds the weights in order.
+        token the arc's weight is taken, else the failure arc's and then the empty
+        state's arc. All states of a pass are known from the tokens (places `at` and
+        `state` among the words, `arc` among the pairs), so the arcs of all are taken
+        together.
         """
-        at = np.searchsorted(self.words, keys)
-        state = np.searchsorted(self.words, previous(keys))
-        pairs = pair_keys(previous(keys), keys)
-        arc = np.minimum(np.searchsorted(self.arcs, pairs), max(len(self.arcs) - 1, 0))
-        found = self.arcs[arc] == pairs if len(self.arcs) else np.zeros(len(keys), bool)
         single = self.single[at]
         weight = self.fail[state] + single
-        weight[found] = np.log10(self.arc_count[arc[found]] / (self.uses[state[found]] + self.scale.strength) + 10.0 ** weight[found])
-        return float(np.cumsum(single)[-1]), float(np.cumsum(weight)[-1]), int((self.count[at] > 0).sum())
+        count = self.arc_count[arc]
+        found = np.flatnonzero(count)
+        weight[found] = np.log10(count[found] / (self.uses[state[found]] + self.scale.strength) + 10.0 ** weight[found])
+        return single, weight
 
 
 def _amended(keys: np.ndarray, own: np.ndarray, news: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -228,23 +230,34 @@ def _news(model: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def _scores(scale: Scale):
     def score(docs: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        keys = [word_keys(t) for t in docs["text"]]
-        sizes = [len(k) for k in keys]
+        key, sizes = token_keys(docs["text"].tolist())
+        ends = np.cumsum(sizes)
         train = np.repeat(~docs["held_out"].to_numpy(bool), sizes)
-        key, before = np.concatenate(keys), np.concatenate([previous(k) for k in keys])
         word_news, pair_news = _news(model)
-        words, own = _tally(key, train)
-        count = _amended(words, own, word_news)
-        arcs, own = _tally(pair_keys(before, key), train)
-        arc_count = _amended(arcs, own, pair_news)
-        at = int(np.searchsorted(words, START))
-        words, count = np.insert(words, at, np.uint64(START)), np.insert(count, at, 0)
+        pairs = pair_keys(previous(key), key)
+        place, arc = grouped(pairs)
+        arcs = pairs[place]
+        del pairs
+        arc_count = _amended(arcs, np.bincount(arc[train], minlength=len(arcs)), pair_news)
+        place, at = grouped(key)
+        words = key[place]
+        count = _amended(words, np.bincount(at[train], minlength=len(words)), word_news)
+        start = int(np.searchsorted(words, START))
+        words, count = np.insert(words, start, np.uint64(START)), np.insert(count, start, 0)
+        at += at >= start
+        state = np.empty_like(at)
+        state[1:] = at[:-1]
+        state[ends - sizes] = start
         automaton = Automaton(words, count, arcs, arc_count, scale)
-        rows = []
-        for doc_id, held, own_keys in zip(docs["doc_id"], docs["held_out"], keys, strict=True):
-            base, whole, known = automaton.walk(own_keys)
-            rows.append((doc_id, bool(held), len(own_keys), known, scale.tokens, base, whole))
-        made = pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        single, weight = automaton.walk(at, state, arc)
+        known = np.add.reduceat((count[at] > 0).astype(np.int64), ends - sizes)
+        bounds = list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+        made = pd.DataFrame({
+            "doc_id": docs["doc_id"].to_numpy(), "held_out": docs["held_out"].to_numpy(bool), "n_tokens": sizes, "n_known": known,
+            "train_tokens": np.full(len(sizes), scale.tokens, np.int64),
+            "base_score": [float(np.cumsum(single[a:b])[-1]) for a, b in bounds],
+            "score": [float(np.cumsum(weight[a:b])[-1]) for a, b in bounds],
+        })
         return made.astype({"doc_id": "Int64"})
 
     return score
@@ -276,7 +289,7 @@ def language_scores(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> DataFr
     ).first()
     parts = max(1, math.ceil((size["chars"] or 0) / bucket_chars))
     part = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(parts))
-    rows = plain.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("split", part), F.lit(2**31 - 1)).cast("int").alias("bucket"))
+    rows = plain.select("doc_id", F.col("text").cast("binary").alias("text"), "held_out", F.pmod(F.xxhash64("split", part), F.lit(2**31 - 1)).cast("int").alias("bucket"))
 
     by_key = Window.partitionBy("key")
     known = rows.select("text", "held_out", "bucket").mapInArrow(_counts, "key long, bucket int, own int")
