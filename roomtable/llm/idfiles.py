@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from roomtable.llm import idcoder
 from roomtable.llm.shared import ensure_checkpoint_dir, whole_text
-from roomtable.llm.subwords import vocabulary_path, word_encoder
+from roomtable.llm.subwords import texts_encoder, vocabulary_path
 
 END_ID = 1
 #: Blocks that are coded side by side.
@@ -60,7 +60,7 @@ def _coded(shard: int, first: int, block: int, ordinal: int, ids: np.ndarray, do
 
 def _writer(path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = word_encoder(path), TaskContext.get().partitionId()
+        encode, shard = texts_encoder(path), TaskContext.get().partitionId()
         first, block, ordinal, wanted = 0, 0, 0, LANES * idcoder.BLOCK
         end = np.array([end_id], "<u4")
         ids, docs, sizes, held = [], [], [], 0
@@ -85,8 +85,7 @@ def _writer(path: str, end_id: int):
             return made
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                own = encode(text.as_py())
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
                 ids += own, end
                 docs.append(doc_id)
                 sizes.append(len(own) + 1)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Bytes of text that are cut into words together.
-PIECE = 4_000_000
+PIECE = 1_000_000
 #: Words of more bytes get their key one by one.
 LONGEST = 512
 _U = np.uint64
@@ -23,9 +23,9 @@ class Words:
     """The words of some texts side by side, A-Z lower-cased: bytes `starts` to `ends` of `data`."""
 
     def __init__(self, texts: list[bytes]):
-        self.text = b"\n".join([*texts, b" " * 8]).lower()
+        self.text = b"\n".join([*texts, b" " * 16]).lower()
         self.data = np.frombuffer(self.text, np.uint8)
-        # Eight bytes from each place on; words are followed by eight blanks at least.
+        # Eight bytes from each place on; words are followed by sixteen blanks at least.
         self.eights = np.ndarray((len(self.data) - 7,), "<u8", self.text, strides=(1,))
         blank = np.concatenate([[True], _BLANK[self.data]])
         edges = np.flatnonzero(blank[1:] != blank[:-1])
@@ -37,20 +37,28 @@ class Words:
         """The next eight bytes of words with `left` bytes to come, zero beyond their ends."""
         return self.eights[starts] & _MASKS[np.minimum(left, 8)]
 
+    def part(self, last: np.ndarray) -> None:
+        """Make the last byte of the words at these places a word of its own."""
+        cut = self.ends[last] - 1
+        self.bounds = self.bounds + np.searchsorted(last, self.bounds)
+        self.ends = self.ends.copy()
+        self.ends[last] = cut
+        self.starts, self.ends = np.insert(self.starts, last + 1, cut), np.insert(self.ends, last + 1, cut + 1)
+
     def keys(self) -> np.ndarray:
         """A key for each word; words of one length up to eight bytes never share one."""
         size = self.ends - self.starts
-        key = _mixed(self.eight(self.starts, size) ^ (size.astype(np.uint64) * _SEED))
+        key = mixed(self.eight(self.starts, size) ^ (size.astype(np.uint64) * _SEED))
         for k in range(8, min(int(size.max(initial=0)), LONGEST), 8):
             going = np.flatnonzero(size > k) if k == 8 else going[size[going] > k]
-            key[going] = _mixed(key[going] ^ self.eight(self.starts[going] + k, size[going] - k))
+            key[going] = mixed(key[going] ^ self.eight(self.starts[going] + k, size[going] - k))
         for i in np.flatnonzero(size > LONGEST).tolist():
             key[i] = xxhash.xxh64_intdigest(self.text[self.starts[i] : self.ends[i]])
         return key
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A one-to-one scramble of 64 bits."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64 bits, in place."""
     x ^= x >> _U(33)
     x *= _FIRST
     x ^= x >> _U(33)

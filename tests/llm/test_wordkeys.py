@@ -55,3 +55,43 @@ def test_keys_of_many_different_words_cost_less_than_one_hash_each():
     assert len(np.unique(Words([text]).keys())) == 400_000
     one_by_one = min(seconds(lambda: [xxhash.xxh64_intdigest(w) | 1 for w in text.split()]) for _ in range(3))
     assert min(seconds(lambda: backoff.token_keys([text])) for _ in range(3)) < one_by_one
+
+
+def test_many_texts_are_encoded_as_the_library_does(monkeypatch):
+    """Words met before are not asked for one by one, and words may crowd out others, there and in the memory."""
+    from tokenizers import Tokenizer
+
+    from roomtable.llm import subwords
+
+    path = subwords.vocabulary_path()
+    plain = Tokenizer.from_file(path)
+    asked = collections.Counter()
+
+    class Asked(subwords._Memory):
+        def __getitem__(self, word):
+            asked[word] += 1
+            return super().__getitem__(word)
+
+    rng = random.Random(23)
+    marks = ["Stone, floor: wood; oak.", "it's, l'été, (so), x). a.b, a,b <|endoftext|>, é, n.\n\nz!", ",", "a,", "é, a?\tb.", "a", "a\x00", "ẞİ."]
+    texts = ODD + marks + ["".join(rng.choice([*"ab.,A é\n", "word, ", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    memory = Asked(path)
+    monkeypatch.setattr(subwords, "_memory", lambda path: memory)
+    encode = subwords.texts_encoder.__wrapped__(path)
+    assert [x.tolist() for x in encode([t.encode() for t in texts])] == want
+    asked.clear()
+    assert len(list(encode([b"stone stone oak, stone"] * 1000))) == 1000
+    asked.clear()
+    assert len(list(encode([b"stone stone oak, stone"] * 1000))) == 1000
+    assert not asked
+    monkeypatch.setattr(subwords, "REMEMBERED", 40)
+    monkeypatch.setattr("roomtable.llm.wordkeys.PIECE", 300)
+    many = [t.encode() for t in texts] + [f"stone plank{k} " .encode() * 9 for k in range(200)]
+    assert [x.tolist() for x in encode(many)][: len(want)] == want
+    assert len(memory) + len(memory.older) < 600 and b"plank1" not in {**memory, **memory.older}
+    for bits in (1, 4):
+        monkeypatch.setattr(subwords, "SLOT_BITS", bits)
+        crowded = subwords.texts_encoder.__wrapped__(path)
+        for _ in range(2):
+            assert [x.tolist() for x in crowded([t.encode() for t in texts])] == want
