@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from roomtable.llm.semicrf import KINDS, Field, fit, regions
+from roomtable.llm.semicrf import Field, fit, regions, signed
+from roomtable.llm.spanarrays import KINDS
 from roomtable.llm.shared import hashed_sample, whole_text
 
 #: Texts whose pattern matches the field is fitted on, and regions taken from them, at most.
 SAMPLE_TEXTS = 600
 SAMPLE_REGIONS = 600
+#: Characters of the texts that are searched together; a longer text is searched alone.
+CHARACTERS = 200_000
 
 _EMAIL_LEFT = re.compile(r"[A-Za-z0-9._%+-]+")
 _EMAIL_RIGHT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_IP = re.compile(r"[0-9]+(\.[0-9]+\.[0-9]+\.[0-9]+)?")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -56,8 +60,12 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 def base_spans(text: str) -> list[Span]:
     """Matches of the four fixed patterns, leftmost and not overlapping within a kind."""
+    if not signed(text):
+        return []
     found = [("email", *s) for s in _emails(text)]
     for m in _IP.finditer(text):
+        if not m[1]:
+            continue
         parts = [x.lstrip("0") for x in m[0].split(".")]
         if all(len(x) <= 3 and int(x or 0) <= 255 for x in parts):
             found.append(("ip", *m.span()))
@@ -76,18 +84,23 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (order[x[0]], x[1], x[2])))
 
 
+def spans_of(texts: list[str], field: Field) -> Iterator[tuple[list[Span], list[Span]]]:
+    """For each text the base spans, and with them those of the field that overlap no base span."""
+    some, size = [], 0
+    for text in itertools.chain(texts, [None]):
+        if text is None or size + len(text) > CHARACTERS and some:
+            bases = [base_spans(x) for x in some]
+            for base, more in zip(bases, field.spans(some, [[(s, e) for _, s, e in x] for x in bases]), strict=True):
+                yield base, [*base, *more]
+            some, size = [], 0
+        if text is not None:
+            some.append(text)
+            size += len(text)
+
+
 def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
-    """Base spans, and with them those of the field that overlap no base span."""
-    base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    starts, ends = [s for s, _ in taken], np.maximum.accumulate([e for _, e in taken]) if taken else []
-    more = []
-    for region in regions(text):
-        for kind, start, end in field.spans(text, region):
-            before = np.searchsorted(starts, end, "left") if taken else 0
-            if not before or ends[before - 1] <= start:
-                more.append((kind, start, end))
-    return base, [*base, *more]
+    """`spans_of` a single text."""
+    return next(spans_of([text], field))
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -106,9 +119,12 @@ def _examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch["text"]:
             base = base_spans(text)
+            places = sorted((s, i) for i, (_, s, _) in enumerate(base))
             for start, end in regions(text) if base else ():
-                inside = [f"{k}:{s - start}:{e - start}" for k, s, e in base if start <= s and e <= end]
-                if inside and end - start <= 400:
+                if end - start > 400:
+                    continue
+                held = sorted(i for _, i in places[bisect_left(places, (start, 0)) : bisect_left(places, (end, 0))])
+                if inside := [f"{k}:{s - start}:{e - start}" for k, s, e in map(base.__getitem__, held) if e <= end]:
                     rows.append((text[start:end], ",".join(inside)))
         yield pd.DataFrame(rows, columns=["piece", "spans"])
 
@@ -137,8 +153,7 @@ def spans_column(docs: DataFrame, field: Field, clean: bool = False):
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text in batch:
-                base, every = all_spans(text, shared.value)
+            for text, (base, every) in zip(batch, spans_of(batch, shared.value), strict=True):
                 counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 digest = hashlib.sha256(joined(base).encode()).hexdigest()
                 rows.append((*counts, digest, joined(every), masked(text, every) if clean else None))

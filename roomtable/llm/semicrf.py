@@ -5,60 +5,58 @@ before it. It is cut to tokens; a segmentation covers the tokens with single out
 tokens (score 0) and entity segments of at most MAX_TOKENS tokens. A segment of a kind
 scores the dot product of the kind's weights and the features of the whole span, so
 boundaries and types are chosen together by dynamic programming. Text outside regions
-can hold no segment, so leaving it out changes nothing.
+can hold no segment, so leaving it out changes nothing. Tokens that no segment covers
+part a region into stretches which are decided apart from each other.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
-MAX_TOKENS = 21
+from roomtable.llm.spanarrays import BETWEEN, KINDS, MAX_TOKENS, NAMES, Candidates, candidates
+
 #: Posterior that a segment needs before it is reported.
 CERTAIN = 0.9
+#: A segment of a lower score has a smaller posterior: without it, the others keep their scores.
+_LEAST = math.log(CERTAIN / (1 - CERTAIN)) - 1e-9
 _STEPS = 120
 _DECAY = 0.0003
+_HALF = 11  # features whose weights are summed up in the lower table
+_LARGE = 1e150
 
-_REGION = re.compile(
-    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*)*"
-)
+_SIGN = re.compile(r"[0-9@]")
+_REST = re.compile(r"[0-9@][^\x20\x09-\x0D]*(?:\x20[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*)*")
+_BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
+_AT = re.compile(r"[\[(](?:at|AT)[\])]")
 _AT_WORD = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9._-]+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]+)*")
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^A-Za-z0-9\s]")
-_CUE = re.compile(r"([A-Za-z]{2,12})[.:]{0,2}\x20?$")
-_CUES = {
-    "email": {"email", "mail", "contact"},
-    "ip": {"ip", "host", "server", "address"},
-    "card": {"card", "visa", "credit"},
-    "phone": {"phone", "tel", "call", "mobile", "fax"},
-}
-_MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_MAIL_SPOKEN = re.compile(r"[A-Za-z0-9._-]+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+|\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]+)+")
-_QUAD = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_CARD = re.compile(r"[0-9]+(?:[ -]?[0-9]+)*")
-_FOURS = re.compile(r"[0-9]{4}(?:[ .-][0-9]{4}){3}")
-_PHONE = re.compile(r"\+?[0-9(][ ().0-9-]*[0-9]")
-_AREA = re.compile(r"\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}")
-#: Names of the features of a span, in the order of `features`.
-NAMES = (
-    "any", "mail", "mail spoken", "quad", "quad in range", "digit groups", "checksum", "fours", "phone shape", "plus", "area",
-    "7 digits or fewer", "8 to 15", "16 to 19", "more digits", "no digit", "letters", "own cue", "other cue", "cut left", "cut right",
-)
 
 Piece = tuple[int, int]
 Span = tuple[str, int, int]
 
 
+def signed(text: str) -> bool:
+    """The text holds a digit or an '@'."""
+    return _SIGN.search(text) is not None
+
+
 def regions(text: str) -> Iterator[Piece]:
     """Stretches of the text that can hold an entity, in order and apart from each other."""
-    found = [m.span() for m in _REGION.finditer(text)] if re.search("[0-9@]", text) else []
-    if "at" in text or "AT" in text:
-        found += [m.span() for m in _AT_WORD.finditer(text)] if "(at" in text.lower() or "[at" in text.lower() else []
+    found, done = [], 0
+    for m in _REST.finditer(text):
+        start, end = m.span()
+        found.append((max(done, *(text.rfind(x, done, start) + 1 for x in _BLANKS)), end))
+        done = end
+    if ("(" in text or "[" in text) and _AT.search(text):
+        found += [m.span() for m in _AT_WORD.finditer(text)]
         found.sort()
     end = 0
     for k, (start, stop) in enumerate(found):
@@ -71,85 +69,76 @@ def regions(text: str) -> Iterator[Piece]:
         yield start, end
 
 
-def _checksum(digits: str) -> bool:
-    doubled = (int(d) * 2 for d in digits[-2::-2])
-    return (sum(map(int, digits[-1::-2])) + sum(d - 9 * (d > 9) for d in doubled)) % 10 == 0
+def _joined(texts: list[str], pieces: list[list[Piece]]) -> tuple[str, list[int], Candidates]:
+    """The joined texts, where each one starts, and the candidates of their pieces."""
+    offsets = [0, *itertools.accumulate(len(x) + len(BETWEEN) for x in texts)]
+    spread = [(at + s, at + e, at) for at, some in zip(offsets, pieces, strict=False) for s, e in some]
+    table = np.array(spread, np.int64).reshape(-1, 3)
+    whole = BETWEEN.join(texts)
+    return whole, offsets, candidates(whole, table[:, :2], table[:, 2])
 
 
-def features(kind: str, text: str, start: int, end: int, cue: str) -> list[int]:
-    """Places in NAMES of the features that hold for the span."""
-    span = text[start:end]
-    digits = "".join(filter(str.isascii, filter(str.isdigit, span)))
-    n = len(digits)
-    quad = bool(_QUAD.fullmatch(span))
-    groups = bool(_CARD.fullmatch(span))
-    left, right = text[start - 1 : start], text[end : end + 1]
-    after = text[end + 1 : end + 2]
-    holds = (
-        True,
-        bool(_MAIL.fullmatch(span)),
-        bool(_MAIL_SPOKEN.fullmatch(span)),
-        quad,
-        quad and all(int(x) <= 255 for x in span.split(".")),
-        groups,
-        groups and 16 <= n <= 19 and _checksum(digits),
-        bool(_FOURS.fullmatch(span)),
-        bool(_PHONE.fullmatch(span)),
-        span[0] == "+",
-        bool(_AREA.search(span)),
-        0 < n <= 7,
-        8 <= n <= 15,
-        16 <= n <= 19,
-        n > 19,
-        n == 0,
-        any(map(str.isalpha, span)),
-        cue in _CUES[kind],
-        any(cue in words for other, words in _CUES.items() if other != kind),
-        left.isalnum() or left in set("+@._%-") - {""} or text[max(0, start - 2) : start].rstrip("-. ")[-1:].isdigit(),
-        right.isalnum() or right == "@" or (right in set(".- ") - {""} and after.isdigit()),
-    )
-    return [i for i, true in enumerate(holds) if true]
-
-
-def _tokens(text: str, region: Piece) -> list[Piece]:
-    return [m.span() for m in _TOKEN.finditer(text, *region)]
-
-
-def _cue(text: str, region: Piece) -> str:
-    """The word before the region, or its first word."""
-    before = _CUE.search(text[max(0, region[0] - 16) : region[0]])
-    return before[1].lower() if before else ""
-
-
-def candidates(text: str, tokens: list[Piece]) -> Iterator[tuple[int, int, str]]:
-    """(first token, token after the last, kind) of the segments worth a score.
-
-    Those that miss a kind's bare minimum (an '@' or "at" in a mail, three dots in an
-    address, digits only in a card) could never score above an outside token.
+def _stretches(found: Candidates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each candidate the number of its stretch, for each stretch its first token and how many it has.
+
+    Two stretches part where no candidate has a token on either side.
     """
-    for i, (start, _) in enumerate(tokens):
-        head = text[start]
-        if not (head.isascii() and (head.isalnum() or head in "+(")):
-            continue
-        mail = head.isalnum()
-        numeric = True
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            piece = text[tokens[j][0] : tokens[j][1]]
-            numeric &= piece[0] in "0123456789+(). -"
-            tail = piece[-1]
-            if not (tail.isascii() and tail.isalnum()) or j == i and not tail.isdigit():
-                continue
-            span = text[start : tokens[j][1]]
-            if mail and ("@" in span or "at" in span.lower()) and "." in span + "." * ("dot" in span.lower()):
-                yield i, j + 1, "email"
-            if numeric and tail.isdigit():
-                digits = sum(map(str.isdigit, span))
-                if span.count(".") == 3 and head.isdigit() and digits <= 12:
-                    yield i, j + 1, "ip"
-                if digits >= 12 and head.isdigit():
-                    yield i, j + 1, "card"
-                if 7 <= digits <= 16:
-                    yield i, j + 1, "phone"
+    n = len(found.begin)
+    across = np.cumsum(np.bincount(found.first + 1, minlength=n + 1)[: n + 1] - np.bincount(found.stop, minlength=n + 1)[: n + 1])
+    starts = np.flatnonzero(across[:n] == 0)
+    number = np.searchsorted(starts, found.first, "right") - 1
+    return number, starts, np.diff(np.append(starts, n))
+
+
+def _sure(size: int, firsts: list[int], stops: list[int], scores: list[float], free: list[bool]) -> list[int]:
+    """Free candidates of the best segmentation with a posterior of CERTAIN; candidates of `size` tokens, by their stop."""
+    n = len(firsts)
+    best, choice = [0.0] * (size + 1), [-1] * (size + 1)
+    c = 0
+    for j in range(1, size + 1):
+        top, pick = best[j - 1], -1
+        while c < n and stops[c] == j:
+            if (value := best[firsts[c]] + scores[c]) > top:
+                top, pick = value, c
+            c += 1
+        best[j], choice[j] = top, pick
+    chosen, j = [], size
+    while j:
+        c = choice[j]
+        if c >= 0 and free[c]:
+            chosen.append(c)
+        j = firsts[c] if c >= 0 else j - 1
+    if not chosen:
+        return []
+    # ahead: sums over segmentations of the first tokens, the last MAX_TOKENS of them to one scale;
+    # share, stay: of the segmentations up to a token, those that end with the candidate or outside
+    ahead, stay, share = [1.0] * (size + 1), [1.0] * (size + 1), [0.0] * n
+    c = 0
+    for j in range(1, size + 1):
+        total, begun = ahead[j - 1], c
+        while c < n and stops[c] == j:
+            share[c] = ahead[firsts[c]] * math.exp(scores[c])
+            total += share[c]
+            c += 1
+        stay[j] = ahead[j - 1] / total
+        for k in range(begun, c):
+            share[k] /= total
+        ahead[j] = total
+        if total > _LARGE:
+            for k in range(max(0, j - MAX_TOKENS), j + 1):
+                ahead[k] /= _LARGE
+    visit, wanted, found = [0.0] * size + [1.0], set(chosen), []
+    c = n - 1
+    for j in range(size, 0, -1):
+        here = visit[j]
+        visit[j - 1] += here * stay[j]
+        while c >= 0 and stops[c] == j:
+            part = here * share[c]
+            visit[firsts[c]] += part
+            if part >= CERTAIN and c in wanted:
+                found.append(c)
+            c -= 1
+    return found[::-1]
 
 
 @dataclass
@@ -158,56 +147,117 @@ class Field:
 
     weights: np.ndarray
 
+    @functools.cached_property
+    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """By kind, the sums of the weights of each set of the lower and of the upper features."""
+        tables = []
+        for part in (self.weights[:, :_HALF], self.weights[:, _HALF:]):
+            sets = np.arange(1 << part.shape[1])[:, None] >> np.arange(part.shape[1]) & 1
+            tables.append(part @ sets.T)
+        return tables[0], tables[1]
+
+    def _scores(self, found: Candidates) -> np.ndarray:
+        low, high = self._sums
+        return low[found.kind, found.code & (1 << _HALF) - 1] + high[found.kind, found.code >> _HALF]
+
     def _scored(self, text: str, region: Piece):
-        tokens, cue = _tokens(text, region), _cue(text, region)
-        made = [(i, j, k, features(k, text, tokens[i][0], tokens[j - 1][1], cue)) for i, j, k in candidates(text, tokens)]
-        return tokens, made, [float(self.weights[KINDS.index(k), f].sum()) for _, _, k, f in made]
+        """Tokens of a region, its candidates (first token, token after the last, kind, features) and their scores."""
+        found = candidates(text, np.array([region], np.int64), np.zeros(1, np.int64))
+        tokens = list(zip(found.begin.tolist(), found.end.tolist(), strict=True))
+        made = [(i, j, KINDS[k], [f for f in range(len(NAMES)) if x >> f & 1]) for i, j, k, x in zip(*(a.tolist() for a in (found.first, found.stop, found.kind, found.code)), strict=True)]
+        return tokens, made, self._scores(found).tolist()
 
     def posteriors(self, tokens: list[Piece], made: list, scores: list[float]) -> tuple[list[float], float]:
         """Posterior of each candidate segment and the log of the sum over segmentations."""
-        n = len(tokens)
-        ending: list[list[int]] = [[] for _ in range(n + 1)]
-        starting: list[list[int]] = [[] for _ in range(n + 1)]
-        for c, (i, j, *_) in enumerate(made):
-            ending[j].append(c)
-            starting[i].append(c)
-        ahead, behind = [0.0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            terms = [ahead[j - 1]] + [ahead[made[c][0]] + scores[c] for c in ending[j]]
-            top = max(terms)
-            ahead[j] = top + math.log(sum(math.exp(x - top) for x in terms)) if len(terms) > 1 else top
-        for i in range(n - 1, -1, -1):
-            terms = [behind[i + 1]] + [behind[made[c][1]] + scores[c] for c in starting[i]]
-            top = max(terms)
-            behind[i] = top + math.log(sum(math.exp(x - top) for x in terms)) if len(terms) > 1 else top
-        total = ahead[n]
-        return [math.exp(min(0.0, ahead[i] + s + behind[j] - total)) for (i, j, *_), s in zip(made, scores, strict=True)], total
-
-    def spans(self, text: str, region: Piece) -> list[Span]:
-        """Segments of the best segmentation whose posterior is at least CERTAIN."""
-        tokens, made, scores = self._scored(text, region)
-        if not made:
-            return []
-        n = len(tokens)
-        best, choice = [0.0] * (n + 1), [-1] * (n + 1)
-        ending: list[list[int]] = [[] for _ in range(n + 1)]
-        for c, (_, j, *_) in enumerate(made):
-            ending[j].append(c)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for c in ending[j]:
-                if (value := best[made[c][0]] + scores[c]) > best[j]:
-                    best[j], choice[j] = value, c
-        chosen, j = [], n
-        while j:
-            c = choice[j]
-            if c >= 0:
-                chosen.append(c)
-            j = made[c][0] if c >= 0 else j - 1
-        if not chosen:
-            return []
-        sure, _ = self.posteriors(tokens, made, scores)
-        return [(made[c][2], tokens[made[c][0]][0], tokens[made[c][1] - 1][1]) for c in reversed(chosen) if sure[c] >= CERTAIN]
+        chart = _Chart(np.array([x[0] for x in made], np.int64), np.array([x[1] for x in made], np.int64), np.zeros(len(made), np.int64), np.array([len(tokens)]))
+        sure, total = chart.posteriors(np.array(scores, float))
+        return sure.tolist(), float(total.sum())
+
+    def spans(self, texts: list[str], taken: list[list[Piece]]) -> list[list[Span]]:
+        """For each text, segments of the best segmentation whose posterior is at least CERTAIN and that overlap none of `taken`."""
+        out: list[list[Span]] = [[] for _ in texts]
+        pieces = [list(regions(x)) for x in texts]
+        rows = [k for k, x in enumerate(pieces) if x]
+        if not rows:
+            return out
+        _, offsets, found = _joined([texts[k] for k in rows], [pieces[k] for k in rows])
+        scores = self._scores(found)
+        strong = np.flatnonzero(scores >= _LEAST)
+        begin, end = found.begin[found.first[strong]], found.end[found.stop[strong] - 1]
+        if apart := sorted((at + s, at + e) for at, k in zip(offsets, rows, strict=False) for s, e in taken[k]):
+            before = np.searchsorted([s for s, _ in apart], end, "left")
+            ends = np.maximum.accumulate([0, *(e for _, e in apart)])
+            strong = strong[ends[before] <= begin]
+        if not len(strong):
+            return out
+        number, starts, sizes = _stretches(found)
+        wanted = np.unique(number[strong])
+        mark = np.zeros(len(starts), bool)
+        mark[wanted] = True
+        use = np.flatnonzero(mark[number])
+        use = use[np.argsort(found.stop[use], kind="stable")]
+        free = np.zeros(len(scores), bool)
+        free[strong] = True
+        bounds = np.searchsorted(number[use], wanted, "left").tolist() + [len(use)]
+        shift = starts[number[use]]
+        firsts, stops = (found.first[use] - shift).tolist(), (found.stop[use] - shift).tolist()
+        values, open_ = scores[use].tolist(), free[use].tolist()
+        for k, size in enumerate(sizes[wanted].tolist()):
+            a, b = bounds[k], bounds[k + 1]
+            for c in _sure(size, firsts[a:b], stops[a:b], values[a:b], open_[a:b]):
+                x = use[a + c]
+                start, end = int(found.begin[found.first[x]]), int(found.end[found.stop[x] - 1])
+                row = bisect_left(offsets, start + 1) - 1
+                out[rows[row]].append((KINDS[found.kind[x]], start - offsets[row], end - offsets[row]))
+        return out
+
+
+class _Chart:
+    """Posteriors of the candidates of many stretches, all stretches a token at a time."""
+
+    def __init__(self, first: np.ndarray, stop: np.ndarray, number: np.ndarray, sizes: np.ndarray):
+        """By candidate its tokens, counted from its stretch's first, and its stretch; by stretch its number of tokens."""
+        order = np.argsort(-sizes, kind="stable")
+        rank = np.empty(len(sizes), np.int64)
+        rank[order] = np.arange(len(sizes))
+        self.sizes = sizes[order]
+        self.base = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.by = np.argsort(stop, kind="stable")
+        self.rank = rank[number[self.by]]
+        self.source, self.target = self.base[self.rank] + first[self.by], self.base[self.rank] + stop[self.by]
+        levels = np.arange(int(sizes.max(initial=0)) + 2)
+        self.bounds = np.searchsorted(stop[self.by], levels).tolist()
+        self.active = (len(sizes) - np.searchsorted(self.sizes[::-1], levels)).tolist()
+
+    def posteriors(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior of each candidate, and by stretch the log of the sum over its segmentations."""
+        scores = scores[self.by]
+        ahead = np.zeros(int((self.sizes + 1).sum()))
+        top = len(self.active) - 2
+        for j in range(1, top + 1):
+            n, some = self.active[j], slice(self.bounds[j], self.bounds[j + 1])
+            at = self.base[:n] + j
+            outside = ahead[at - 1]
+            parts = np.exp(ahead[self.source[some]] + scores[some] - outside[self.rank[some]])
+            ahead[at] = outside + np.log1p(np.bincount(self.rank[some], parts, n))
+        share = np.exp(ahead[self.source] + scores - ahead[self.target])
+        visit, sure = np.zeros(len(ahead)), np.zeros(len(scores))
+        visit[self.base + self.sizes] = 1
+        for j in range(top, 0, -1):
+            n, some = self.active[j], slice(self.bounds[j], self.bounds[j + 1])
+            at = self.base[:n] + j
+            here = visit[at]
+            visit[at - 1] += here * np.exp(ahead[at - 1] - ahead[at])
+            sure[some] = here[self.rank[some]] * share[some]
+            np.add.at(visit, self.source[some], sure[some])
+        out = np.empty(len(scores))
+        out[self.by] = np.minimum(sure, 1.0)
+        return out, ahead[self.base + self.sizes]
+
+
+def _checksum(digits: str) -> bool:
+    doubled = (int(d) * 2 for d in digits[-2::-2])
+    return (sum(map(int, digits[-1::-2])) + sum(d - 9 * (d > 9) for d in doubled)) % 10 == 0
 
 
 def _variants(rng: random.Random) -> list[tuple[str, list[Span]]]:
@@ -252,33 +302,34 @@ def _variants(rng: random.Random) -> list[tuple[str, list[Span]]]:
 def fit(gold: list[tuple[str, list[Span]]], seed: int = 7) -> Field:
     """Weights of the highest regularised likelihood, by adaptive gradient steps.
 
-    A gold segment that is no candidate, or overlaps another one, is left out.
+    A gold segment that is no candidate, or overlaps another one, is left out. Candidates
+    of the same kind and features have one score, so a step adds up their residuals first.
     """
     rng = random.Random(seed)
-    prepared = []
-    field = Field(np.zeros((len(KINDS), len(NAMES))))
-    for text, spans in [*gold, *_variants(rng)]:
-        for region in regions(text):
-            tokens, made, _ = field._scored(text, region)
-            want, free = set(), 0
-            for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
-                for c, (i, j, k, _) in enumerate(made):
-                    if k == kind and i >= free and (tokens[i][0], tokens[j - 1][1]) == (start, end):
-                        want.add(c)
-                        free = j
-            if made:
-                table = np.zeros((len(made), len(KINDS) * len(NAMES)))
-                for c, (_, _, k, holds) in enumerate(made):
-                    table[c, [KINDS.index(k) * len(NAMES) + f for f in holds]] = 1
-                truth = np.zeros(len(made))
-                truth[sorted(want)] = 1
-                prepared.append((tokens, made, table, truth))
-    weights, squares = np.zeros(len(KINDS) * len(NAMES)), np.full(len(KINDS) * len(NAMES), 1e-2)
+    examples = [*gold, *_variants(rng)]
+    _, offsets, found = _joined([text for text, _ in examples], [list(regions(text)) for text, _ in examples])
+    places = zip(found.kind.tolist(), found.begin[found.first].tolist(), found.end[found.stop - 1].tolist(), strict=True)
+    at = {place: c for c, place in enumerate(places)}
+    truth = np.zeros(len(at))
+    for (_, spans), shift in zip(examples, offsets, strict=False):
+        free = 0
+        for kind, start, end in sorted(spans, key=lambda x: (x[1], -x[2])):
+            c = at.get((KINDS.index(kind), shift + start, shift + end))
+            if c is not None and found.first[c] >= free:
+                truth[c] = 1
+                free = found.stop[c]
+    number, starts, sizes = _stretches(found)
+    held, number = np.unique(number, return_inverse=True)
+    chart = _Chart(found.first - starts[held][number], found.stop - starts[held][number], number, sizes[held])
+    many = len(np.unique(found.region[found.first]))
+    shapes, shape = np.unique(found.kind.astype(np.int64) << len(NAMES) | found.code, return_inverse=True)
+    table = np.zeros((len(shapes), len(KINDS), len(NAMES)))
+    table[np.arange(len(shapes)), shapes >> len(NAMES)] = shapes[:, None] >> np.arange(len(NAMES)) & 1
+    table = table.reshape(len(shapes), -1)
+    weights, squares = np.zeros(table.shape[1]), np.full(table.shape[1], 1e-2)
     for _ in range(_STEPS):
-        slope = -_DECAY * len(prepared) * weights
-        for tokens, made, table, truth in prepared:
-            sure, _ = field.posteriors(tokens, made, (table @ weights).tolist())
-            slope += (truth - sure) @ table
+        sure, _ = chart.posteriors((table @ weights)[shape])
+        slope = np.bincount(shape, truth - sure, len(shapes)) @ table - _DECAY * many * weights
         squares += slope**2
         weights += 1.5 * slope / np.sqrt(squares)
     return Field(weights.reshape(len(KINDS), len(NAMES)))
